@@ -1,7 +1,7 @@
 """Importing the query modules fills the registry."""
 
 from tidegrid.plans import inputs  # noqa: F401
-from tidegrid.plans import queries_grid, queries_sources  # noqa: F401
+from tidegrid.plans import queries_features, queries_grid, queries_sources  # noqa: F401
 from tidegrid.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

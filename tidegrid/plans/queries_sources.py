@@ -295,8 +295,9 @@ def _(spark, sf):
 @query("PF13_null_guard", """SELECT 'y' AS column_name, count(*) - count(y) AS n_null, sum(coalesce(y, 0)) AS total FROM sparse6""", "sparse6")
 def _(spark, sf):
     d = i.sparse6(spark, sf)
-    total = pf.null_guard(d, ["y"]).agg(F.sum("y").alias("total"))
-    return pf.null_report(d, ["y"]).join(F.broadcast(total))
+    guarded = pf.null_guard(d, ["y"]).select("y").unpivot([], ["y"], "column_name", "v")
+    total = guarded.groupBy("column_name").agg(F.sum("v").alias("total"))
+    return pf.null_report(d, ["y"]).join(total, "column_name")
 
 
 @query("PF14_covariate_status", """SELECT event_id, CASE WHEN NOT (sn OR ap) AND NOT (coalesce(parsed, false) OR svc) THEN 'broken' WHEN NOT coalesce(parsed, true) AND NOT svc THEN 'partial'
@@ -418,7 +419,7 @@ q AS (SELECT series_id, count(*) AS train_n, list_sort(list_distinct(quantile_co
 avg(y) AS train_mean, stddev_pop(y) AS train_std FROM a GROUP BY 1),
 t AS (SELECT series_id, count(*) AS test_n, quantile_cont(y, 0.1) AS test_p10, quantile_cont(y, 0.9) AS test_p90, avg(y) AS test_mean, stddev_pop(y) AS test_std FROM b GROUP BY 1),
 v AS (SELECT series_id, y, 1 AS isa FROM a UNION ALL SELECT series_id, y, 0 FROM b),
-c AS (SELECT v.series_id, least(len(list_filter(e, x -> x <= y)), len(e) - 1) AS slot, sum(isa) AS na, sum(1 - isa) AS nb FROM v JOIN q USING (series_id) WHERE y BETWEEN e[1] AND e[-1] GROUP BY 1, 2),
+c AS (SELECT v.series_id, least(len(list_filter(e, lambda x: x <= y)), len(e) - 1) AS slot, sum(isa) AS na, sum(1 - isa) AS nb FROM v JOIN q USING (series_id) WHERE y BETWEEN e[1] AND e[-1] GROUP BY 1, 2),
 f AS (SELECT s.series_id, s.slot, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb FROM (SELECT series_id, unnest(generate_series(1, len(e) - 1)) AS slot FROM q WHERE len(e) >= 3) s LEFT JOIN c ON c.series_id = s.series_id AND c.slot = s.slot),
 p AS (SELECT series_id, greatest(na / greatest(sum(na) OVER (PARTITION BY series_id), 1), 1e-4) AS pa, greatest(nb / greatest(sum(nb) OVER (PARTITION BY series_id), 1), 1e-4) AS pb FROM f),
 z AS (SELECT series_id, sum((pb - pa) * ln(pb / pa)) AS psi FROM p GROUP BY 1)
