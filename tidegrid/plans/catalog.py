@@ -1,7 +1,9 @@
 """Importing the query modules fills the registry."""
 
 from tidegrid.plans import inputs  # noqa: F401
-from tidegrid.plans import queries_features, queries_grid, queries_sources, queries_analytics  # noqa: F401
-from tidegrid.plans.registry import ORACLES, QUERIES
+from tidegrid.plans import queries_analytics, queries_eval, queries_features, queries_grid, queries_sources  # noqa: F401
+from tidegrid.plans.registry import QUERIES, resolved_checks
+
+ORACLES = resolved_checks()
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidegrid.session import pin_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+CHECKS: dict[str, tuple[str, str]] = {}
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -50,7 +50,12 @@ def query(name: str, oracle: str | None = None, needs: str = ""):
 
         QUERIES[name] = run
         if oracle is not None:
-            ORACLES[name] = with_ctes(needs, oracle.strip())
+            CHECKS[name] = (needs, oracle.strip())
         return fn
 
     return add
+
+
+def resolved_checks() -> dict[str, str]:
+    """The SQL of every query that has one, with its fragments put in front."""
+    return {name: with_ctes(needs, body) for name, (needs, body) in CHECKS.items()}
