@@ -117,11 +117,11 @@ def level_offsets(pairs: DataFrame, new: DataFrame, keys, probs: dict[str, float
     edges = exact_quantiles(pairs, keys, "predicted", cuts, count="__total").select(
         *keys, F.array_distinct(F.array(*cuts)).alias("__edges"), "__total"
     ).filter(F.col("__total") >= min_samples)
-    binned = pairs.join(edges, keys).withColumn("__b", _bin(F.col("__edges"), F.col("predicted")))
-    own = exact_quantiles(binned, [*keys, "__b"], "residual", probs, count="__n")
+    binned = pairs.join(edges, keys).withColumn("__bin", _bin(F.col("__edges"), F.col("predicted")))
+    own = exact_quantiles(binned, [*keys, "__bin"], "residual", probs, count="__n")
     pooled = exact_quantiles(pairs, keys, "residual", {f"__p_{n}": p for n, p in probs.items()})
-    d = new.join(edges, keys, "left").withColumn("__b", _bin(F.col("__edges"), F.col("predicted")))
-    d = d.join(own, [*keys, "__b"], "left").join(pooled, keys, "left")
+    d = new.join(edges, keys, "left").withColumn("__bin", _bin(F.col("__edges"), F.col("predicted")))
+    d = d.join(own, [*keys, "__bin"], "left").join(pooled, keys, "left")
     pick = {n: F.when(F.col("__total").isNotNull(), F.when(F.col("__n") >= min_samples, F.col(n)).otherwise(F.col(f"__p_{n}"))) for n in probs}
     return d.select(*new.columns, *[c.alias(n) for n, c in pick.items()])
 
