@@ -8,6 +8,7 @@ from tidegrid.plans import (  # noqa: F401
     queries_forecast,
     queries_grid,
     queries_sources,
+    queries_streaming,
 )
 from tidegrid.plans.registry import QUERIES, resolved_checks
 
