@@ -14,6 +14,10 @@ def epoch(ts) -> Column:
     return F.unix_seconds(as_col(ts).cast("timestamp"))
 
 
+def micros(ts) -> Column:
+    return F.unix_micros(as_col(ts).cast("timestamp"))
+
+
 def from_epoch(seconds) -> Column:
     return F.timestamp_seconds(as_col(seconds)).cast("timestamp_ntz")
 

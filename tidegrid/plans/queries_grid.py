@@ -140,7 +140,7 @@ ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM daily_restart""", "daily_re
 cte("daily_high", """SELECT *, max(value) OVER (PARTITION BY series_id, segment ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING
 AND 1 PRECEDING) AS high FROM daily_segment""", "daily_segment")
 cte("daily_rise", """SELECT *, CASE WHEN restart THEN value ELSE greatest(coalesce(value - high, 0.0), 0.0) END AS rise,
-(floor(epoch(ts)) - floor(epoch(prev_ts))) / 3600.0 AS elapsed FROM daily_high""", "daily_high")
+(epoch_us(ts) - epoch_us(prev_ts)) / 3.6e9 AS elapsed FROM daily_high""", "daily_high")
 
 
 @query("CN1_restart_detect", "SELECT series_id, ts, restart, segment FROM daily_segment", "daily_segment")
@@ -150,8 +150,8 @@ def _(spark, sf):
 
 cte("life_lag", "SELECT *, lag(value) OVER (PARTITION BY series_id ORDER BY ts) AS prev FROM counter_life", "counter_life")
 cte("glitches", """SELECT * FROM (SELECT c.series_id, c.ts AS t0, c.prev, min(r.ts) AS t1, arg_min(r.value, r.ts) AS ve FROM life_lag c
-JOIN counter_life r ON r.series_id = c.series_id AND floor(epoch(r.ts)) > floor(epoch(c.ts))
-AND floor(epoch(r.ts)) - floor(epoch(c.ts)) <= 3600
+JOIN counter_life r ON r.series_id = c.series_id AND r.ts > c.ts
+AND epoch_us(r.ts) - epoch_us(c.ts) <= 3600000000
 AND (r.value >= c.prev OR r.value > c.value + 0.25 * (c.prev - c.value))
 WHERE c.value >= 0.5 * c.prev AND c.value < CAST(0.9 AS DOUBLE) * c.prev GROUP BY 1, 2, 3) WHERE ve >= prev""", "life_lag counter_life")
 
