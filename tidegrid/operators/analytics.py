@@ -123,10 +123,17 @@ def winning_rows(rows: DataFrame) -> DataFrame:
 
 def conformal_quantiles(rows: DataFrame, level: float = 0.8, min_samples: int = 10) -> DataFrame:
     """Band half-width per lead bucket; null where samples are few. ``fallback`` pools all buckets."""
-    d = winning_rows(rows).select(*E, "lead_bucket", F.abs(F.col("predicted") - F.col("actual")).alias("__abs"))
-    per = exact_quantiles(d, [*E, "lead_bucket"], "__abs", {"q": level}, count="n")
-    pooled = exact_quantiles(d, E, "__abs", {"fallback": level}, count="total")
-    return per.withColumn("q", F.when(F.col("n") >= min_samples, F.col("q"))).join(pooled, E)
+    d = winning_rows(rows).select(
+        *E, F.explode(F.array(F.col("lead_bucket"), F.lit(None).cast("long"))).alias("lead_bucket"),
+        F.abs(F.col("predicted") - F.col("actual")).alias("__abs"),
+    ).withColumn("__k", F.coalesce(F.col("lead_bucket").cast("string"), F.lit("pooled")))
+    q = exact_quantiles(d, [*E, "__k"], "__abs", {"q": level}, count="n")
+    w = W.partitionBy(*E)
+    pool = F.col("__k") == "pooled"
+    q = q.withColumns({"fallback": F.max(F.when(pool, F.col("q"))).over(w), "total": F.max(F.when(pool, F.col("n"))).over(w)})
+    return q.filter(~pool).select(
+        *E, F.col("__k").cast("long").alias("lead_bucket"), F.when(F.col("n") >= min_samples, F.col("q")).alias("q"), "n", "fallback", "total"
+    )
 
 
 def signed_residuals(rows: DataFrame) -> DataFrame:

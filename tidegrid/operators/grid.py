@@ -56,7 +56,9 @@ def resample(df: DataFrame, keys, seconds: int, method: str = "mean", ts: str =
              out: str = "y") -> DataFrame:
     """Complete grid from the first to the last bin; an empty bin is 0 for ``sum``, else null."""
     bins = binned(df, keys, seconds, method, ts, value, out)
-    span = bins.groupBy(*keys).agg(F.min("grid_ts").alias("__a"), F.max("grid_ts").alias("__z"))
+    span = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
+        time_bin(F.min(ts), seconds).alias("__a"), time_bin(F.max(ts), seconds).alias("__z")
+    )
     full = spine(span, keys, "__a", "__z", seconds).join(bins, [*keys, "grid_ts"], "left")
     return full.fillna(0.0, [out]) if method == "sum" else full
 
@@ -108,7 +110,9 @@ def resample_covariates(df: DataFrame, keys, seconds: int, methods: DataFrame) -
     bins = df.filter(F.col("value").isNotNull()).groupBy(*keys, time_bin("ts", seconds).alias("grid_ts")).agg(
         *[_bin_agg(m, "value", "ts").alias(f"__{m}") for m in METHODS]
     )
-    span = bins.groupBy(*keys).agg(F.min("grid_ts").alias("__a"), F.max("grid_ts").alias("__z"))
+    span = df.filter(F.col("value").isNotNull()).groupBy(*keys).agg(
+        time_bin(F.min("ts"), seconds).alias("__a"), time_bin(F.max("ts"), seconds).alias("__z")
+    )
     d = spine(span, keys, "__a", "__z", seconds).join(bins, [*keys, "grid_ts"], "left")
     d = d.join(methods, list(keys), "left").withColumn("method", F.coalesce("method", F.lit("mean")))
     y = F.lit(None).cast("double")

@@ -68,10 +68,11 @@ def _past_quantiles(d: DataFrame, by, reach: int, n: str, q: str) -> DataFrame:
     """
     per = d.groupBy(*by, "__t").agg(F.collect_list("__e").alias("__es"))
     w = W.partitionBy(*by).orderBy("__t").rangeBetween(W.unboundedPreceding, -reach)
-    per = per.withColumn("__all", F.sort_array(F.flatten(F.collect_list("__es").over(w))))
-    quantiles = F.array(*[_array_quantile(F.col("__all"), p) for p in QUANTILE_LEVELS])
+    per = per.withColumn("__all", F.flatten(F.collect_list("__es").over(w)))
+    # Bound as a lambda variable, the array is sorted once and not per level.
+    levels = F.transform(F.array(F.sort_array("__all")), lambda a: F.array(*[_array_quantile(a, p) for p in QUANTILE_LEVELS]))
     some = F.size("__all") > 0
-    return per.select(*by, "__t", F.size("__all").alias(n), F.when(some, quantiles).alias(q))
+    return per.select(*by, "__t", F.size("__all").alias(n), F.when(some, F.element_at(levels, 1)).alias(q))
 
 
 def _finish(d: DataFrame, nonnegative: bool) -> DataFrame:

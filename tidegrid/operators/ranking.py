@@ -26,12 +26,20 @@ def model_positions(models: list[str]) -> Column:
     return table[F.col("model")]
 
 
+def with_completeness(long: DataFrame, keys) -> DataFrame:
+    """Adds ``complete``: the model was scored in every fold that any model was scored in.
+
+    A window holds one series' models x folds x metrics.
+    """
+    w = W.partitionBy(*keys, "model")
+    scored = F.size(F.collect_set(F.when(F.col("value").isNotNull(), F.col("fold"))).over(w))
+    d = long.withColumns({"__f": scored, "__all": F.size(F.collect_set("fold").over(w))})
+    return d.withColumn("complete", F.col("__f") == F.max("__all").over(W.partitionBy(*keys))).drop("__f", "__all")
+
+
 def complete_models(long: DataFrame, keys) -> DataFrame:
-    """(keys, model, complete): scored in every fold that any model was scored in."""
-    per = long.filter(F.col("value").isNotNull()).groupBy(*keys, "model").agg(F.count_distinct("fold").alias("__f"))
-    total = long.groupBy(*keys).agg(F.count_distinct("fold").alias("__all"))
-    return long.select(*keys, "model").distinct().join(per, [*keys, "model"], "left").join(total, list(keys)).select(
-        *keys, "model", (F.coalesce("__f", F.lit(0)) == F.col("__all")).alias("complete"))
+    """(keys, model, complete)."""
+    return with_completeness(long, keys).select(*keys, "model", "complete").distinct()
 
 
 def fold_ranks(long: DataFrame, keys, models: list[str], metrics: list[str], production: str) -> DataFrame:
@@ -44,8 +52,7 @@ def fold_ranks(long: DataFrame, keys, models: list[str], metrics: list[str], pro
     if production not in HIGHER_IS_BETTER and production not in use:
         use.append(production)
     weight = max(1, (len(use) - 1) * 3 // 2)
-    done = complete_models(long, keys).filter("complete")
-    d = long.filter(F.col("metric").isin(use)).join(done.select(*keys, "model"), [*keys, "model"])
+    d = with_completeness(long, keys).filter(F.col("complete") & F.col("metric").isin(use))
     d = d.withColumns({"__v": F.coalesce(F.round("value", 9), F.lit(float("inf"))), "__pos": model_positions(models)})
     cell = W.partitionBy(*keys, "fold", "metric")
     d = d.withColumns({"__r": F.row_number().over(cell.orderBy("__v", "__pos")), "__best": F.min("__v").over(cell)})

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegrid.functions.timecols import epoch, from_epoch, shift
+from tidegrid.functions.timecols import epoch, from_epoch, shift, time_bin
 from tidegrid.operators.grid import resample
 from tidegrid.operators.scan import Scan, running
 from tidegrid.plans.registry import cte
@@ -103,6 +103,10 @@ cte("counter_life",
 STEP = "INTERVAL '6 hours'"
 
 
+def _span(spark: SparkSession, sf: str) -> DataFrame:
+    return obs_fleet(spark, sf).groupBy("series_id").agg(time_bin(F.min("ts"), SIX).alias("lo"), time_bin(F.max("ts"), SIX).alias("hi"))
+
+
 def forecast_log(spark: SparkSession, sf: str) -> DataFrame:
     """Two models, issued at every midnight and noon, leads of 6 to 48 hours.
 
@@ -110,24 +114,22 @@ def forecast_log(spark: SparkSession, sf: str) -> DataFrame:
     version mid-month; last_value repeats the last full bin and has no version
     for every fifth user. Bands are +-20 %.
     """
-    load = load6(spark, sf).withColumnRenamed("y", "base")
-    lead = F.explode(F.sequence(F.lit(1), F.lit(8))).alias("k")
-    span = load.groupBy("series_id").agg(F.min("grid_ts").alias("lo"), F.max("grid_ts").alias("hi"))
-    naive = load.select("series_id", "base", shift("grid_ts", 2 * DAY).alias("target_dt"), lead).select(
-        "series_id", "base", "target_dt", "k", from_epoch(epoch("target_dt") - F.col("k") * SIX).alias("issued_at")
-    ).withColumn("model_name", F.lit("seasonal_naive")).filter((F.hour("issued_at") % 12) == 0).withColumn(
-        "model_version", F.when(F.col("issued_at") < F.lit("2024-01-16").cast("timestamp_ntz"), F.lit("v1")).otherwise(F.lit("v2")))
-    last = load.withColumn("issued_at", shift("grid_ts", SIX)).filter((F.hour("issued_at") % 12) == 0).select(
-        "series_id", "base", "issued_at", lead).select(
-        "series_id", "base", from_epoch(epoch("issued_at") + F.col("k") * SIX).alias("target_dt"), "k", "issued_at"
-    ).withColumn("model_name", F.lit("last_value")).withColumn(
-        "model_version", F.when(F.col("series_id").cast("long") % 5 != 0, F.lit("v1")))
-    both = naive.unionByName(last).join(span, "series_id").filter(
-        (F.col("issued_at") >= F.col("lo")) & (F.col("issued_at") <= F.col("hi")))
-    return both.select(
-        F.col("series_id").alias("experiment"), "model_name", "model_version", "issued_at", "target_dt",
-        (F.col("k") * 360).cast("long").alias("lead_minutes"), F.col("base").alias("predicted"),
-        F.lit("point").alias("forecast_type"), (F.col("base") * 1.2).alias("upper"), (F.col("base") * 0.8).alias("lower"),
+    t = epoch("grid_ts")
+    leads = F.sequence(F.lit(1), F.lit(8))
+    naive = F.transform(leads, lambda k: F.struct(
+        F.lit("seasonal_naive").alias("m"), k.alias("k"), (t + 2 * DAY - k * SIX).alias("i"), (t + 2 * DAY).alias("t")))
+    last = F.transform(leads, lambda k: F.struct(F.lit("last_value").alias("m"), k.alias("k"), (t + SIX).alias("i"), (t + SIX + k * SIX).alias("t")))
+    d = load6(spark, sf).select("series_id", "y", F.explode(F.concat(naive, last)).alias("f"))
+    d = d.filter(F.pmod(F.col("f.i"), F.lit(43200)) == 0).select(
+        "series_id", F.col("f.m").alias("model_name"), F.col("y").alias("predicted"), from_epoch("f.i").alias("issued_at"),
+        from_epoch("f.t").alias("target_dt"), (F.col("f.k") * 360).cast("long").alias("lead_minutes"))
+    d = d.join(_span(spark, sf), "series_id").filter((F.col("issued_at") >= F.col("lo")) & (F.col("issued_at") <= F.col("hi")))
+    old = F.col("issued_at") < F.lit("2024-01-16").cast("timestamp_ntz")
+    version = F.when(F.col("model_name") == "seasonal_naive", F.when(old, "v1").otherwise("v2")).when(
+        F.col("series_id").cast("long") % 5 != 0, "v1")
+    return d.select(
+        F.col("series_id").alias("experiment"), "model_name", version.alias("model_version"), "issued_at", "target_dt", "lead_minutes", "predicted",
+        F.lit("point").alias("forecast_type"), (F.col("predicted") * 1.2).alias("upper"), (F.col("predicted") * 0.8).alias("lower"),
     )
 
 
@@ -160,8 +162,7 @@ def external_log(spark: SparkSession, sf: str) -> DataFrame:
         "series_id", "y", shift("grid_ts", 3 * DAY).alias("target_dt"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("k")
     ).withColumn("source", F.explode(F.array(F.lit("ext_a"), F.lit("ext_b"))))
     d = d.withColumn("issued_at", from_epoch(epoch("target_dt") - F.col("k") * SIX)).filter((F.hour("issued_at") % 12) == 0)
-    span = load.groupBy("series_id").agg(F.max("grid_ts").alias("hi"))
-    return d.join(span, "series_id").filter(F.col("issued_at") <= F.col("hi")).select(
+    return d.join(_span(spark, sf).drop("lo"), "series_id").filter(F.col("issued_at") <= F.col("hi")).select(
         F.col("series_id").alias("experiment"), "source", "issued_at", "target_dt",
         (F.col("k") * 360).cast("long").alias("lead_minutes"),
         F.when(F.col("source") == "ext_b", F.col("y") * 1000).otherwise(F.col("y")).alias("value"),

@@ -9,6 +9,7 @@ from tidegrid.operators import analytics as ag
 from tidegrid.operators.grid import daily_cumsum
 from tidegrid.plans import inputs as i
 from tidegrid.plans.registry import cte, query
+from tidegrid.session import cut_lineage
 
 E = ["experiment"]
 W = 360
@@ -245,7 +246,7 @@ b AS (SELECT experiment, lead_bucket FROM e GROUP BY 1, 2 HAVING count(DISTINCT
 SELECT experiment, source, round(sum(abs_sum) / sum(n), 4) AS mae, round(sqrt(sum(sq_sum) / sum(n)), 4) AS rmse, round(sum(signed_sum) / sum(n), 4) AS bias, CAST(sum(n) AS BIGINT) AS n, min(lead_bucket) AS band_from, max(lead_bucket) AS band_to
 FROM e JOIN b USING (experiment, lead_bucket) GROUP BY 1, 2""", "h2h sums")
 def _(spark, sf):
-    s = _sums(spark, sf)
+    s = cut_lineage(_sums(spark, sf))
     d = ag.skill_common_band(s, ag.exclusion_reasons(_h2h(spark, sf), s))
     return rnd(d, mae=4, rmse=4, bias=4)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegrid.functions.timecols import as_col
@@ -82,8 +81,3 @@ def trajectory_points(df: DataFrame, attr: str, value_key: str | None = None) ->
 def points_utc(points: DataFrame, keys, order: str = "pos") -> DataFrame:
     """Drop nulls and keep the first of equal times."""
     return points.filter(F.col("value").isNotNull()).groupBy(*keys, "ts").agg(F.min_by("value", order).alias("value"))
-
-
-def first_trajectory(points: DataFrame, keys) -> DataFrame:
-    w = W.partitionBy(*keys).orderBy("ts", "pos")
-    return points.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
