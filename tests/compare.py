@@ -29,7 +29,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _norm(v):
-    if v is None or v is pd.NaT:
+    if v is None or v is pd.NaT or v is pd.NA:
         return None
     if isinstance(v, (np.ndarray, list, tuple)):
         return tuple(_norm(x) for x in v)
