@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import language, quality, simhash, substring
+from tidegrid.llm import bpe, html, language, license, packing, quality, simhash, substring, tokencounts, topk
+from tidegrid.llm.common import materialise, scratch
 from tidegrid.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +38,34 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), model).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def _license_sql() -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    phrases = ", ".join(f"({p.split(' ')!r}, {label!r})" for p, label in license.PHRASES.items())
+    sets = [(label, license.template_words(text)) for label, text in license.TEMPLATES]
+    templates = ", ".join(f"({label!r}, {ws!r}, {license.needed(len(ws))})" for label, ws in sets)
+    return rf"""
+    WITH d AS (SELECT doc_id, {lower} AS t, regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    ph(p, label) AS (VALUES {phrases}),
+    tp(label, p, need) AS (VALUES {templates}),
+    u AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d WHERE len(list_intersect(w, ['license', 'cc'])) > 0),
+    b AS (SELECT doc_id, label, i FROM u JOIN ph ON list_slice(w, i + 1, i + len(p)) = p),
+    bs AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base FROM b GROUP BY doc_id),
+    bl AS (SELECT doc_id, regexp_extract_all(x, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM
+           (SELECT doc_id, unnest(list_concat(string_split(t, chr(10)), regexp_split_to_array(t, '\n[ \t\r]*\n'))) AS x FROM d)),
+    m AS (SELECT doc_id, label, len(list_intersect(p, w)) AS shared, len(p) AS size FROM bl, tp WHERE len(list_intersect(p, w)) >= need),
+    ms AS (SELECT doc_id, list(DISTINCT label) AS found, max(shared / size) AS share FROM m GROUP BY doc_id)
+    SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
+           coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(found, [])))), ','), '') AS labels,
+           CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score
+    FROM d LEFT JOIN bs USING (doc_id) LEFT JOIN ms USING (doc_id)
+    """
+
+
+@query("op2_license_scan", _license_sql())
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op3_substring_dedup",
     rf"""
@@ -93,3 +123,50 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_simhash")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op4_html_extraction")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op5_bestfit_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query(
+    "op8_topk",
+    f"""
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({topk.SCALE} * x::DOUBLE)) AS e FROM embeddings
+               WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+    r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+    SELECT * FROM r WHERE rank <= {topk.K}
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_byte_bpe")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query("op10_token_counts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents enter with their bytes as a first estimate; the next batch takes that back and brings exact token counts. It is
+    committed twice, as after a lost acknowledgement."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.octet_length("text").cast("long").alias("bytes"), "text")
+    counts = materialise(tokencounts.counted(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")), "counts")
+    ledger = tokencounts.TokenLedger(spark, scratch(spark, "token-ledger"))
+    rough = counts.select(F.lit("insert").alias("op"), "doc_id", "source", "lang", F.lit("bytes").alias("tokenizer"), F.col("bytes").alias("tokens"))
+    ledger.commit(0, rough)
+    exact = counts.select(F.lit("insert").alias("op"), "doc_id", "source", "lang", F.lit("byte_bpe_50k").alias("tokenizer"), "tokens")
+    for _ in range(2):
+        ledger.commit(1, rough.withColumn("op", F.lit("delete")).unionByName(exact))
+    return ledger.totals()
