@@ -104,64 +104,71 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
+        number = 0  # of the word table
         for batch in batches:
             column = batch.column(text)
             _, at = text_bytes(column)
             for a, b in slices(at, 1 << 20):
                 if len(seen) > MAX_WORDS:
-                    seen = {}
+                    seen, number = {}, number + 1
                 texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
                 joined, start, end, first = pieces.byte_level(texts)
                 known = len(seen)
                 refs = np.fromiter((seen.setdefault(joined[x:y], len(seen)) for x, y in zip(start.tolist(), end.tolist(), strict=True)), np.int32, len(start))
                 new = [w.encode("utf-8", "surrogatepass").decode("latin-1") for w in list(seen)[known:]]
-                # a table that starts anew says so with the number of its first word
-                yield _batch(batch, held, range(0), new, [known] * len(new), [])
-                yield _batch(batch, held, range(a, b), [], [], [refs[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)])
+                yield rows_of(batch, range(0), number, new, [])
+                yield rows_of(batch, range(a, b), number, [], [refs[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)])
 
-    def _batch(batch, held, rows, words, known, refs):
+    def rows_of(batch: pa.RecordBatch, rows: range, number: int, words: list[str], refs: list[bytes]) -> pa.RecordBatch:
         n, m = len(words), len(refs)
         carried = [pa.concat_arrays([pa.nulls(n, batch.schema.field(c).type), batch.column(c).slice(rows.start, m)]) if m else pa.nulls(n, batch.schema.field(c).type) for c in others]
-        return pa.RecordBatch.from_arrays([*carried, pa.array(words + [None] * m, pa.string()), pa.array(known + [None] * m, pa.int32()), pa.array([None] * n + refs, pa.binary())], [*held.names, "word", "known", "refs"])
+        return pa.RecordBatch.from_arrays([*carried, pa.array(words + [None] * m, pa.string()), pa.array([number] * (n + m), pa.int32()), pa.array([None] * n + refs, pa.binary())], [*held.names, "word", "number", "refs"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded_words: list[bytes] = []
-        decoded_words: list[bytes] = []
-        single = None
+        table = _Table(path)
         for batch in batches:
+            numbers = batch.column("number").to_numpy()
             is_word = batch.column("word").is_valid().to_numpy(zero_copy_only=False)
-            some = np.flatnonzero(is_word)
-            if len(some):
-                part = batch.filter(pa.array(is_word))
-                ids, decoded = part.column("ids"), part.column("decoded").to_pylist()
-                known = part.column("known").to_pylist()
-                for k, (numbers, word) in enumerate(zip(ids, decoded, strict=True)):
-                    if known[k] == 0 and encoded_words and (k == 0 or known[k - 1] != 0) and len(encoded_words) >= MAX_WORDS:
-                        encoded_words, decoded_words = [], []
-                    if word is None:
-                        single = single or _library(path)
-                        found = single(part.column("word")[k].as_py().encode("latin-1"))
-                        numbers, word = np.array(found[0], np.uint32), found[1]
-                    else:
-                        numbers = numbers.values.to_numpy().astype(np.uint32)
-                    encoded_words.append(numbers.tobytes())
-                    decoded_words.append(word)
-            part = batch.filter(pa.array(~is_word))
-            n, digests, decoded = [], [], []
-            for blob in part.column("refs").to_pylist():
-                refs = np.frombuffer(blob, np.int32).tolist()
-                ids = b"".join(map(encoded_words.__getitem__, refs))
-                n.append(len(ids) // 4)
-                digests.append(hashlib.sha256(ids).hexdigest())
-                decoded.append(hashlib.sha256(b"".join(map(decoded_words.__getitem__, refs))).hexdigest())
-            if n:
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in held.names], pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], [*others, *RESULTS])
-
-    between = StructType([*held.fields, *StructType.fromDDL("word string, known int, refs binary").fields])
+            for number in np.unique(numbers):  # tables follow one another
+                own = numbers == number
+                table.add(int(number), batch.filter(pa.array(own & is_word)))
+                part = batch.filter(pa.array(own & ~is_word))
+                n, digests, decoded = [], [], []
+                for blob in part.column("refs").to_pylist():
+                    refs = np.frombuffer(blob, np.int32).tolist()
+                    ids = b"".join(map(table.ids.__getitem__, refs))
+                    n.append(len(ids) // 4)
+                    digests.append(hashlib.sha256(ids).hexdigest())
+                    decoded.append(hashlib.sha256(b"".join(map(table.decoded.__getitem__, refs))).hexdigest())
+                if n:
+                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in held.names], pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], [*others, *RESULTS])
+
+    between = StructType([*held.fields, *StructType.fromDDL("word string, number int, refs binary").fields])
     after = StructType([*[docs.schema[c] for c in others], StructField(RESULTS[0], LongType()), *[StructField(r, StringType()) for r in RESULTS[1:]]])
     return encoded(docs.mapInArrow(cut, between), path).mapInArrow(assemble, after)
 
 
+class _Table:
+    """Ids (little-endian bytes) and decoded bytes of a task's words, in the order of their numbers."""
+
+    def __init__(self, path: str):
+        self.path, self.number, self.single = path, -1, None
+        self.ids: list[bytes] = []
+        self.decoded: list[bytes] = []
+
+    def add(self, number: int, words: pa.RecordBatch) -> None:
+        if number != self.number:
+            self.number, self.ids, self.decoded = number, [], []
+        for word, ids, decoded in zip(words.column("word"), words.column("ids"), words.column("decoded").to_pylist(), strict=True):
+            if decoded is None:
+                self.single = self.single or _library(self.path)
+                found, decoded = self.single(word.as_py().encode("latin-1"))
+                self.ids.append(np.array(found, "<u4").tobytes())
+            else:
+                self.ids.append(ids.values.to_numpy().astype("<u4").tobytes())
+            self.decoded.append(decoded)
+
+
 def _library(path: str):
     """Ids and their bytes of one very long word, from the library whose results these are."""
     import public_tokenizers
