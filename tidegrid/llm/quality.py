@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidegrid.llm.common import Rolling, bounded_batches, covered, slices, text_bytes, without, word_spans
+from tidegrid.llm.common import Rolling, bounded_batches, covered, mix, slices, text_bytes, without, word_spans
 
 MIN_WORDS = 20
 MAX_REPEATED = 30  # per cent of the words
@@ -53,12 +53,11 @@ def line_fails(line: str) -> bool:
     return len(words) <= NOTICE_WORDS and any(n in low for n in NOTICES)
 
 
-def _lines(text: str, symbols: int) -> tuple[int, int, str]:
+def _lines(text: str, suspicious: bool) -> tuple[int, int, str]:
     """Repeated lines, words lost with failing lines, and what is left. Repeats are counted only: a refrain is not boilerplate."""
     lines = text.split("\n")
     seen: set[str] = set()
     repeats = lost = 0
-    suspicious = symbols > 0 or any(n in text.translate(_LOWER) for n in NOTICES)
     left = []
     for line in lines:
         if not line.strip(_SPACES):
@@ -73,6 +72,17 @@ def _lines(text: str, symbols: int) -> tuple[int, int, str]:
     return repeats, lost, "\n".join(left) if lost else text
 
 
+def _notices(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which texts hold the words of a notice."""
+    low, out = data.tobytes().lower(), np.zeros(len(at) - 1, bool)
+    for notice in NOTICES:
+        place = low.find(notice.encode())
+        while place >= 0:
+            out[np.searchsorted(at, place, "right") - 1] = True
+            place = low.find(notice.encode(), place + 1)
+    return out
+
+
 def _measure(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     start, end, first = word_spans(data, at)
     n_words = np.diff(first)
@@ -81,8 +91,9 @@ def _measure(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     symbols = np.concatenate([[0], np.cumsum(_IS_SYMBOL[data])])
     place, window = _ROLLING.windows(_ROLLING.words(data, start, end), first, REPEAT_WINDOW)
     of = np.searchsorted(first, place, "right") - 1
-    order = np.lexsort((window, of))
-    same = (window[order][1:] == window[order][:-1]) & (of[order][1:] == of[order][:-1])
+    key = mix(window + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # equal windows of one text
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
     twice = np.zeros(len(place), bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
@@ -90,10 +101,12 @@ def _measure(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return n_words, in_words[first[1:]] - in_words[first[:-1]], symbols[at[1:]] - symbols[at[:-1]], marked[first[1:]] - marked[first[:-1]]
 
 
-def assess(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the counts, the verdict ``kept`` and the ``cleaned`` text. One narrow pass without a shuffle."""
+def assess(docs: DataFrame, text: str = "text", with_text: bool = True) -> DataFrame:
+    """``docs`` with the counts, the verdict ``kept`` and the ``cleaned`` text (without ``with_text`` neither text is returned). One
+    narrow pass without a shuffle."""
     bounded_batches(docs.sparkSession)
     docs = without(docs, [r for r in RESULTS if r.lower() != text.lower()])
+    others = [c for c in docs.columns if with_text or c != text]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,13 +115,15 @@ def assess(docs: DataFrame, text: str = "text") -> DataFrame:
             parts = [_measure(data[at[a] : at[b]], at[a : b + 1] - at[a]) for a, b in slices(at)]
             words, chars, symbols, repeated = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 4
             failed = (words < MIN_WORDS) | (100 * repeated > MAX_REPEATED * words)
-            lines = [_lines(t or "", s) for t, s in zip(column.to_pylist(), symbols.tolist(), strict=True)]
+            suspicious = (symbols > 0) | _notices(data, at)
+            lines = [_lines(t or "", s) for t, s in zip(column.to_pylist(), suspicious.tolist(), strict=True)]
             lost = np.array([x[1] for x in lines], np.int64)
             kept = ~failed & (100 * lost <= MAX_LOST * words)
             columns = [words, chars, symbols, np.array([x[0] for x in lines], np.int64), repeated, failed, lost, kept]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c) for c in columns], pa.array([x[2] for x in lines], pa.string())], [*batch.schema.names, *RESULTS])
+            cleaned = pa.array([x[2] for x in lines], pa.string()) if with_text else pa.nulls(len(lines), pa.string())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], *[pa.array(c) for c in columns], cleaned], [*others, *RESULTS])
 
-    return docs.mapInArrow(measure, StructType([*docs.schema.fields, *StructType.fromDDL(_TYPES).fields]))
+    return docs.mapInArrow(measure, StructType([*[docs.schema[c] for c in others], *StructType.fromDDL(_TYPES).fields]))
 
 
 def accept(docs: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ _NOTICE = " OR ".join(f"contains({_ASCII_LOWER}, '{n}')" for n in quality.NOTICE
     """,
 )
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *[c for c in quality.RESULTS if c != "cleaned"])
+    return quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False).select("doc_id", *[c for c in quality.RESULTS if c != "cleaned"])
 
 
 @query("op7_simhash")
