@@ -49,7 +49,7 @@ def test_substring_stage(spark, documents, clashing):
     assert out.columns == docs.columns
     assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {1: (rows[0][1], len(rows[0][1])), 2: ("start end two", 13), 4: ("", 0), 5: ("", 0)}
     assert substring.removals(spark.createDataFrame([], EMPTY)).count() == 0
-    assert substring.ladder(13) == [7, 13] and substring.ladder(50) == [13, 25, 50] and substring.ladder(5) == [5]
+    assert substring.ladder(13) == [7, 13] and substring.ladder(50) == [7, 13, 25, 50] and substring.ladder(5) == [5]
 
 
 def test_fingerprints(documents):
@@ -117,7 +117,7 @@ def test_components_of_paths_and_stars(spark):
 def test_top_k(spark, monkeypatch):
     rng = random.Random(6)
     rows = [(k, [rng.choice([-1, 0, 0.5, rng.uniform(-1, 1)]) for _ in range(6)]) for k in range(300)]
-    rows += [(400, None), (401, [0.1, None, 0, 0, 0, 0]), (402, [float("nan")] + [0.0] * 5), (403, [float("inf")] * 6), (420, [1.0, 2.0]), (421, [2.0, 1.0]), (None, [1.0] * 6), (440, []), (500, [1e9] * 6), (520, [1e9] * 5 + [-1e9])]
+    rows += [(400, None), (401, [0.1, None, 0, 0, 0, 0]), (402, [float("nan")] + [0.0] * 5), (403, [float("inf")] * 6), (420, [1.0, 2.0]), (421, [2.0, 1.0]), (None, [1.0] * 6), (440, []), (500, [1e7] * 6), (520, [1e7] * 5 + [-9999999.0])]
     rows += [(600 + k, [0.5] * 6) for k in range(60)]
     df = spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>").withColumn("score", F.lit("x")).withColumn("row", F.lit(1)).repartition(3)
     want = plain.top_k(rows)
