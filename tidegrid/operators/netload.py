@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegrid.functions.timecols import local_day, shift
-from tidegrid.operators.grid import fill_hold, fill_linear
+from tidegrid.functions.timecols import epoch, local_day, shift
+from tidegrid.operators.scan import Scan, running
 
 # Share of a day's totals above which a leftover makes the day unmeasured,
 # and the load below which a ratio says nothing.
@@ -21,19 +21,29 @@ class SubtractError(ValueError):
 
 def subtract_series(base: DataFrame, other: DataFrame, keys, seconds: int, fill: str = "ffill", ts: str = "grid_ts",
                     value: str = "y") -> DataFrame:
-    """base - other after aligning ``other`` on base's grid; gaps of the result are held."""
+    """base - other on base's grid; unknown differences hold the last known one, and a head without one stays null.
+
+    ``fill`` says what ``other`` is where it has no value: the last one
+    (``ffill``), the next one (``bfill``), or the line between both, which
+    holds the last value at the end (``interpolate``).
+    """
     keys = list(keys)
+    if fill not in ("ffill", "bfill", "interpolate"):
+        raise ValueError(f"unknown fill {fill!r}")
     d = base.select(*keys, ts, F.col(value).alias("__b")).join(
         other.select(*keys, ts, F.col(value).alias("__o")), [*keys, ts], "left"
     )
+    point = F.when(F.col("__o").isNotNull(), F.struct(epoch(ts).alias("t"), F.col("__o").alias("v")))
+    sides = {"ffill": ["__p"], "bfill": ["__q"], "interpolate": ["__p", "__q"]}[fill]
+    d = running(d, keys, [ts], [Scan(name, "last", point, backward=name == "__q") for name in sides])
     if fill == "interpolate":
-        d = fill_linear(d, keys, seconds, gap_max_minutes=10**9, value="__o", ts=ts)
-    elif fill in ("ffill", "bfill"):
-        d = fill_hold(d, keys, value="__o", ts=ts)
+        p, q, t = F.col("__p"), F.col("__q"), epoch(ts)
+        line = p["v"] + (q["v"] - p["v"]) * (t - p["t"]) / (q["t"] - p["t"])
+        filled = F.when(p.isNull() | q.isNull() | (p["t"] == q["t"]), p["v"]).otherwise(line)
     else:
-        raise ValueError(f"unknown fill {fill!r}")
-    d = d.withColumn(value, F.col("__b") - F.col("__o")).drop("__b", "__o")
-    return fill_hold(d, keys, value=value, ts=ts)
+        filled = F.col(sides[0])["v"]
+    d = d.withColumn("__d", F.col("__b") - filled).drop("__b", "__o", *sides)
+    return running(d, keys, [ts], [Scan(value, "last", F.col("__d"))]).drop("__d")
 
 
 def aligned_sensors(load: DataFrame, sensors: DataFrame, config: DataFrame, keys, ts: str = "grid_ts",
@@ -54,10 +64,14 @@ def load_subtract(load: DataFrame, sensors: DataFrame, config: DataFrame, keys,
                   value: str = "y", clip: bool = True) -> DataFrame:
     """Net load per cell: (load, total_sub, raw_net, net, clipped).
 
-    A silent sensor counts as zero, or removes the cell when its policy is ``drop``.
+    A silent sensor counts as zero (policy ``zero``), removes the cell (``drop``)
+    or fails the job (``error``); a policy of any other name fails it as well.
     """
     keys = list(keys)
     per = aligned_sensors(load, sensors, config, keys, ts, value)
+    where = F.concat(F.lit("sensor "), F.col("entity_id"), F.lit(" is silent at "), F.col(ts).cast("string"), F.lit(", policy "), F.coalesce("on_missing", F.lit("null")))
+    silent = F.when(F.col("sub").isNull() & ~F.coalesce(F.col("on_missing").isin("zero", "drop"), F.lit(False)), F.raise_error(where))
+    per = per.withColumn("sub", F.coalesce(silent.cast("double"), F.col("sub")))
     totals = per.groupBy(*keys, ts).agg(
         F.sum(F.coalesce("sub", F.lit(0.0))).alias("total_sub"),
         F.max(F.col("sub").isNull() & (F.col("on_missing") == "drop")).alias("__drop"),
@@ -90,10 +104,13 @@ def subtract_guard(load: DataFrame, sensors: DataFrame, config: DataFrame, keys,
 
 
 def enforce_guard(guard: DataFrame) -> None:
-    """Raise for the first few violations and for sensors that must not be silent."""
-    bad = guard.filter("violated").limit(5).collect()
-    if bad:
-        raise SubtractError("; ".join(f"{r['entity_id']}: {r['violation_pct']:.2f}% of rows" for r in bad))
+    """Raise for violations: the message names five sensors and counts the others."""
+    bad = guard.filter("violated")
+    some = bad.limit(5).collect()
+    if some:
+        more = bad.count() - len(some)
+        named = "; ".join(f"{r['entity_id']}: {r['violation_pct']:.2f}% of rows" for r in some)
+        raise SubtractError(named + (f"; and {more} more" if more else ""))
 
 
 def carry_deficit(df: DataFrame, keys, raw: str = "raw_net", ts: str = "grid_ts", tz: str | None = None,

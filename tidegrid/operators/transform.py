@@ -192,10 +192,12 @@ def ma_decompose(df: DataFrame, keys, seconds: int, half: int = 12, value: str =
     return d.withColumn("remainder", F.col(value) - F.col("trend"))
 
 
-def psi_drift(train: DataFrame, test: DataFrame, keys, value: str = "y") -> DataFrame:
+def psi_drift(train: DataFrame, test: DataFrame, keys, value: str = "y", min_train: int = 20, min_test: int = 5) -> DataFrame:
     """Population stability between two windows on the training deciles.
 
-    Values outside the training range are ignored; equal edges collapse.
+    Values outside the training range are ignored; equal edges collapse. Series
+    with fewer than ``min_train`` or ``min_test`` values in a window (or none at
+    all) come back with a null psi and the verdict ``insufficient``.
     """
     keys = list(keys)
     names = {f"q{i}": i / 10 for i in range(11)}
@@ -227,11 +229,12 @@ def psi_drift(train: DataFrame, test: DataFrame, keys, value: str = "y") -> Data
     psi = full.withColumns({"__p": p, "__r": r}).groupBy(*keys).agg(
         F.sum((F.col("__r") - F.col("__p")) * F.ln(F.col("__r") / F.col("__p"))).alias("psi")
     )
-    out = edges.drop("edges").join(tq, keys).join(stats(train, "train"), keys).join(stats(test, "test"), keys)
-    out = out.join(psi, keys, "left").fillna(0.0, ["psi"]).filter((F.col("train_n") >= 20) & (F.col("test_n") >= 5))
-    return out.withColumn(
+    out = stats(train, "train").join(stats(test, "test"), keys, "full").join(edges.drop("edges"), keys, "left").join(tq, keys, "left")
+    out = out.join(psi, keys, "left").fillna(0, ["train_n", "test_n"])
+    enough = (F.col("train_n") >= min_train) & (F.col("test_n") >= min_test)
+    return out.withColumn("psi", F.when(enough, F.coalesce("psi", F.lit(0.0)))).withColumn(
         "verdict",
-        F.when(F.col("psi") < PSI_MODERATE, "stable").when(F.col("psi") < PSI_SIGNIFICANT, "moderate shift").otherwise("significant shift"),
+        F.when(~enough, "insufficient").when(F.col("psi") < PSI_MODERATE, "stable").when(F.col("psi") < PSI_SIGNIFICANT, "moderate shift").otherwise("significant shift"),
     )
 
 

@@ -275,13 +275,44 @@ def _carried(spark, sf):
     return ls.carry_deficit(_net(spark, sf).drop("net"), K)
 
 
-@query("LS1_subtract_series", """SELECT l.series_id, l.grid_ts, l.y - coalesce(last_value(s.y IGNORE NULLS) OVER w,
-first_value(s.y IGNORE NULLS) OVER (PARTITION BY l.series_id ORDER BY l.grid_ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS y
-FROM load6 l LEFT JOIN (SELECT * FROM sub_load WHERE entity_id = 'click') s ON s.series_id = l.series_id AND s.grid_ts = l.grid_ts
-WINDOW w AS (PARTITION BY l.series_id ORDER BY l.grid_ts ROWS UNBOUNDED PRECEDING)""", "load6 sub_load")
-def _(spark, sf):
+cte("click_pair", """SELECT l.series_id, l.grid_ts, l.y AS b, s.y AS o FROM load6 l LEFT JOIN (SELECT * FROM sub_load WHERE entity_id = 'click') s
+ON s.series_id = l.series_id AND s.grid_ts = l.grid_ts""", "load6 sub_load")
+HELD = """SELECT series_id, grid_ts, last_value(d IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY grid_ts ROWS UNBOUNDED PRECEDING) AS y FROM
+(SELECT series_id, grid_ts, {} AS d FROM {} WINDOW p AS (PARTITION BY series_id ORDER BY grid_ts ROWS UNBOUNDED PRECEDING),
+q AS (PARTITION BY series_id ORDER BY grid_ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+
+
+def _minus_click(spark, sf, fill):
     load, sensors, _ = _net_inputs(spark, sf)
-    return ls.subtract_series(load, sensors.filter("entity_id = 'click'").drop("entity_id"), K, i.SIX)
+    d = ls.subtract_series(load, sensors.filter("entity_id = 'click'").drop("entity_id"), K, i.SIX, fill)
+    return d.withColumn("y", F.round("y", 6)) if fill == "interpolate" else d
+
+
+@query("LS1_subtract_series", HELD.format("b - last_value(o IGNORE NULLS) OVER p", "click_pair"), "click_pair")
+def _(spark, sf):
+    return _minus_click(spark, sf, "ffill")
+
+
+@query("LS1_subtract_next", HELD.format("b - first_value(o IGNORE NULLS) OVER q", "click_pair"), "click_pair")
+def _(spark, sf):
+    return _minus_click(spark, sf, "bfill")
+
+
+@query("LS1_subtract_line", "SELECT series_id, grid_ts, round(y, 6) AS y FROM (" + HELD.format(
+    "b - CASE WHEN q0 IS NULL OR pt = qt THEN p0 ELSE p0 + (q0 - p0) * (epoch(grid_ts) - pt) / (qt - pt) END", """(SELECT *,
+last_value(o IGNORE NULLS) OVER p AS p0, last_value(CASE WHEN o IS NOT NULL THEN epoch(grid_ts) END IGNORE NULLS) OVER p AS pt,
+first_value(o IGNORE NULLS) OVER q AS q0, first_value(CASE WHEN o IS NOT NULL THEN epoch(grid_ts) END IGNORE NULLS) OVER q AS qt FROM click_pair
+WINDOW p AS (PARTITION BY series_id ORDER BY grid_ts ROWS UNBOUNDED PRECEDING),
+q AS (PARTITION BY series_id ORDER BY grid_ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""") + ")", "click_pair")
+def _(spark, sf):
+    return _minus_click(spark, sf, "interpolate")
+
+
+@query("LS2_load_subtract_drop", """SELECT series_id, grid_ts, any_value(load) AS load, sum(sub) AS total_sub, any_value(load) - sum(sub) AS raw_net,
+greatest(any_value(load) - sum(sub), 0) AS net, any_value(load) - sum(sub) < 0 AS clipped FROM aligned GROUP BY 1, 2 HAVING count(sub) = count(*)""", "aligned")
+def _(spark, sf):
+    load, sensors, config = _net_inputs(spark, sf)
+    return ls.load_subtract(load, sensors, config.withColumn("on_missing", F.lit("drop")), K)
 
 
 @query("LS2_load_subtract", """SELECT series_id, grid_ts, load, total_sub, raw_net, greatest(raw_net, 0) AS net,

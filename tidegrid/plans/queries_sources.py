@@ -423,9 +423,10 @@ c AS (SELECT v.series_id, least(len(list_filter(e, lambda x: x <= y)), len(e) -
 f AS (SELECT s.series_id, s.slot, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb FROM (SELECT series_id, unnest(generate_series(1, len(e) - 1)) AS slot FROM q WHERE len(e) >= 3) s LEFT JOIN c ON c.series_id = s.series_id AND c.slot = s.slot),
 p AS (SELECT series_id, greatest(na / greatest(sum(na) OVER (PARTITION BY series_id), 1), 1e-4) AS pa, greatest(nb / greatest(sum(nb) OVER (PARTITION BY series_id), 1), 1e-4) AS pb FROM f),
 z AS (SELECT series_id, sum((pb - pa) * ln(pb / pa)) AS psi FROM p GROUP BY 1)
-SELECT series_id, train_n, test_n, round(train_p10, 4) AS train_p10, round(train_p90, 4) AS train_p90, round(test_p10, 4) AS test_p10, round(test_p90, 4) AS test_p90, round(train_mean, 4) AS train_mean, round(train_std, 4) AS train_std,
-round(test_mean, 4) AS test_mean, round(test_std, 4) AS test_std, round(coalesce(psi, 0), 4) AS psi, CASE WHEN coalesce(psi, 0) < 0.1 THEN 'stable' WHEN psi < 0.2 THEN 'moderate shift' ELSE 'significant shift' END AS verdict
-FROM q JOIN t USING (series_id) LEFT JOIN z USING (series_id) WHERE train_n >= 20 AND test_n >= 5""", "load6")
+SELECT series_id, coalesce(train_n, 0) AS train_n, coalesce(test_n, 0) AS test_n, round(train_p10, 4) AS train_p10, round(train_p90, 4) AS train_p90, round(test_p10, 4) AS test_p10, round(test_p90, 4) AS test_p90, round(train_mean, 4) AS train_mean, round(train_std, 4) AS train_std,
+round(test_mean, 4) AS test_mean, round(test_std, 4) AS test_std, CASE WHEN train_n >= 20 AND test_n >= 5 THEN round(coalesce(psi, 0), 4) END AS psi, CASE WHEN NOT coalesce(train_n >= 20 AND test_n >= 5, false) THEN 'insufficient'
+WHEN coalesce(psi, 0) < 0.1 THEN 'stable' WHEN psi < 0.2 THEN 'moderate shift' ELSE 'significant shift' END AS verdict
+FROM q FULL JOIN t USING (series_id) LEFT JOIN z USING (series_id)""", "load6")
 def _(spark, sf):
     d = i.load6(spark, sf)
     out = tr.psi_drift(d.filter("grid_ts < timestamp_ntz'2024-01-15'"), d.filter("grid_ts >= timestamp_ntz'2024-01-22'"), K)

@@ -1,7 +1,7 @@
 """Streaming jobs run to completion over the given tables.
 
-An append-mode window is emitted once the watermark has passed it; the SQL
-twins therefore stop at the newest event time less the delay.
+An append-mode window is emitted once the watermark has passed it. Jobs over
+windows therefore read a table that ends with a mark later than all events.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from tidegrid.session import table
 from tidegrid.streaming import jobs as st
 
 K = ["series_id"]
-STOP = "(SELECT max(ts) FROM events) - INTERVAL '1 hour'"
 
 
 def _events(spark, sf):
@@ -24,6 +23,15 @@ def _events(spark, sf):
     return e.select(F.col("event_type").alias("series_id"), "ts", "value", "event_id")
 
 
+def _closed(spark, sf):
+    """The events in order of time, then the end mark, several files a batch."""
+    src = st.new_folder(spark, "closed")
+    e = st.event_time(table(spark, sf, "events")).select(F.col("event_type").alias("series_id"), "ts", "value", "event_id")
+    e.repartitionByRange(8, "ts").write.parquet(src)
+    st.append_end(spark, src, "series_id", "2 days")
+    return st.read_files(spark, src, spark.read.parquet(src).schema, per_batch=8)
+
+
 def _done(spark, stream, name, mode="append"):
     out = st.new_folder(spark, name)
     st.run_available(stream, out, mode)
@@ -33,21 +41,22 @@ def _done(spark, stream, name, mode="append"):
 
 @query("ST1_first_write_wins", "SELECT series_id, date_trunc('hour', ts) AS ts, count(*) AS n FROM (SELECT DISTINCT series_id, date_trunc('hour', ts) AS ts FROM obs) GROUP BY 1, 2", "obs")
 def _(spark, sf):
-    hourly = _events(spark, sf).withColumn("ts", F.date_trunc("hour", "ts"))
-    d = _done(spark, st.first_write_wins(hourly, K).select(*K, "ts", "value"), "first")
+    hourly, out = _events(spark, sf).withColumn("ts", F.date_trunc("hour", "ts")), st.new_folder(spark, "first")
+    st.run_available(hourly.select(*K, "ts", "value"), out, foreach=st.first_write_wins(out, K))
+    d = st.result(spark, out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     return d.groupBy(*K, "ts").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ST2_tumbling", f"SELECT series_id, time_bucket(INTERVAL '30 minutes', ts) AS grid_ts, round(sum(value), 4) AS sum_y, round(avg(value), 6) AS mean_y, count(*) AS n FROM obs GROUP BY 1, 2 HAVING time_bucket(INTERVAL '30 minutes', ts) + INTERVAL '30 minutes' <= {STOP}", "obs")
+@query("ST2_tumbling", "SELECT series_id, time_bucket(INTERVAL '30 minutes', ts) AS grid_ts, round(sum(value), 4) AS sum_y, round(avg(value), 6) AS mean_y, count(*) AS n FROM obs GROUP BY 1, 2", "obs")
 def _(spark, sf):
-    d = _done(spark, st.tumbling(_events(spark, sf), K, "30 minutes"), "tumbling")
+    d = _done(spark, st.tumbling(_closed(spark, sf), K, "30 minutes"), "tumbling")
     return d.withColumn("sum_y", F.round("sum_y", 4)).withColumn("mean_y", F.round("mean_y", 6))
 
 
-@query("ST3_sliding", f"""SELECT series_id, e AS grid_ts, round(avg(value), 6) AS mean_y, max(value) AS max_y, round(stddev_samp(value), 5) AS std_y, count(*) AS n FROM
-(SELECT series_id, value, unnest(generate_series(time_bucket(INTERVAL '30 minutes', ts) + INTERVAL '30 minutes', time_bucket(INTERVAL '30 minutes', ts) + INTERVAL '3 hours', INTERVAL '30 minutes')) AS e FROM obs) WHERE e <= {STOP} GROUP BY 1, 2""", "obs")
+@query("ST3_sliding", """SELECT series_id, e AS grid_ts, round(avg(value), 6) AS mean_y, max(value) AS max_y, round(stddev_samp(value), 5) AS std_y, count(*) AS n FROM
+(SELECT series_id, value, unnest(generate_series(time_bucket(INTERVAL '30 minutes', ts) + INTERVAL '30 minutes', time_bucket(INTERVAL '30 minutes', ts) + INTERVAL '3 hours', INTERVAL '30 minutes')) AS e FROM obs) GROUP BY 1, 2""", "obs")
 def _(spark, sf):
-    d = _done(spark, st.sliding(_events(spark, sf), K, "3 hours", "30 minutes"), "sliding")
+    d = _done(spark, st.sliding(_closed(spark, sf), K, "3 hours", "30 minutes"), "sliding")
     return d.withColumn("mean_y", F.round("mean_y", 6)).withColumn("std_y", F.round("std_y", 5))
 
 
@@ -72,10 +81,10 @@ def _(spark, sf):
     return d.groupBy("experiment", "source").agg(F.count_distinct("issued_at").alias("kept"))
 
 
-@query("ST6_silence_sessions", f"""SELECT series_id, min(ts) AS started, max(ts) + INTERVAL '2 hours' AS silent_from, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM
-(SELECT series_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY series_id ORDER BY ts) < INTERVAL '2 hours' THEN 0 ELSE 1 END AS b FROM obs)) GROUP BY series_id, s HAVING max(ts) + INTERVAL '2 hours' <= {STOP}""", "obs")
+@query("ST6_silence_sessions", """SELECT series_id, min(ts) AS started, max(ts) + INTERVAL '2 hours' AS silent_from, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM
+(SELECT series_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY series_id ORDER BY ts) < INTERVAL '2 hours' THEN 0 ELSE 1 END AS b FROM obs)) GROUP BY series_id, s""", "obs")
 def _(spark, sf):
-    return _done(spark, st.sessions(_events(spark, sf), K, "2 hours"), "sessions")
+    return _done(spark, st.sessions(_closed(spark, sf), K, "2 hours"), "sessions")
 
 
 @query("ST6_silent_series")
@@ -104,8 +113,8 @@ def _(spark, sf):
     late = F.col("event_id") % 3 == 0
     o = i.obs_type(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     for part in (o.filter(~late), o.filter(late)):
-        part.coalesce(1).write.mode("append").parquet(src)
-    s = st.read_files(spark, src, spark.read.parquet(src).schema, per_batch=1)
+        part.repartitionByRange(8, "ts").write.mode("append").parquet(src)
+    s = st.read_files(spark, src, spark.read.parquet(src).schema, per_batch=8)
 
     def bins(raw):
         return raw.groupBy(*K, time_bin("ts", 1800).alias("grid_ts"), "day").agg(F.sum(F.round(F.col("value") * 100)).alias("value"))

@@ -41,8 +41,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (local tests) a temporary folder of this machine is used.
+    A cluster names it in ``spark.checkpoint.dir``; without it a job there fails.
+    Only a local master falls back to a temporary folder of this machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -50,6 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     created = tempfile.mkdtemp(prefix="tidegrid-")
     spark.sparkContext.setCheckpointDir(created)
     return created

@@ -47,9 +47,39 @@ def result(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(os.path.join(out, "data"))
 
 
-def first_write_wins(stream: DataFrame, keys, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Ingest that keeps the first row of a key; late rows are accepted while their key is unseen."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([*keys, ts])
+def first_write_wins(out: str, keys, ts: str = "ts") -> Callable[[DataFrame, int], None]:
+    """foreachBatch: of each (keys, ts) the row that came first stays, however late it is.
+
+    A batch is checked against the keys stored by earlier batches, restricted to
+    the days it touches; its rows go to a folder of its own, so a replay
+    overwrites. Of equal keys within a batch, one is taken.
+    """
+    key = [*keys, ts]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.dropDuplicates(key).withColumn("day", F.to_date(ts))
+        if batch_id:
+            days = rows.select("day").distinct()
+            stored = result(spark, out).filter(F.col("batch_id") < batch_id).join(days, "day", "left_semi")
+            held = stored.select(*[F.col(k).alias(f"__{k}") for k in key])
+            match = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
+            rows = rows.join(held, match, "left_anti")
+        rows.write.mode("overwrite").partitionBy("day").parquet(os.path.join(out, "data", f"batch_id={batch_id}"))
+
+    return write
+
+
+END = "end of stream"
+
+
+def append_end(spark: SparkSession, path: str, key: str, after: str, ts: str = "ts") -> None:
+    """Add a reading of the made-up series ``END`` later than all others, so that the watermark passes every open window.
+    Its own window stays open and is never given out."""
+    d = spark.read.parquet(path)
+    last = d.agg(F.max(ts).alias(ts)).select((F.col(ts) + F.expr(f"interval {after}")).alias(ts), F.lit(END).alias(key))
+    others = [F.lit(None).cast(f.dataType).alias(f.name) for f in d.schema if f.name not in (ts, key)]
+    last.select(ts, key, *others).select(*d.columns).write.mode("append").parquet(path)
 
 
 def tumbling(stream: DataFrame, keys, width: str, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -72,7 +102,8 @@ def _decode(key, batches: Iterator[pd.DataFrame], state: GroupState, interval_mi
     for ts, v in zip(rows["ts"], rows["value"]):
         at = ts.value // 1000
         if seen is not None and at <= seen:
-            continue  # older than what has been scored already
+            out.append((*key, ts, v, None))  # older than what has been scored already: kept, without a use of its own
+            continue
         use = 0.0
         if prev is None:
             high = v
@@ -88,11 +119,12 @@ def _decode(key, batches: Iterator[pd.DataFrame], state: GroupState, interval_mi
         prev, seen = v, at
     if seen is not None:
         state.update((float(prev), float(high), int(seen)))
-    yield pd.DataFrame(out, columns=["series_id", "ts", "value", "use"])
+    yield pd.DataFrame(out, columns=["series_id", "ts", "value", "use"]).astype({"use": "float64"})
 
 
 def decode_counter(stream: DataFrame, interval_minutes: int, cap: float, reset_daily: bool = False) -> DataFrame:
-    """Use per reading above the running high, with a fixed cap; state is three numbers per series."""
+    """Use per reading above the running high, with a fixed cap; state is three numbers per series. A reading that comes after a
+    later one has been scored gets a null use."""
     def fn(key, batches, state):
         return _decode(key, batches, state, interval_minutes, cap, reset_daily)
 
