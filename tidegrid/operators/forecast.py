@@ -29,9 +29,10 @@ from tidegrid.session import cut_lineage
 
 # Fixed values of the daily profile.
 LEVEL_DAYS, LEVEL_HALF_LIFE, SCALE_CLIP = 7, 3.0, 4.0
-SEASONS_KEPT = 4
+# Cells of a series that one task folds.
+STRETCH_CELLS = 1024
 # Fixed values of the ablation rules (percent).
-REMOVE_ALL_WORSE, REMOVE_ALL_BETTER, HELPS, HELPS_AVG = 5.0, -3.0, 2.0, 3.0
+WORSE_WITHOUT_ALL, BETTER_WITHOUT_ALL, MATTERS, KEEP_AVERAGE, REMOVE_AVERAGE = 5.0, -3.0, 2.0, 3.0, -2.0
 
 
 def future_cells(grid: DataFrame, keys, seconds: int, horizon: int) -> DataFrame:
@@ -149,28 +150,36 @@ def regressor(kind: str = "gbt", loss: str = "mse", nonneg: bool = True, seed: i
                         **{"maxIter": 20, "maxDepth": 4, **cols, **params})
 
 
-def training_frame(grid: DataFrame, keys, interval_minutes: int, lags: list[int], valid_share: float = 0.2) -> DataFrame:
-    """Lag and slot features pooled over all series; the newest share of each series is the validation part."""
+def training_frame(grid: DataFrame, keys, interval_minutes: int, lags: list[int], valid_share: float = 0.2, test_share: float = 0.0) -> DataFrame:
+    """Lag and slot features pooled over all series. The newest ``test_share`` of each series is for scoring only, the
+    ``valid_share`` before it is the validation part."""
     d = target_features(grid, keys, interval_minutes, max(lags), [max(2, min(lags[-1], 4))])
     feats = [f"y_lag_{k}" for k in lags]
     d = d.withColumn("hour", F.hour("grid_ts").cast("double")).filter(F.col("y").isNotNull())
     d = d.filter(F.col(f"y_lag_{max(lags)}").isNotNull())
     span = d.groupBy(*keys).agg(F.min(epoch("grid_ts")).alias("__a"), F.max(epoch("grid_ts")).alias("__z"))
-    d = d.join(span, list(keys)).withColumn("is_valid", epoch("grid_ts") > F.col("__z") - (F.col("__z") - F.col("__a")) * valid_share)
+    age = (F.col("__z") - epoch("grid_ts")) / F.greatest(F.col("__z") - F.col("__a"), F.lit(1))
+    d = d.join(span, list(keys)).withColumns({"is_test": age < test_share, "is_valid": (age >= test_share) & (age < test_share + valid_share)})
     d = d.withColumn("label", F.col("y").cast("double"))
-    return VectorAssembler(inputCols=[*feats, "hour"], outputCol="features").transform(d.select(*keys, "grid_ts", "label", "is_valid", *feats, "hour"))
+    return VectorAssembler(inputCols=[*feats, "hour"], outputCol="features").transform(d.select(*keys, "grid_ts", "label", "is_valid", "is_test", *feats, "hour"))
 
 
-def fit_pooled(train: DataFrame, kind: str = "gbt", loss: str = "mse", nonneg: bool = True, **params):
-    """One model for the fleet; tree growing and gradients run on all executors."""
-    est = regressor(kind, loss, nonneg, **params)
-    rows = train if kind == "gbt" and loss in ("mse", "mae") else train.filter("not is_valid")
-    return est.fit(rows)
+def fit_pooled(train: DataFrame, kind: str = "gbt", loss: str = "mse", **params):
+    """One model for the fleet; tree growing and gradients run on all executors.
+
+    Test rows are never seen. A Tweedie loss gives way to Huber if the training
+    labels hold a negative value.
+    """
+    rows = train.filter("not is_test")
+    if not (kind == "gbt" and loss in ("mse", "mae")):
+        rows = rows.filter("not is_valid")
+    signed = loss == "tweedie" and (rows.agg(F.min("label")).first()[0] or 0.0) < 0
+    return regressor(kind, loss, not signed, **params).fit(rows)
 
 
 def bias_corrected(model, train: DataFrame) -> DataFrame:
     """Level factor of a log-link fit over the training rows."""
-    d = model.transform(train.filter("not is_valid")).withColumn("__all", F.lit(0))
+    d = model.transform(train.filter("not is_valid and not is_test")).withColumn("__all", F.lit(0))
     return level_scale(d, ["__all"], "label", "prediction").drop("__all")
 
 
@@ -185,10 +194,13 @@ def recursive_forecast(model, grid: DataFrame, keys, seconds: int, horizon: int,
     """Roll a one-step model forward, feeding its predictions back.
 
     The loop runs over leads, each step for the whole fleet; a buffer column
-    holds the last max(lag) values. The plan is cut now and then.
+    holds the last max(lag) values. The plan is cut now and then. Series shorter
+    than the longest lag come back with null predictions and status ``short``.
     """
     need = max(lags)
-    d = tail_array(grid, keys, seconds, need).filter(F.size("tail") == need).withColumn("out", F.array().cast("array<double>"))
+    tails = tail_array(grid, keys, seconds, need).filter(F.size("tail") == need)
+    short = future_cells(grid, keys, seconds, horizon).join(tails.select(*keys), list(keys), "left_anti")
+    d = tails.withColumn("out", F.array().cast("array<double>"))
     names = [f"y_lag_{k}" for k in lags]
     va = VectorAssembler(inputCols=[*names, "hour"], outputCol="features")
     for h in range(1, horizon + 1):
@@ -202,8 +214,9 @@ def recursive_forecast(model, grid: DataFrame, keys, seconds: int, horizon: int,
         if h % checkpoint_every == 0 and h < horizon:
             d = cut_lineage(d)
     d = d.select(*keys, "issued_at", F.posexplode("out").alias("__p", "pred"))
-    return d.select(
-        *keys, "issued_at", from_epoch(epoch("issued_at") + (F.col("__p") + 1) * seconds).alias("target_dt"), (F.col("__p") + 1).cast("long").alias("lead"), "pred")
+    done = d.select(
+        *keys, "issued_at", from_epoch(epoch("issued_at") + (F.col("__p") + 1) * seconds).alias("target_dt"), (F.col("__p") + 1).cast("long").alias("lead"), "pred", F.lit("ok").alias("status"))
+    return done.unionByName(short.select(*keys, "issued_at", "target_dt", "lead", F.lit(None).cast("double").alias("pred"), F.lit("short").alias("status")))
 
 
 def direct_linear(windows: DataFrame, horizon: int) -> dict[int, LinearRegressionModel]:
@@ -218,63 +231,109 @@ def direct_linear(windows: DataFrame, horizon: int) -> dict[int, LinearRegressio
 
 
 def direct_forecast(models: dict[int, LinearRegressionModel], window: DataFrame, keys, seconds: int) -> DataFrame:
-    d = window.withColumn("__x", F.transform("past", lambda c: c[0])).withColumn("__last", F.element_at("__x", -1))
+    """One row per lead. Windows shorter than the models ask for come back with null predictions and status ``short``."""
+    need = next(iter(models.values())).numFeatures
+    whole = F.size("past") == need
+    leads = window.filter(~F.coalesce(whole, F.lit(False))).withColumn("lead", F.explode(F.array(*[F.lit(h).cast("long") for h in models])))
+    short = leads.select(*keys, F.col("anchor").alias("issued_at"), from_epoch(epoch("anchor") + F.col("lead") * seconds).alias("target_dt"), "lead",
+                         F.lit(None).cast("double").alias("pred"), F.lit("short").alias("status"))
+    d = window.filter(whole)
+    d = d.withColumn("__x", F.transform("past", lambda c: c[0])).withColumn("__last", F.element_at("__x", -1))
     d = d.withColumn("features", array_to_vector(F.transform("__x", lambda v: v - F.col("__last"))))
     out = None
     for h, m in models.items():
         one = m.transform(d).select(
             *keys, F.col("anchor").alias("issued_at"), from_epoch(epoch("anchor") + h * seconds).alias("target_dt"),
-            F.lit(h).cast("long").alias("lead"), (F.col("prediction") + F.col("__last")).alias("pred"))
+            F.lit(h).cast("long").alias("lead"), (F.col("prediction") + F.col("__last")).alias("pred"), F.lit("ok").alias("status"))
         out = one if out is None else out.unionByName(one)
-    return out
+    return out.unionByName(short)
 
 
-def _smoothed(alpha: float) -> Column:
-    """struct(sse, alpha, level) of one factor over ``tail``."""
-    def step(s, x):
-        e = x - s["l"]
-        return F.struct((s["l"] + alpha * e).alias("l"), (s["e"] + e * e).alias("e"))
+def _stretch_fold(cells: Column, alpha: float) -> Column:
+    """What one stretch does to the level L it starts from: the level becomes a L + b, and the squared one-step errors add up to
+    uu - 2 L ua + L L aa."""
+    def step(s, y):
+        u = y - s["b"]
+        return F.struct(
+            (s["a"] * (1 - alpha)).alias("a"), (s["b"] + alpha * u).alias("b"), (s["uu"] + u * u).alias("uu"),
+            (s["ua"] + u * s["a"]).alias("ua"), (s["aa"] + s["a"] * s["a"]).alias("aa"))
 
-    start = F.struct(F.element_at("tail", 1).alias("l"), F.lit(0.0).alias("e"))
-    fold = F.aggregate(F.slice("tail", F.lit(2), F.greatest(F.size("tail") - 1, F.lit(0))), start, step)
-    return F.struct(fold["e"].alias("sse"), F.lit(alpha).alias("alpha"), fold["l"].alias("level"))
+    start = F.struct(*[F.lit(v).alias(n) for n, v in (("a", 1.0), ("b", 0.0), ("uu", 0.0), ("ua", 0.0), ("aa", 0.0))])
+    return F.aggregate(cells, start, step)
 
 
-def exponential_smoothing(grid: DataFrame, keys, seconds: int, horizon: int, alphas: list[float], period: int, theta: bool = False) -> DataFrame:
-    """Simple smoothing with the best of some fixed factors; ``theta`` adds half the linear drift.
+def exponential_smoothing(grid: DataFrame, keys, seconds: int, horizon: int, alphas: list[float], theta: bool = False, stretch: int = STRETCH_CELLS) -> DataFrame:
+    """Simple smoothing over the whole history with the best of some fixed factors; ``theta`` adds half the linear drift.
 
-    Looks at the last 4 seasons (at least 4 days) only, so the folded array is short.
+    Smoothing is a linear recurrence, so each stretch of cells folds by itself
+    and a series is a short list of stretches. Gaps hold the value before them.
     """
-    n = max(SEASONS_KEPT * period, SEASONS_KEPT * max(1, 86400 // seconds))
-    t = tail_array(grid, keys, seconds, n)
-    fits = [_smoothed(a) for a in alphas]
-    t = t.withColumn("__best", F.array_min(F.array(*fits)))
-    if theta:
-        k = F.size("tail")
-        sx = k * (k - 1) / 2.0
-        sxx = (k - 1) * k * (2 * k - 1) / 6.0
-        idx = F.transform("tail", lambda x, i: F.struct(i.cast("double").alias("i"), x.alias("x")))
-        sy = F.aggregate(idx, F.lit(0.0), lambda a, e: a + e["x"])
-        sxy = F.aggregate(idx, F.lit(0.0), lambda a, e: a + e["i"] * e["x"])
-        slope = F.when(k > 1, (k * sxy - sx * sy) / (k * sxx - sx * sx)).otherwise(F.lit(0.0))
-    else:
-        slope = F.lit(0.0)
-    t = t.withColumn("__slope", slope)
-    d = t.withColumn("lead", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(horizon).cast("long"))))
+    keys = list(keys)
+    span = grid.groupBy(*keys).agg(F.min(epoch("grid_ts")).alias("__a"), F.max("grid_ts").alias("issued_at"))
+    d = fill_hold(grid.select(*keys, "grid_ts", "y"), keys).filter(F.col("y").isNotNull()).join(span, keys)
+    d = d.withColumn("__i", (epoch("grid_ts") - F.col("__a")) / seconds).withColumn("__y", F.col("y").cast("double"))
+    parts = d.groupBy(*keys, F.floor(F.col("__i") / stretch).alias("__c")).agg(F.sort_array(F.collect_list(F.struct("__i", "__y"))).alias("__s"))
+    cells = F.transform("__s", lambda e: e["__y"])
+    parts = parts.select(*keys, "__c", cells[0].alias("__first"), F.array(*[_stretch_fold(cells, a) for a in alphas]).alias("__f"))
+    series = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__c", "__first", "__f"))).alias("__p"))
+
+    def whole(n: int, alpha: float) -> Column:
+        start = F.struct(F.element_at("__p", 1)["__first"].alias("l"), F.lit(0.0).alias("e"))
+
+        def step(s, p):
+            f, level = p["__f"][n], s["l"]
+            return F.struct((f["a"] * level + f["b"]).alias("l"), (s["e"] + f["uu"] - 2 * level * f["ua"] + level * level * f["aa"]).alias("e"))
+
+        end = F.aggregate("__p", start, step)
+        return F.struct(end["e"].alias("sse"), F.lit(alpha).alias("alpha"), end["l"].alias("level"))
+
+    t = series.withColumn("__best", F.array_min(F.array(*[whole(n, a) for n, a in enumerate(alphas)]))).join(span, keys)
+    drift = d.groupBy(*keys).agg(F.coalesce(F.regr_slope("__y", "__i"), F.lit(0.0)).alias("__slope")) if theta else span.select(*keys, F.lit(0.0).alias("__slope"))
+    d = t.join(drift, keys).withColumn("lead", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(horizon).cast("long"))))
     return d.select(
         *keys, "issued_at", from_epoch(epoch("issued_at") + F.col("lead") * seconds).alias("target_dt"), "lead",
         (F.col("__best.level") + 0.5 * F.col("__slope") * F.col("lead")).alias("pred"), F.col("__best.alpha").alias("alpha"))
 
 
-def parameter_search(train: DataFrame, candidates: list[dict], kind: str = "forest") -> DataFrame:
-    """Candidates scored by error on the newest part of every series, best first."""
-    train = cut_lineage(train)
+def parameter_search(folded: DataFrame, candidates: list[dict], kind: str = "forest") -> DataFrame:
+    """Candidates scored on the test rows of every fold of (fold, role, features, label), best mean error first."""
+    folded = cut_lineage(folded)
+    folds = sorted(r[0] for r in folded.select("fold").distinct().collect())  # one small number per fold
     ev = RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName="mae")
     rows = []
     for n, c in enumerate(candidates):
-        model = fit_pooled(train, kind, **c)
-        rows.append((n, str(sorted(c.items())), float(ev.evaluate(model.transform(train.filter("is_valid"))))))
-    return train.sparkSession.createDataFrame(rows, "candidate LONG, params STRING, mae DOUBLE").orderBy("mae", "candidate")
+        for fold in folds:
+            own = folded.filter(F.col("fold") == fold)
+            model = regressor(kind, **c).fit(own.filter("role = 'train'"))
+            rows.append((n, str(sorted(c.items())), fold, float(ev.evaluate(model.transform(own.filter("role = 'test'"))))))
+    scored = folded.sparkSession.createDataFrame(rows, "candidate LONG, params STRING, fold LONG, mae DOUBLE")
+    return scored.groupBy("candidate", "params").agg(F.avg("mae").alias("mae"), F.count("*").alias("n_folds")).orderBy("mae", "candidate")
+
+
+def ablation_errors(folded: DataFrame, keys, base: list[str], covariates: list[str], models: dict[str, Callable], crosses: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Error of every (keys, model, arm), each arm fitted anew on every fold with its own columns only.
+
+    ``folded`` has (keys, fold, role, label) and the columns. Arms are ``all``,
+    ``none`` and ``without_<covariate>``. A cross (name to the two covariates it
+    multiplies) is there only while both of them are. ``models`` gives a fresh
+    estimator over ``features`` and ``label`` for each name.
+    """
+    keys, crosses = list(keys), crosses or {}
+    folded = folded.withColumns({name: F.col(a) * F.col(b) for name, (a, b) in crosses.items()}) if crosses else folded
+    folded = cut_lineage(folded)
+    folds = sorted(r[0] for r in folded.select("fold").distinct().collect())
+    arms = {"all": covariates, "none": [], **{f"without_{c}": [x for x in covariates if x != c] for c in covariates}}
+    out = None
+    for arm, own in arms.items():
+        columns = [*base, *own, *[name for name, pair in crosses.items() if set(pair) <= set(own)]]
+        rows = VectorAssembler(inputCols=columns, outputCol="features").transform(folded)
+        for fold in folds:
+            part = rows.filter(F.col("fold") == fold)
+            for name, fresh in models.items():
+                fitted = fresh().fit(part.filter("role = 'train'"))
+                e = fitted.transform(part.filter("role = 'test'")).select(*keys, F.lit(name).alias("model"), F.lit(arm).alias("arm"), F.abs(F.col("prediction") - F.col("label")).alias("__e"))
+                out = e if out is None else out.unionByName(e)
+    return out.groupBy(*keys, "model", "arm").agg(F.avg("__e").alias("mae"), F.count("*").alias("n"))
 
 
 def ablation_report(arms: DataFrame, keys) -> DataFrame:
@@ -285,13 +344,32 @@ def ablation_report(arms: DataFrame, keys) -> DataFrame:
 
 
 def ablation_advice(report: DataFrame, keys) -> DataFrame:
-    """Per arm over all models: keep what every model needs, remove what makes them better."""
-    d = report.filter(F.col("arm") != "all").groupBy(*keys, "arm").agg(
-        F.count(F.lit(1)).alias("n_models"), F.count_if(F.col("change_pct") > HELPS).alias("n_helps"), F.avg("change_pct").alias("avg_change"))
-    every = (F.col("n_helps") == F.col("n_models")) & (F.col("avg_change") > HELPS_AVG)
-    most = (F.col("n_helps") > F.col("n_models") / 2) & (F.col("avg_change") > HELPS_AVG)
-    rule = F.when(F.col("arm") == "none", F.when(F.col("avg_change") > REMOVE_ALL_WORSE, "keep").when(F.col("avg_change") < REMOVE_ALL_BETTER, "remove").otherwise("neutral"))
-    return d.withColumn("advice", F.coalesce(rule, F.when(every, "keep").when(most, "likely keep").when(F.col("avg_change") < REMOVE_ALL_BETTER, "remove").otherwise("neutral")))
+    """(keys, arm, model, n_models, n_helps, n_hurts, avg_change, advice).
+
+    Arm ``none`` is judged model by model. Each covariate is judged by the
+    models that do not do better without any; fewer than two of them decide
+    nothing (``undecided``), a majority gives ``likely`` advice, all give it
+    plainly.
+    """
+    keys = list(keys)
+    change = F.col("change_pct")
+    none = report.filter("arm = 'none'")
+    verdict = F.when(change > WORSE_WITHOUT_ALL, "keep").when(change < BETTER_WITHOUT_ALL, "remove").otherwise("neutral")
+    alone = none.select(*keys, "arm", "model", F.lit(1).cast("long").alias("n_models"), (change > MATTERS).cast("long").alias("n_helps"), (change < -MATTERS).cast("long").alias("n_hurts"),
+                        change.alias("avg_change"), verdict.alias("advice"))
+    averse = none.filter(change < BETTER_WITHOUT_ALL).select(*keys, "model")
+    d = report.filter("arm not in ('all', 'none')")
+    judges = d.join(averse, [*keys, "model"], "left_anti").filter(change.isNotNull())
+    votes = judges.groupBy(*keys, "arm").agg(
+        F.count("*").alias("n_models"), F.count_if(change > MATTERS).alias("n_helps"), F.count_if(change < -MATTERS).alias("n_hurts"), F.avg("change_pct").alias("avg_change"))
+    votes = d.select(*keys, "arm").distinct().join(votes, [*keys, "arm"], "left").fillna(0, ["n_models", "n_helps", "n_hurts"])
+    n, up, down = F.col("n_models"), (F.col("n_helps"), F.col("avg_change") > KEEP_AVERAGE), (F.col("n_hurts"), F.col("avg_change") < REMOVE_AVERAGE)
+    advice = F.when(n < 2, "undecided")
+    for prefix, enough in (("", lambda k: k == n), ("likely ", lambda k: k > n / 2)):
+        for word, (k, far) in (("keep", up), ("remove", down)):
+            advice = advice.when(enough(k) & far, prefix + word)
+    together = votes.select(*keys, "arm", F.lit(None).cast("string").alias("model"), "n_models", "n_helps", "n_hurts", "avg_change", advice.otherwise("neutral").alias("advice"))
+    return alone.unionByName(together)
 
 
 # ---- publishing --------------------------------------------------------------------------------

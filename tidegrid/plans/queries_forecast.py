@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegrid.functions.pandas_metrics import pandas_metric
-from tidegrid.functions.timecols import shift
+from tidegrid.functions.timecols import shift, time_bin
 from tidegrid.operators import analytics as ag
 from tidegrid.operators import features as wf
 from tidegrid.operators import forecast as fc
+from tidegrid.operators import splits as cv
 from tidegrid.plans import inputs as i
-from tidegrid.plans.queries_eval import _long, predictions
+from tidegrid.plans.queries_eval import predictions
 from tidegrid.plans.registry import cte, query
 from tidegrid.session import cut_lineage
 
@@ -55,12 +56,12 @@ def _(spark, sf):
     return rnd(fc.daily_profile(i.load6(spark, sf), K, i.SIX, 8), pred=4)
 
 
-def _train(spark, sf):
-    return cut_lineage(fc.training_frame(i.load6(spark, sf), K, 360, LAGS))
+def _train(spark, sf, **shares):
+    return cut_lineage(fc.training_frame(i.load6(spark, sf), K, 360, LAGS, **shares))
 
 
-def _model(spark, sf, kind="forest", **p):
-    return fc.fit_pooled(_train(spark, sf), kind, **p)
+def _mae(model, rows):
+    return model.transform(rows).groupBy(*K).agg(F.avg(F.abs(F.col("prediction") - F.col("label"))).alias("mae"))
 
 
 @query("FC6_recursive_forecast")
@@ -71,74 +72,77 @@ def _(spark, sf):
 
 @query("FC7_boosted_trees")
 def _(spark, sf):
-    t = _train(spark, sf)
-    m = fc.fit_pooled(t, "gbt", maxIter=5, maxDepth=3)
-    return rnd(m.transform(t.filter("is_valid")).groupBy(*K).agg(F.avg(F.abs(F.col("prediction") - F.col("label"))).alias("mae")), mae=2)
+    t = _train(spark, sf, test_share=0.2)
+    return rnd(_mae(fc.fit_pooled(t, "gbt"), t.filter("is_test")), mae=2)
 
 
 @query("FC8_loss_choice")
 def _(spark, sf):
-    t = _train(spark, sf).withColumn("label", F.col("label") + 1)
+    t = _train(spark, sf)
     out = None
     for loss in ("mse", "huber", "tweedie"):
-        m = fc.fit_pooled(t, "linear", loss)
-        e = m.transform(t.filter("is_valid")).groupBy(*K).agg(F.avg(F.abs(F.col("prediction") - F.col("label"))).alias("mae")).withColumn("loss", F.lit(loss))
+        e = _mae(fc.fit_pooled(t, "linear", loss), t.filter("is_valid")).withColumn("loss", F.lit(loss))
         out = e if out is None else out.unionByName(e)
     return rnd(out, mae=2)
 
 
 @query("FC9_feature_importance")
 def _(spark, sf):
-    m = _model(spark, sf, "forest", numTrees=5, maxDepth=4)
+    m = fc.fit_pooled(_train(spark, sf), "forest")
     return rnd(fc.feature_importance(m, [f"y_lag_{k}" for k in LAGS] + ["hour"], spark), importance=4)
 
 
 @query("FC10_direct_linear")
 def _(spark, sf):
     d = i.load6(spark, sf)
-    w = cut_lineage(wf.sliding_windows(d, K, i.SIX, ["y"], 8, 4))
-    models = fc.direct_linear(w, 4)
-    last = wf.inference_window(d, K, i.SIX, ["y"], 8).filter(F.size("past") == 8)
-    return rnd(fc.direct_forecast(models, last, K, i.SIX), pred=3)
+    w = cut_lineage(wf.sliding_windows(d, K, i.SIX, ["y"], 8, 8))
+    return rnd(fc.direct_forecast(fc.direct_linear(w, 8), wf.inference_window(d, K, i.SIX, ["y"], 8), K, i.SIX), pred=3)
 
 
-@query("FC11_exponential_smoothing", """WITH t AS (SELECT series_id, y, age, max(age) OVER (PARTITION BY series_id) AS top FROM back WHERE age < 16)
-SELECT a.*, CAST(0.3 AS DOUBLE) AS alpha, round(l, 4) AS pred FROM ahead a JOIN (SELECT series_id, sum(CASE WHEN age = top THEN pow(CAST(0.7 AS DOUBLE), age) ELSE CAST(0.3 AS DOUBLE) * pow(CAST(0.7 AS DOUBLE), age) END * y) AS l FROM t GROUP BY 1) s USING (series_id)""", "ahead back")
-def _(spark, sf):
-    return rnd(fc.exponential_smoothing(i.load6(spark, sf), K, i.SIX, 8, [0.3], 4), pred=4)
+cte("smooth", """SELECT series_id, sum(CASE WHEN age = top THEN pow(CAST(0.7 AS DOUBLE), age) ELSE CAST(0.3 AS DOUBLE) * pow(CAST(0.7 AS DOUBLE), age) END * y) AS l, regr_slope(y, top - age) AS b
+FROM (SELECT *, max(age) OVER (PARTITION BY series_id) AS top FROM back) GROUP BY 1""", "back")
 
 
-@query("FC11_theta", """WITH t AS (SELECT series_id, y, age, max(age) OVER (PARTITION BY series_id) AS top FROM back WHERE age < 16)
-SELECT a.*, CAST(0.3 AS DOUBLE) AS alpha, round(l + 0.5 * b * lead, 4) AS pred FROM ahead a JOIN (SELECT series_id, regr_slope(y, top - age) AS b, sum(CASE WHEN age = top THEN pow(CAST(0.7 AS DOUBLE), age) ELSE CAST(0.3 AS DOUBLE) * pow(CAST(0.7 AS DOUBLE), age) END * y) AS l FROM t GROUP BY 1) s USING (series_id)""", "ahead back")
+@query("FC11_exponential_smoothing", "SELECT a.*, CAST(0.3 AS DOUBLE) AS alpha, round(l, 4) AS pred FROM ahead a JOIN smooth USING (series_id)", "ahead smooth")
 def _(spark, sf):
-    return rnd(fc.exponential_smoothing(i.load6(spark, sf), K, i.SIX, 8, [0.3], 4, theta=True), pred=4)
+    return rnd(fc.exponential_smoothing(i.load6(spark, sf), K, i.SIX, 8, [0.3]), pred=4)
 
 
-@query("FC11_smoothing_grid")
+@query("FC11_theta", "SELECT a.*, CAST(0.3 AS DOUBLE) AS alpha, round(l + 0.5 * coalesce(b, 0) * lead, 4) AS pred FROM ahead a JOIN smooth USING (series_id)", "ahead smooth")
 def _(spark, sf):
-    return rnd(fc.exponential_smoothing(i.load6(spark, sf), K, i.SIX, 8, [0.1, 0.3, 0.5, 0.8], 4), pred=4)
+    return rnd(fc.exponential_smoothing(i.load6(spark, sf), K, i.SIX, 8, [0.3], theta=True), pred=4)
 
 
-@query("FC12_parameter_search")
+@query("FC11_smoothing_grid", """WITH h AS (SELECT series_id, list({'l': CAST(y AS DOUBLE), 'e': CAST(0 AS DOUBLE)} ORDER BY age DESC) AS ys FROM back GROUP BY 1),
+f AS (SELECT series_id, alpha, list_reduce(ys, lambda s, x: {'l': s.l + alpha * (x.l - s.l), 'e': s.e + (x.l - s.l) * (x.l - s.l)}) AS r FROM h, (VALUES (CAST(0.1 AS DOUBLE)), (0.3), (0.5), (0.8)) AS g(alpha)),
+best AS (SELECT series_id, arg_min(alpha, r.e) AS alpha, arg_min(r.l, r.e) AS l FROM f GROUP BY 1)
+SELECT a.*, alpha, round(l, 4) AS pred FROM ahead a JOIN best USING (series_id)""", "ahead back")
 def _(spark, sf):
-    d = fc.parameter_search(_train(spark, sf), [{"numTrees": 3, "maxDepth": 2}, {"numTrees": 3, "maxDepth": 4}])
-    return rnd(d, mae=2)
+    return rnd(fc.exponential_smoothing(i.load6(spark, sf), K, i.SIX, 8, [0.1, 0.3, 0.5, 0.8]), pred=4)
 
 
-cte("arms", "SELECT series_id, model, CASE fold WHEN 0 THEN 'all' WHEN 1 THEN 'none' WHEN 2 THEN 'without_a' END AS arm, value AS mae FROM long_metrics WHERE metric = 'mae' AND fold < 3 AND model IN ('mean', 'profile', 'previous')", "long_metrics")
-cte("arm_report", "SELECT a.*, CASE WHEN b.mae > 0 THEN (a.mae - b.mae) / b.mae * 100 END AS change_pct FROM arms a JOIN arms b ON b.series_id = a.series_id AND b.model = a.model AND b.arm = 'all'", "arms")
+def _folded(spark, sf):
+    """Training rows with their role in each of the CV1 folds."""
+    rows = fc.training_frame(i.load6(spark, sf), K, 360, LAGS, 0.0)
+    numbered = cv.number_rows(rows, K)
+    return cv.assign_folds(numbered, cv.fold_table(numbered.select(*K, "n_rows").distinct(), K), K)
 
 
-def _arms(spark, sf):
-    arm = F.when(F.col("fold") == 0, "all").when(F.col("fold") == 1, "none").when(F.col("fold") == 2, "without_a")
-    d = _long(spark, sf).filter(F.col("model").isin("mean", "profile", "previous") & (F.col("metric") == "mae") & (F.col("fold") < 3))
-    return d.select(*K, "model", arm.alias("arm"), F.col("value").alias("mae"))
+@query("FC12_parameter_search")
+def _(spark, sf):
+    d = fc.parameter_search(_folded(spark, sf), [{"numTrees": 10, "maxDepth": 3}, {"numTrees": 10, "maxDepth": 6}])
+    return rnd(d, mae=2)
 
 
-@query("FC13_covariate_ablation", """SELECT series_id, arm, count(*) AS n_models, count(*) FILTER (WHERE change_pct > 2) AS n_helps, round(avg(change_pct), 4) AS avg_change, CASE WHEN arm = 'none' THEN CASE WHEN avg(change_pct) > 5 THEN 'keep' WHEN avg(change_pct) < -3 THEN 'remove' ELSE 'neutral' END
-WHEN count(*) FILTER (WHERE change_pct > 2) = count(*) AND avg(change_pct) > 3 THEN 'keep' WHEN count(*) FILTER (WHERE change_pct > 2) > count(*) / 2 AND avg(change_pct) > 3 THEN 'likely keep' WHEN avg(change_pct) < -3 THEN 'remove' ELSE 'neutral' END AS advice FROM arm_report WHERE arm <> 'all' GROUP BY 1, 2""", "arm_report")
+@query("FC13_covariate_ablation")
 def _(spark, sf):
-    return rnd(fc.ablation_advice(fc.ablation_report(cut_lineage(_arms(spark, sf)), K), K), avg_change=4)
+    ev = i.table(spark, sf, "events").filter(F.col("event_type").isin("click", "view"))
+    cell = [F.col("user_id").cast("string").alias("series_id"), time_bin("ts", i.SIX).alias("grid_ts")]
+    side = ev.groupBy(*cell).agg(*[F.count_if(F.col("event_type") == c).cast("double").alias(c) for c in ("click", "view")])
+    d = _folded(spark, sf).drop("features").join(side, [*K, "grid_ts"], "left").fillna(0.0, ["click", "view"])
+    models = {"linear": lambda: fc.regressor("linear"), "robust": lambda: fc.regressor("linear", "huber")}
+    arms = fc.ablation_errors(d, K, [f"y_lag_{k}" for k in LAGS] + ["hour"], ["click", "view"], models, {"click_x_view": ("click", "view")})
+    return rnd(fc.ablation_advice(fc.ablation_report(cut_lineage(arms), K), K), avg_change=4)
 
 
 cte("half_q", "SELECT experiment, lead_bucket, CASE WHEN count(*) >= 10 THEN quantile_cont(abs(predicted - actual), 0.8) END AS q FROM won GROUP BY 1, 2", "won")
