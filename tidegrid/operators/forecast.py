@@ -394,14 +394,14 @@ def asymmetric_band(forecast: DataFrame, pairs: DataFrame, level: float = 0.8, n
     ).drop("__lo", "__hi")
 
 
-def cumulative_forecast(forecast: DataFrame, measured_today: DataFrame, tz: str = "UTC", reset_daily: bool = True, keys=("experiment",)) -> DataFrame:
+def cumulative_forecast(forecast: DataFrame, measured_today: DataFrame, tz: str = "UTC", reset_daily: bool = True, keys=("experiment",), by=("model_name",)) -> DataFrame:
     """Running sum per local day, today starting from the measured total; a negative prediction makes it unknown.
 
-    ``measured_today`` holds (keys, day, total).
+    ``measured_today`` holds (keys, day, total); ``by`` tells the forecasts of one key and issue apart.
     """
     keys = list(keys)
     d = forecast.withColumn("day", local_day("target_dt", tz))
-    part = [*keys, "issued_at", "day"] if reset_daily else [*keys, "issued_at"]
+    part = [*keys, *by, "issued_at", *(["day"] if reset_daily else [])]
     w = W.partitionBy(*part).orderBy("target_dt").rowsBetween(W.unboundedPreceding, 0)
     d = d.join(measured_today.select(*keys, "day", "total"), [*keys, "day"], "left") if reset_daily else d.withColumn("total", F.lit(0.0))
     same = F.col("day") == local_day("issued_at", tz)

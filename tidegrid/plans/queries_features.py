@@ -14,6 +14,7 @@ from tidegrid.plans.registry import cte, query
 from tidegrid.session import cut_lineage
 
 K = ["series_id"]
+TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 def rnd(df, **places):
@@ -54,18 +55,19 @@ def _(spark, sf):
     return jn.grid_coverage(_asof(spark, sf), K)
 
 
-cte("ext_a", "SELECT experiment, issued_at, target_dt, value FROM external_log WHERE source = 'ext_a' AND hour(target_dt) <> 6", "external_log")
-cte("hours", "SELECT experiment, unnest(generate_series(min(grid_ts), max(grid_ts), INTERVAL '3 hours')) AS grid_ts FROM actuals GROUP BY 1", "actuals")
+cte("ext_a", "SELECT experiment || '/' || source AS experiment, issued_at, target_dt, value FROM external_log", "external_log")
+cte("hours", "SELECT experiment || s AS experiment, unnest(generate_series(min(grid_ts), max(grid_ts), INTERVAL '3 hours')) AS grid_ts FROM actuals, (VALUES ('/ext_a'), ('/ext_b')) AS x(s) GROUP BY 1", "actuals")
 
 
 def _ext_a(spark, sf):
-    return i.external_log(spark, sf).filter((F.col("source") == "ext_a") & (F.hour("target_dt") != 6)).select("experiment", "issued_at", "target_dt", "value")
+    return i.external_log(spark, sf).select(F.concat("experiment", F.lit("/"), "source").alias("experiment"), "issued_at", "target_dt", "value")
 
 
 def _cells(spark, sf):
     from tidegrid.operators.grid import spine
 
     b = i.actuals(spark, sf).groupBy("experiment").agg(F.min("grid_ts").alias("a"), F.max("grid_ts").alias("z"))
+    b = b.withColumn("s", F.explode(F.array(F.lit("/ext_a"), F.lit("/ext_b")))).select(F.concat("experiment", "s").alias("experiment"), "a", "z")
     return spine(b, ["experiment"], "a", "z", 3 * 3600)
 
 
@@ -87,15 +89,16 @@ def _(spark, sf):
     return jn.reduce_trajectories(_ext_a(spark, sf), ["experiment"])
 
 
-@query("JN6_interp_align_future", """WITH p AS (SELECT experiment, target_dt AS ts, value FROM ext_a WHERE issued_at = TIMESTAMP '2024-01-15'),
-h AS (SELECT experiment, grid_ts FROM hours WHERE grid_ts BETWEEN TIMESTAMP '2024-01-14' AND TIMESTAMP '2024-01-18'),
-j AS (SELECT h.experiment, h.grid_ts, max(CASE WHEN ts <= grid_ts THEN ts END) AS t0, arg_max(value, ts) FILTER (WHERE ts <= grid_ts) AS v0, min(CASE WHEN ts >= grid_ts THEN ts END) AS t1, arg_min(value, ts) FILTER (WHERE ts >= grid_ts) AS v1
-FROM h JOIN p ON p.experiment = h.experiment GROUP BY 1, 2)
-SELECT experiment, grid_ts, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL THEN v0 WHEN t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * (epoch(grid_ts) - epoch(t0)) / (epoch(t1) - epoch(t0)) END, 6) AS value FROM j""", "ext_a hours")
+@query("JN6_interp_align_future", """WITH p AS (SELECT experiment, issued_at, target_dt AS ts, value FROM ext_a),
+h AS (SELECT experiment, issued_at, unnest(generate_series(issued_at - INTERVAL '12 hours', issued_at + INTERVAL '2 days', INTERVAL '3 hours')) AS grid_ts FROM (SELECT DISTINCT experiment, issued_at FROM ext_a)),
+j AS (SELECT h.experiment, h.issued_at, h.grid_ts, max(CASE WHEN ts <= grid_ts THEN ts END) AS t0, arg_max(value, ts) FILTER (WHERE ts <= grid_ts) AS v0, min(CASE WHEN ts >= grid_ts THEN ts END) AS t1, arg_min(value, ts) FILTER (WHERE ts >= grid_ts) AS v1
+FROM h JOIN p ON p.experiment = h.experiment AND p.issued_at = h.issued_at GROUP BY 1, 2, 3)
+SELECT experiment, issued_at, grid_ts, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL THEN v0 WHEN t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * (epoch(grid_ts) - epoch(t0)) / (epoch(t1) - epoch(t0)) END, 6) AS value FROM j""", "ext_a")
 def _(spark, sf):
-    h = _cells(spark, sf).filter("grid_ts between timestamp_ntz'2024-01-14' and timestamp_ntz'2024-01-18'")
-    p = _ext_a(spark, sf).filter("issued_at = timestamp_ntz'2024-01-15'").withColumnRenamed("target_dt", "ts")
-    return rnd(jn.interp_align_future(h, p, ["experiment"]).filter("value is not null"), value=6)
+    p = _ext_a(spark, sf).withColumnRenamed("target_dt", "ts")
+    cells = F.sequence(epoch("issued_at") - 12 * 3600, epoch("issued_at") + 48 * 3600, F.lit(3 * 3600).cast("long"))
+    h = p.select("experiment", "issued_at").distinct().withColumn("e", F.explode(cells)).select("experiment", "issued_at", from_epoch(F.col("e")).alias("grid_ts"))
+    return rnd(jn.interp_align_future(h, p, ["experiment", "issued_at"]).filter("value is not null"), value=6)
 
 
 @query("JN7_forecast_actual", """SELECT experiment, model_name, issued_at, target_dt, predicted, value AS actual FROM forecast_log l JOIN actuals a USING (experiment) WHERE a.grid_ts = l.target_dt""", "forecast_log actuals")
@@ -128,11 +131,11 @@ def _(spark, sf):
     return rnd(d.select(*K, "issued_at", "grid_ts", "hour", "dow", "hour_sin", "cov"), hour_sin=6)
 
 
-@query("JN10_covariate_pivot", """SELECT grid_ts, max(CASE WHEN series_id = 'click' THEN y END) AS cov_click, max(CASE WHEN series_id = 'view' THEN y END) AS cov_view FROM
-(SELECT series_id, grid_ts, round(y, 6) AS y FROM hourly WHERE series_id IN ('click', 'view')) GROUP BY 1""", "hourly")
+@query("JN10_covariate_pivot", """SELECT grid_ts, """ + ", ".join(f"max(CASE WHEN series_id = '{t}' THEN y END) AS cov_{t}" for t in TYPES) + """ FROM
+(SELECT series_id, grid_ts, round(y, 6) AS y FROM hourly) GROUP BY 1""", "hourly")
 def _(spark, sf):
-    d = i.hourly(spark, sf).filter(F.col("series_id").isin("click", "view")).withColumn("y", F.round("y", 6))
-    return jn.covariate_pivot(d, [], ["click", "view"], "series_id", value="y")
+    d = i.hourly(spark, sf).withColumn("y", F.round("y", 6))
+    return jn.covariate_pivot(d, [], TYPES, "series_id", value="y")
 
 
 cte("cohort_n", """SELECT experiment, CAST(l.lead_minutes AS BIGINT) AS lead_bucket, model_name, model_version, count(*) AS n FROM forecast_log l JOIN actuals a USING (experiment) WHERE a.grid_ts = l.target_dt GROUP BY 1, 2, 3, 4""", "forecast_log actuals")
@@ -296,10 +299,10 @@ cte("folded", """SELECT series_id, CASE WHEN grid_ts < TIMESTAMP '2024-01-16' TH
 cte("fold_cells", "SELECT series_id || role AS series_id, f.series_id AS sid, role, grid_ts, coalesce(y, quantile_cont(y, 0.5) OVER (PARTITION BY f.series_id, role ORDER BY grid_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS v, y FROM folded f", "folded")
 
 
-@query("WF7_fold_rebuild", f"SELECT sid AS series_id, role, grid_ts, round({_roll(3, 'avg', 'v')}, 4) AS y_rolling_mean_3, round({_roll(12, 'max', 'v')}, 4) AS y_rolling_max_12, lag(v, 4) {OVER} AS y_lag_4, lag(v, 1) {OVER} - lag(v, 2) {OVER} AS y_diff_1 FROM fold_cells QUALIFY y IS NOT NULL", "fold_cells")
+@query("WF7_fold_rebuild", f"SELECT sid AS series_id, role, grid_ts, round({_roll(3, 'avg', 'v')}, 4) AS y_rolling_mean_3, round({_roll(12, 'max', 'v')}, 4) AS y_rolling_max_12, lag(v, 4) {OVER} AS y_lag_4, lag(v, 1) {OVER} - lag(v, 2) {OVER} AS y_diff_1 FROM fold_cells", "fold_cells")
 def _(spark, sf):
     d = i.load6(spark, sf).withColumn("role", F.when(F.col("grid_ts") < F.lit("2024-01-16").cast("timestamp_ntz"), "train").otherwise("test"))
-    d = d.filter(~((F.hour("grid_ts") == 6) & (F.dayofmonth("grid_ts") % 5 == 0)))
+    d = d.withColumn("y", F.when(~((F.hour("grid_ts") == 6) & (F.dayofmonth("grid_ts") % 5 == 0)), F.col("y")))
     out = wf.fold_rebuild(d, [*K, "role"], 360)
     return rnd(out.select(*K, "role", "grid_ts", "y_rolling_mean_3", "y_rolling_max_12", "y_lag_4", "y_diff_1"), y_rolling_mean_3=4, y_rolling_max_12=4)
 

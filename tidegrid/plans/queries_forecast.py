@@ -146,12 +146,11 @@ def _(spark, sf):
 
 
 cte("half_q", "SELECT experiment, lead_bucket, CASE WHEN count(*) >= 10 THEN quantile_cont(abs(predicted - actual), 0.8) END AS q FROM won GROUP BY 1, 2", "won")
-cte("fresh", "SELECT experiment, model_name, issued_at, target_dt, lead_minutes, predicted FROM forecast_log WHERE model_name = 'seasonal_naive' AND issued_at >= TIMESTAMP '2024-01-28'", "forecast_log")
+cte("fresh", "SELECT experiment, model_name, issued_at, target_dt, lead_minutes, predicted FROM forecast_log", "forecast_log")
 
 
 def _fresh(spark, sf):
-    d = i.forecast_log(spark, sf).filter("model_name = 'seasonal_naive' and issued_at >= timestamp_ntz'2024-01-28'")
-    return d.select("experiment", "model_name", "issued_at", "target_dt", "lead_minutes", "predicted")
+    return i.forecast_log(spark, sf).select("experiment", "model_name", "issued_at", "target_dt", "lead_minutes", "predicted")
 
 
 def _rows(spark, sf):
@@ -172,19 +171,19 @@ def _(spark, sf):
     return rnd(fc.asymmetric_band(_fresh(spark, sf), pairs), upper=3, lower=3)
 
 
-@query("FC15_cumulative_forecast", """SELECT f.*, CAST(target_dt AS DATE) AS day, CASE WHEN CAST(target_dt AS DATE) = CAST(issued_at AS DATE) THEN coalesce(t.total, 0) ELSE 0 END + sum(predicted) OVER (PARTITION BY f.experiment, issued_at, CAST(target_dt AS DATE) ORDER BY target_dt ROWS UNBOUNDED PRECEDING) AS cumulative FROM fresh f
+@query("FC15_cumulative_forecast", """SELECT f.*, CAST(target_dt AS DATE) AS day, CASE WHEN CAST(target_dt AS DATE) = CAST(issued_at AS DATE) THEN coalesce(t.total, 0) ELSE 0 END + sum(predicted) OVER (PARTITION BY f.experiment, model_name, issued_at, CAST(target_dt AS DATE) ORDER BY target_dt ROWS UNBOUNDED PRECEDING) AS cumulative FROM fresh f
 LEFT JOIN (SELECT experiment, CAST(grid_ts AS DATE) AS day, sum(value) AS total FROM actuals WHERE hour(grid_ts) < 12 GROUP BY 1, 2) t ON t.experiment = f.experiment AND t.day = CAST(target_dt AS DATE)""", "fresh actuals")
 def _(spark, sf):
     today = i.actuals(spark, sf).filter(F.hour("grid_ts") < 12).groupBy(*E, F.to_date("grid_ts").alias("day")).agg(F.sum("value").alias("total"))
     return fc.cumulative_forecast(_fresh(spark, sf), today)
 
 
-cte("choices", "SELECT experiment, CAST(issued_at AS DATE) AS decided_at, arg_min(model_name, predicted * 1000 + CASE model_name WHEN 'last_value' THEN 0 ELSE 1 END) AS model FROM forecast_log WHERE lead_minutes = 360 AND hour(issued_at) = 0 GROUP BY 1, 2", "forecast_log")
+cte("choices", "SELECT experiment, CAST(issued_at AS DATE) AS decided_at, arg_min(model_name, predicted * 1000 + CASE model_name WHEN 'last_value' THEN 0 ELSE 1 END) AS model FROM forecast_log GROUP BY 1, 2", "forecast_log")
 cte("champions", "SELECT experiment, model, valid_from, lead(valid_from) OVER (PARTITION BY experiment ORDER BY valid_from) AS valid_to FROM (SELECT experiment, model, CAST(decided_at AS TIMESTAMP) AS valid_from, lag(model) OVER (PARTITION BY experiment ORDER BY decided_at) AS p FROM choices) WHERE p IS DISTINCT FROM model", "choices")
 
 
 def _champions(spark, sf):
-    d = i.forecast_log(spark, sf).filter((F.col("lead_minutes") == 360) & (F.hour("issued_at") == 0))
+    d = i.forecast_log(spark, sf).withColumn("issued_at", F.date_trunc("day", "issued_at").cast("timestamp_ntz"))
     order = F.col("predicted") * 1000 + F.when(F.col("model_name") == "last_value", 0).otherwise(1)
     c = d.groupBy(*E, F.col("issued_at").alias("decided_at")).agg(F.min_by("model_name", order).alias("model"))
     return fc.champion_history(c.withColumn("version", F.lit("v1")))
@@ -201,12 +200,12 @@ def _(spark, sf):
 
 
 @query("FC17_holdout_display", """WITH w AS (SELECT experiment AS series_id, issued_at, list(predicted ORDER BY target_dt) AS p FROM forecast_log WHERE model_name = 'last_value' GROUP BY 1, 2), l AS (SELECT series_id, arg_max(p, issued_at) AS p, max(issued_at) AS t FROM w GROUP BY 1)
-SELECT h.series_id, h.grid_ts, coalesce(w.p[1], CASE WHEN h.grid_ts > l.t + INTERVAL '6 hours' THEN l.p[CAST(epoch(h.grid_ts - l.t) / 21600 AS BIGINT)] END) AS pred FROM load6 h LEFT JOIN w ON w.series_id = h.series_id AND w.issued_at = h.grid_ts - INTERVAL '6 hours' JOIN l ON l.series_id = h.series_id WHERE h.grid_ts >= TIMESTAMP '2024-01-20'""", "forecast_log load6")
+SELECT h.series_id, h.grid_ts, coalesce(w.p[1], CASE WHEN h.grid_ts > l.t + INTERVAL '6 hours' THEN l.p[CAST(epoch(h.grid_ts - l.t) / 21600 AS BIGINT)] END) AS pred FROM load6 h LEFT JOIN w ON w.series_id = h.series_id AND w.issued_at = h.grid_ts - INTERVAL '6 hours' JOIN l ON l.series_id = h.series_id""", "forecast_log load6")
 def _(spark, sf):
     d = i.forecast_log(spark, sf).filter("model_name = 'last_value'")
     p = F.transform(F.sort_array(F.collect_list(F.struct("target_dt", "predicted"))), lambda e: e["predicted"])
     w = d.groupBy(F.col("experiment").alias("series_id"), F.col("issued_at").alias("anchor")).agg(p.alias("preds"))
-    return fc.holdout_display(w, i.load6(spark, sf).filter("grid_ts >= timestamp_ntz'2024-01-20'"), K, i.SIX)
+    return fc.holdout_display(w, i.load6(spark, sf), K, i.SIX)
 
 
 @query("FC18_future_covariates", """SELECT a.*, coalesce(p.y, l.y) AS cov, CASE WHEN p.y IS NULL THEN 1 ELSE 0 END AS cov_missing FROM ahead a LEFT JOIN (SELECT series_id, grid_ts + INTERVAL '24 hours' AS t, y FROM sparse6) p ON p.series_id = a.series_id AND p.t = a.target_dt JOIN (SELECT series_id, arg_max(y, grid_ts) AS y FROM sparse6 WHERE y IS NOT NULL GROUP BY 1) l ON l.series_id = a.series_id""", "ahead sparse6")

@@ -67,24 +67,24 @@ def _trajectories(spark, sf):
     text = F.date_format("target_dt", "yyyy-MM-dd'T'HH:mm:ss")
     v = F.when(F.col("lead_minutes") == 720, F.lit("n/a")).otherwise(F.col("predicted").cast("string"))
     entry = F.struct(text.alias("period_start"), v.alias("pv_estimate"))
-    grouped = log.filter("model_name = 'last_value'").groupBy("experiment", "issued_at")
+    grouped = log.groupBy("experiment", "model_name", "issued_at")
     as_list = grouped.agg(F.to_json(F.collect_list(entry)).alias("attr"))
     as_map = grouped.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(text, v)))).alias("attr"))
     odd = F.col("experiment").cast("long") % 2 == 1
     return as_list.filter(odd).unionByName(as_map.filter(~odd))
 
 
-@query("IO5_parse_trajectory", """SELECT experiment, issued_at, target_dt AS ts, predicted AS value FROM forecast_log
-WHERE model_name = 'last_value' AND lead_minutes <> 720""", "forecast_log")
+@query("IO5_parse_trajectory", """SELECT experiment, model_name, issued_at, target_dt AS ts, predicted AS value FROM forecast_log
+WHERE lead_minutes <> 720""", "forecast_log")
 def _(spark, sf):
     return records.trajectory_points(_trajectories(spark, sf), "attr").drop("pos")
 
 
-@query("IO6_points_utc", """SELECT experiment, target_dt AS ts, arg_min(value, issued_at) AS value FROM external_log
-WHERE source = 'ext_a' GROUP BY 1, 2""", "external_log")
+@query("IO6_points_utc", """SELECT experiment, source, target_dt AS ts, arg_min(value, issued_at) AS value FROM external_log
+GROUP BY 1, 2, 3""", "external_log")
 def _(spark, sf):
-    pts = i.external_log(spark, sf).filter("source = 'ext_a'").select("experiment", F.col("target_dt").alias("ts"), "value", F.col("issued_at").alias("pos"))
-    return records.points_utc(pts, E_)
+    pts = i.external_log(spark, sf).select("experiment", "source", F.col("target_dt").alias("ts"), "value", F.col("issued_at").alias("pos"))
+    return records.points_utc(pts, [*E_, "source"])
 
 
 # ---- tables --------------------------------------------------------------------------------
@@ -286,9 +286,9 @@ def _(spark, sf):
 
 
 @query("PF11_within_span", """SELECT g.experiment, g.grid_ts, g.value FROM actuals g JOIN (SELECT experiment, min(target_dt) AS a, max(target_dt) AS z FROM external_log
-WHERE issued_at = TIMESTAMP '2024-01-15' GROUP BY 1) s ON s.experiment = g.experiment AND g.grid_ts BETWEEN a AND z""", "actuals external_log")
+GROUP BY 1) s ON s.experiment = g.experiment AND g.grid_ts BETWEEN a AND z""", "actuals external_log")
 def _(spark, sf):
-    pts = i.external_log(spark, sf).filter("issued_at = timestamp_ntz'2024-01-15'")
+    pts = i.external_log(spark, sf)
     return pf.within_span(i.actuals(spark, sf), pts, E_, point_ts="target_dt")
 
 
