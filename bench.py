@@ -17,6 +17,7 @@ HEADLINE = [
     "FLAGSHIP_fold_accuracy", "RG2_resample", "RG5_fill_interpolate", "CN4_running_high_increment", "CN8_increment_actuals", "LS4_carry_deficit",
     "JN2_asof_tolerance", "WF1_lags", "WF2_rolling", "AG1_lead_curve", "AG6_daily_cum_accuracy", "AG9_conformal_quantiles", "AG10_coverage_by",
     "AG12_stability", "AG18_head_to_head", "AG23_skill_common_band", "MT11_compute_all", "BM3_composite_rank", "FC5_daily_profile",
+    "JN4_asof_trajectory", "HZ2_residual_quantiles", "ST4_counter_state", "CN6_accepted_level",
 ]
 
 

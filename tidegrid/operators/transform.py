@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegrid.functions.timecols import epoch
+from tidegrid.operators.grid import resample
 from tidegrid.operators.quantiles import exact_quantiles
 from tidegrid.operators.scan import Scan, drop_halo, halo_window, previous, running, with_halo
 
@@ -239,8 +240,13 @@ def psi_drift(train: DataFrame, test: DataFrame, keys, value: str = "y", min_tra
 
 
 def data_report(df: DataFrame, keys, interval_minutes: int, now: str, max_increment: float | None = None,
-                gap_multiplier: int = 4, ts: str = "ts", value: str = "value") -> DataFrame:
-    """Health of each series: coverage, staleness, gaps, nulls, zero runs and a verdict."""
+                gap_multiplier: int = 4, ts: str = "ts", value: str = "value", shape: str | None = "mean") -> DataFrame:
+    """Health of each series: coverage, staleness, gaps, nulls, zero runs and a verdict.
+
+    ``shape`` names how readings become grid cells (``mean``, ``sum``, ...) for
+    ``spikiness`` and ``daily_autocorr``; None leaves both out. For a counter,
+    hand in its decoded use and ``sum``.
+    """
     keys = list(keys)
     d = running(
         df, keys, [ts],
@@ -273,7 +279,12 @@ def data_report(df: DataFrame, keys, interval_minutes: int, now: str, max_increm
     alert = (F.col("big_gap_count") > 0) & (F.col("biggest_gap_minutes") > interval_minutes * 24)
     warn = (F.col("recorder_age_minutes") > interval_minutes * 4) | (F.col("coverage_pct") < 70) | (F.col("null_pct") > 5)
     verdict = F.when(alert, "alert").when(warn, "warning").otherwise("ok")
-    return out.withColumn("verdict", verdict).drop("__nn")
+    out = out.withColumn("verdict", verdict).drop("__nn")
+    if shape is None:
+        return out
+    grid = resample(df, keys, interval_minutes * 60, shape, ts=ts, value=value)
+    rhythm = daily_autocorr(grid, keys, interval_minutes * 60)
+    return out.join(spikiness(grid, keys), keys, "left").join(rhythm, keys, "left")
 
 
 def report_rollup(report: DataFrame, expected: DataFrame, keys) -> DataFrame:

@@ -189,13 +189,3 @@ def daily_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 cte("order_cents", "SELECT o_orderpriority AS series_id, o_orderdate AS ts, round(o_totalprice * 100) AS value FROM orders")
 grid_ctes("daily_orders", "order_cents", "1 day", "sum(value)", "nullif(b.y, 0)")
-
-
-def daily_qty(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").select(
-        F.col("l_returnflag").alias("series_id"), F.col("l_shipdate").alias("ts"), F.col("l_quantity").alias("value"))
-    return resample(li, ["series_id"], DAY, "sum")
-
-
-cte("qty", "SELECT l_returnflag AS series_id, l_shipdate AS ts, l_quantity AS value FROM lineitem")
-grid_ctes("daily_qty", "qty", "1 day", "sum(value)", "coalesce(b.y, 0.0)")

@@ -174,11 +174,23 @@ def _(spark, sf):
     return logs.run_history(d)
 
 
-@query("IO16_publish_payload", """SELECT experiment, model_name, issued_at, count(*) AS n_points,
-'[' || string_agg('{"datetime":"' || strftime(target_dt, '%Y-%m-%dT%H:%M:%S') || '","value":' || CAST(predicted AS VARCHAR) || '}', ',' ORDER BY target_dt) || ']' AS forecast
-FROM forecast_log GROUP BY 1, 2, 3""", "forecast_log")
+def _points(column: str) -> str:
+    entry = f"""'{{"datetime":"' || strftime(target_dt, '%Y-%m-%dT%H:%M:%S') || '","value":' || coalesce(CAST(round({column}, 4) AS VARCHAR), 'null') || '}}'"""
+    return f"'[' || string_agg({entry}, ',' ORDER BY target_dt) || ']'"
+
+
+cte("odd_log", """SELECT experiment, model_name, issued_at, target_dt, predicted, CASE WHEN lead_minutes = 720 THEN NULL ELSE upper END AS upper,
+CASE WHEN lead_minutes = 360 THEN NULL ELSE lower END AS lower FROM forecast_log""", "forecast_log")
+
+
+@query("IO16_publish_payload", f"""SELECT experiment, model_name, issued_at, count(*) AS n_points, {_points('predicted')} AS forecast, {_points('upper')} AS upper,
+{_points('lower')} AS lower FROM odd_log GROUP BY 1, 2, 3""", "odd_log")
 def _(spark, sf):
-    return logs.publish_payload(i.forecast_log(spark, sf)).drop("upper", "lower")
+    # Null and non-finite bounds are both published as null.
+    lead = F.col("lead_minutes")
+    log = i.forecast_log(spark, sf).withColumns({
+        "upper": F.when(lead != 720, F.col("upper")), "lower": F.when(lead == 360, F.lit(float("inf"))).otherwise(F.col("lower"))})
+    return logs.publish_payload(log)
 
 
 @query("IO17_log_stats", """SELECT s.*, m.multi_issue_targets FROM (SELECT experiment, model_name, model_version, count(*) AS n, min(issued_at) AS first_issued,
@@ -433,6 +445,15 @@ def _(spark, sf):
     return rnd(out, **{c: 4 for c in out.columns if c not in ("series_id", "train_n", "test_n", "verdict")})
 
 
+cte("spiky", "SELECT series_id, ts, CASE WHEN event_id % 5 = 0 THEN 0 ELSE value END AS value FROM fleet WHERE event_id % 19 <> 0", "fleet")
+i.grid_ctes("spiky6", "spiky", "6 hours", "avg(value)")
+cte("spiky_shape", """SELECT series_id, CASE WHEN count(y) >= 2 THEN quantile_cont(y, 0.99) / (avg(abs(y)) + greatest(1e-9, 1e-3 * coalesce(median(abs(y)) FILTER (WHERE y <> 0), 0))) END AS spikiness,
+CASE WHEN count(*) <= 8 OR coalesce(stddev_samp(y), 0) <= 0 THEN NULL WHEN coalesce(stddev_samp(r), 0) < 1e-6 * stddev_samp(y) THEN 0
+WHEN count(r * b) < 2 OR stddev_samp(CASE WHEN b IS NOT NULL THEN r END) < 1e-12 OR stddev_samp(CASE WHEN r IS NOT NULL THEN b END) < 1e-12 THEN NULL ELSE corr(r, b) END AS daily_autocorr FROM
+(SELECT *, lag(r, 4) OVER (PARTITION BY series_id ORDER BY grid_ts) AS b FROM (SELECT *, CASE WHEN count(y) OVER w >= 2 THEN y - avg(y) OVER w END AS r FROM spiky6
+WINDOW w AS (PARTITION BY series_id ORDER BY grid_ts ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING))) GROUP BY 1""", "spiky6")
+
+
 @query("TR14_data_report", """WITH l AS (SELECT *, (epoch_us(date_trunc('second', ts)) - epoch_us(date_trunc('second', lag(ts) OVER w))) / 60e6 AS gap, value - lag(value) OVER w AS dv,
 count(CASE WHEN value <> 0 THEN 1 END) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nz FROM (SELECT series_id, ts, CASE WHEN event_id % 19 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 0 ELSE value END AS value FROM fleet) WINDOW w AS (PARTITION BY series_id ORDER BY ts)),
 z AS (SELECT series_id, max(n) AS max_zero_run FROM (SELECT series_id, nz, count(*) AS n FROM l WHERE value = 0 GROUP BY 1, 2) GROUP BY 1),
@@ -441,11 +462,12 @@ stddev_samp(value) AS value_std, median(value) AS value_median, count(*) FILTER
 c AS (SELECT *, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(date_trunc('second', last_ts))) / 60e6 AS age, greatest(1, CAST(floor((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(date_trunc('second', first_ts))) / (360 * 60e6)) AS BIGINT)) AS rows_expected, round(100.0 * (1.0 - nn / rows_total), 1) AS null_pct FROM b),
 d AS (SELECT *, round(least(100.0, 100.0 * rows_total / rows_expected), 1) AS coverage_pct FROM c)
 SELECT series_id, rows_total, rows_expected, coverage_pct, null_pct, round(age, 1) AS recorder_age_minutes, round(biggest_gap_minutes, 1) AS biggest_gap_minutes, big_gap_count, value_min, value_max, round(value_std, 4) AS value_std, round(value_median, 4) AS value_median, max_increment_hits,
-coalesce(max_zero_run, 0) AS max_zero_run, CASE WHEN big_gap_count > 0 AND biggest_gap_minutes > 8640 THEN 'alert' WHEN age > 1440 OR coverage_pct < 70 OR null_pct > 5 THEN 'warning' ELSE 'ok' END AS verdict FROM d LEFT JOIN z USING (series_id)""", "fleet")
+coalesce(max_zero_run, 0) AS max_zero_run, CASE WHEN big_gap_count > 0 AND biggest_gap_minutes > 8640 THEN 'alert' WHEN age > 1440 OR coverage_pct < 70 OR null_pct > 5 THEN 'warning' ELSE 'ok' END AS verdict,
+round(spikiness, 6) AS spikiness, round(daily_autocorr, 6) AS daily_autocorr FROM d LEFT JOIN z USING (series_id) LEFT JOIN spiky_shape USING (series_id)""", "fleet spiky_shape")
 def _(spark, sf):
     d = i.obs_fleet(spark, sf).withColumn("value", F.when(F.col("event_id") % 19 == 0, None).when(F.col("event_id") % 5 == 0, 0.0).otherwise(F.col("value")))
     out = tr.data_report(d.drop("event_id"), K, 360, "2024-01-31", max_increment=5000.0).drop("first_ts", "last_ts")
-    return rnd(out, recorder_age_minutes=1, biggest_gap_minutes=1, value_std=4, value_median=4)
+    return rnd(out, recorder_age_minutes=1, biggest_gap_minutes=1, value_std=4, value_median=4, spikiness=6, daily_autocorr=6)
 
 
 @query("TR15_frame_diff", """WITH a AS (SELECT series_id, grid_ts, y FROM load6 WHERE grid_ts < TIMESTAMP '2024-01-25'), b AS (SELECT series_id, grid_ts, CASE WHEN hour(grid_ts) = 6 THEN y + 1 WHEN day(grid_ts) = 9 THEN NULL ELSE y END AS y FROM load6 WHERE grid_ts >= TIMESTAMP '2024-01-03')
