@@ -82,3 +82,11 @@ def test_advice_rules(spark):
     assert {r["series_id"]: r["advice"] for r in out.filter(F.col("arm") == "without_c").collect()} == {f"s{n}": want for n, (_, want) in enumerate(RULES)}
     alone = {(r["series_id"], r["model"]): r["advice"] for r in out.filter("arm = 'none'").collect()}
     assert alone[("s0", "m0")] == "keep" and alone[("s6", "m0")] == "remove"
+
+
+def test_the_better_model_leads_the_benchmark(spark):
+    rng = random.Random(3)
+    rows = [("s", k % 3, "test" if k % 4 == 0 else "train", x := rng.uniform(-1, 1), abs(x) + 0.01 * rng.random()) for k in range(600)]
+    d = spark.createDataFrame(rows, "series_id string, fold long, role string, x double, label double")
+    out = fc.benchmark(d, K, ["x"], {"line": lambda: fc.regressor("linear"), "forest": lambda: fc.regressor("forest")}).orderBy("position").collect()
+    assert [(r["model"], r["n_folds"]) for r in out] == [("forest", 3), ("line", 3)] and out[0]["mae"] < out[1]["mae"] / 2

@@ -310,30 +310,45 @@ def parameter_search(folded: DataFrame, candidates: list[dict], kind: str = "for
     return scored.groupBy("candidate", "params").agg(F.avg("mae").alias("mae"), F.count("*").alias("n_folds")).orderBy("mae", "candidate")
 
 
+def fold_errors(folded: DataFrame, keys, columns: list[str], models: dict[str, Callable]) -> DataFrame:
+    """(keys, fold, model, label, pred) of all test rows of (keys, fold, role, label, columns): every model is fitted anew on each
+    fold's training rows, pooled over the fleet. ``models`` gives a fresh estimator over ``features`` and ``label`` for each name."""
+    folds = sorted(r[0] for r in folded.select("fold").distinct().collect())  # one small number per fold
+    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(folded.drop("features"))
+    out = None
+    for fold in folds:
+        part = rows.filter(F.col("fold") == fold)
+        for name, fresh in models.items():
+            fitted = fresh().fit(part.filter("role = 'train'"))
+            one = fitted.transform(part.filter("role = 'test'")).select(*keys, "fold", F.lit(name).alias("model"), "label", F.col("prediction").alias("pred"))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def benchmark(folded: DataFrame, keys, columns: list[str], models: dict[str, Callable]) -> DataFrame:
+    """(keys, model, mae, rmse, n_folds, position): errors averaged over the folds a series is tested in, best model first."""
+    keys = list(keys)
+    e = F.col("pred") - F.col("label")
+    by_fold = fold_errors(cut_lineage(folded), keys, columns, models).groupBy(*keys, "fold", "model").agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
+    mean = by_fold.groupBy(*keys, "model").agg(F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"), F.count("*").alias("n_folds"))
+    return mean.withColumn("position", F.row_number().over(W.partitionBy(*keys).orderBy(F.round("mae", 6), "model")).cast("long"))
+
+
 def ablation_errors(folded: DataFrame, keys, base: list[str], covariates: list[str], models: dict[str, Callable], crosses: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """Error of every (keys, model, arm), each arm fitted anew on every fold with its own columns only.
 
-    ``folded`` has (keys, fold, role, label) and the columns. Arms are ``all``,
-    ``none`` and ``without_<covariate>``. A cross (name to the two covariates it
-    multiplies) is there only while both of them are. ``models`` gives a fresh
-    estimator over ``features`` and ``label`` for each name.
+    Arms are ``all``, ``none`` and ``without_<covariate>``. A cross (name to the
+    two covariates it multiplies) is there only while both of them are.
     """
     keys, crosses = list(keys), crosses or {}
-    folded = folded.withColumns({name: F.col(a) * F.col(b) for name, (a, b) in crosses.items()}) if crosses else folded
-    folded = cut_lineage(folded)
-    folds = sorted(r[0] for r in folded.select("fold").distinct().collect())
+    folded = cut_lineage(folded.withColumns({name: F.col(a) * F.col(b) for name, (a, b) in crosses.items()}) if crosses else folded)
     arms = {"all": covariates, "none": [], **{f"without_{c}": [x for x in covariates if x != c] for c in covariates}}
     out = None
     for arm, own in arms.items():
         columns = [*base, *own, *[name for name, pair in crosses.items() if set(pair) <= set(own)]]
-        rows = VectorAssembler(inputCols=columns, outputCol="features").transform(folded)
-        for fold in folds:
-            part = rows.filter(F.col("fold") == fold)
-            for name, fresh in models.items():
-                fitted = fresh().fit(part.filter("role = 'train'"))
-                e = fitted.transform(part.filter("role = 'test'")).select(*keys, F.lit(name).alias("model"), F.lit(arm).alias("arm"), F.abs(F.col("prediction") - F.col("label")).alias("__e"))
-                out = e if out is None else out.unionByName(e)
-    return out.groupBy(*keys, "model", "arm").agg(F.avg("__e").alias("mae"), F.count("*").alias("n"))
+        one = fold_errors(folded, keys, columns, models).withColumn("arm", F.lit(arm))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy(*keys, "model", "arm").agg(F.avg(F.abs(F.col("pred") - F.col("label"))).alias("mae"), F.count("*").alias("n"))
 
 
 def ablation_report(arms: DataFrame, keys) -> DataFrame:

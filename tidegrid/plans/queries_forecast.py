@@ -128,6 +128,12 @@ def _folded(spark, sf):
     return cv.assign_folds(numbered, cv.fold_table(numbered.select(*K, "n_rows").distinct(), K), K)
 
 
+@query("BM1_fitted_models")
+def _(spark, sf):
+    models = {"linear": lambda: fc.regressor("linear"), "robust": lambda: fc.regressor("linear", "huber"), "forest": lambda: fc.regressor("forest")}
+    return rnd(fc.benchmark(_folded(spark, sf), K, [f"y_lag_{k}" for k in LAGS] + ["hour"], models), mae=2, rmse=2)
+
+
 @query("FC12_parameter_search")
 def _(spark, sf):
     d = fc.parameter_search(_folded(spark, sf), [{"numTrees": 10, "maxDepth": 3}, {"numTrees": 10, "maxDepth": 6}])
