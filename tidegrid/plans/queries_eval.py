@@ -305,8 +305,15 @@ UNION ALL SELECT l.experiment, 'baseline_mean', l.issued_at, l.lead_minutes // 3
 cte("hz_all", "SELECT p.*, a.y AS actual, CASE WHEN a.y IS NOT NULL THEN a.y - point END AS e FROM hz_points p LEFT JOIN load6 a ON a.series_id = p.series_id AND a.grid_ts = p.target_dt", "hz_points load6")
 LV = "[" + ", ".join(str(q) for q in mt.QUANTILE_LEVELS) + "]"
 PAST = "ORDER BY origin RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL '48 hours' PRECEDING"
-cte("hz_q", f"""SELECT *, CASE WHEN np >= 30 THEN list_transform(CASE WHEN no >= 30 THEN qo ELSE qp END, lambda x: greatest(point + x, 0)) END AS q FROM (SELECT *, count(e) OVER o AS no, count(e) OVER p AS np, quantile_cont(e, {LV}) OVER o AS qo, quantile_cont(e, {LV}) OVER p AS qp
-FROM hz_all WINDOW o AS (PARTITION BY series_id, model, (lead - 1) // 2 {PAST}), p AS (PARTITION BY series_id, model {PAST}))""", "hz_all")
+
+
+def _past_sql(key: str) -> str:
+    return f"""SELECT *, CASE WHEN np >= 30 THEN list_transform(CASE WHEN no >= 30 THEN qo ELSE qp END, lambda x: greatest(point + x, 0)) END AS q FROM (SELECT *, count(e) OVER o AS no, count(e) OVER p AS np, quantile_cont(e, {LV}) OVER o AS qo, quantile_cont(e, {LV}) OVER p AS qp
+FROM hz_all WINDOW o AS (PARTITION BY series_id, model, {key} {PAST}), p AS (PARTITION BY series_id, model {PAST}))"""
+
+
+cte("hz_q", _past_sql("(lead - 1) // 2"), "hz_all")
+cte("hz_slot", _past_sql("hour(target_dt) // 3 + CASE WHEN isodow(target_dt) >= 6 THEN 100 ELSE 0 END"), "hz_all")
 cte("hz_cells", f"""SELECT c.*, 2 * list_sum(list_transform(generate_series(1, 19), lambda k: greatest(k * 0.05 * (actual - q[k]), (k * 0.05 - 1) * (actual - q[k])))) / 19 AS crps FROM hz_q c JOIN (SELECT series_id, origin, lead FROM hz_q WHERE q IS NOT NULL AND actual IS NOT NULL GROUP BY 1, 2, 3 HAVING count(DISTINCT model) = 3) f
 ON f.series_id = c.series_id AND f.origin = c.origin AND f.lead = c.lead""", "hz_q")
 
@@ -338,10 +345,21 @@ def _(spark, sf):
     return rnd(d, mae=4, rmse=4, crps=4, coverage=4, width=3, bias_pct=4, amplitude_ratio=4)
 
 
-@query("HZ2_residual_quantiles", "SELECT series_id, model, origin, lead, round(q[2], 3) AS q10, round(q[10], 3) AS q50, round(q[18], 3) AS q90 FROM hz_q", "hz_q")
+ALL_LEVELS = "SELECT series_id, model, origin, lead, " + ", ".join(f"round(q[{n}], 3) AS q{5 * n:02d}" for n in range(1, 20)) + " FROM "
+
+
+def _all_levels(d):
+    return d.select(*K, "model", "origin", "lead", *[F.round(F.element_at("q", n), 3).alias(f"q{5 * n:02d}") for n in range(1, 20)])
+
+
+@query("HZ2_residual_quantiles", ALL_LEVELS + "hz_q", "hz_q")
+def _(spark, sf):
+    return _all_levels(hz_quantiles(spark, sf))
+
+
+@query("HZ2_slot_quantiles", ALL_LEVELS + "hz_slot", "hz_slot")
 def _(spark, sf):
-    d = hz_quantiles(spark, sf)
-    return d.select(*K, "model", "origin", "lead", *[F.round(F.element_at("q", n), 3).alias(c) for n, c in ((2, "q10"), (10, "q50"), (18, "q90"))])
+    return _all_levels(hz_quantiles(spark, sf, "slot"))
 
 
 cte("hz_level", f"""WITH w AS (SELECT *, list_sort(list_distinct(quantile_cont(CASE WHEN e IS NOT NULL THEN point END, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) OVER p)) AS edges, count(e) OVER p AS np, quantile_cont(e, {LV}) OVER p AS qp FROM hz_all WINDOW p AS (PARTITION BY series_id, model {PAST})),
@@ -350,10 +368,9 @@ o AS (SELECT d.series_id, d.model, d.origin, d.b, quantile_cont(h.e, {LV}) AS qo
 SELECT b.series_id, b.model, b.origin, lead, CASE WHEN np >= 30 THEN list_transform(CASE WHEN no >= 30 THEN qo ELSE qp END, lambda x: greatest(point + x, 0)) END AS q FROM b LEFT JOIN o ON o.series_id = b.series_id AND o.model = b.model AND o.origin = b.origin AND o.b = b.b""", "hz_all")
 
 
-@query("HZ2_level_quantiles", "SELECT series_id, model, origin, lead, round(q[2], 3) AS q10, round(q[10], 3) AS q50, round(q[18], 3) AS q90 FROM hz_level", "hz_level")
+@query("HZ2_level_quantiles", ALL_LEVELS + "hz_level", "hz_level")
 def _(spark, sf):
-    d = hz_quantiles(spark, sf, "level")
-    return d.select(*K, "model", "origin", "lead", *[F.round(F.element_at("q", n), 3).alias(c) for n, c in ((2, "q10"), (10, "q50"), (18, "q90"))])
+    return _all_levels(hz_quantiles(spark, sf, "level"))
 
 
 @query("HZ3_by_lead", "SELECT series_id, model, (lead - 1) // 2 * 2 + 1 AS lead_start, round(avg(abs(point - actual)), 4) AS mae, round(sqrt(avg((point - actual) ** 2)), 4) AS rmse, round(avg(crps) + 1e-7, 4) AS crps FROM hz_cells GROUP BY 1, 2, 3", "hz_cells")
