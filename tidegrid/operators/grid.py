@@ -53,14 +53,15 @@ def binned(df: DataFrame, keys, seconds: int, method: str = "mean", ts: str = "t
 
 
 def resample(df: DataFrame, keys, seconds: int, method: str = "mean", ts: str = "ts", value: str = "value",
-             out: str = "y") -> DataFrame:
-    """Complete grid from the first to the last bin; an empty bin is 0 for ``sum``, else null."""
+             out: str = "y", empty_sum: float | None = 0.0) -> DataFrame:
+    """Complete grid from the first to the last bin; an empty bin is ``empty_sum`` for ``sum``, else null.
+
+    The bounds come from the bins, so the readings are passed over once.
+    """
     bins = binned(df, keys, seconds, method, ts, value, out)
-    span = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
-        time_bin(F.min(ts), seconds).alias("__a"), time_bin(F.max(ts), seconds).alias("__z")
-    )
+    span = bins.groupBy(*keys).agg(F.min("grid_ts").alias("__a"), F.max("grid_ts").alias("__z"))
     full = spine(span, keys, "__a", "__z", seconds).join(bins, [*keys, "grid_ts"], "left")
-    return full.fillna(0.0, [out]) if method == "sum" else full
+    return full.fillna(empty_sum, [out]) if method == "sum" and empty_sum is not None else full
 
 
 def fill_hold(df: DataFrame, keys, value: str = "y", ts: str = "grid_ts", out: str | None = None) -> DataFrame:

@@ -67,9 +67,7 @@ def load6(spark: SparkSession, sf: str) -> DataFrame:
 
 def sparse6(spark: SparkSession, sf: str) -> DataFrame:
     """The same grid with unmeasured cells instead of zeros."""
-    bins = obs_fleet(spark, sf).groupBy("series_id", from_epoch(epoch("ts") - F.pmod(epoch("ts"), F.lit(SIX))).alias("grid_ts")).agg(
-        F.sum("value").alias("s"))
-    return load6(spark, sf).join(bins, ["series_id", "grid_ts"], "left").select("series_id", "grid_ts", F.col("s").alias("y"))
+    return resample(obs_fleet(spark, sf), ["series_id"], SIX, "sum", empty_sum=None)
 
 
 def counter_daily(spark: SparkSession, sf: str) -> DataFrame:
