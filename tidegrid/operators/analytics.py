@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegrid.functions.timecols import epoch, from_epoch, lead_bucket, local_day, to_local
+from tidegrid.functions.timecols import epoch, lead_bucket, local_day, to_local
 from tidegrid.operators.align import forecast_actual, keep_winners, max_bins, seed_left_join, winner_cohort
 from tidegrid.operators.quantiles import exact_quantiles
 from tidegrid.operators.scan import Scan, previous, running

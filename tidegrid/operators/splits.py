@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegrid.functions.timecols import epoch
 from tidegrid.operators.scan import Scan, running
 
 # Origins per fold.

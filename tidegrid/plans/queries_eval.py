@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegrid.functions import metrics as mt
-from tidegrid.functions.timecols import epoch
 from tidegrid.operators import analytics as ag
 from tidegrid.operators import horizon as hz
 from tidegrid.operators import ranking as bm
