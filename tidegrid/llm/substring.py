@@ -30,6 +30,7 @@ from tidegrid.llm.common import Rolling, covered, hashed_words, slices, text_byt
 WINDOW = 13
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 32 << 20
+CHUNKS_A_TASK = 8
 RESULTS = ["n_words", "n_removed", "kept_sha256", "kept_text"]
 _TYPES = "n_words long, n_removed long, kept_sha256 string, kept_text string"
 _WORDS, _NO_ID = Rolling(13), np.iinfo(np.int64).max
@@ -127,7 +128,8 @@ def removals(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id:
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks, buckets = max(1, -(-size // chunk_bytes)), max(16, -(-size // BUCKET_BYTES))
     levels = ladder(window)
-    dealt = docs.withColumn("__chunk", F.pmod(F.xxhash64(doc_id, text), F.lit(chunks)))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chunks // CHUNKS_A_TASK)
+    dealt = docs.withColumn("__chunk", F.pmod(F.xxhash64(doc_id, text), F.lit(chunks))).repartition(tasks, "__chunk")
 
     def chunk_of(table: pa.Table) -> _Chunk:
         return _Chunk(table.column(text), table.column(doc_id))
