@@ -33,7 +33,7 @@ NO_RANK = 1 << 16
 #: Multipliers and sizes of the rank map's hashes.
 SLOT, SHIFT, MIX_SLOT, MIX_SHIFT = 1 << 17, 1 << 15, 0x2545F491, 0x1B873593
 #: Distinct words that a task holds before it starts anew.
-MAX_WORDS = 800_000
+MAX_WORDS = 1_200_000
 #: Bytes of table files that one task reads at least, if the scan cuts them smaller.
 TASK_BYTES = 128 << 20
 #: Bytes of a word from which the fold's quadratic time is left to a library call on that word.
