@@ -222,20 +222,20 @@ def classes(marked: DataFrame, k: int = MAX_BITS, doc_id: str = "doc_id") -> Dat
     return joined.join(roots, "component").select("fingerprint", "component_id")
 
 
-def near_duplicates(docs: DataFrame, k: int = MAX_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
     """One row per document of (doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
 
     A null text counts as empty; wordless texts share fingerprint 0 and are
     linked like any other. A null id names a component only if it has no other
     id. Repeated rows stay repeated. Empty in, empty out.
     """
-    marked = materialise(fingerprints(docs.select("doc_id", "text")), "fingerprints")
-    return marked.join(classes(marked), "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    marked = materialise(fingerprints(docs.select("doc_id", "text"), shingle), "fingerprints")
+    return marked.join(classes(marked, k), "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, k: int = MAX_BITS) -> DataFrame:
+def representatives(docs: DataFrame, k: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one document of each component: the one whose id names it. Of rows that share that id one stays.
     Rows without an id stay, as nothing can name them."""
-    keep = materialise(near_duplicates(docs, k).filter("doc_id = component_id").select("doc_id").distinct(), "representatives")
+    keep = materialise(near_duplicates(docs, k, shingle).filter("doc_id = component_id").select("doc_id").distinct(), "representatives")
     named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
     return named.unionByName(docs.filter("doc_id IS NULL"))
