@@ -1,7 +1,9 @@
 """Main text of web pages by two passes of rules over blocks.
 
 A page is cut into blocks at block-level tags. Blocks in menus, footers,
-adverts, forms, comments and the like are boilerplate by their place. The
+adverts, forms, comments and the like are boilerplate by their place. A form, or
+an element that only its class or id sets apart, is a neutral wrapper instead
+if it holds most of the page's articles and long prose, or all that there is. The
 others are judged by stop-word density, length and link density: the first pass
 decides those that are clear, the second lets each undecided one inherit the
 label of its nearest decided neighbour in the same article (or on the page, if
@@ -37,20 +39,26 @@ STOP_WORDS = {
 }
 BLOCK_TAGS = "address article aside blockquote body canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 HIDDEN_TAGS = "head script style template noscript iframe object svg math canvas audio video map title".split()
-ASIDE_TAGS = "nav footer aside form menu dialog button select textarea input fieldset label option datalist".split()
-ASIDE_ROLES = "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split()
+ASIDE_TAGS = "nav footer aside menu dialog button select textarea input fieldset label option datalist".split()
+ASIDE_ROLES = "navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split()
 ASIDE_NAMES = (
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus dropdown footer gdpr header login masthead "
     "menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion related reply replies respond search share sharing sidebar signup social sponsor "
     "sponsored subscribe subscription tagcloud tags toolbar topbar widget widgets"
 ).split()
+#: Names of adverts, notices and other people's texts, which long prose does not turn into wrappers of the page.
+FOREIGN_NAMES = (
+    "ad ads adv advert adverts advertisement advertising adsense comment comments commentlist consent cookie cookies disqus gdpr newsletter popup promo promoted promotion related reply replies respond sponsor sponsored"
+).split()
+#: A name behind one of these tells of a layout, as in has-sidebar or no-ads.
+MODIFIERS = "has have with without no non not hide show".split()
 VOID_TAGS = "area base br col embed hr img input link meta param source track wbr".split()
 #: Tags whose end is understood when one of the others begins: what begins, and what it ends.
 _CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe"}
 
 _BLOCK, _HIDDEN, _ASIDE, _VOID = set(BLOCK_TAGS), set(HIDDEN_TAGS), set(ASIDE_TAGS), set(VOID_TAGS)
-_ROLES, _NAMES = set(ASIDE_ROLES), set(ASIDE_NAMES)
+_ROLES, _NAMES, _FOREIGN, _MODIFIERS = set(ASIDE_ROLES), set(ASIDE_NAMES), set(FOREIGN_NAMES), set(MODIFIERS)
 _STOP = {lang: frozenset(words.split()) for lang, words in STOP_WORDS.items()}
 _MARKUP = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -59,20 +67,29 @@ _BLANKS = re.compile(r"\s+")
 _LANG = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([a-zA-Z]{2})", re.I)
 
 
+class _Hint:
+    """A form, or an element whose names hint at boilerplate."""
+
+    __slots__ = ("foreign", "article", "active", "weight")
+
+    def __init__(self, foreign: bool):
+        self.foreign, self.article, self.active, self.weight = foreign, False, True, 0
+
+
 class _Block:
-    __slots__ = ("parts", "linked", "aside", "article")
+    __slots__ = ("parts", "linked", "aside", "article", "hints")
 
-    def __init__(self, aside: bool, article: int):
+    def __init__(self, aside: bool, article: int, hints: tuple[_Hint, ...] = ()):
         self.parts: list[str] = []
         self.linked = 0
-        self.aside, self.article = aside, article
+        self.aside, self.article, self.hints = aside, article, hints
 
     def text(self) -> str:
         return _BLANKS.sub(" ", "".join(self.parts)).strip()
 
 
 def _set_aside(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element's tag, role or names say that it is not the article."""
+    """Whether an element's tag, role or style say that it is not the article."""
     if tag in _ASIDE or tag == "header" and not in_article:
         return True
     if not attributes.strip():
@@ -83,19 +100,28 @@ def _set_aside(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
-            for part in value.split():
-                words = [w.lower() for w in re.split(r"[-_:]+", part) if w]
-                words += [w.lower() for w in _NAME_PARTS.findall(part)]
-                if any(w in _NAMES for w in words):
-                    return True
     return False
 
 
+def _hint(tag: str, attributes: str) -> _Hint | None:
+    """A hint if the element is a form or its names look like boilerplate."""
+    seen = {"form"} if tag == "form" else set()
+    if tag not in ("body", "html", "article", "main"):
+        for name, value in _ATTRIBUTE.findall(attributes) if attributes.strip() else ():
+            if name.lower() == "role" and value.strip("\"'").lower() == "form":
+                seen.add("form")
+            if name.lower() in ("class", "id"):
+                for part in value.strip("\"'").split():
+                    for words in ([w.lower() for w in re.split(r"[-_:]+", part) if w], [w.lower() for w in _NAME_PARTS.findall(part)]):
+                        seen |= {w for before, w in zip(["", *words], words, strict=False) if w in _NAMES and before not in _MODIFIERS}
+    return _Hint(bool(seen & _FOREIGN)) if seen else None
+
+
 def blocks(page: str) -> Iterator[_Block]:
     """Blocks in page order. ``article`` numbers the outermost article or main element around a block (0: none)."""
-    stack: list[tuple[str, bool, bool, int]] = []  # tag, hidden, aside, article
+    stack: list[tuple[str, bool, bool, int, tuple[_Hint, ...]]] = []  # tag, hidden, aside, article, hints
     hidden = aside = False
+    hints: tuple[_Hint, ...] = ()
     article = articles = links = 0
     block = _Block(False, 0)
     place = 0
@@ -109,9 +135,9 @@ def blocks(page: str) -> Iterator[_Block]:
                 block.linked += len("".join(text.split()))
 
     def pop(to: int) -> None:
-        nonlocal hidden, aside, article, links
+        nonlocal hidden, aside, article, hints, links
         while len(stack) > to:
-            tag, hidden, aside, article = stack.pop()
+            tag, hidden, aside, article, hints = stack.pop()
             links -= tag == "a"
 
     while True:
@@ -148,34 +174,64 @@ def blocks(page: str) -> Iterator[_Block]:
             if tag == "a" and links:  # links do not nest
                 pop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "a"))
             if tag not in _VOID and not found[4].rstrip().endswith("/"):
-                stack.append((tag, hidden, aside, article))
+                stack.append((tag, hidden, aside, article, hints))
                 hidden = hidden or tag in _HIDDEN
                 aside = aside or _set_aside(tag, found[4], article > 0)
-                if tag in ("article", "main") and not article and not aside:
-                    articles += 1
-                    article = articles
+                if not aside and (hint := _hint(tag, found[4])):
+                    hints = (*hints, hint)
+                if tag in ("article", "main") and not aside:
+                    for hint in hints:
+                        hint.article = True
+                    if not article:
+                        articles += 1
+                        article = articles
                 links += tag == "a"
                 if tag in _RAW:
                     low = low or page.lower() if len(page.lower()) == len(page) else page
                     end = low.find(f"</{tag}", place)
                     say(page[place : end if end >= 0 else len(page)])
                     place = end if end >= 0 else len(page)
-        if fresh or block.aside != aside or block.article != article:
+        if fresh or block.aside != aside or block.article != article or block.hints is not hints:
             yield block
-            block = _Block(aside, article)
+            block = _Block(aside, article, hints)
     yield block
 
 
-def label(found: list[tuple[str, float, bool, int]], lang: str | None) -> list[bool]:
-    """Which blocks (text, link density, aside, article) are main text."""
-    words = [[w.strip(".,;:!?\"'()[]").lower() for w in text.split()] for text, _, _, _ in found]
+def densities(texts: list[str], aside: list[bool], lang: str | None) -> list[float]:
+    """Share of stop words in each text; if the language has no list, the one that fits the texts that are not aside."""
+    words = [[w.strip(".,;:!?\"'()[]").lower() for w in text.split()] for text in texts]
     if lang not in _STOP:
-        seen = [w for ws, (_, _, aside, _) in zip(words, found, strict=True) if not aside for w in ws]
+        seen = [w for ws, out in zip(words, aside, strict=True) if not out for w in ws]
         lang = max(_STOP, key=lambda x: sum(w in _STOP[x] for w in seen))
+    return [sum(w in _STOP[lang] for w in ws) / max(len(ws), 1) for ws in words]
+
+
+def _unwrap(found: list[_Block], weights: list[int]) -> None:
+    """Makes wrappers of the page neutral, from the outside in. ``weights``: characters in articles and long prose of each block."""
+    total = sum(weights)
+    while True:
+        free, outer = 0, {}
+        for block, weight in zip(found, weights, strict=True):
+            own = next((h for h in block.hints if h.active), None)
+            if own is None:
+                free += weight
+            elif weight:
+                outer[id(own)] = own
+                own.weight += weight
+        good = [h for h in outer.values() if (not h.foreign and 2 * h.weight > total) or (not free and (h.article or not h.foreign))]
+        most = max(good, key=lambda h: h.weight, default=None)
+        for hint in outer.values():
+            hint.weight = 0
+        if most is None:
+            return
+        most.active = False
+
+
+def label(found: list[tuple[str, float, bool, int]], dense: list[float]) -> list[bool]:
+    """Which blocks (text, link density, aside, article) are main text, given the density of stop words of each."""
     has_article = any(article and not aside for _, _, aside, article in found)
     first: list[bool | None] = []
-    for (text, linked, aside, article), ws in zip(found, words, strict=True):
-        density = sum(w in _STOP[lang] for w in ws) / max(len(ws), 1)
+    for (text, linked, aside, article), density in zip(found, dense, strict=True):
         if aside or has_article and not article or linked > LINKED:
             first.append(False)
         elif len(text) >= LONG and density >= DENSE:
@@ -205,11 +261,17 @@ def main_text(page: str | None) -> str:
     """The article of a page: blocks in page order, one a line; empty if there is none."""
     if not page:
         return ""
-    found = [(t, b.linked / max(len(t.replace(" ", "")), 1), b.aside, b.article) for b in blocks(page) if (t := b.text())]
-    if not found:
+    kept = [(t, b) for b in blocks(page) if (t := b.text())]
+    if not kept:
         return ""
+    texts, own = [t for t, _ in kept], [b for _, b in kept]
     lang = _LANG.search(page)
-    return "\n".join(t for (t, *_), good in zip(found, label(found, lang and lang[1].lower()), strict=True) if good)
+    linked = [b.linked / max(len(t.replace(" ", "")), 1) for t, b in kept]
+    dense = densities(texts, [b.aside for b in own], lang and lang[1].lower())
+    if any(b.hints for b in own):
+        _unwrap(own, [0 if b.aside or link > LINKED or not (b.article or len(t) >= LONG and d >= DENSE) else len(t) for t, b, link, d in zip(texts, own, linked, dense, strict=True)])
+    found = [(t, link, b.aside or any(h.active for h in b.hints), b.article) for t, link, b in zip(texts, linked, own, strict=True)]
+    return "\n".join(t for t, good in zip(texts, label(found, dense), strict=True) if good)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
