@@ -21,3 +21,16 @@ def test_wrappers_named_like_boilerplate(wrapper, inner):
 def test_boilerplate_beside_the_text_stays_out():
     page = f"<article><p>{LONG} {LONG} {LONG}</p></article><div class=related><article><p>{OTHER}</p></article></div><div class=ad>{OTHER}</div><div class=sidebar>{OTHER}</div><form>{OTHER}</form>"
     assert html.main_text(page) == f"{LONG} {LONG} {LONG}"
+
+
+def test_prose_outside_a_teaser_article():
+    page = f"<div><h1>Title</h1><p>{LONG}</p><p>Short one.</p><p>{OTHER}</p></div><div><article><h2>Teaser</h2><p>Soon.</p></article></div>"
+    assert html.main_text(page) == f"Title\n{LONG}\nShort one.\n{OTHER}\nTeaser\nSoon."
+
+
+def test_undecided_blocks_inherit_in_their_article():
+    menu = "".join(f"<p><a href={k}>Another story {k}</a></p>" for k in range(4))
+    page = f"<h1>Site</h1><article><p>{LONG}</p><p>A line.</p>{menu}<p>You may like</p>{menu}</article><article><p>Only short.</p></article>"
+    assert html.main_text(page) == f"{LONG}\nA line.\nOnly short."
+    odd = "Zażółć gęślą jaźń " * 12
+    assert html.main_text(f"<p>Site</p><main><p>{odd}</p><p>Krótko.</p></main>") == f"{odd.strip()}\nKrótko."

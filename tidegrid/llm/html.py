@@ -4,17 +4,21 @@ A page is cut into blocks at block-level tags. Blocks in menus, footers,
 adverts, forms, comments and the like are boilerplate by their place. A form, or
 an element that only its class or id sets apart, is a neutral wrapper instead
 if it holds most of the page's articles and long prose, or all that there is. The
-others are judged by stop-word density, length and link density: the first pass
-decides those that are clear, the second lets each undecided one inherit the
-label of its nearest decided neighbour in the same article (or on the page, if
-it has no article).
+others are judged by stop-word density, length and link density, inside and
+outside articles: the first pass decides those that are clear, the second lets
+each undecided one inherit the label of its nearest decided neighbour in the same
+article (or outside of all). An article or main element is a hint: in it, long
+blocks with few stop words are undecided, neighbours that are not text count as
+twice as far away, and blocks without a decided neighbour are text.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
+from math import inf
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +30,7 @@ LINKED = 0.5  # more of a block's characters in links: boilerplate
 LONG = 140  # characters of a block that can decide by itself
 DENSE = 0.20  # stop words among the words of prose
 SPARSE = 0.05  # fewer in a long block outside an article: not prose
+FAR = 2  # how much farther a neighbour that is not text counts in an article
 
 #: Very frequent words of some languages, and the names that markup uses.
 STOP_WORDS = {
@@ -229,32 +234,47 @@ def _unwrap(found: list[_Block], weights: list[int]) -> None:
 
 def label(found: list[tuple[str, float, bool, int]], dense: list[float]) -> list[bool]:
     """Which blocks (text, link density, aside, article) are main text, given the density of stop words of each."""
-    has_article = any(article and not aside for _, _, aside, article in found)
     first: list[bool | None] = []
     for (text, linked, aside, article), density in zip(found, dense, strict=True):
-        if aside or has_article and not article or linked > LINKED:
+        if aside or linked > LINKED:
             first.append(False)
         elif len(text) >= LONG and density >= DENSE:
             first.append(True)
-        elif len(text) >= LONG and density < SPARSE and not has_article:
+        elif len(text) >= LONG and density < SPARSE and not article:
             first.append(False)
         else:
             first.append(None)
-    return _inherit(first, [f[2] or has_article and not f[3] for f in found], has_article)
+    return _inherit(first, [f[2] for f in found], [f[3] for f in found])
 
 
-def _inherit(first: list[bool | None], outside: list[bool], has_article: bool) -> list[bool]:
-    """Undecided blocks take the label of the nearest decided block, a good one on a tie. Inside an article only its good blocks
-    count, since a menu inside it says nothing about its neighbours; with none, the article's blocks are text. Outside one, a page
-    without a decided block is text."""
-    decided = [k for k, x in enumerate(first) if x is not None and (x or not outside[k] and not has_article)]
-    out = []
+def _inherit(first: list[bool | None], aside: list[bool], article: list[int]) -> list[bool]:
+    """Undecided blocks take the label of the nearest decided block of the same article (0: outside), a good one on a tie. What is
+    aside says nothing about its neighbours. In an article without a good block all undecided blocks are text; outside, without a
+    decided block, they are if no article has text."""
+    good: dict[int, list[int]] = {}
+    bad: dict[int, list[int]] = {}
+    for k, x in enumerate(first):
+        if x is not None and not aside[k]:
+            (good if x else bad).setdefault(article[k], []).append(k)
+    has_article = any(a and not out and x is not False for a, out, x in zip(article, aside, first, strict=True))
+    labels = []
     for k, x in enumerate(first):
         if x is None:
-            near = min(decided, key=lambda d: (abs(d - k), not first[d])) if decided and not has_article else None
-            x = True if near is None else bool(first[near])
-        out.append(bool(x))
-    return out
+            a = article[k]
+            if a:
+                x = a not in good or _distance(good[a], k) <= FAR * _distance(bad.get(a, []), k)
+            elif a in good or a in bad:
+                x = _distance(good.get(a, []), k) <= _distance(bad.get(a, []), k)
+            else:
+                x = not has_article
+        labels.append(x)
+    return labels
+
+
+def _distance(places: list[int], k: int) -> float:
+    """From ``k`` to the nearest of sorted places."""
+    at = bisect_left(places, k)
+    return min((abs(p - k) for p in places[max(at - 1, 0) : at + 1]), default=inf)
 
 
 def main_text(page: str | None) -> str:
