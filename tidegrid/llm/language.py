@@ -22,6 +22,8 @@ from tidegrid.llm.common import bounded_batches, slices, text_bytes, without
 UNKNOWN = "und"
 RESULTS = ["lang_pred", "score", "bits_per_byte"]
 _NEWLINE = 10
+DRAWN_CHARS = 20_000
+MAX_CONTEXTS = 20_000
 
 
 def held_out(doc_id) -> F.Column:
@@ -67,7 +69,7 @@ class ContextTrees:
     bits: np.ndarray  # context, symbol, language: code length
 
     @classmethod
-    def build(cls, rows: list[tuple[str, int, int]], max_contexts: int = 20_000) -> ContextTrees:
+    def build(cls, rows: list[tuple[str, int, int]], max_contexts: int = MAX_CONTEXTS) -> ContextTrees:
         languages = sorted({r[0] for r in rows})
         which = {x: k for k, x in enumerate(languages)}
         lang = np.array([which[r[0]] for r in rows], np.int64)
@@ -146,20 +148,35 @@ def _probabilities(c: np.ndarray, parent: np.ndarray, order_of: np.ndarray) -> n
     return np.maximum(p, 1e-300)
 
 
-def train(docs: DataFrame, train_chars: int = 1_000_000, doc_id: str = "doc_id") -> ContextTrees | None:
+def train(docs: DataFrame, train_chars: int = 1_000_000, doc_id: str = "doc_id", max_contexts: int = MAX_CONTEXTS) -> ContextTrees | None:
     """Context trees from (doc_id, text, lang) of the rows that are not held out and have a language.
 
-    ``train_chars`` bounds the expected size of the training sample of each
-    language: whole documents are drawn by a hash of their id, and the counting
-    runs on Spark. None if there is nothing to learn from.
+    A language of at most ``train_chars`` characters is learned whole. Of a larger
+    one, stretches of ``DRAWN_CHARS`` characters (shorter texts whole) are drawn by a
+    hash of id and place, so that ``train_chars`` is the expected size of the sample;
+    the stretch with the smallest hash is always in it, and with it its exact
+    copies. So every language is learned. The counting runs on Spark. Of each
+    order's contexts the trees keep the ``max_contexts`` most frequent ones over all
+    languages; rarer ones fall back to the next shorter context. None if there is
+    nothing to learn from.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.sum(F.length("text"))).collect()}
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id", F.lit("train")))
+    rows = rows.withColumn("own", own).withColumn("stretches", F.sequence(F.lit(0), F.floor((F.length("text") - 1) / DRAWN_CHARS).cast("int")))
+
+    def place(k):
+        return F.pmod(F.when(k == 0, F.col("own")).otherwise(F.xxhash64("own", k)), F.lit(1 << 30))
+
+    sizes = {r[0]: (r[1], r[2]) for r in rows.groupBy("lang").agg(F.sum(F.length("text")), F.min(F.array_min(F.transform("stretches", place)))).collect()}
     if not sizes:
         return None
-    share = F.create_map(*[F.lit(x) for lang, size in sizes.items() for x in (lang, min(1.0, train_chars / size))])
-    drawn = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share[F.col("lang")])
-    return ContextTrees.build([tuple(r) for r in gram_counts(drawn).collect()])
+    limits = {lang: max(int(train_chars / size * (1 << 30)), least + 1) for lang, (size, least) in sizes.items() if size > train_chars}
+    below = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("lang")] if limits else F.lit(None)
+    rows = rows.withColumn("below", below.cast("long"))
+    drawn = rows.withColumn("stretches", F.when(F.col("below").isNull(), F.array(F.lit(-1))).otherwise(F.filter("stretches", lambda k: place(k) < F.col("below"))))
+    drawn = drawn.filter(F.size("stretches") > 0).select("lang", "text", F.explode("stretches").alias("k"))
+    counts = gram_counts(drawn.select("lang", F.when(F.col("k") < 0, F.col("text")).otherwise(F.substring("text", F.col("k") * DRAWN_CHARS + 1, F.lit(DRAWN_CHARS))).alias("text"))).collect()
+    return ContextTrees.build([tuple(r) for r in counts], max_contexts) if counts else None
 
 
 def identify(docs: DataFrame, model: ContextTrees | None, text: str = "text") -> DataFrame:
