@@ -11,6 +11,7 @@ bins of all blocks are then dissolved and solved once more together.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from array import array
@@ -41,14 +42,23 @@ MAX_CACHED = 1_000_000
 class WordIds(dict):
     """Token ids (little-endian bytes) of each word of the split pattern, from a tokenizer file; filled as words are met.
 
-    The tokenizer treats every such word by itself, so a text's ids are its words' ids in a row."""
+    The tokenizer treats every such word by itself, so a text's ids are its words' ids in a row. Added tokens of the file are words
+    of their own, found in the raw text."""
 
     _CACHE: dict[str, WordIds] = {}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenize = Tokenizer.from_file(path).model.tokenize
+        tokenizer = Tokenizer.from_file(path)
+        self.tokenize = tokenizer.model.tokenize
+        added = tokenizer.get_added_tokens_decoder()
+        odd = [t.content for t in added.values() if t.single_word or t.lstrip or t.rstrip or t.normalized]
+        if odd:
+            raise NotImplementedError(f"added tokens that look at their surroundings or at normalised text: {odd}")
+        self.added = {t.content: array("I", [k]).tobytes() for k, t in added.items() if t.content}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")").split if longest else lambda text: [text]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.visible = {b: 256 + k for k, b in enumerate(rest)}  # byte-level tokenizers write these bytes as other characters
@@ -66,7 +76,15 @@ class WordIds(dict):
         ids = self[word] = array("I", [t.id for t in self.tokenize(written)]).tobytes()
         return ids
 
-    def texts(self, texts: list[str]) -> list[bytes]:
+    def texts(self, texts: list[str], added_tokens: bool = False) -> list[bytes]:
+        """Ids of each text. ``added_tokens``: strings of added tokens are those tokens, else ordinary text."""
+        if not added_tokens or not any(x in t for t in texts for x in self.added):
+            return self._plain(texts)
+        cut = [self.cut(t) for t in texts]  # every other part is an added token
+        plain = iter(self._plain([p for parts in cut for p in parts[::2]]))
+        return [b"".join(self.added[p] if k % 2 else next(plain) for k, p in enumerate(parts)) for parts in cut]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
         joined, start, end, first = pieces.words([_normal(t) for t in texts])
         ids = list(map(self.__getitem__, map(joined.__getitem__, map(slice, start.tolist(), end.tolist()))))
         edge = first.tolist()
@@ -79,9 +97,9 @@ def _normal(text: str) -> str:
     return text.lower()
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, added_tokens: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece of each document (its ids, then ``END``). A null text is only ``END``.
-    Strings of special tokens in a text are ordinary text."""
+    Strings of added tokens in a text are ordinary text unless ``added_tokens``."""
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
@@ -94,7 +112,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
             _, at = text_bytes(batch.column("text"))
             row, start, length, crc = [], [], [], []
             for a, b in slices(at, 1 << 20):
-                for k, ids in enumerate(words.texts(texts[a:b]), a):
+                for k, ids in enumerate(words.texts(texts[a:b], added_tokens), a):
                     ids += end
                     for s in range(0, len(ids), 4 * capacity):
                         part = ids[s : s + 4 * capacity]
@@ -252,15 +270,16 @@ def _deal(rows: DataFrame) -> DataFrame:
     return placed.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(max(1, -(-n // BLOCK)))))
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, added_tokens: bool = False) -> DataFrame:
     """One row per piece of (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    ``path`` names the tokenizer file. Pieces follow one another without gaps in
+    ``path`` names the tokenizer file. With ``added_tokens`` ids are those of the
+    library's ``encode``; without, those under its ``encode_special_tokens``. Pieces follow one another without gaps in
     a sequence. Null texts are one END token; an empty table gives no rows; rows
     that share an id are packed one by one. Other columns are not carried.
     """
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    cut = materialise(token_pieces(docs, path, capacity), "pieces")
+    cut = materialise(token_pieces(docs, path, capacity, added_tokens), "pieces")
     full = cut.filter(F.col("length") == capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     solved = materialise(solve(_deal(cut.filter(F.col("length") < capacity)), capacity), "packed")
     good = solved.filter(F.col("fill") >= POOR * capacity)
