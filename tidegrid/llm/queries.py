@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, html, language, license, packing, quality, simhash, substring, tokencounts, topk
+from tidegrid.llm import bpe, collocations, html, language, license, packing, quality, simhash, substring, tokencounts, topk
 from tidegrid.llm.common import materialise, scratch
 from tidegrid.session import table
 
@@ -170,3 +170,31 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         ledger.commit(1, rough.withColumn("op", F.lit("delete")).unionByName(exact))
     return ledger.totals()
+
+
+_COLLOCATIONS = rf"""
+    WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    p AS (SELECT row_number() OVER () AS piece, lang, x FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS x FROM d)),
+    w AS (SELECT lang, piece, regexp_extract_all(x, '[^\x20\x09]+') AS ws FROM p),
+    u AS (SELECT lang, piece, unnest(ws) AS w1, unnest(range(len(ws))) AS k FROM w),
+    t AS (SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM u WINDOW o AS (PARTITION BY piece ORDER BY k)),
+    s AS (SELECT lang, count(*) AS n FROM u GROUP BY lang),
+    f1 AS (SELECT lang, w1, count(*) AS f FROM t GROUP BY ALL),
+    f2 AS (SELECT lang, w1, w2, count(*) AS f FROM t WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= {collocations.MIN_COUNT}),
+    f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM t WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= {collocations.MIN_COUNT}),
+    c2 AS (SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.f AS a, x.f AS l, y.f AS r, 1 AS k FROM f2 JOIN f1 x ON x.lang = f2.lang AND x.w1 = f2.w1 JOIN f1 y ON y.lang = f2.lang AND y.w1 = f2.w2
+           WHERE NOT EXISTS (SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND f3.w1 = f2.w1 AND f3.w2 = f2.w2 AND 100 * f3.f >= {collocations.COVER} * f2.f)
+             AND NOT EXISTS (SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND f3.w2 = f2.w1 AND f3.w3 = f2.w2 AND 100 * f3.f >= {collocations.COVER} * f2.f)),
+    c3 AS (SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3 AS phrase, f3.f AS a, x.f AS l, y.f AS r, 1 AS k FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.w1 = f3.w1 JOIN f2 y ON y.lang = f3.lang AND y.w1 = f3.w2 AND y.w2 = f3.w3
+           UNION ALL
+           SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.f, x.f, y.f, 2 FROM f3 JOIN f2 x ON x.lang = f3.lang AND x.w1 = f3.w1 AND x.w2 = f3.w2 JOIN f1 y ON y.lang = f3.lang AND y.w1 = f3.w3),
+    c AS (SELECT *, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM (SELECT * FROM c2 UNION ALL SELECT * FROM c3)),
+    b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+    SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM b JOIN s ON s.lang = b.lang QUALIFY rank <= {collocations.TOP}
+    """
+
+
+@query("op11_collocations", _COLLOCATIONS)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents").select("text", "lang"))
