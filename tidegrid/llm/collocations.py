@@ -30,8 +30,8 @@ COVER = 50
 PART_BYTES = 32 << 20
 #: Most slots of a level's bitmap (16 MB).
 MAX_SLOTS = 1 << 27
-LOCAL_KEYS = 2 << 20
-SLICE = 4 << 20
+LOCAL_KEYS = 1 << 20
+SLICE = 1 << 20
 UNKNOWN = "und"
 _STOPS = [ord(c) for c in ".,;:!?"] + list(range(0x0A, 0x0E))
 IS_STOP = np.zeros(256, bool)
