@@ -97,7 +97,7 @@ def test_equal_hashes_of_different_texts_stay_apart(documents, monkeypatch):
     rows = [(k, "red car. blue car. red car", "en") for k in range(6)]
     docs = documents(rows, 1)
     bitmaps = {size: collocations.Bitmap(1, 64, np.full(8, 255, np.uint8)) for size in (1, 2)}
-    got = {(r.size, r.phrase): r.n for r in collocations._exact(docs.select("text", "lang"), bitmaps).collect()}
+    got = {(r.size, r.phrase): r.n for r in collocations._exact(docs.select("text", "lang"), bitmaps, 1).collect()}
     assert got == {(0, ""): 36, (1, "red"): 12, (1, "blue"): 6, (1, "car"): 18, (2, "red car"): 12, (2, "blue car"): 6}
 
 

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -131,17 +132,27 @@ def _slices(batch: pa.RecordBatch, rolling: Rolling) -> Iterator[tuple[_Words, l
         yield _Words(data[at[a] : at[b]], at[a : b + 1] - at[a], salts[a:b], rolling), langs[a:b]
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Small numbers as byte planes, compressed."""
+    return pa.compress(np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T), codec="zstd", asbytes=True)
+
+
+def _values(packed: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(packed, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).T).view(np.uint32).reshape(-1).astype(np.int64)
+
+
 def _packs(keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
-    """One row for each hash partition: its mass, keys and counts."""
+    """One row for each hash partition: its mass, the lower halves of its keys as steps, and counts. Keys that only differ above are one
+    then, which can only add survivors."""
     cut = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
-    own = np.flatnonzero(np.diff(cut))
-    columns = [
-        pa.array(own.astype(np.int32)),
-        pa.array([int(counts[cut[p] : cut[p + 1]].sum()) for p in own], pa.int64()),
-        pa.array([keys[cut[p] : cut[p + 1]].tobytes() for p in own], pa.binary()),
-        pa.array([counts[cut[p] : cut[p + 1]].tobytes() for p in own], pa.binary()),
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["part", "mass", "keys", "counts"])
+    rows = []
+    for p in np.flatnonzero(np.diff(cut)):
+        own, n = keys[cut[p] : cut[p + 1]] & np.uint64(0xFFFFFFFF), counts[cut[p] : cut[p + 1]]
+        order = np.argsort(own)
+        rows.append((int(p), int(n.sum()), len(own), _planes(np.diff(own[order], prepend=np.uint64(0))), _planes(n[order])))
+    columns = list(zip(*rows)) if rows else [[]] * 5
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "mass", "size", "keys", "counts"])
 
 
 def _level(docs: DataFrame, size: int, threshold: int, parts: int, shorter: Bitmap | None) -> Bitmap:
@@ -171,12 +182,12 @@ def _level(docs: DataFrame, size: int, threshold: int, parts: int, shorter: Bitm
                     fold()
                     waiting, n = [], 0
                     if len(local.keys) >= LOCAL_KEYS or mass >> 31:
-                        yield _packs(local.keys, local.counts.astype(np.uint32), parts)
+                        yield _packs(local.keys, local.counts, parts)
                         local, mass = Summary(1 << 62), 0
         if n:
             fold()
         if len(local.keys):
-            yield _packs(local.keys, local.counts.astype(np.uint32), parts)
+            yield _packs(local.keys, local.counts, parts)
 
     slots = max(64, min(MAX_SLOTS // parts, PART_BYTES // 4) // 64 * 64)
 
@@ -189,8 +200,8 @@ def _level(docs: DataFrame, size: int, threshold: int, parts: int, shorter: Bitm
         def fold() -> None:
             summary.add(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
 
-        for keys, counts in zip(table.column("keys"), table.column("counts"), strict=True):
-            waiting.append((np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64)))
+        for row in table.select(["size", "keys", "counts"]).to_pylist():
+            waiting.append((np.cumsum(_values(row["keys"], row["size"])).astype(np.uint64), _values(row["counts"], row["size"])))
             n += len(waiting[-1][0])
             if n > summary.capacity:
                 fold()
@@ -201,7 +212,7 @@ def _level(docs: DataFrame, size: int, threshold: int, parts: int, shorter: Bitm
         bits[_slot(summary.reaching(threshold), slots)] = True
         return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    packed = docs.mapInArrow(pack, "part int, mass long, keys binary, counts binary")
+    packed = docs.mapInArrow(pack, "part int, mass long, size long, keys binary, counts binary")
     rows = packed.groupBy("part").applyInArrow(merge, "part int, bits binary").collect()
     known.destroy()
     bits = np.zeros((parts, slots // 8), np.uint8)
@@ -210,18 +221,64 @@ def _level(docs: DataFrame, size: int, threshold: int, parts: int, shorter: Bitm
     return Bitmap(parts, slots, bits.reshape(-1))
 
 
-def _exact(docs: DataFrame, bitmaps: dict[int, Bitmap]) -> DataFrame:
-    """lang, size, phrase, n: exact counts of all phrases whose bit is set. Size 0 has the language's number of words."""
+def _grouped(h: np.ndarray, check: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One index for each pair of hashes, in order of the first, and the sum of ``n``; equal first hashes of different texts stay apart."""
+    order = np.lexsort((check, h))
+    edge = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (check[order][1:] != check[order][:-1])]))
+    return order[edge], np.add.reduceat(n[order], edge)
+
+
+class _Found:
+    """Phrases of one language and length that a task has seen: hashes, counts and texts."""
+
+    def __init__(self):
+        self.rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]] = []
+        self.size = 0
+
+    def add(self, *row) -> None:
+        self.rows.append(row)
+        self.size += len(row[0])
+
+    def packs(self, parts: int) -> Iterator[tuple[int, int, bytes, int, bytes]]:
+        """Hash partition, number of phrases, their texts in order, the length of those, and the counts."""
+        h, check, n = (np.concatenate(x) for x in list(zip(*self.rows, strict=True))[:3])
+        rep, n = _grouped(h, check, n)
+        texts = pa.concat_arrays([row[3] for row in self.rows]).take(pa.array(rep))
+        cut = np.searchsorted(part_of(h[rep], parts), np.arange(parts + 1))
+        for p in np.flatnonzero(np.diff(cut)):
+            own = texts.slice(cut[p], cut[p + 1] - cut[p])
+            order = pc.sort_indices(own)
+            blob = "\n".join(own.take(order).to_pylist()).encode()
+            yield int(p), len(own), pa.compress(blob, codec="zstd", asbytes=True), len(blob), _planes(n[cut[p] : cut[p + 1]][order.to_numpy()])
+
+
+def _exact(docs: DataFrame, bitmaps: dict[int, Bitmap], threshold: int) -> DataFrame:
+    """lang, size, phrase, n: exact counts of all phrases whose bit is set, from ``threshold`` on. Size 0 has the language's words."""
     known = docs.sparkSession.sparkContext.broadcast(bitmaps)
+    parts = next(iter(bitmaps.values())).parts
+    names = ["part", "lang", "size", "many", "texts", "bytes", "counts"]
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, other, maps = Rolling(11), Rolling(12), known.value
+        found: dict[tuple[str, int], _Found] = {}
+        totals: dict[str, int] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (lang, size), own in found.items():
+                rows = [(p, lang, size, n, texts, length, counts) for p, n, texts, length, counts in own.packs(parts)]
+                yield batch_of(rows)
+            found.clear()
+
         for batch in batches:
             for words, langs in _slices(batch, rolling):
-                names, code = np.unique(np.array(langs, object), return_inverse=True)
+                own, code = np.unique(np.array(langs, object), return_inverse=True)
                 code = code.reshape(-1)
-                total = np.bincount(code[words.row], minlength=len(names))
-                yield _counted(names, np.arange(len(names)), 0, pa.array([""] * len(names)), total)
+                for lang, n in zip(own.tolist(), np.bincount(code[words.row], minlength=len(own)).tolist(), strict=True):
+                    totals[lang] = totals.get(lang, 0) + n
                 check = other.words(words.data, words.start, words.end)
                 for size, bitmap in maps.items():
                     place, h = words.phrases(size)
@@ -229,27 +286,42 @@ def _exact(docs: DataFrame, bitmaps: dict[int, Bitmap]) -> DataFrame:
                     place, h = place[keep], h[keep]
                     if not len(place):
                         continue
-                    _, rep, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-                    second = mix(other.spans(check, place, place + size) ^ words.salt[place])
-                    odd = np.flatnonzero(second != second[rep][back.reshape(-1)])  # equal hash, another text
-                    np.subtract.at(n, back.reshape(-1)[odd], 1)
-                    at = np.concatenate([place[rep], place[odd]])
-                    yield _counted(names, code[words.row[at]], size, words.texts(at, size), np.concatenate([n, np.ones(len(odd), np.int64)]))
-
-    found = docs.mapInArrow(count, "lang string, size int, phrase string, n long")
-    return found.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+                    second = other.spans(check, place, place + size) ^ words.salt[place]
+                    rep, n = _grouped(h, second, np.ones(len(h), np.int64))
+                    texts, of = words.texts(place[rep], size), code[words.row[place[rep]]]
+                    for k in np.unique(of):
+                        at = np.flatnonzero(of == k)
+                        found.setdefault((own[k], size), _Found()).add(h[rep][at], second[rep][at], n[at], texts.take(pa.array(at)))
+                if sum(x.size for x in found.values()) >= LOCAL_KEYS:
+                    yield from flush()
+        yield from flush()
+        if totals:
+            yield batch_of([(0, lang, 0, 1, None, n, None) for lang, n in totals.items()])
 
-
-def _counted(names: np.ndarray, lang: np.ndarray, size: int, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(names.tolist(), pa.string()).take(pa.array(lang)), pa.array(np.full(len(lang), size, np.int32)), phrases, pa.array(n.astype(np.int64))]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "n"])
+    def merge(table: pa.Table) -> pa.Table:
+        parts_ = []
+        for row in table.to_pylist():
+            if row["counts"] is None:
+                phrases, n = [""], np.array([row["bytes"]])
+            else:
+                phrases = pa.decompress(row["texts"], row["bytes"], codec="zstd", asbytes=True).decode().split("\n")
+                n = _values(row["counts"], row["many"])
+            parts_.append(pa.table({"phrase": pa.array(phrases, pa.string()), "n": pa.array(n, pa.int64())}))
+        sums = pa.concat_tables(parts_).group_by("phrase").aggregate([("n", "sum")])
+        size = table.column("size")[0].as_py()
+        sums = sums.filter(pc.greater_equal(sums.column("n_sum"), threshold if size else 0))
+        k = len(sums)
+        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * k, pa.string()), "size": pa.array([size] * k, pa.int32()), "phrase": sums.column("phrase"), "n": sums.column("n_sum")})
+
+    packed = docs.mapInArrow(count, "part int, lang string, size int, many long, texts binary, bytes long, counts binary")
+    return packed.groupBy("part", "lang", "size").applyInArrow(merge, "lang string, size int, phrase string, n long")
 
 
 # --- the operator -----------------------------------------------------------------
 
 
 def frequent(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS) -> DataFrame:
-    """lang, size (words), phrase, n: exact counts of every phrase of up to ``max_words`` words that occurs ``min_count`` times
+    """lang, size (words), phrase, n, id: exact counts of every phrase of up to ``max_words`` words that occurs ``min_count`` times
     or more in its language; size 0 has all words of a language."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
@@ -258,7 +330,7 @@ def frequent(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_W
     bitmaps: dict[int, Bitmap] = {}
     for size in range(1, max_words + 1):
         bitmaps[size] = _level(docs, size, min_count, parts, bitmaps.get(size - 1))
-    return materialise(_exact(docs, bitmaps).filter((F.col("n") >= min_count) | (F.col("size") == 0)), "phrases")
+    return materialise(_exact(docs, bitmaps, min_count).withColumn("id", F.monotonically_increasing_id()), "phrases")
 
 
 def _score(a: str, left: str, right: str) -> F.Column:
@@ -283,24 +355,27 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS
     row; repeated rows count again; other columns are ignored.
     """
     counted = frequent(docs, min_count, max_words)
-    phrases = counted.filter("size > 0").select("lang", "phrase", "size", "n")
-    candidates = phrases.filter("size > 1").withColumnRenamed("n", "a")
+    phrases = counted.filter("size > 0")
     words = F.split("phrase", " ")
-    cuts = [F.when(F.col("size") > k, F.struct(F.lit(k).alias("k"), F.array_join(F.slice(words, 1, k), " ").alias("left"), F.array_join(F.slice(words, k + 1, max_words), " ").alias("right"))) for k in range(1, max_words)]
-    cut = candidates.select("lang", "phrase", "size", "a", F.explode(F.array_compact(F.array(*cuts))).alias("c"))
-    sides = cut.select("lang", "phrase", "size", "a", "c.k", F.explode(F.array(F.struct(F.lit(True).alias("is_left"), F.col("c.left").alias("part")), F.struct(F.lit(False).alias("is_left"), F.col("c.right").alias("part")))).alias("s"))
-    sides = sides.select("lang", "phrase", "size", "a", "k", "s.is_left", "s.part")
-    seen = sides.join(phrases.select("lang", F.col("phrase").alias("part"), F.col("n").alias("f")), ["lang", "part"])
-    sums = [F.max(F.when((F.col("k") == k) & (F.col("is_left") == left), F.col("f"))).alias(f"{'l' if left else 'r'}{k}") for k in range(1, max_words) for left in (True, False)]
-    wide = seen.groupBy("lang", "phrase", "size", "a").agg(*sums)
-    best = F.array_min(F.array_compact(F.array(*[F.when(F.col("size") > k, F.struct(_score("a", f"l{k}", f"r{k}").alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r"))) for k in range(1, max_words)])))
-    scored = wide.withColumn("b", best).select("lang", "phrase", "a", "b.l", "b.r", "b.score")
-    if max_words > 2:
-        inner = F.flatten(F.array(*[_parts(words, s) for s in range(2, max_words)]))
-        longer = candidates.filter("size > 2").select("lang", F.explode(F.array_distinct(inner)).alias("phrase"), F.col("a").alias("longer"))
-        longest = longer.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
-        scored = scored.join(longest, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < cover * F.col("a"))).drop("longer")
-    order = W.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    ranked = scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
+    sides = []
+    for k in range(1, max_words):
+        both = [(F.slice(words, 1, k), 2 * k), (F.slice(words, k + 1, max_words), 2 * k + 1)]
+        sides += [F.when(F.col("size") > k, F.struct(F.array_join(part, " ").alias("part"), F.lit(slot).alias("slot"))) for part, slot in both]
+    inner = [F.transform(_parts(words, size), lambda p: F.struct(p.alias("part"), F.lit(0).alias("slot"))) for size in range(2, max_words - 1)]
+    needed = F.concat(F.array_compact(F.array(*sides)), *inner)
+    asked = phrases.filter("size > 1").select("lang", "id", F.col("n").alias("a"), F.explode(needed).alias("s")).select("lang", "id", "a", "s.part", "s.slot")
+    met = asked.join(phrases.select("lang", F.col("phrase").alias("part"), F.col("n").alias("f"), F.col("id").alias("part_id"), (F.col("size") > 1).alias("phrase_too")), ["lang", "part"])
+    # a row for the phrase that asked, and one for a part that it covers
+    own = F.struct("id", "a", "slot", "f")
+    covers = F.when(F.col("phrase_too") & (100 * F.col("a") >= cover * F.col("f")), F.struct(F.col("part_id").alias("id"), F.col("f").alias("a"), F.lit(1).alias("slot"), F.col("f")))
+    told = met.select("lang", F.explode(F.array_compact(F.array(own, covers))).alias("t")).select("lang", "t.id", "t.a", "t.slot", "t.f")
+    sums = [F.max(F.when(F.col("slot") == slot, F.col("f"))).alias(f"f{slot}") for slot in range(1, 2 * max_words)]
+    wide = told.groupBy("lang", "id", "a").agg(*sums).filter("f1 IS NULL")
+    cuts = [F.when(F.col(f"f{2 * k}").isNotNull(), F.struct(_score("a", f"f{2 * k}", f"f{2 * k + 1}").alias("score"), F.lit(k).alias("k"), F.col(f"f{2 * k}").alias("l"), F.col(f"f{2 * k + 1}").alias("r"))) for k in range(1, max_words)]
+    scored = wide.withColumn("b", F.array_min(F.array_compact(F.array(*cuts)))).select("lang", "id", "a", "b.l", "b.r", "b.score")
+    by_score = [F.col("score").desc(), F.col("a").desc()]
+    front = scored.withColumn("place", F.rank().over(W.partitionBy("lang").orderBy(*by_score))).filter(F.col("place") <= top).drop("place")
+    named = front.join(phrases.select("id", "phrase"), "id")
+    ranked = named.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*by_score, "phrase")).cast("long")).filter(F.col("rank") <= top)
     sizes = counted.filter("size = 0").select("lang", "n")
     return ranked.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
