@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, collocations, html, language, license, packing, quality, simhash, substring, tokencounts, topk
+from tidegrid.llm import bpe, collocations, html, language, license, negatives, packing, quality, simhash, substring, tokencounts, topk
 from tidegrid.llm.common import materialise, scratch
 from tidegrid.session import table
 
@@ -198,3 +198,23 @@ _COLLOCATIONS = rf"""
 @query("op11_collocations", _COLLOCATIONS)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+_NEGATIVES = f"""
+    WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor({negatives.SCALE} * x::DOUBLE)) AS e FROM embeddings
+               WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+          FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 50 = 0),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {negatives.POSITIVES}),
+    n AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+          FROM p JOIN s USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN {negatives.LOW} * positive_score AND {negatives.HIGH} * positive_score)
+    SELECT * FROM n WHERE rank <= {negatives.NEGATIVES}
+    """
+
+
+@query("op12_hard_negatives", _NEGATIVES)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = negatives.scaled(table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding"))
+    return negatives.mine(vectors, vectors.filter("vec_id % 50 = 0"))
