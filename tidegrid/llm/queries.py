@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, collocations, html, language, license, negatives, packing, quality, simhash, substring, tokencounts, topk
+from tidegrid.llm import bpe, collocations, html, language, license, negatives, ngramjoin, packing, quality, simhash, substring, tokencounts, topk
 from tidegrid.llm.common import materialise, scratch
 from tidegrid.session import table
 
@@ -218,3 +218,23 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = negatives.scaled(table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding"))
     return negatives.mine(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+_NGRAM_JOIN = rf"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    u AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS k FROM d),
+    g AS (SELECT DISTINCT doc_id, s FROM (
+          SELECT doc_id, {_leads(3)} AS s FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY k)
+          UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 2) WHERE s IS NOT NULL),
+    n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+    c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+    l AS (SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * o >= {ngramjoin.SIMILAR} * (nx.n + ny.n - o)),
+    e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+    r(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.other)
+    SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
+    """
+
+
+@query("op13_ngram_join", _NGRAM_JOIN)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(table(spark, sf_dir, "documents"))
