@@ -16,7 +16,7 @@ one pair a member, and no link between different classes is lost.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ SHINGLE = 3
 SIMILAR = 90
 FRAGMENTS = 4
 HUBS = 1
-PAIRS_A_NODE = 4
+PAIRS_A_NODE = 16
 #: Members that one run of a hub is counted with.
 RUN = 64
 SEGMENT = 1 << 16
@@ -268,7 +268,8 @@ def _segments(docs: DataFrame, named: DataFrame, shingle: int, order) -> DataFra
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], ["hi", "lo", "fragment", "own"])
 
     found = docs.select("text").mapInArrow(run, "hi long, lo long, fragment int, own binary")
-    return materialise(found.join(named, ["hi", "lo"]).dropDuplicates(["node", "fragment"]).select("node", "fragment", "own"), "segments")
+    # copies in other tasks arrive in the same partition as the join's, so they cost no shuffle of their own
+    return materialise(found.join(named, ["hi", "lo"]).dropDuplicates(["hi", "lo", "fragment"]).select("node", "fragment", "own"), "segments")
 
 
 # --- counting ---------------------------------------------------------------------
@@ -307,8 +308,8 @@ def _linked(pairs: DataFrame, segments: DataFrame, similar: int) -> DataFrame:
     return pairs.join(total, ["a", "b"]).filter(100 * F.col("o") >= similar * (F.col("n_a") + F.col("n_b") - F.col("o"))).select("a", "b")
 
 
-def _classes(met: DataFrame, segments: DataFrame, similar: int) -> DataFrame:
-    """node, component for all nodes that met."""
+def _classes(met: DataFrame, segments_of: Callable[[DataFrame], DataFrame], similar: int) -> DataFrame:
+    """node, component for all nodes that met. Only nodes of a round's pairs are cut into segments."""
     labels = materialise(met.select("node").distinct().withColumn("component", F.col("node")), "labels")
     total = labels.count()
     apart = met.withColumn("component", F.col("node"))
@@ -331,6 +332,7 @@ def _classes(met: DataFrame, segments: DataFrame, similar: int) -> DataFrame:
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
         pairs = materialise(pairs, "pairs")
+        segments = segments_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         links = materialise(_linked(pairs.drop("x", "y"), segments, similar), "links")
         tested = pairs.select("x", "y") if tested is None else tested.unionByName(pairs.select("x", "y"))
         edges = links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
@@ -361,8 +363,11 @@ def join(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR, fragme
     order = spark.sparkContext.broadcast(_order(marks, cells, fragments))
     nodes = _nodes(docs, shingle, similar, order)
     met = _met(nodes, similar)
-    named = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "hi", "lo")
-    labels = _classes(met, _segments(docs, named, shingle, order), similar)
+
+    def segments_of(wanted: DataFrame) -> DataFrame:
+        return _segments(docs, materialise(nodes.join(wanted, "node", "left_semi").select("node", "hi", "lo"), "wanted"), shingle, order)
+
+    labels = _classes(met, segments_of, similar)
     known = nodes.select("node", "hi", "lo").join(labels, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"))
     least = rows.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("least")).join(known, ["hi", "lo"])
     roots = least.groupBy("component").agg(F.min("least").alias("component_id"))
