@@ -31,6 +31,8 @@ from tidegrid.llm.common import Rolling, bounded_batches, components, materialis
 SHINGLE = 3
 SIMILAR = 90
 FRAGMENTS = 4
+#: Cells of a node's shape: the sizes of its shares of the hash range, which bound an overlap before it is counted.
+SHAPE = 128
 HUBS = 1
 PAIRS_A_NODE = 16
 #: Members that one run of a hub is counted with.
@@ -148,7 +150,8 @@ def needed(n: int, similar: int) -> int:
 
 
 def _nodes(docs: DataFrame, shingle: int, similar: int, order) -> DataFrame:
-    """node, hi, lo, n and front: the n-grams at the front of the node's order, of which a similar set has one in its own front."""
+    """node, hi, lo, n, front and shape: the n-grams at the front of the node's order, of which a similar set has one in its own front;
+    the number of n-grams in each of ``SHAPE`` equal parts of the hash range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, seen = Rolling(21), set()
@@ -159,14 +162,16 @@ def _nodes(docs: DataFrame, shingle: int, similar: int, order) -> DataFrame:
                     name = _digest(own)
                     if len(own) and name not in seen:
                         seen.add(name)
-                        rows.append((*name, len(own), order.value.sorted(own)[: len(own) - needed(len(own), similar) + 1].view(np.int64)))
+                        shape = np.bincount((own >> np.uint64(32)).astype(np.int64) * SHAPE >> 32, minlength=SHAPE)
+                        rows.append((*name, len(own), order.value.sorted(own)[: len(own) - needed(len(own), similar) + 1].view(np.int64), shape))
                 if rows:
-                    hi, lo, n, front = zip(*rows, strict=True)
+                    hi, lo, n, front, shape = zip(*rows, strict=True)
+                    shapes = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * SHAPE, pa.int32()), pa.array(np.concatenate(shape).astype(np.int32)))
                     ends = np.concatenate([[0], np.cumsum([len(x) for x in front])])
                     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(front)))
-                    yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int64()), lists], ["hi", "lo", "n", "front"])
+                    yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int64()), lists, shapes], ["hi", "lo", "n", "front", "shape"])
 
-    found = docs.select("text").mapInArrow(run, "hi long, lo long, n long, front array<long>")
+    found = docs.select("text").mapInArrow(run, "hi long, lo long, n long, front array<long>, shape array<int>")
     return materialise(found.dropDuplicates(["hi", "lo"]).withColumn("node", F.monotonically_increasing_id()), "nodes")
 
 
@@ -308,7 +313,14 @@ def _linked(pairs: DataFrame, segments: DataFrame, similar: int) -> DataFrame:
     return pairs.join(total, ["a", "b"]).filter(100 * F.col("o") >= similar * (F.col("n_a") + F.col("n_b") - F.col("o"))).select("a", "b")
 
 
-def _classes(met: DataFrame, segments_of: Callable[[DataFrame], DataFrame], similar: int) -> DataFrame:
+def _possible(pairs: DataFrame, shapes: DataFrame, similar: int) -> DataFrame:
+    """Pairs whose shapes allow the overlap that they need."""
+    both = pairs.join(shapes.select(F.col("node").alias("a"), F.col("shape").alias("sa")), "a").join(shapes.select(F.col("node").alias("b"), F.col("shape").alias("sb")), "b")
+    most = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda t, x: t + x)
+    return both.filter((100 + similar) * most >= similar * (F.col("n_a") + F.col("n_b"))).drop("sa", "sb")
+
+
+def _classes(met: DataFrame, shapes: DataFrame, segments_of: Callable[[DataFrame], DataFrame], similar: int) -> DataFrame:
     """node, component for all nodes that met. Only nodes of a round's pairs are cut into segments."""
     labels = materialise(met.select("node").distinct().withColumn("component", F.col("node")), "labels")
     total = labels.count()
@@ -331,16 +343,18 @@ def _classes(met: DataFrame, segments_of: Callable[[DataFrame], DataFrame], simi
         pairs = pairs.groupBy(F.least("node", "b").alias("x"), F.greatest("node", "b").alias("y")).agg(F.min(F.struct("b", "n_b", F.col("node").alias("a"), F.col("n").alias("n_a"))).alias("p")).select("x", "y", "p.a", "p.b", "p.n_a", "p.n_b")
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
-        pairs = materialise(pairs, "pairs")
+        pairs = materialise(pairs, "met-pairs")
+        tested = pairs.select("x", "y") if tested is None else tested.unionByName(pairs.select("x", "y"))
+        pairs = materialise(_possible(pairs, shapes, similar), "pairs")
         segments = segments_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         links = materialise(_linked(pairs.drop("x", "y"), segments, similar), "links")
-        tested = pairs.select("x", "y") if tested is None else tested.unionByName(pairs.select("x", "y"))
         edges = links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
         moved = components(edges.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("into"))
         labels = materialise(labels.join(moved, "component", "left").select("node", F.coalesce("into", "component").alias("component")), "labels")
         if last:
             return labels
-        apart = live.drop("members").join(moved, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into")
+        # with all members but one as hubs, all pairs of a group were counted
+        apart = live.filter(F.col("members") - 1 > hubs).drop("members").join(moved, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into")
         hubs *= 4
 
 
@@ -367,7 +381,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR, fragme
     def segments_of(wanted: DataFrame) -> DataFrame:
         return _segments(docs, materialise(nodes.join(wanted, "node", "left_semi").select("node", "hi", "lo"), "wanted"), shingle, order)
 
-    labels = _classes(met, segments_of, similar)
+    labels = _classes(met, nodes.select("node", "shape"), segments_of, similar)
     known = nodes.select("node", "hi", "lo").join(labels, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"))
     least = rows.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("least")).join(known, ["hi", "lo"])
     roots = least.groupBy("component").agg(F.min("least").alias("component_id"))
