@@ -196,9 +196,9 @@ def _keys(batch: pa.RecordBatch, similar: int) -> tuple[np.ndarray, np.ndarray,
     return mix(token[both] ^ mix(size[row[both]] + up + np.uint64(1))), row[both], place[both]
 
 
-def _bitmap(rows: DataFrame, parts: int, at_least: int) -> Bitmap:
-    """Slots of keys with ``at_least`` entries; ``rows`` are packed keys."""
-    slots = SLOTS // parts // 64 * 64
+def _bitmap(rows: DataFrame, parts: int, at_least: int, keys: int) -> Bitmap:
+    """Slots of keys with ``at_least`` entries; ``rows`` are packed keys. There are 32 slots a key, up to ``SLOTS``."""
+    slots = max(min(SLOTS, 32 * keys) // parts // 64 * 64, 64)
 
     def merge(table: pa.Table) -> pa.Table:
         total = np.zeros(slots, np.uint16)
@@ -229,7 +229,7 @@ def _met(nodes: DataFrame, similar: int) -> DataFrame:
             if len(found):
                 yield _packs(found, n, parts)
 
-    shared = spark.sparkContext.broadcast(_bitmap(nodes.select("n", "front").mapInArrow(pack, _PACKED), parts, 2))
+    shared = spark.sparkContext.broadcast(_bitmap(nodes.select("n", "front").mapInArrow(pack, _PACKED), parts, 2, 2 * keys))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,7 +239,9 @@ def _met(nodes: DataFrame, similar: int) -> DataFrame:
             node, n = batch.column("node").to_numpy()[row], batch.column("n").to_numpy()[row]
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node), pa.array(n), pa.array(place)], ["key", "node", "n", "pos"])
 
-    return materialise(nodes.select("node", "n", "front").mapInArrow(keep, "key long, node long, n long, pos long"), "met")
+    met = materialise(nodes.select("node", "n", "front").mapInArrow(keep, "key long, node long, n long, pos long"), "met")
+    shared.destroy()
+    return met
 
 
 def _segments(docs: DataFrame, named: DataFrame, shingle: int, order) -> DataFrame:
@@ -253,7 +255,7 @@ def _segments(docs: DataFrame, named: DataFrame, shingle: int, order) -> DataFra
             if len(found):
                 yield _packs(found, n, parts)
 
-    asked = spark.sparkContext.broadcast(_bitmap(named.select("lo").mapInArrow(pack, _PACKED), parts, 1))
+    asked = spark.sparkContext.broadcast(_bitmap(named.select("lo").mapInArrow(pack, _PACKED), parts, 1, named.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, seen = Rolling(21), set()
@@ -274,7 +276,9 @@ def _segments(docs: DataFrame, named: DataFrame, shingle: int, order) -> DataFra
 
     found = docs.select("text").mapInArrow(run, "hi long, lo long, fragment int, own binary")
     # copies in other tasks arrive in the same partition as the join's, so they cost no shuffle of their own
-    return materialise(found.join(named, ["hi", "lo"]).dropDuplicates(["hi", "lo", "fragment"]).select("node", "fragment", "own"), "segments")
+    out = materialise(found.join(named, ["hi", "lo"]).dropDuplicates(["hi", "lo", "fragment"]).select("node", "fragment", "own"), "segments")
+    asked.destroy()
+    return out
 
 
 # --- counting ---------------------------------------------------------------------
