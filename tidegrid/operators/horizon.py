@@ -1,8 +1,10 @@
 """Scoring whole forecast horizons.
 
 Points are (keys, model, origin, lead, target_dt, point, actual, usable); keys
-name the series, ``lead`` counts cells from 1. Origins are thinned before
-(``splits.thin_origins``), so a series has a few hundred of them at most.
+name the series, ``lead`` counts cells from 1. Quantiles of all earlier errors
+come from ``prefixes``, whose cost grows with the number of errors and origins;
+only errors grouped by the size of the forecast still meet each origin one by one
+(``splits.thin_origins`` bounds those).
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.metrics import QUANTILE_LEVELS, crps
 from tidegrid.functions.timecols import epoch, to_local
+from tidegrid.operators.prefixes import prefix_quantiles
 from tidegrid.operators.quantiles import exact_quantiles
 from tidegrid.operators.ranking import _array_quantile, _resampled
 
@@ -61,18 +64,8 @@ def residual_quantiles(points: DataFrame, keys, horizon: int, seconds: int, cond
 
 
 def _past_quantiles(d: DataFrame, by, reach: int, n: str, q: str) -> DataFrame:
-    """Per origin: number and quantiles of the errors made at least ``reach`` seconds earlier.
-
-    Errors are packed per origin first, so each origin is worked out once
-    rather than once per cell.
-    """
-    per = d.groupBy(*by, "__t").agg(F.collect_list("__e").alias("__es"))
-    w = W.partitionBy(*by).orderBy("__t").rangeBetween(W.unboundedPreceding, -reach)
-    per = per.withColumn("__all", F.flatten(F.collect_list("__es").over(w)))
-    # Bound as a lambda variable, the array is sorted once and not per level.
-    levels = F.transform(F.array(F.sort_array("__all")), lambda a: F.array(*[_array_quantile(a, p) for p in QUANTILE_LEVELS]))
-    some = F.size("__all") > 0
-    return per.select(*by, "__t", F.size("__all").alias(n), F.when(some, F.element_at(levels, 1)).alias(q))
+    """Per origin: number and quantiles of the errors made at least ``reach`` seconds earlier."""
+    return prefix_quantiles(d, by, "__t", "__e", reach, QUANTILE_LEVELS, n, q)
 
 
 def _finish(d: DataFrame, nonnegative: bool) -> DataFrame:
@@ -87,15 +80,11 @@ def _bin(edges: Column, v: Column) -> Column:
 
 def _level_quantiles(d: DataFrame, g, reach: int, nonnegative: bool) -> DataFrame:
     """Past errors grouped by forecast size; the bin edges move with every origin."""
-    w = W.partitionBy(*g).orderBy("__t").rangeBetween(W.unboundedPreceding, -reach)
-    probs = ", ".join(f"{k / LEVEL_BINS}D" for k in range(1, LEVEL_BINS))
     levels = ", ".join(f"{q}D" for q in QUANTILE_LEVELS)
     known = F.when(F.col("__e").isNotNull(), F.col("point"))
-    d = d.withColumn("__k", known).withColumns(
-        {
-            "__edges": F.array_distinct(F.expr(f"percentile(__k, array({probs}))").over(w)),
-        }
-    ).join(_past_quantiles(d, g, reach, "__np", "__qp"), [*g, "__t"], "left")
+    sizes = prefix_quantiles(d.withColumn("__k", known), g, "__t", "__k", reach, [k / LEVEL_BINS for k in range(1, LEVEL_BINS)], "__nk", "__edges")
+    d = d.join(sizes.select(*g, "__t", F.array_distinct("__edges").alias("__edges")), [*g, "__t"], "left")
+    d = d.join(_past_quantiles(d, g, reach, "__np", "__qp"), [*g, "__t"], "left")
     d = d.withColumn("__b", _bin(F.col("__edges"), F.col("point")))
     # One row per origin and occupied bin meets the earlier errors of its model; origins are thinned.
     want = d.filter(F.col("__np") >= MIN_RESIDUALS).select(*g, "__t", "__b", "__edges").distinct()
