@@ -18,6 +18,7 @@ from tidegrid.functions.timecols import epoch, to_local
 from tidegrid.operators.prefixes import prefix_quantiles
 from tidegrid.operators.quantiles import exact_quantiles
 from tidegrid.operators.ranking import _array_quantile, _resampled
+from tidegrid.session import cut_lineage
 
 # Fixed values.
 LEVEL_BINS = 8
@@ -45,7 +46,7 @@ def residual_quantiles(points: DataFrame, keys, horizon: int, seconds: int, cond
     g = [*keys, "model"]
     reach = horizon * seconds
     # Errors with no origin far enough back contribute nothing; the frame ends one horizon before the origin.
-    d = points.withColumn("__t", epoch("origin")).withColumn("__e", F.when(F.col("usable"), F.col("actual") - F.col("point")))
+    d = cut_lineage(points.withColumn("__t", epoch("origin")).withColumn("__e", F.when(F.col("usable"), F.col("actual") - F.col("point"))))
     if condition == "level":
         return _level_quantiles(d, g, reach, nonnegative)
     if condition == "lead":

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,25 +83,27 @@ def _ranks(n: np.ndarray, probs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low.astype(np.int64), spot - low
 
 
-def _solve(table: pd.DataFrame, by: list[str], reach: int, probs: np.ndarray) -> pd.DataFrame:
+def _solve(rows: pa.Table, by: list[str], reach: int, probs: np.ndarray) -> pa.Table:
     """Groups that are here as a whole: number and quantiles at every moment."""
+    table = rows.select(by).to_pandas()
     group = table.groupby(by, sort=False, dropna=False).ngroup().to_numpy()
-    at, value = table["at"].to_numpy(), table["value"].to_numpy(np.float64)
+    at, value = rows.column("at").to_numpy(), rows.column("value").to_numpy().astype(np.float64)
     real = ~np.isnan(value)
     groups = _Groups(group[real], at[real], value[real])
-    moments = table[[*by, "at"]].assign(g=group).drop_duplicates(["g", "at"])
-    g = moments["g"].to_numpy()
-    begin, end = groups.seen(g, moments["at"].to_numpy() - reach)
+    moment = pd.DataFrame({"g": group, "at": at}).drop_duplicates().index.to_numpy()
+    g = group[moment]
+    begin, end = groups.seen(g, at[moment] - reach)
     n = end - begin
     some = np.flatnonzero(n)
     low, share = _ranks(n[some], probs)
     flat = [np.repeat(x[some], len(probs)) for x in (g, begin, end)]
     a = groups.kth(*flat, low.reshape(-1))
     b = groups.kth(*flat, np.minimum(low + 1, n[some, None] - 1).reshape(-1))
-    q = (a + (b - a) * share.reshape(-1)).reshape(len(some), len(probs))
-    quantiles = np.full(len(n), None, object)
-    quantiles[some] = list(q)
-    return moments[[*by, "at"]].assign(n=n, q=quantiles)
+    q = a + (b - a) * share.reshape(-1)
+    ends = np.concatenate([[0], np.cumsum(np.where(n > 0, len(probs), 0))]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(n == 0, False)), pa.array(q))
+    taken = rows.select([*by, "at"]).take(pa.array(moment))
+    return taken.append_column("n", pa.array(n, pa.int64())).append_column("q", lists)
 
 
 def _pick(table: pd.DataFrame, by: list[str], reach: int) -> pd.DataFrame:
@@ -128,7 +131,7 @@ def prefix_quantiles(df: DataFrame, by: Sequence[str], at: str, value: str, reac
     levels = np.array(probs)
     small = d if not large else d.join(sizes.filter("NOT large").select(*by), by, "left_semi")
     dealt = small.withColumn("task", F.pmod(F.xxhash64(*by), F.lit(tasks)))
-    out = dealt.groupBy("task").applyInPandas(lambda t: _solve(t, by, reach, levels), f"{keys}, at long, n long, q array<double>")
+    out = dealt.groupBy("task").applyInArrow(lambda t: _solve(t, by, reach, levels), f"{keys}, at long, n long, q array<double>")
     if large:
         out = out.unionByName(_large(d.join(sizes.filter("large").select(*by), by, "left_semi"), by, keys, reach, levels, cells, tasks))
     return out.select(*by, F.col("at").alias(at), F.col("n").alias(n), F.col("q").alias(q))
