@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import bisect
-from array import array
-
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions.timecols import epoch, shift
-from tidegrid.operators.folds import sorted_fold
 from tidegrid.operators.grid import spine
+from tidegrid.operators.prefixes import prefix_quantiles
 from tidegrid.operators.scan import Scan, drop_halo, halo_window, running, with_halo
 
 
@@ -75,30 +71,12 @@ def drop_warmup(df: DataFrame, keys, warmup: int, seconds: int, y: str = "y", ts
     return d.filter(epoch(ts) >= epoch("__first") + warmup * seconds).drop("__first")
 
 
-def _median_step(keys, value):
-    def step(seen, rows):
-        vals = rows[value].to_numpy()
-        hole = np.isnan(vals)
-        out = rows[hole][[*keys, "__t"]].copy()
-        prior = []
-        for v, missing in zip(vals, hole):
-            if missing:
-                n = len(seen)
-                prior.append(None if not n else (seen[(n - 1) // 2] + seen[n // 2]) / 2)
-            else:
-                bisect.insort(seen, v)
-        out["__prior"] = np.array(prior, dtype="float64") if prior else []
-        return seen, out
-
-    return step
-
-
 def causal_impute(df: DataFrame, keys, value: str = "y", ts: str = "grid_ts", method: str = "median") -> DataFrame:
     """Fill gaps from strictly earlier values: their median, or the last one (``hold``).
 
     The head takes the first observed value, a series without any takes 0.
-    Adds ``imputed``. For the median only series with gaps are folded, and only
-    up to their last gap; it keeps the values seen so far (8 bytes each).
+    Adds ``imputed``. Medians come from ``prefixes``: ranks of all values up to the
+    last gap of a series, found offline, so no window and no state grows.
     """
     keys = list(keys)
     v = F.col(value)
@@ -112,11 +90,8 @@ def causal_impute(df: DataFrame, keys, value: str = "y", ts: str = "grid_ts", me
     else:
         d = df.join(first, keys).withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp")))
         need = d.filter(F.col(ts) <= F.col("__gap")).select(*keys, "__t", v.cast("double").alias(value))
-        types = dict(df.dtypes)
-        schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", __t long, __prior double"
-        prior = sorted_fold(need, keys, ["__t"], schema, lambda: array("d"), _median_step(keys, value))
+        prior = prefix_quantiles(need, keys, "__t", value, 1, [0.5], "__n", "__q").select(*keys, "__t", F.element_at("__q", 1).alias("__prior"))
         d = d.join(prior, [*keys, "__t"], "left").drop("__t")
-        d = d.withColumn("__prior", F.when(F.isnan("__prior"), None).otherwise(F.col("__prior")))
     return d.withColumns(
         {"imputed": v.isNull(), value: F.coalesce(v, "__prior", "__first", F.lit(0.0))}
     ).drop("__prior", "__first", "__gap")

@@ -146,3 +146,16 @@ def halo_window(keys: Sequence[str], ts: str):
 
 def drop_halo(df: DataFrame) -> DataFrame:
     return df.filter("__own").drop("__c", "__own")
+
+
+def by_density(df: DataFrame, keys: Sequence[str], ts: str, rows: int, name: str = "__c", splitters: int = 256) -> DataFrame:
+    """Adds numbers that rise with time, so that each (key, number) holds about ``rows`` rows, however they lie in time.
+
+    A key's splitters are approximate quantiles of its own times; a key of n rows uses every n / rows-th part of them."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    cuts = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__rows"), F.percentile_approx(at, [k / splitters for k in range(1, splitters)], 10 * splitters).alias("__cuts")
+    )
+    parts = F.least(F.ceil(F.col("__rows") / rows), F.lit(splitters))
+    place = F.size(F.filter("__cuts", lambda c: c < at))
+    return df.join(cuts, list(keys)).withColumn(name, F.floor(place * parts / splitters).cast("long")).drop("__rows", "__cuts")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.operators.folds import sorted_fold
+from tidegrid.operators.scan import Scan, previous, running
+from tidegrid.session import cut_lineage
 
 # How far a value may move and still count as unchanged.
 UNCHANGED_ABS = 1e-4
@@ -44,45 +44,62 @@ def union_timeline(frames: list[DataFrame], keys) -> DataFrame:
 
 
 def _moved(new: dict, kept: dict) -> bool:
+    """The rule for two issuances (target to value) in hand, as a stream has them."""
     shared = new.keys() & kept.keys()
     return not shared or any(abs(new[k] - kept[k]) > max(UNCHANGED_ABS, UNCHANGED_REL * abs(new[k])) for k in shared)
 
 
+def _next_moved(points: DataFrame, runs: DataFrame, keys) -> DataFrame:
+    """(keys, i, next): for each issuance the first later one that differs from it on their common targets, or has none.
+
+    Issuances look ahead over 1, then 2, 4, ... further ones; only those that have not met a different one go on. One without
+    common targets differs, so no look goes far beyond a horizon.
+    """
+    last = runs.groupBy(*keys).agg(F.max("i").alias("__last"))
+    waiting, found, width, reach = runs.select(*keys, "i").join(last, keys), None, 1, 0
+    while True:
+        ahead = waiting.withColumn("j", F.explode(F.sequence(F.col("i") + reach + 1, F.col("i") + reach + width))).filter("j <= __last").drop("__last")
+        mine = ahead.join(points.select(*keys, "i", "target_dt", F.col("v").alias("__a")), [*keys, "i"], "left")
+        theirs = mine.join(points.select(*keys, F.col("i").alias("j"), "target_dt", F.col("v").alias("__b")), [*keys, "j", "target_dt"], "left")
+        moved = F.abs(F.col("__b") - F.col("__a")) > F.greatest(F.lit(UNCHANGED_ABS), UNCHANGED_REL * F.abs(F.col("__b")))
+        pairs = theirs.groupBy(*keys, "i", "j").agg((F.coalesce(F.bool_or(moved), F.lit(False)) | (F.count("__b") == 0)).alias("moved"))
+        hits = cut_lineage(pairs.filter("moved").groupBy(*keys, "i").agg(F.min("j").alias("next")))
+        found = hits if found is None else found.unionByName(hits)
+        reach, width = reach + width, 2 * width
+        waiting = cut_lineage(waiting.join(hits, [*keys, "i"], "left_anti").filter(F.col("i") + reach < F.col("__last")))
+        if waiting.isEmpty():
+            return found
+
+
 def collapse_unchanged(log: DataFrame, keys=("experiment", "source"), value: str = "value") -> DataFrame:
     """Drop issuances that repeat the last kept one on their common targets.
 
-    Each row of the fold is one issuance, so its state is one horizon.
+    The kept ones are the chain from a key's first issuance along the links to
+    the next that moved. Links are followed by doubling: what is known to be kept
+    jumps by 1, 2, 4, ... links at once, so a chain of any length takes a
+    logarithm of rounds, and a long history is not one task. Values are compared
+    to four decimals, null values not at all.
     """
     keys = list(keys)
-    point = F.struct(F.unix_micros(F.col("target_dt").cast("timestamp")).alias("t"), F.round(value, 4).alias("v"))
-    per = log.groupBy(*keys, "issued_at").agg(F.collect_list(point).alias("points")).select(
-        *keys, F.unix_micros(F.col("issued_at").cast("timestamp")).alias("__t"),
-        F.col("points.t").alias("ts"), F.col("points.v").alias("vs"),
+    runs = cut_lineage(running(log.select(*keys, "issued_at").distinct(), keys, ["issued_at"], [Scan("i", "count", F.lit(1))]))
+    points = cut_lineage(
+        log.filter(F.col(value).isNotNull()).join(runs, [*keys, "issued_at"]).groupBy(*keys, "i", "target_dt").agg(F.max(F.round(value, 4)).alias("v"))
     )
-
-    def step(kept, rows):
-        keep = []
-        for ts, vs in zip(rows["ts"], rows["vs"]):
-            new = dict(zip(ts, vs))
-            fresh = kept is None or _moved(new, kept)
-            keep.append(fresh)
-            if fresh:
-                kept = new
-        return kept, rows[keys + ["__t"]][pd.Series(keep, index=rows.index)]
-
-    types = dict(log.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", __t long"
-    kept = sorted_fold(per, keys, ["__t"], schema, lambda: None, step)
-    d = log.withColumn("__t", F.unix_micros(F.col("issued_at").cast("timestamp")))
-    return d.join(kept, [*keys, "__t"], "left_semi").drop("__t")
+    jump = cut_lineage(_next_moved(points, runs, keys))
+    kept = runs.filter("i = 1").select(*keys, "i")
+    while not jump.isEmpty():
+        reached = kept.join(jump, [*keys, "i"]).select(*keys, F.col("next").alias("i"))
+        kept = cut_lineage(kept.unionByName(reached).distinct())
+        further = jump.select(*keys, F.col("i").alias("next"), F.col("next").alias("__to"))
+        jump = cut_lineage(jump.join(further, [*keys, "next"]).select(*keys, "i", F.col("__to").alias("next")))
+    named = runs.join(kept, [*keys, "i"]).select(*keys, "issued_at")
+    return log.join(named, [*keys, "issued_at"], "left_semi")
 
 
 def changed_since_previous(log: DataFrame, keys=("experiment", "source"), value: str = "value") -> DataFrame:
     """Issuances that differ from the one directly before them."""
     keys = list(keys)
     runs = log.select(*keys, "issued_at").distinct()
-    from tidegrid.operators.scan import previous
-
     chain = previous(runs, keys, ["issued_at"], "__prev", F.col("issued_at"))
     d = log.join(chain, [*keys, "issued_at"])
     before = log.select(*keys, F.col("issued_at").alias("__prev"), "target_dt", F.col(value).alias("__pv"))

@@ -518,7 +518,12 @@ def _(spark, sf):
     return so.union_timeline(fs, ["experiment", "ts"])
 
 
-@query("SO6_collapse_unchanged")
+@query("SO6_collapse_unchanged", """WITH RECURSIVE runs AS (SELECT *, row_number() OVER (PARTITION BY experiment, source ORDER BY issued_at) AS i FROM (SELECT DISTINCT experiment, source, issued_at FROM external_log)),
+p AS (SELECT experiment, source, i, target_dt, max(round(value, 4)) AS v FROM external_log JOIN runs USING (experiment, source, issued_at) WHERE value IS NOT NULL GROUP BY ALL),
+near AS (SELECT a.experiment, a.source, a.i, b.i AS j, bool_or(abs(b.v - a.v) > greatest(1e-4, CAST(0.005 AS DOUBLE) * abs(b.v))) AS moved FROM p a JOIN p b ON a.experiment = b.experiment AND a.source = b.source AND a.target_dt = b.target_dt AND a.i < b.i GROUP BY ALL),
+links AS (SELECT a.experiment, a.source, a.i, min(b.i) AS j FROM runs a JOIN runs b ON a.experiment = b.experiment AND a.source = b.source AND a.i < b.i LEFT JOIN near n ON n.experiment = a.experiment AND n.source = a.source AND n.i = a.i AND n.j = b.i WHERE coalesce(n.moved, true) GROUP BY ALL),
+kept(experiment, source, i) AS (SELECT experiment, source, i FROM runs WHERE i = 1 UNION ALL SELECT k.experiment, k.source, l.j FROM kept k JOIN links l ON l.experiment = k.experiment AND l.source = k.source AND l.i = k.i)
+SELECT experiment, source, count(*) AS kept FROM kept GROUP BY 1, 2""", "external_log")
 def _(spark, sf):
     return so.collapse_unchanged(i.external_log(spark, sf)).groupBy("experiment", "source").agg(F.count_distinct("issued_at").alias("kept"))
 

@@ -34,6 +34,8 @@ def with_ctes(needs: str, body: str) -> str:
         return body
     head = "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order)
     body = body.strip()
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head[5:]},\n{body[15:]}"
     return f"{head},\n{body[5:]}" if body.startswith("WITH ") else f"{head}\n{body}"
 
 
