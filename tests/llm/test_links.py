@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidegrid.llm import common, simhash, substring, topk
 
 from corpus_fixtures import SMALL, clashing, documents  # noqa: F401
+from test_nearcopies import _components as jaccard_components
 
 EMPTY = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{k % 977}" for k in range(60_000))
@@ -154,8 +155,7 @@ def test_pipeline(spark):
     assert not failed & set(found) and all(set(t.split("\n")) <= set(rows[d].split("\n")) for d, t in found.items())
 
     near = common.materialise(stages["near_duplicates"](spark, kept, SMALL), "t")
-    prints = [(d, plain.fingerprint(t)) for d, t in found.items()]
-    assert near.columns == columns and sorted(r.doc_id for r in near.collect()) == sorted(set(plain.components(prints)))
+    assert near.columns == columns and sorted(r.doc_id for r in near.collect()) == sorted(set(jaccard_components(list(found.items()))))
 
     single = {r.doc_id: r.text for r in near.collect()}
     cut = common.materialise(stages["substring_dedup"](spark, near, SMALL), "t")

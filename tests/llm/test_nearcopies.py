@@ -5,7 +5,7 @@ import random
 import plain
 import pytest
 
-from tidegrid.llm import nearcopies, simhash
+from tidegrid.llm import nearcopies, ngramjoin, simhash
 
 from corpus_fixtures import clashing, documents  # noqa: F401
 
@@ -59,7 +59,7 @@ def _planted(seed):
 
 @pytest.mark.parametrize("limit", [0, 4])
 def test_near_copies(documents, clashing, monkeypatch, limit):
-    monkeypatch.setattr(nearcopies, "PAIRS_A_NODE", limit)
+    monkeypatch.setattr(ngramjoin, "PAIRS_A_NODE", limit)
     rows, near = _planted(3)
     assert sum(0.8 <= x < 0.9 for x in near) > 80 and sum(0.9 <= x < 0.96 for x in near) > 30
     want = _components(rows)

@@ -1,169 +1,40 @@
-"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and all they lead to.
+"""One document of each group of near copies: SimHash links, completed by an exact join.
 
-Documents with equal sets are one node. Nodes meet where one of 32 bands of five
-minimum hashes is equal, which a pair at 0.8 misses with probability 3e-6 (0.672
-to the 32nd) and a closer pair more rarely still. Every link is checked on the
-exact sets. Members of a band's group are first checked against one hub, in a
-few rounds with other hubs, and only those that stay apart from each other are
-checked pair by pair; so a group of copies costs about one check a member.
+Fingerprints of 64 bits within 2 bits find copies that hardly differ, but only
+some at a Jaccard similarity of 0.8. So groups are what the links of both lead
+to: of SimHash fingerprints, and of the exact join of the sets of five-word
+shingles at 0.8.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import bounded_batches, components, materialise, mix, slices, text_bytes
-from tidegrid.llm.simhash import SEED, _shingle_hashes
+from tidegrid.llm import ngramjoin, simhash
+from tidegrid.llm.common import components, materialise
 
 SHINGLE = 5
-SIMILAR = 0.8
-BANDS, ROWS = 32, 5
-STAR_ROUNDS = 4
-PAIRS_A_NODE = 4
-_rng = np.random.default_rng(SEED)
-_TIMES = _rng.integers(0, 1 << 31, (BANDS * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_PLUS = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
-_FOLD = _rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
-    """The distinct shingle hashes of each text, in order."""
-    data, at = text_bytes(column)
-    for a, b in slices(at):
-        hashes, begin = _shingle_hashes(data[at[a] : at[b]], at[a : b + 1] - at[a], shingle)
-        for k in range(b - a):
-            yield np.unique(hashes[begin[k] : begin[k + 1]])
-
-
-def _node(own: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(own.tobytes(), SEED)
-
-
-def _bands(own: np.ndarray) -> np.ndarray:
-    """One key a band; only texts that agree on all of a band's minimum hashes share it."""
-    least = np.full(BANDS * ROWS, np.uint32(0xFFFFFFFF))
-    low = (own >> np.uint64(32)).astype(np.uint32)
-    for a in range(0, len(low), 2048):
-        np.minimum(least, (low[a : a + 2048] * _TIMES + _PLUS).min(1), out=least)
-    return mix((least.reshape(BANDS, ROWS).astype(np.uint64) * _FOLD).sum(1, dtype=np.uint64))
-
-
-def marked(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, node (hash of the text's set of shingles) and the keys of its bands."""
-    bounded_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, bands = [], []
-            for own in _sets(batch.column("text"), shingle):
-                nodes.append(_node(own))
-                bands.append(_bands(own))
-            keys = np.concatenate(bands) if bands else np.zeros(0, np.uint64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(nodes, np.uint64).view(np.int64)), lists], ["doc_id", "node", "bands"])
-
-    docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, bands array<long>")
-
+SIMILAR = 80
 
-def _node_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """node and the bytes of its set."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(_sets(batch.column("text"), shingle))
-            nodes = np.array([_node(own) for own in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([own.tobytes() for own in sets], pa.binary())], ["node", "own"])
-
-    return docs.select("text").mapInArrow(run, "node long, own binary")
-
-
-def jaccard(left: np.ndarray, right: np.ndarray) -> float:
-    """Of two sorted sets."""
-    shared = len(left) + len(right) - len(np.union1d(left, right))
-    return shared / max(len(left) + len(right) - shared, 1)
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """Those pairs (a, b) whose sets are similar enough."""
-    # the join with the many different members comes first, so that a hub's partition is large in bytes and gets split
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("right")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [jaccard(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= similar for x, y in zip(batch.column("left"), batch.column("right"), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
-
-
-def links(nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame | None:
-    """Links (a, b) that join all nodes (node, bands) which similar pairs lead to. None if no two nodes meet."""
-    keyed = nodes.select("node", F.posexplode("bands").alias("j", "v"))
-    shared = keyed.groupBy("j", "v").agg(F.count("*").alias("size")).filter("size > 1").select("j", "v")
-    met = materialise(keyed.join(shared, ["j", "v"]), "met")
-    least = met.select("node").distinct()
-    total = least.count()
-    if not total:
-        return None
-    sets = materialise(_node_sets(docs, shingle).join(least, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    found = tested = None
-    apart = met.withColumn("component", F.col("node"))
-    for turn in range(STAR_ROUNDS + 1):
-        mixed = apart.groupBy("j", "v").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.struct("node", "component"))).alias("hub"))
-        mixed = materialise(mixed.filter("low < high").select("j", "v", "n", F.col("hub.col2.node").alias("b"), F.col("hub.col2.component").alias("of")), "mixed")
-        most = mixed.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
-        if not most:
-            break
-        last = turn == STAR_ROUNDS or most <= PAIRS_A_NODE * total
-        if last:
-            rows = apart.join(mixed.select("j", "v"), ["j", "v"])
-            other = rows.select("j", "v", F.col("node").alias("b"), F.col("component").alias("of"))
-            pairs = rows.join(other, ["j", "v"]).filter("component <> of AND node < b").select(F.col("node").alias("a"), "b")
-        else:
-            pairs = apart.join(mixed, ["j", "v"]).filter("component <> of").select(F.col("node").alias("a"), "b")
-        pairs = pairs.distinct()
-        if tested is not None:
-            back = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(back, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        new = materialise(_similar(pairs, sets, similar), "links")
-        found = new if found is None else found.unionByName(new)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if last:
-            break
-        labels = components(found)
-        apart = materialise(met.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).select("node", "j", "v", "component"), "apart")
-    return found
-
-
-def near_copies(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """doc_id and component_id, the smallest doc_id reachable, for each row of (doc_id, text).
 
     Words are compared in ASCII lower case; a text shorter than a shingle is one
-    shingle. Null and wordless texts are copies of each other. A null id names a
-    component only if it has no other id. Repeated rows stay repeated.
+    shingle. Null and wordless texts are copies of each other (their fingerprint
+    is zero). A null id names a group only if it has no other id; a wordless row
+    without an id is in none. Repeated rows stay repeated.
     """
-    rows = materialise(marked(docs, shingle), "marked")
-    nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "nodes")
-    found = links(nodes, docs, shingle, similar)
-    joined = nodes.select("node", "least")
-    if found is None:
-        joined = joined.withColumn("component", F.col("node"))
-    else:
-        joined = joined.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    roots = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = joined.join(roots, "component").select("node", "component_id")
-    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    docs = docs.select("doc_id", "text")
+    exact = materialise(ngramjoin.join(docs, shingle, similar).select("doc_id", "component_id"), "exact")
+    prints = materialise(simhash.near_duplicates(docs, shingle=shingle).select("doc_id", "component_id"), "prints")
+    links = exact.unionByName(prints).filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    labels = components(links).select(F.col("node").alias("component_id"), "component")
+    return exact.join(labels, "component_id", "left").select("doc_id", F.coalesce("component", "component_id").alias("component_id"))
 
 
-def representatives(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
+def representatives(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest id. Of rows that share that id one stays.
     Rows without an id stay, as nothing can name them."""
     keep = materialise(near_copies(docs, shingle, similar).filter("doc_id = component_id").select("doc_id").distinct(), "representatives")
