@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +18,8 @@ SLICE_BYTES = 2 << 20
 _SPACE = [0x20, *range(0x09, 0x0E)]
 IN_WORD = np.ones(256, dtype=bool)
 IN_WORD[_SPACE] = False
+#: Only glibc has it.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 # --- tables ---------------------------------------------------------------
@@ -55,11 +58,19 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def release() -> None:
+    """Give freed memory back to the system. Workers serve one stage after the other, and what their allocators keep adds up."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 # --- text as bytes --------------------------------------------------------
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all values one behind the other, and where each begins; null counts as empty."""
+    release()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
         if isinstance(column, pa.ChunkedArray):

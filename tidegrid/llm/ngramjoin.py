@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegrid.llm.collocations import Bitmap, _packs, _planes, _slot, _values
-from tidegrid.llm.common import Rolling, bounded_batches, components, materialise, mix, slices, text_bytes, word_spans
+from tidegrid.llm.common import Rolling, bounded_batches, components, materialise, mix, release, slices, text_bytes, word_spans
 
 SHINGLE = 3
 SIMILAR = 90
@@ -141,6 +141,7 @@ def _order(marks: DataFrame, cells: int, fragments: int) -> Order:
     for row in found.toLocalIterator():
         classes[row["segment"] * SEGMENT :][:SEGMENT] = np.frombuffer(row["kinds"], np.uint8)
         mass += row["mass"]
+    release()
     return Order(classes, mass, fragments)
 
 
@@ -211,6 +212,7 @@ def _bitmap(rows: DataFrame, parts: int, at_least: int, keys: int) -> Bitmap:
     bits = np.zeros((parts, slots // 8), np.uint8)
     for row in rows.groupBy("part").applyInArrow(merge, "part int, bits binary").toLocalIterator():
         bits[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    release()
     return Bitmap(parts, slots, bits.reshape(-1))
 
 
