@@ -205,13 +205,14 @@ def _(spark, sf):
     return fc.prune_to_champion(i.forecast_log(spark, sf), _champions(spark, sf)).select(*E, "model_name", "issued_at", "target_dt")
 
 
-@query("FC17_holdout_display", """WITH w AS (SELECT experiment AS series_id, issued_at, list(predicted ORDER BY target_dt) AS p FROM forecast_log WHERE model_name = 'last_value' GROUP BY 1, 2), l AS (SELECT series_id, arg_max(p, issued_at) AS p, max(issued_at) AS t FROM w GROUP BY 1)
-SELECT h.series_id, h.grid_ts, coalesce(w.p[1], CASE WHEN h.grid_ts > l.t + INTERVAL '6 hours' THEN l.p[CAST(epoch(h.grid_ts - l.t) / 21600 AS BIGINT)] END) AS pred FROM load6 h LEFT JOIN w ON w.series_id = h.series_id AND w.issued_at = h.grid_ts - INTERVAL '6 hours' JOIN l ON l.series_id = h.series_id""", "forecast_log load6")
+@query("FC17_holdout_display", """WITH w AS (SELECT experiment AS series_id, model_name AS model, issued_at, list(predicted ORDER BY target_dt) AS p FROM forecast_log GROUP BY 1, 2, 3), l AS (SELECT series_id, model, arg_max(p, issued_at) AS p, max(issued_at) AS t FROM w GROUP BY 1, 2)
+SELECT h.series_id, l.model, h.grid_ts, coalesce(w.p[1], CASE WHEN h.grid_ts > l.t + INTERVAL '6 hours' THEN l.p[CAST(epoch(h.grid_ts - l.t) / 21600 AS BIGINT)] END) AS pred FROM load6 h JOIN l ON l.series_id = h.series_id LEFT JOIN w ON w.series_id = h.series_id AND w.model = l.model AND w.issued_at = h.grid_ts - INTERVAL '6 hours'""", "forecast_log load6")
 def _(spark, sf):
-    d = i.forecast_log(spark, sf).filter("model_name = 'last_value'")
+    d = i.forecast_log(spark, sf).withColumnsRenamed({"experiment": "series_id", "model_name": "model", "issued_at": "anchor"})
     p = F.transform(F.sort_array(F.collect_list(F.struct("target_dt", "predicted"))), lambda e: e["predicted"])
-    w = d.groupBy(F.col("experiment").alias("series_id"), F.col("issued_at").alias("anchor")).agg(p.alias("preds"))
-    return fc.holdout_display(w, i.load6(spark, sf), K, i.SIX)
+    w = d.groupBy(*K, "model", "anchor").agg(p.alias("preds"))
+    holdout = i.load6(spark, sf).join(w.select(*K, "model").distinct(), K)
+    return fc.holdout_display(w, holdout, [*K, "model"], i.SIX)
 
 
 @query("FC18_future_covariates", """SELECT a.*, coalesce(p.y, l.y) AS cov, CASE WHEN p.y IS NULL THEN 1 ELSE 0 END AS cov_missing FROM ahead a LEFT JOIN (SELECT series_id, grid_ts + INTERVAL '24 hours' AS t, y FROM sparse6) p ON p.series_id = a.series_id AND p.t = a.target_dt JOIN (SELECT series_id, arg_max(y, grid_ts) AS y FROM sparse6 WHERE y IS NOT NULL GROUP BY 1) l ON l.series_id = a.series_id""", "ahead sparse6")
