@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.operators import forecast as fc
+from tidegrid.operators import recursive as rc
 
 K = ["series_id"]
 
@@ -33,11 +34,33 @@ def test_smoothing_reads_the_whole_history(frame):
 
 def test_short_series_come_back(frame):
     grid = frame([("long", 360 * k, k % 4) for k in range(60)] + [("short", 360 * k, k) for k in range(3)], ts="grid_ts", value="y")
-    model = fc.fit_pooled(fc.training_frame(grid, K, 360, [1, 4]), "linear")
-    out = fc.recursive_forecast(model, grid, K, 21600, 3, [1, 4]).collect()
+    recipe = rc.Recipe((1, 4))
+    model = fc.fit_pooled(rc.supervised(grid, K, 21600, recipe), "linear")
+    out = rc.roll_forward(rc.model_step(model, recipe), grid, K, 21600, 3, recipe).collect()
     assert sorted((r["series_id"], r["lead"], r["status"], r["pred"] is None) for r in out) == [(s, h, "ok" if s == "long" else "short", s == "short") for s in ("long", "short") for h in (1, 2, 3)]
 
 
+def test_features_of_a_lead_are_those_of_the_extended_series(frame, spark):
+    rng = random.Random(5)
+    both = frame([(s, 360 * k, rng.uniform(0, 9)) for s in ("a", "b") for k in range(40)], ts="grid_ts", value="y")
+    both = both.withColumns({"light": F.when(F.hour("grid_ts") == 0, 0.0).otherwise(1.0), "cov": F.dayofmonth("grid_ts") * 1.0})
+    recipe = rc.Recipe((1, 2, 5), (3, 6), True, ("hour", "dow_sin"), ("cov",), "light")
+    cells = fc.future_cells(both, K, 21600, 9).select(*K, F.col("target_dt").alias("grid_ts"))
+    future = cells.withColumns({"light": F.when(F.hour("grid_ts") == 0, 0.0).otherwise(1.0), "cov": F.dayofmonth("grid_ts") * 1.0})
+    step = rc.weighted_step({"y_lag_1": 0.4, "y_lag_5": 0.1, "y_rolling_mean_3": 0.3, "y_rolling_std_6": 0.2, "y_rolling_max_3": 0.1, "y_diff_1": 0.2, "cov": 0.05, "dow_sin": 1.0})
+    out = rc.roll_forward(step, both, K, 21600, 9, recipe, future, checkpoint_every=4, trace=True).cache()
+    extended = both.unionByName(future.join(out.select(*K, F.col("target_dt").alias("grid_ts"), F.col("pred").alias("y")), [*K, "grid_ts"]))
+    want = {(r["series_id"], r["grid_ts"]): [r[c] for c in recipe.names] for r in rc.history_features(extended, K, 21600, recipe).collect()}
+    rows = out.collect()
+    assert len(rows) == 18
+    for r in rows:
+        assert r["features"] == pytest.approx(want[(r["series_id"], r["target_dt"])])
+        assert (r["pred"] == 0) == (r["target_dt"].hour == 0)
+    hidden = future.filter("series_id <> 'b' or cov < 12")
+    states = rc.roll_forward(step, both, K, 21600, 9, recipe, hidden).groupBy("series_id", "status").count().collect()
+    assert sorted(map(tuple, states)) == [("a", "ok", 9), ("b", "unknown", 9)]
+
+
 def test_a_signed_target_gives_up_tweedie(frame):
     grid = frame([("a", 360 * k, (k % 4) - 2) for k in range(60)], ts="grid_ts", value="y")
     assert type(fc.fit_pooled(fc.training_frame(grid, K, 360, [1, 4]), "linear", "tweedie")).__name__ == "LinearRegressionModel"

@@ -150,6 +150,14 @@ def regressor(kind: str = "gbt", loss: str = "mse", nonneg: bool = True, seed: i
                         **{"maxIter": 20, "maxDepth": 4, **cols, **params})
 
 
+def with_shares(d: DataFrame, keys, valid_share: float, test_share: float) -> DataFrame:
+    """Adds ``is_test`` for the newest share of each series' time and ``is_valid`` for the share before it."""
+    span = d.groupBy(*keys).agg(F.min(epoch("grid_ts")).alias("__a"), F.max(epoch("grid_ts")).alias("__z"))
+    age = (F.col("__z") - epoch("grid_ts")) / F.greatest(F.col("__z") - F.col("__a"), F.lit(1))
+    d = d.join(span, list(keys)).withColumns({"is_test": age < test_share, "is_valid": (age >= test_share) & (age < test_share + valid_share)})
+    return d.drop("__a", "__z")
+
+
 def training_frame(grid: DataFrame, keys, interval_minutes: int, lags: list[int], valid_share: float = 0.2, test_share: float = 0.0) -> DataFrame:
     """Lag and slot features pooled over all series. The newest ``test_share`` of each series is for scoring only, the
     ``valid_share`` before it is the validation part."""
@@ -157,9 +165,7 @@ def training_frame(grid: DataFrame, keys, interval_minutes: int, lags: list[int]
     feats = [f"y_lag_{k}" for k in lags]
     d = d.withColumn("hour", F.hour("grid_ts").cast("double")).filter(F.col("y").isNotNull())
     d = d.filter(F.col(f"y_lag_{max(lags)}").isNotNull())
-    span = d.groupBy(*keys).agg(F.min(epoch("grid_ts")).alias("__a"), F.max(epoch("grid_ts")).alias("__z"))
-    age = (F.col("__z") - epoch("grid_ts")) / F.greatest(F.col("__z") - F.col("__a"), F.lit(1))
-    d = d.join(span, list(keys)).withColumns({"is_test": age < test_share, "is_valid": (age >= test_share) & (age < test_share + valid_share)})
+    d = with_shares(d, keys, valid_share, test_share)
     d = d.withColumn("label", F.col("y").cast("double"))
     return VectorAssembler(inputCols=[*feats, "hour"], outputCol="features").transform(d.select(*keys, "grid_ts", "label", "is_valid", "is_test", *feats, "hour"))
 
@@ -190,35 +196,6 @@ def feature_importance(model, names: list[str], spark) -> DataFrame:
     return spark.createDataFrame([(n, float(v) / total) for n, v in zip(names, raw)], "feature STRING, importance DOUBLE")
 
 
-def recursive_forecast(model, grid: DataFrame, keys, seconds: int, horizon: int, lags: list[int], checkpoint_every: int = 16) -> DataFrame:
-    """Roll a one-step model forward, feeding its predictions back.
-
-    The loop runs over leads, each step for the whole fleet; a buffer column
-    holds the last max(lag) values. The plan is cut now and then. Series shorter
-    than the longest lag come back with null predictions and status ``short``.
-    """
-    need = max(lags)
-    tails = tail_array(grid, keys, seconds, need).filter(F.size("tail") == need)
-    short = future_cells(grid, keys, seconds, horizon).join(tails.select(*keys), list(keys), "left_anti")
-    d = tails.withColumn("out", F.array().cast("array<double>"))
-    names = [f"y_lag_{k}" for k in lags]
-    va = VectorAssembler(inputCols=[*names, "hour"], outputCol="features")
-    for h in range(1, horizon + 1):
-        step = d.withColumns({n: F.element_at("tail", -k).cast("double") for n, k in zip(names, lags)})
-        step = step.withColumn("hour", F.hour(from_epoch(epoch("issued_at") + h * seconds)).cast("double"))
-        step = model.transform(va.transform(step))
-        d = step.select(
-            *keys, "issued_at", F.concat(F.slice("tail", 2, need - 1), F.array("prediction")).alias("tail"),
-            F.concat("out", F.array("prediction")).alias("out"),
-        )
-        if h % checkpoint_every == 0 and h < horizon:
-            d = cut_lineage(d)
-    d = d.select(*keys, "issued_at", F.posexplode("out").alias("__p", "pred"))
-    done = d.select(
-        *keys, "issued_at", from_epoch(epoch("issued_at") + (F.col("__p") + 1) * seconds).alias("target_dt"), (F.col("__p") + 1).cast("long").alias("lead"), "pred", F.lit("ok").alias("status"))
-    return done.unionByName(short.select(*keys, "issued_at", "target_dt", "lead", F.lit(None).cast("double").alias("pred"), F.lit("short").alias("status")))
-
-
 def direct_linear(windows: DataFrame, horizon: int) -> dict[int, LinearRegressionModel]:
     """One linear model per lead on windows whose last value is taken off (and added back when forecasting)."""
     base = windows.withColumn("__x", F.transform("past", lambda c: c[0])).withColumn("__last", F.element_at("__x", -1))

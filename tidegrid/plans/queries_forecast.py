@@ -9,11 +9,14 @@ from tidegrid.functions.timecols import shift, time_bin
 from tidegrid.operators import analytics as ag
 from tidegrid.operators import features as wf
 from tidegrid.operators import forecast as fc
+from tidegrid.operators import recursive as rc
 from tidegrid.operators import splits as cv
+from tidegrid.operators.recursive import Recipe
 from tidegrid.plans import inputs as i
 from tidegrid.plans.queries_eval import predictions
 from tidegrid.plans.registry import cte, query
 from tidegrid.session import cut_lineage
+from tidegrid.sources import logs
 
 K = ["series_id"]
 E = ["experiment"]
@@ -64,10 +67,45 @@ def _mae(model, rows):
     return model.transform(rows).groupBy(*K).agg(F.avg(F.abs(F.col("prediction") - F.col("label"))).alias("mae"))
 
 
-@query("FC6_recursive_forecast")
+WEIGHTS = {"y_lag_1": 0.3, "y_lag_4": 0.2, "y_rolling_mean_4": 0.2, "y_rolling_std_4": 0.05, "y_rolling_max_8": 0.1, "y_diff_1": 0.1, "hour_cos": 5.0, "activity": 0.02}
+RECIPE = Recipe((1, 2, 4, 8), (4, 8), True, ("hour", "hour_sin", "hour_cos"), ("activity",), "light")
+# A week's delay makes the fleet's activity known for all leads; midnight cells play the dark ones.
+cte("activity", "SELECT grid_ts + INTERVAL '7 days' AS grid_ts, sum(y) / 100 AS activity FROM load6 GROUP BY 1", "load6")
+
+
+def _known(spark, sf, cells):
+    week = i.load6(spark, sf).groupBy(shift("grid_ts", 7 * i.DAY).alias("grid_ts")).agg((F.sum("y") / 100).alias("activity"))
+    d = cells.join(week, "grid_ts", "left").fillna(0.0, ["activity"])
+    return d.withColumn("light", F.when(F.hour("grid_ts") == 0, 0.0).otherwise(1.0))
+
+
+def _rolled(spark, sf, step):
+    d = cut_lineage(_known(spark, sf, i.load6(spark, sf)))
+    future = _known(spark, sf, fc.future_cells(d, K, i.SIX, 8).select(*K, F.col("target_dt").alias("grid_ts")))
+    return rc.roll_forward(step(d), d, K, i.SIX, 8, RECIPE, future)
+
+
+@query("FC6_recursive_features", """WITH RECURSIVE r AS (SELECT series_id, t AS issued_at, 0 AS h, list(y ORDER BY grid_ts) AS c FROM (SELECT *, max(grid_ts) OVER (PARTITION BY series_id) AS t FROM load6)
+WHERE grid_ts > t - INTERVAL '48 hours' GROUP BY 1, 2 HAVING count(*) = 8
+UNION ALL SELECT series_id, issued_at, h + 1, list_append(c, CASE WHEN hour(t) = 0 THEN 0.0 ELSE CASE WHEN hour(t - INTERVAL '6 hours') <> 0 THEN 0.3 * c[-1] + 0.1 * (c[-1] - c[-2]) ELSE 0 END + 0.2 * c[-4]
++ 0.2 * list_avg(c[-4:]) + 0.05 * list_aggregate(c[-4:], 'stddev_samp') + 0.1 * list_max(c[-8:]) + 5.0 * cos(hour(t) * 2 * pi() / 24) + 0.02 * coalesce(activity, 0) END)
+FROM (SELECT *, issued_at + (h + 1) * INTERVAL '6 hours' AS t FROM r WHERE h < 8) LEFT JOIN activity ON activity.grid_ts = t)
+SELECT a.*, round(c[8 + lead], 3) AS pred, CASE WHEN c IS NULL THEN 'short' ELSE 'ok' END AS status FROM ahead a LEFT JOIN (SELECT series_id, c FROM r WHERE h = 8) USING (series_id)""", "load6 ahead activity")
+def _(spark, sf):
+    return rnd(_rolled(spark, sf, lambda d: rc.weighted_step(WEIGHTS)), pred=3)
+
+
+@query("FC6_forecast_cycle")
 def _(spark, sf):
-    m = fc.fit_pooled(_train(spark, sf), "linear")
-    return rnd(fc.recursive_forecast(m, i.load6(spark, sf), K, i.SIX, 8, LAGS), pred=3)
+    # From history to what is published: fit, roll forward, bound, log, payload.
+    def fitted(d):
+        return rc.model_step(fc.fit_pooled(cut_lineage(rc.supervised(d, K, i.SIX, RECIPE)), "linear"), RECIPE)
+
+    d = cut_lineage(_rolled(spark, sf, fitted)).filter("status = 'ok'").select(
+        F.col("series_id").alias("experiment"), F.lit("linear").alias("model_name"), "issued_at", "target_dt", F.greatest("pred", F.lit(0.0)).alias("predicted"),
+        (F.col("lead") * 360).alias("lead_minutes"))
+    band = fc.conformal_band(d, cut_lineage(ag.conformal_quantiles(_rows(spark, sf))), 720)
+    return logs.publish_payload(logs.log_forecast(band))
 
 
 @query("FC7_boosted_trees")
