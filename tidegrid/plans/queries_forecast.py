@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidegrid.functions import generators
 from tidegrid.functions.pandas_metrics import pandas_metric
-from tidegrid.functions.timecols import shift, time_bin
+from tidegrid.functions.timecols import epoch, from_epoch, shift, time_bin
 from tidegrid.operators import analytics as ag
 from tidegrid.operators import features as wf
 from tidegrid.operators import forecast as fc
+from tidegrid.operators import protocol as pr
 from tidegrid.operators import recursive as rc
 from tidegrid.operators import splits as cv
 from tidegrid.operators.recursive import Recipe
 from tidegrid.plans import inputs as i
 from tidegrid.plans.queries_eval import predictions
-from tidegrid.plans.registry import cte, query
+from tidegrid.plans.queries_sources import _trajectories as trajectories
+from tidegrid.plans.registry import CHECKS, cte, query
 from tidegrid.session import cut_lineage
 from tidegrid.sources import logs
+from tidegrid.streaming.jobs import new_folder
 
 K = ["series_id"]
 E = ["experiment"]
@@ -276,3 +280,41 @@ def _(spark, sf):
         return pd.DataFrame({"series_id": [row["series_id"]], "target_dt": [row["grid_ts"] + pd.Timedelta(hours=6)], "lead": [1], "pred": [row["y"]]})
 
     return fc.apply_forecaster(i.load6(spark, sf), K, last, i.SIX, 28, "series_id string, target_dt timestamp_ntz, lead long, pred double")
+
+
+def _fitted(*names: tuple[str, str]) -> str:
+    """The SQL of registered forecasters, one below the other; those of ``names`` are (query, model)."""
+    return " UNION ALL ".join(f"SELECT series_id, '{model}' AS model, target_dt, lead, pred FROM ({CHECKS[name][1]})" for name, model in names)
+
+
+STORED = (("FC1_baseline", "baseline_mean"), ("FC2_seasonal_profile", "profile"), ("FC3_previous_day", "previous_day"), ("FC4_seasonal_naive", "seasonal_naive"),
+          ("FC5_daily_profile", "daily_profile"), ("FC11_exponential_smoothing", "smoothing"), ("FC11_theta", "theta"))
+
+
+@query("UD2_stored_models", _fitted(*STORED) + " UNION ALL SELECT series_id, 'baseline_zero', target_dt, lead, 0.0 FROM ahead", "ahead load6 slots back smooth")
+def _(spark, sf):
+    # Fitted, written, and forecast from what was written.
+    path, models = new_folder(spark, "models"), pr.standard(i.SIX)
+    pr.save_models(pr.fit_all(models, cut_lineage(i.load6(spark, sf)), K, i.SIX), path)
+    d = pr.forecast_all(models, spark.read.parquet(path), K, i.SIX, 8)
+    return rnd(d.select(*K, "model", "target_dt", "lead", "pred"), pred=4)
+
+
+@query("UD3_grid_cells", "SELECT series_id, grid_ts FROM load6_spine", "load6_spine")
+def _(spark, sf):
+    # Stretches of a series are separate partitions of the table function.
+    generators.register(spark)
+    b = i.obs_fleet(spark, sf).groupBy(*K).agg(epoch(time_bin(F.min("ts"), i.SIX)).alias("a"), epoch(time_bin(F.max("ts"), i.SIX)).alias("z"))
+    d = b.withColumn("s", F.explode(F.sequence("a", "z", F.lit(8 * i.DAY).cast("long"))))
+    spans = d.select(F.col("series_id").alias("key"), from_epoch("s").alias("lo"), from_epoch(F.least("z", F.col("s") + 8 * i.DAY - i.SIX)).alias("hi"), F.lit(i.SIX).alias("seconds"))
+    return spark.sql("SELECT key AS series_id, grid_ts FROM grid_cells(TABLE(SELECT * FROM {spans}) PARTITION BY (key, lo))", spans=spans)
+
+
+@query("UD3_trajectory_cells", "SELECT experiment, model_name, issued_at, target_dt AS ts, predicted AS value FROM forecast_log WHERE lead_minutes <> 720", "forecast_log")
+def _(spark, sf):
+    generators.register(spark)
+    own = ["experiment", "model_name", "issued_at"]
+    t = trajectories(spark, sf).select(F.to_json(F.struct(*own)).alias("key"), F.col("attr").alias("text"))
+    d = spark.sql("SELECT key, ts, value FROM trajectory_cells(TABLE(SELECT * FROM {t}) PARTITION BY key)", t=t)
+    k = F.from_json("key", "experiment string, model_name string, issued_at timestamp_ntz")
+    return d.select(*[k[c].alias(c) for c in own], "ts", "value")
