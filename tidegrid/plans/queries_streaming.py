@@ -10,19 +10,14 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.timecols import epoch, time_bin
 from tidegrid.plans import inputs as i
-from tidegrid.plans.registry import query
-from tidegrid.session import table
+from tidegrid.plans import queries_sources  # noqa: F401  (its SQL checks a stream as well)
+from tidegrid.plans.registry import CHECKS, query
+from tidegrid.session import cut_lineage, table
 from tidegrid.streaming import jobs as st
 
 K = ["series_id"]
 
 
-def _events(spark, sf):
-    schema = table(spark, sf, "events").schema
-    e = st.event_time(st.read_files(spark, sf, schema, "events.parquet"))
-    return e.select(F.col("event_type").alias("series_id"), "ts", "value", "event_id")
-
-
 def _closed(spark, sf):
     """The events in order of time, then the end mark, several files a batch."""
     src = st.new_folder(spark, "closed")
@@ -39,12 +34,28 @@ def _done(spark, stream, name, mode="append"):
     return d.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in d.dtypes])
 
 
-@query("ST1_first_write_wins", "SELECT series_id, date_trunc('hour', ts) AS ts, count(*) AS n FROM (SELECT DISTINCT series_id, date_trunc('hour', ts) AS ts FROM obs) GROUP BY 1, 2", "obs")
+def _in_turns(spark, rows, turn, turns, job, foreach=None):
+    """Deliver the rows turn by turn; the job stops after each delivery and goes on from its stored state with the next."""
+    src, out = st.new_folder(spark, "turns"), st.new_folder(spark, "out")
+    rows = cut_lineage(rows.withColumn("__turn", turn))
+    for k in range(turns):
+        rows.filter(F.col("__turn") == k).drop("__turn").write.mode("append").parquet(src)
+        st.run_available(job(st.read_files(spark, src, rows.drop("__turn").schema)), out, foreach=foreach and foreach(out))
+    d = st.result(spark, out)
+    return d.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in d.dtypes])
+
+
+def _by_time(rows, ts, turns):
+    """Number of the equal stretch of time a row lies in."""
+    a, z = rows.agg(F.min(epoch(ts)), F.max(epoch(ts))).first()
+    return F.floor((epoch(ts) - (a or 0)) / (((z or 0) - (a or 0)) // turns + 1))
+
+
+@query("ST1_first_write_wins", "SELECT series_id, date_trunc('hour', ts) AS ts, arg_min(value, event_id % 3 * 1000000000000 + event_id) AS value FROM obs GROUP BY 1, 2", "obs")
 def _(spark, sf):
-    hourly, out = _events(spark, sf).withColumn("ts", F.date_trunc("hour", "ts")), st.new_folder(spark, "first")
-    st.run_available(hourly.select(*K, "ts", "value"), out, foreach=st.first_write_wins(out, K))
-    d = st.result(spark, out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    return d.groupBy(*K, "ts").agg(F.count(F.lit(1)).alias("n"))
+    # Three deliveries over the same days: rows of the later ones are late, and stay only where their hour is new.
+    e = st.event_time(i.obs_type(spark, sf)).withColumn("ts", F.date_trunc("hour", "ts"))
+    return _in_turns(spark, e, F.col("event_id") % 3, 3, lambda s: s, lambda out: st.first_write_wins(out, K, arrival="event_id")).select(*K, "ts", "value")
 
 
 @query("ST2_tumbling", "SELECT series_id, time_bucket(INTERVAL '30 minutes', ts) AS grid_ts, round(sum(value), 4) AS sum_y, round(avg(value), 6) AS mean_y, count(*) AS n FROM obs GROUP BY 1, 2", "obs")
@@ -63,21 +74,17 @@ def _(spark, sf):
 @query("ST4_counter_state", "SELECT series_id, ts, CASE WHEN prev IS NULL THEN 0.0 WHEN elapsed * 60.0 / 30 > 1.5 THEN rise ELSE least(rise, 4000) END AS use FROM daily_rise", "daily_rise")
 def _(spark, sf):
     # A running total needs whole days, so the counter is prepared as a table and streamed from there.
-    src = st.new_folder(spark, "counter")
-    i.counter_daily(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).repartitionByRange(4, "ts").write.parquet(src)
-    c = st.read_files(spark, src, spark.read.parquet(src).schema)
-    return _done(spark, st.decode_counter(c, 30, 4000.0, True), "decoded").select(*K, "ts", "use")
+    c = st.event_time(i.counter_daily(spark, sf))
+    return _in_turns(spark, c, _by_time(c, "ts", 6), 6, lambda s: st.decode_counter(s, 30, 4000.0, True)).select(*K, "ts", "use")
 
 
-@query("ST5_unchanged_suppression")
+@query("ST5_unchanged_suppression", CHECKS["SO6_collapse_unchanged"][1], CHECKS["SO6_collapse_unchanged"][0])
 def _(spark, sf):
-    src = st.new_folder(spark, "issuances")
     e = i.external_log(spark, sf)
-    e.groupBy("experiment", "source", F.col("issued_at").cast("timestamp").alias("issued_at")).agg(
+    rows = e.groupBy("experiment", "source", F.col("issued_at").cast("timestamp").alias("issued_at")).agg(
         F.sort_array(F.collect_list(F.struct(epoch("target_dt").alias("t"), F.round("value", 4).alias("v")))).alias("p")
-    ).select("experiment", "source", "issued_at", F.col("p.t").alias("targets"), F.col("p.v").alias("vals")).repartitionByRange(4, "issued_at").write.parquet(src)
-    s = st.read_files(spark, src, spark.read.parquet(src).schema)
-    d = _done(spark, st.suppress_unchanged(s), "kept")
+    ).select("experiment", "source", "issued_at", F.col("p.t").alias("targets"), F.col("p.v").alias("vals"))
+    d = _in_turns(spark, rows, _by_time(rows, "issued_at", 6), 6, st.suppress_unchanged)
     return d.groupBy("experiment", "source").agg(F.count_distinct("issued_at").alias("kept"))
 
 

@@ -47,18 +47,25 @@ def result(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(os.path.join(out, "data"))
 
 
-def first_write_wins(out: str, keys, ts: str = "ts") -> Callable[[DataFrame, int], None]:
+def first_write_wins(out: str, keys, ts: str = "ts", arrival: str | None = None) -> Callable[[DataFrame, int], None]:
     """foreachBatch: of each (keys, ts) the row that came first stays, however late it is.
 
     A batch is checked against the keys stored by earlier batches, restricted to
     the days it touches; its rows go to a folder of its own, so a replay
-    overwrites. Of equal keys within a batch, one is taken.
+    overwrites. Of equal keys within a batch the one with the smallest
+    ``arrival`` is taken, without that column any one.
     """
     key = [*keys, ts]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates(key).withColumn("day", F.to_date(ts))
+        if arrival:
+            others = [c for c in batch.columns if c not in key]
+            first = batch.groupBy(*key).agg(F.min_by(F.struct(*others), arrival).alias("__r"))
+            rows = first.select(*key, *[F.col("__r")[c].alias(c) for c in others])
+        else:
+            rows = batch.dropDuplicates(key)
+        rows = rows.withColumn("day", F.to_date(ts))
         if batch_id:
             days = rows.select("day").distinct()
             stored = result(spark, out).filter(F.col("batch_id") < batch_id).join(days, "day", "left_semi")
