@@ -113,3 +113,22 @@ def test_the_better_model_leads_the_benchmark(spark):
     d = spark.createDataFrame(rows, "series_id string, fold long, role string, x double, label double")
     out = fc.benchmark(d, K, ["x"], {"line": lambda: fc.regressor("linear"), "forest": lambda: fc.regressor("forest")}).orderBy("position").collect()
     assert [(r["model"], r["n_folds"]) for r in out] == [("forest", 3), ("line", 3)] and out[0]["mae"] < out[1]["mae"] / 2
+
+
+def test_halving_lets_losers_leave():
+    error, asked = [5, 3, 9, 1, 7, 3], []
+
+    def score(k, fold):
+        asked.append((k, fold))
+        return error[k] + (10 if (k, fold) == (3, "z") else 0)
+
+    out = fc.halving(6, ["x", "y", "z"], score)
+    assert sorted(k for k, f in asked if f == "y") == [1, 3, 5] and sorted(k for k, f in asked if f == "z") == [1, 3]
+    assert [(k, n) for k, _, n, _ in out] == [(1, 3), (3, 3), (5, 2), (0, 1), (4, 1), (2, 1)]
+    assert fc.halving(0, ["x"], score) == [] and len(fc.halving(1, ["x", "y"], score)) == 1
+
+
+def test_draws_repeat():
+    space = {"a": range(5), "b": ["u", "v"]}
+    assert fc.draw_params(space, 8, 1) == fc.draw_params(space, 8, 1) != fc.draw_params(space, 8, 2)
+    assert all(d["a"] in range(5) and d["b"] in "uv" for d in fc.draw_params(space, 8))

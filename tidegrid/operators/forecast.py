@@ -6,7 +6,12 @@ returns (keys, issued_at, target_dt, lead, pred), issued at a series' last cell.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import math
+import os
+import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -25,7 +30,7 @@ from tidegrid.operators.grid import fill_hold
 from tidegrid.operators.horizon import level_offsets
 from tidegrid.operators.quantiles import exact_quantiles
 from tidegrid.operators.transform import level_scale
-from tidegrid.session import cut_lineage
+from tidegrid.session import cut_lineage, shared_dir
 
 # Fixed values of the daily profile.
 LEVEL_DAYS, LEVEL_HALF_LIFE, SCALE_CLIP = 7, 3.0, 4.0
@@ -272,19 +277,56 @@ def exponential_smoothing(grid: DataFrame, keys, seconds: int, horizon: int, alp
         (F.col("__best.level") + 0.5 * F.col("__slope") * F.col("lead")).alias("pred"), F.col("__best.alpha").alias("alpha"))
 
 
-def parameter_search(folded: DataFrame, candidates: list[dict], kind: str = "forest") -> DataFrame:
-    """Candidates scored on the test rows of every fold of (fold, role, features, label), best mean error first."""
-    folded = cut_lineage(folded)
-    folds = sorted(r[0] for r in folded.select("fold").distinct().collect())  # one small number per fold
+def draw_params(space: dict[str, Sequence], draws: int, seed: int = 0) -> list[dict]:
+    """Distinct candidates; a draw's value of a parameter follows from a hash, so a repeated search draws the same.
+
+    ``space`` gives each parameter its choices, a list or a ``range``.
+    """
+    out: list[dict] = []
+    for n in range(draws):
+        pick = {k: v[int(hashlib.sha256(f"{seed}/{n}/{k}".encode()).hexdigest(), 16) % len(v)] for k, v in space.items()}
+        if pick not in out:
+            out.append(pick)
+    return out
+
+
+def halving(n: int, folds: list, score: Callable[[int, object], float], keep: float = 0.5, threads: int = 4) -> list[tuple[int, float, int, int]]:
+    """(candidate, mean score, folds seen, round left) by successive halving, best first.
+
+    Every round scores those still in on one more fold; then the better ``keep``
+    share by mean score goes on (at least one, ties to the earlier candidate).
+    All fits of a round run side by side.
+    """
+    seen: dict[int, list[float]] = {k: [] for k in range(n)}
+    left, alive = {}, list(range(n))
+    for r, fold in enumerate(folds):
+        with ThreadPoolExecutor(threads) as pool:
+            for k, v in zip(alive, pool.map(lambda c: score(c, fold), alive)):
+                seen[k].append(v)
+        order = sorted(alive, key=lambda k: (sum(seen[k]) / len(seen[k]), k))
+        stay = len(order) if r == len(folds) - 1 else max(1, math.ceil(len(order) * keep))
+        left.update({k: r for k in alive})
+        alive = order[:stay]
+    rows = [(k, sum(v) / len(v), len(v), left[k]) for k, v in seen.items() if v]
+    return sorted(rows, key=lambda x: (-x[2], x[1], x[0]))
+
+
+def parameter_search(folded: DataFrame, candidates: list[dict], kind: str = "forest", keep: float = 0.5) -> DataFrame:
+    """(candidate, params, mae, n_folds, position) of (fold, role, features, label): candidates meet the folds in turn and the
+    worse ones leave early. Those that saw more folds come first, then the smaller mean error."""
+    path = os.path.join(shared_dir(folded.sparkSession), f"folds-{uuid.uuid4().hex}")
+    folded.write.partitionBy("fold", "role").parquet(path)
+    stored = folded.sparkSession.read.parquet(path)  # a fit reads its own fold and role only
+    folds = sorted(r[0] for r in stored.select("fold").distinct().collect())  # one small number per fold
     ev = RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName="mae")
-    rows = []
-    for n, c in enumerate(candidates):
-        for fold in folds:
-            own = folded.filter(F.col("fold") == fold)
-            model = regressor(kind, **c).fit(own.filter("role = 'train'"))
-            rows.append((n, str(sorted(c.items())), fold, float(ev.evaluate(model.transform(own.filter("role = 'test'"))))))
-    scored = folded.sparkSession.createDataFrame(rows, "candidate LONG, params STRING, fold LONG, mae DOUBLE")
-    return scored.groupBy("candidate", "params").agg(F.avg("mae").alias("mae"), F.count("*").alias("n_folds")).orderBy("mae", "candidate")
+
+    def score(n: int, fold) -> float:
+        own = stored.filter(F.col("fold") == fold)
+        model = regressor(kind, **candidates[n]).fit(own.filter("role = 'train'"))
+        return float(ev.evaluate(model.transform(own.filter("role = 'test'"))))
+
+    rows = [(n, str(sorted(candidates[n].items())), mae, seen, p) for p, (n, mae, seen, _) in enumerate(halving(len(candidates), folds, score, keep), start=1)]
+    return folded.sparkSession.createDataFrame(rows, "candidate LONG, params STRING, mae DOUBLE, n_folds LONG, position LONG")
 
 
 def fold_errors(folded: DataFrame, keys, columns: list[str], models: dict[str, Callable]) -> DataFrame:

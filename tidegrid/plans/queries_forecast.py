@@ -178,7 +178,7 @@ def _(spark, sf):
 
 @query("FC12_parameter_search")
 def _(spark, sf):
-    d = fc.parameter_search(_folded(spark, sf), [{"numTrees": 10, "maxDepth": 3}, {"numTrees": 10, "maxDepth": 6}])
+    d = fc.parameter_search(_folded(spark, sf), fc.draw_params({"numTrees": [5, 10, 20], "maxDepth": range(2, 7)}, 6))
     return rnd(d, mae=2)
 
 
