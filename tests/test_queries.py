@@ -18,7 +18,7 @@ CN8_increment_actuals LS4_carry_deficit LS5_unmeasured_days IO1_normalise_histor
 PF4_to_canonical_energy PF14_covariate_status TR2_clip_mad TR13_psi_drift TR14_data_report SO6_changed_since_previous JN2_asof_tolerance
 LS1_subtract_next LS2_load_subtract_drop FC11_smoothing_grid HZ2_slot_quantiles JN4_asof_trajectory JN11_winner_cohort CAL1_calendar CAL6_solar_elevation WF2_rolling WF8_causal_impute WF9_resolve_missingness WF10_sliding_windows
 AG2_lead_curve_cohorts AG6_daily_cum_accuracy AG9_conformal_quantiles AG10_coverage_by AG13_stability_daily AG23_skill_common_band MT11_compute_all
-CV2_sliding_window BM3_composite_rank BM8_diebold_mariano HZ1_scores FC5_daily_profile FC14_asymmetric_band ST2_tumbling ST4_counter_state ST8_late_rewrite""".split()
+CV2_sliding_window BM3_composite_rank BM8_diebold_mariano HZ1_scores FC5_daily_profile FC14_asymmetric_band FC6_recursive_features UD2_stored_models UD3_grid_cells UD3_trajectory_cells ST1_first_write_wins ST2_tumbling ST4_counter_state ST8_late_rewrite""".split()
 NAMES = list(QUERIES) if os.environ.get("TIDEGRID_ALL") else SAMPLE
 
 
