@@ -9,7 +9,8 @@ outside articles: the first pass decides those that are clear, the second lets
 each undecided one inherit the label of its nearest decided neighbour in the same
 article (or outside of all). An article or main element is a hint: in it, long
 blocks with few stop words are undecided, neighbours that are not text count as
-twice as far away, and blocks without a decided neighbour are text.
+twice as far away, and blocks without a decided neighbour are text. Where no list
+of stop words fits the page's language, length and link density decide alone.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ LONG = 140  # characters of a block that can decide by itself
 DENSE = 0.20  # stop words among the words of prose
 SPARSE = 0.05  # fewer in a long block outside an article: not prose
 FAR = 2  # how much farther a neighbour that is not text counts in an article
+FIT = 0.10  # a list with fewer of a page's words is not its language's
+WIDE = 3  # letters that a character of a script without spaces stands for
 
 #: Very frequent words of some languages, and the names that markup uses.
 STOP_WORDS = {
@@ -60,7 +63,8 @@ MODIFIERS = "has have with without no non not hide show".split()
 VOID_TAGS = "area base br col embed hr img input link meta param source track wbr".split()
 #: Tags whose end is understood when one of the others begins: what begins, and what it ends.
 _CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
-_RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe"}
+_RAW = {tag: re.compile(f"</{tag}(?![a-z0-9-])", re.I) for tag in ("script", "style", "textarea", "title", "noscript", "template", "iframe")}
+_LISTS = {"ul", "ol", "dl", "table", "select"}
 
 _BLOCK, _HIDDEN, _ASIDE, _VOID = set(BLOCK_TAGS), set(HIDDEN_TAGS), set(ASIDE_TAGS), set(VOID_TAGS)
 _ROLES, _NAMES, _FOREIGN, _MODIFIERS = set(ASIDE_ROLES), set(ASIDE_NAMES), set(FOREIGN_NAMES), set(MODIFIERS)
@@ -69,6 +73,8 @@ _MARKUP = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME_PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _BLANKS = re.compile(r"\s+")
+#: Scripts that write words without spaces, or syllables as one character: a character there says as much as about three letters.
+_WIDE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 _LANG = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([a-zA-Z]{2})", re.I)
 
 
@@ -130,7 +136,8 @@ def blocks(page: str) -> Iterator[_Block]:
     article = articles = links = 0
     block = _Block(False, 0)
     place = 0
-    low = None
+    places: dict[str, list[int]] = {}  # where a tag is open in the stack
+    walls: list[int] = []  # where a block other than a paragraph is
 
     def say(raw: str) -> None:
         if raw and not hidden:
@@ -143,8 +150,15 @@ def blocks(page: str) -> Iterator[_Block]:
         nonlocal hidden, aside, article, hints, links
         while len(stack) > to:
             tag, hidden, aside, article, hints = stack.pop()
+            places[tag].pop()
+            if walls and walls[-1] == len(stack):
+                walls.pop()
             links -= tag == "a"
 
+    def nearest(tags: set[str]) -> int:
+        """The innermost open element of some tags, or -1."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
     while True:
         found = _MARKUP.search(page, place)
         say(page[place : found.start()] if found else page[place:])
@@ -161,24 +175,25 @@ def blocks(page: str) -> Iterator[_Block]:
             continue
         fresh = tag in _BLOCK
         if ending:
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if at is not None and (fresh or not any(x[0] in _BLOCK and x[0] != "p" for x in stack[at + 1 :])):
+            at = nearest({tag})
+            if at >= 0 and (fresh or not walls or walls[-1] <= at):
                 pop(at)
             elif not fresh:
                 continue
         else:
             if fresh and stack and tag not in ("li", "td", "th", "tr", "dt", "dd", "option"):
-                at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in _BLOCK), None)
-                if at is not None and stack[at][0] == "p":
+                at = nearest({"p"})
+                if at > (walls[-1] if walls else -1):
                     pop(at)
             elif tag in _CLOSES:
-                at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in _CLOSES[tag] or stack[k][0] in ("ul", "ol", "dl", "table", "select")), None)
-                while at is not None and stack[at][0] in _CLOSES[tag]:
+                while (at := nearest(_CLOSES[tag] | _LISTS)) >= 0 and stack[at][0] in _CLOSES[tag]:
                     pop(at)
-                    at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in _CLOSES[tag] or stack[k][0] in ("ul", "ol", "dl", "table", "select")), None)
             if tag == "a" and links:  # links do not nest
-                pop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "a"))
+                pop(nearest({"a"}))
             if tag not in _VOID and not found[4].rstrip().endswith("/"):
+                places.setdefault(tag, []).append(len(stack))
+                if fresh and tag != "p":
+                    walls.append(len(stack))
                 stack.append((tag, hidden, aside, article, hints))
                 hidden = hidden or tag in _HIDDEN
                 aside = aside or _set_aside(tag, found[4], article > 0)
@@ -192,25 +207,33 @@ def blocks(page: str) -> Iterator[_Block]:
                         article = articles
                 links += tag == "a"
                 if tag in _RAW:
-                    low = low or page.lower() if len(page.lower()) == len(page) else page
-                    end = low.find(f"</{tag}", place)
-                    say(page[place : end if end >= 0 else len(page)])
-                    place = end if end >= 0 else len(page)
+                    end = _RAW[tag].search(page, place)
+                    say(page[place : end.start() if end else len(page)])
+                    place = end.start() if end else len(page)
         if fresh or block.aside != aside or block.article != article or block.hints is not hints:
             yield block
             block = _Block(aside, article, hints)
     yield block
 
 
-def densities(texts: list[str], aside: list[bool], lang: str | None) -> list[float]:
-    """Share of stop words in each text; if the language has no list, the one that fits the texts that are not aside."""
+def densities(texts: list[str], aside: list[bool], lang: str | None) -> list[float] | None:
+    """Share of stop words in each text, by the list of the language or, if that has none or does not fit, the one that fits the texts
+    that are not aside. None if no list fits: under ``FIT`` of their words are in it."""
     words = [[w.strip(".,;:!?\"'()[]").lower() for w in text.split()] for text in texts]
-    if lang not in _STOP:
-        seen = [w for ws, out in zip(words, aside, strict=True) if not out for w in ws]
-        lang = max(_STOP, key=lambda x: sum(w in _STOP[x] for w in seen))
+    seen = [w for ws, out in zip(words, aside, strict=True) if not out for w in ws]
+    hits = {x: sum(w in stop for w in seen) for x, stop in _STOP.items()}
+    if lang not in _STOP or hits[lang] < FIT * len(seen):
+        lang = max(_STOP, key=hits.__getitem__)
+    if hits[lang] < FIT * len(seen):
+        return None
     return [sum(w in _STOP[lang] for w in ws) / max(len(ws), 1) for ws in words]
 
 
+def _lengths(texts: list[str], weigh: bool) -> list[int]:
+    """Characters of each text; ``weigh``: characters of scripts without spaces count as ``WIDE``."""
+    return [len(t) + ((WIDE - 1) * len(_WIDE.findall(t)) if weigh and not t.isascii() else 0) for t in texts]
+
+
 def _unwrap(found: list[_Block], weights: list[int]) -> None:
     """Makes wrappers of the page neutral, from the outside in. ``weights``: characters in articles and long prose of each block."""
     total = sum(weights)
@@ -232,15 +255,21 @@ def _unwrap(found: list[_Block], weights: list[int]) -> None:
         most.active = False
 
 
-def label(found: list[tuple[str, float, bool, int]], dense: list[float]) -> list[bool]:
-    """Which blocks (text, link density, aside, article) are main text, given the density of stop words of each."""
+def label(found: list[tuple[int, float, bool, int]], dense: list[float] | None) -> list[bool]:
+    """Which blocks (length, link density, aside, article) are main text, given the density of stop words of each. Without densities
+    long blocks of few links are text, but for those outside of a page's articles, which are undecided."""
     first: list[bool | None] = []
-    for (text, linked, aside, article), density in zip(found, dense, strict=True):
+    in_articles = any(article and not aside and linked <= LINKED for _, linked, aside, article in found)
+    for k, (length, linked, aside, article) in enumerate(found):
         if aside or linked > LINKED:
             first.append(False)
-        elif len(text) >= LONG and density >= DENSE:
+        elif length < LONG:
+            first.append(None)
+        elif dense is None:
+            first.append(True if article or not in_articles else None)
+        elif dense[k] >= DENSE:
             first.append(True)
-        elif len(text) >= LONG and density < SPARSE and not article:
+        elif dense[k] < SPARSE and not article:
             first.append(False)
         else:
             first.append(None)
@@ -288,9 +317,11 @@ def main_text(page: str | None) -> str:
     lang = _LANG.search(page)
     linked = [b.linked / max(len(t.replace(" ", "")), 1) for t, b in kept]
     dense = densities(texts, [b.aside for b in own], lang and lang[1].lower())
+    lengths = _lengths(texts, dense is None)
     if any(b.hints for b in own):
-        _unwrap(own, [0 if b.aside or link > LINKED or not (b.article or len(t) >= LONG and d >= DENSE) else len(t) for t, b, link, d in zip(texts, own, linked, dense, strict=True)])
-    found = [(t, link, b.aside or any(h.active for h in b.hints), b.article) for t, link, b in zip(texts, linked, own, strict=True)]
+        good = [b.article or n >= LONG and (dense is None or dense[k] >= DENSE) for k, (b, n) in enumerate(zip(own, lengths, strict=True))]
+        _unwrap(own, [0 if b.aside or link > LINKED or not g else n for g, b, link, n in zip(good, own, linked, lengths, strict=True)])
+    found = [(n, link, b.aside or any(h.active for h in b.hints), b.article) for n, link, b in zip(lengths, linked, own, strict=True)]
     return "\n".join(t for t, good in zip(texts, label(found, dense), strict=True) if good)
 
 
