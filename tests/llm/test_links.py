@@ -1,5 +1,6 @@
 """Operators that compare documents: substring dedup, SimHash, top-k, and the pipeline."""
 
+import math
 import random
 
 import numpy as np
@@ -131,6 +132,23 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard", [4096, 15])
+def test_top_k_beyond_longs(spark, monkeypatch, shard):
+    """Scores that no long holds are ranked exactly, ties by id, and cut to the ends of a long."""
+    rng = random.Random(3)
+    rows = [(k, [rng.choice([0.0, 1.0, -1.0, 1e200, -1e200, 1e154, 3e200, rng.gauss(0, 1)]) for _ in range(3)]) for k in range(60)]
+    rows += [(100, [1e200, 1e200, 0.0]), (101, [1e200, 1e200, 0.0]), (102, [1.7e308, 0.0, 0.0]), (None, [1.0, 1.0, 1.0])]
+    ints = {k: [math.floor(64 * x) for x in v] for k, v in rows if k is not None and max(map(abs, v)) < 1e306}
+    want = []
+    for q in (k for k in ints if k % 20 == 0):
+        ranked = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), k) for k, v in ints.items() if k != q)[:20]
+        want += [(q, i, k, max(min(-s, 2**63 - 1), -(2**63))) for i, (s, k) in enumerate(ranked, 1)]
+    monkeypatch.setattr(topk, "SHARD", shard)
+    monkeypatch.setattr(topk, "LEAF", 4)
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 # --- the pipeline against plain versions, stage by stage -----------------------
 
 

@@ -32,7 +32,7 @@ _LARGE = np.iinfo(np.int64).max
 
 
 def scaled(vectors: DataFrame, scale: int = SCALE, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, dim, comps): floor(scale * x) of every component as doubles, for rows with an id whose components are all finite. An empty
+    """(vec_id, dim, comps): floor(scale * x) of every component as doubles, for rows with an id whose components are all finite, also when scaled. An empty
     vector takes no part either."""
     bounded_batches(vectors.sparkSession, 4096)
 
@@ -45,10 +45,12 @@ def scaled(vectors: DataFrame, scale: int = SCALE, vec_id: str = "vec_id", embed
                 if x is None or not len(x) or x.null_count or not ids[k].is_valid:
                     continue
                 v = x.to_numpy(zero_copy_only=False).astype(np.float64)
+                with np.errstate(over="ignore"):
+                    v = np.floor(scale * v)
                 if np.isfinite(v).all():
                     rows.append(k)
                     dims.append(len(v))
-                    comps.append(np.floor(scale * v).tobytes())
+                    comps.append(v.tobytes())
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(dims, pa.int32()), pa.array(comps, pa.binary())], ["vec_id", "dim", "comps"])
 
     return vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("x")).mapInArrow(floor, "vec_id long, dim int, comps binary")
@@ -60,18 +62,28 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 def _exact(*matrices: np.ndarray) -> list[np.ndarray]:
     """Doubles where every inner product stays below 2**53 and so is exact; else Python's integers."""
-    most = [float(np.abs(m).max(initial=0)) for m in matrices]
-    if max(most) ** 2 * matrices[0].shape[1] < 2**53:
+    most = max(float(np.abs(m).max(initial=0)) for m in matrices)
+    if most * most * matrices[0].shape[1] < 2**53:  # infinite if beyond doubles
         return list(matrices)
     as_int = np.frompyfunc(int, 1, 1)
     return [as_int(m) for m in matrices]
 
 
+def _bottom(dtype: np.dtype) -> float | int:
+    """A number below every inner product."""
+    return -(1 << 4096) if dtype == object else -np.inf
+
+
+def _sortable(score: int) -> bytes | None:
+    """Bytes that order scores which a long cannot hold; none for the others."""
+    return (int(score) + (1 << 4096)).to_bytes(513, "big") if not _NONE < score < _LARGE else None
+
+
 class BoxTree:
     """Median splits down to leaves of at most ``LEAF`` vectors; boxes of leaves and of all nodes above them."""
 
     def __init__(self, points: np.ndarray):
-        self.points = points
+        self.points, self.bottom = points, _bottom(points.dtype)
         parts, levels = [np.arange(len(points))], []
         while True:
             levels.append(parts)
@@ -94,9 +106,9 @@ class BoxTree:
         for low, high in self.boxes:
             bound = above @ high.T + below @ low.T
             if alive is not None:
-                bound = np.where(np.repeat(alive, 2, axis=1), bound, _NONE)
-            alive = bound >= least[:, None]
-        return np.where(alive, bound, _NONE)
+                bound = np.where(np.repeat(alive, 2, axis=1), bound, self.bottom)
+            alive = (bound >= least[:, None]) & (bound > self.bottom)
+        return np.where(alive, bound, self.bottom)
 
     def search(self, queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Candidates (query, point, score) that hold the k best of this shard for each query, as far as they reach ``least``.
@@ -109,7 +121,7 @@ class BoxTree:
         active = np.arange(len(queries))
         for turn in range(len(self.leaves)):
             leaf = order[active, turn]
-            live = (bound[active, leaf] >= least[active]) & (bound[active, leaf] != _NONE)
+            live = (bound[active, leaf] >= least[active]) & (bound[active, leaf] > self.bottom)
             active, leaf = active[live], leaf[live]
             if not len(active):
                 break
@@ -146,7 +158,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """The ``k`` best rows of ``vectors`` for each row of ``queries``: query_id, rank (from 1), vec_id, score.
 
     Both have (row, vec_id, dim, comps), ``row`` naming a row of one table, of which a query skips its own. Only vectors of equal
-    length meet. Ties go to the smaller vec_id. Scores beyond a long are cut to its ends.
+    length meet. Ties go to the smaller vec_id. Scores beyond a long are ranked exactly and then cut to its ends.
     """
     n, n_queries = vectors.count(), queries.count()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-n_queries // QUERY_BLOCK))
@@ -163,7 +175,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     known = known.withColumn("qb", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks))).groupBy("dim", "qb").agg(F.collect_list(F.struct("row", F.coalesce("kth", F.lit(_NONE)).alias("kth"))).alias("kths"))
     armed = packed.join(known, ["dim", "qb"]).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     found = _meet(dealt, armed.select("dim", "qb", "rows", "ids", "comps", "shard", F.to_json("kths").cast("binary").alias("least")), supers, k)
-    order = W.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id", "row")
+    order = W.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("beyond").desc(), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -178,37 +190,37 @@ def _meet(vectors: DataFrame, blocks: DataFrame, supers: int, k: int) -> DataFra
     import json
 
     def run(key, points, queries):
-        empty = pa.table({c: pa.array([], pa.int64()) for c in ("dim", "query_row", "query_id", "row", "vec_id", "score")})
+        names = ("query_row", "query_id", "row", "vec_id", "score")
         if not len(points) or not len(queries):
-            return empty.set_column(0, "dim", pa.array([], pa.int32()))
+            return pa.table({"dim": pa.array([], pa.int32()), **{c: pa.array([], pa.int64()) for c in names}, "beyond": pa.array([], pa.binary())})
         dim = key[0].as_py()
         rows, ids = points.column("row").to_numpy(), points.column("vec_id").to_numpy()
         raw = _matrix(points.column("comps"), dim)
-        out = {c: [] for c in ("query_row", "query_id", "row", "vec_id", "score")}
+        out: dict[str, list] = {c: [] for c in names}
+        beyond: list[bytes | None] = []
         trees: dict[str, BoxTree] = {}
         for block in queries.to_pylist():
-            own, names = np.frombuffer(block["rows"], np.int64), np.frombuffer(block["ids"], np.int64)
+            own, own_ids = np.frombuffer(block["rows"], np.int64), np.frombuffer(block["ids"], np.int64)
             q, p = _exact(np.frombuffer(block["comps"], np.float64).reshape(-1, dim), raw)
             if p.dtype.kind not in trees:
                 trees[p.dtype.kind] = BoxTree(p)
             tree = trees[p.dtype.kind]
-            least = np.full(len(own), _NONE).astype(q.dtype)
-            if block["least"] is not None:
-                kth = {x["row"]: x["kth"] for x in json.loads(block["least"])}
-                least = np.array([kth.get(r, _NONE) for r in own.tolist()], object).astype(q.dtype)
+            kth = {x["row"]: x["kth"] for x in json.loads(block["least"])} if block["least"] is not None else {}
+            least = np.array([tree.bottom if kth.get(r, _NONE) == _NONE else kth[r] for r in own.tolist()], object).astype(q.dtype)
             a, b, score = tree.search(q, own, rows, ids, k, least)
             out["query_row"].append(own[a])
-            out["query_id"].append(names[a])
+            out["query_id"].append(own_ids[a])
             out["row"].append(rows[b])
             out["vec_id"].append(ids[b])
             out["score"].append(np.array([min(max(int(s), _NONE), _LARGE) for s in score.tolist()], np.int64))
+            beyond += map(_sortable, score.tolist()) if score.dtype == object else [None] * len(score)
         columns = {c: pa.array(np.concatenate(v).astype(np.int64)) for c, v in out.items()}
-        return pa.table({"dim": pa.array([dim] * len(columns["row"]), pa.int32()), **columns})
+        return pa.table({"dim": pa.array([dim] * len(columns["row"]), pa.int32()), **columns, "beyond": pa.array(beyond, pa.binary())})
 
     left = vectors.select("dim", "shard", "row", "vec_id", "comps", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(supers - 1).cast("long"))).alias("super"))
     right = blocks.withColumn("super", F.pmod("qb", F.lit(supers)))
     keys = ["dim", "shard", "super"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "dim int, query_row long, query_id long, row long, vec_id long, score long")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "dim int, query_row long, query_id long, row long, vec_id long, score long, beyond binary")
 
 
 def top_k(embeddings: DataFrame, every: int = 20, k: int = K) -> DataFrame:
