@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import materialise
 from tidegrid.llm import bpe, html, language, license, packing, pieces, quality, tokencounts
+from tidegrid.llm.queries import QUERIES
 
 from corpus_fixtures import SMALL, clashing, documents  # noqa: F401
 
@@ -229,6 +230,28 @@ def test_token_ledger(spark, tmp_path):
     assert totals() == sorted([("a", "de", "v1", 1, 12), ("a", "en", "v1", 1, 1), ("a", None, "v1", 1, 5), (None, "en", "v1", 1, 0), ("a", "de", "v2", 1, 7)], key=str)
     with pytest.raises(Exception, match="unknown operation"):
         ledger.commit(2, change(("upsert", 1, "a", "en", "v1", 1)))
+    # another process finds the batches, an attempt that was not published does not count, and compaction changes no total
+    change(("insert", 5, "a", "en", "v1", 1)).write.parquet(f"{tmp_path}/ledger/2-unpublished")
+    before, ledger = totals(), tokencounts.TokenLedger(spark, str(tmp_path))
+    assert ledger.batches == [0, 1] and totals() == before
+    ledger.commit(0, first)
+    ledger.compact()
+    ledger = tokencounts.TokenLedger(spark, str(tmp_path))
+    assert ledger.batches == [1] and totals() == before
+    ledger.commit(1, second)
+    ledger.commit(2, change(("delete", 1, None, None, "v1", None), ("revise", None, "c", "en", "v1", 3), ("insert", 6, "c", "en", "v1", 4)))
+    assert ledger.batches == [1, 2] and totals() == sorted([("a", None, "v1", 1, 5), (None, "en", "v1", 1, 0), ("a", "de", "v2", 1, 7), ("c", "en", "v1", 2, 7)], key=str)
+
+
+def test_token_totals_of_the_query(spark):
+    """The registered query against plain sums of the library's counts."""
+    encoding, want = _tiktoken(COUNTS), {}
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
+        n, total = want.get((r.source, r.lang), (0, 0))
+        want[r.source, r.lang] = n + 1, total + len(encoding.encode_ordinary(r.text or ""))
+    got = QUERIES["op10_token_counts"](spark, SMALL).collect()
+    assert len(got) == len(want) and {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in got} == want
+    assert {r.tokenizer for r in got} == {"byte_bpe_50k"}
 
 
 def test_token_counts(documents, corpus):

@@ -159,16 +159,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_token_counts")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents enter with their bytes as a first estimate; the next batch takes that back and brings exact token counts. It is
-    committed twice, as after a lost acknowledgement."""
+    """All documents enter with their bytes as a first estimate, which the next batch revises to exact token counts. That is committed
+    twice, the second time by a ledger opened anew, as after a lost acknowledgement."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.octet_length("text").cast("long").alias("bytes"), "text")
     counts = materialise(tokencounts.counted(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")), "counts")
-    ledger = tokencounts.TokenLedger(spark, scratch(spark, "token-ledger"))
-    rough = counts.select(F.lit("insert").alias("op"), "doc_id", "source", "lang", F.lit("bytes").alias("tokenizer"), F.col("bytes").alias("tokens"))
-    ledger.commit(0, rough)
-    exact = counts.select(F.lit("insert").alias("op"), "doc_id", "source", "lang", F.lit("byte_bpe_50k").alias("tokenizer"), "tokens")
+    path = scratch(spark, "token-ledger")
+    keys = ["doc_id", "source", "lang", F.lit("byte_bpe_50k").alias("tokenizer")]
+    tokencounts.TokenLedger(spark, path).commit(0, counts.select(F.lit("insert").alias("op"), *keys, F.col("bytes").alias("tokens")))
     for _ in range(2):
-        ledger.commit(1, rough.withColumn("op", F.lit("delete")).unionByName(exact))
+        ledger = tokencounts.TokenLedger(spark, path)
+        ledger.commit(1, counts.select(F.lit("revise").alias("op"), *keys, "tokens"))
     return ledger.totals()
 
 
