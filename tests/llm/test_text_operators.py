@@ -89,6 +89,11 @@ def test_licence_places_and_labels(spark, documents, clashing):
         (7, "All rights reserved."),
         (8, "all my rights were never reserved here\nbut kept"),
         (9, "This work is licensed under the GNU General Public License, version 3."),
+        (10, "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+        (11, "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+        (12, "this work is licensed under a creative commons attribution-share alike 4.0 international license"),
+        (13, "river stone " * 300 + "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License." + " river" * 300),
+        (14, " river stone brook ".join("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0".split() * 2) * 2),
         *[(20 + k, t) for k, (_, t) in enumerate(ODD)],
     ]
     out = {r.doc_id: r for r in license.scan(clashing(documents(rows))).collect()}
@@ -97,7 +102,8 @@ def test_licence_places_and_labels(spark, documents, clashing):
     assert (out[3].base_labels, out[3].labels, out[3].score) == ("apache-2", "apache-2", 1.0)
     assert (out[4].n_base, out[5].n_base) == (1, 0)
     assert (out[6].base_labels, out[6].labels) == ("", "mit") and out[6].score >= 0.8
-    assert (out[7].labels, out[8].labels, out[9].labels) == ("reserved", "reserved", "gpl-3")
+    assert (out[7].labels, out[8].labels, out[9].labels) == ("reserved", "", "gpl-3")
+    assert [out[k].labels for k in range(10, 15)] == ["cc-by", "cc-by-nc", "cc-by-sa", "cc-by-sa", ""]
     assert out[20].n_words == 0 and out[20].first_word is None and out[20].score == 0
     assert len(out) == len(rows) and license.scan(spark.createDataFrame([], EMPTY)).count() == 0
 
@@ -113,10 +119,15 @@ def test_licence_join_finds_what_brute_force_finds(documents):
     want = {}
     for k, text in rows:
         found = set()
-        for label, t in license.TEMPLATES:
-            need, own = license.needed(len(license.template_words(t))), set(license.template_words(t))
-            if any(len(own & set(block.split())) >= need for block in [*text.split("\n"), text]):
-                found.add(label)
+        for block in [*text.split("\n"), text]:
+            ws, held = block.split(), {}
+            for n, (label, t) in enumerate(license.TEMPLATES):
+                own = set(license.template_words(t))
+                shared = len(own & set(ws))
+                marked = label not in license.MARKS or any(f" {m} " in f" {' '.join(ws)} " for m in license.MARKS[label])
+                if shared >= license.needed(len(own)) and marked:
+                    held.setdefault(license.FAMILIES.get(label, n), []).append((shared + (label in license.MARKS), label))
+            found |= {label for group in held.values() for shared, label in group if shared == max(group)[0]}
         want[k] = found
     got = {r.doc_id: set(r.labels.split(",")) - {""} for r in license.scan(documents(rows)).collect()}
     phrases = {k: {label for p, label in license.PHRASES.items() if f" {p} " in f" {' '.join(t.split())} "} for k, t in rows}

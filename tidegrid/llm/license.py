@@ -4,7 +4,11 @@ Template words are ordered by how few documents hold them, rarest first. A
 block (a line or a paragraph) that holds a share ``threshold`` of a template's
 words must hold one of the template's first few (prefix filter), must have
 enough words (length filter), and the words behind the first shared one must
-still suffice (positional filter). Only such pairs are compared. The template
+still suffice (positional filter). Only such pairs are compared. A block of
+more than ``SPAN`` words is cut into overlapping spans of that many. Notices that
+differ in a word or two name what tells them apart (``MARKS``); of the templates
+of a family that one span matches, those that share most words, a mark being one
+more, count. The template
 side is a parameter and so bounded; its index is the side that is broadcast.
 """
 
@@ -30,6 +34,7 @@ TEMPLATES = [
     ("apache-2", "Licensed under the Apache License, Version 2.0"),
     ("apache-2", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License"),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
@@ -38,6 +43,10 @@ TEMPLATES = [
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("reserved", "All rights reserved"),
 ]
+#: Of a label's notices, phrases of which one must stand in the span; and labels whose notices are much alike.
+MARKS = {"cc-by-nc": ["noncommercial", "non commercial"], "cc-by-sa": ["sharealike", "share alike"], "gpl-3": ["gnu general public license", "free software foundation"], "mpl-2": ["mozilla public license"], "reserved": ["all rights reserved"]}
+FAMILIES = {"cc-by": "cc", "cc-by-nc": "cc", "cc-by-sa": "cc"}
+SPAN = 128
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -106,7 +115,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tup
         ordered, need = sorted(rank[w] for w in ws), needed(len(ws), threshold)
         prefix = ordered[: len(ordered) - need + 1]
         rare |= {w for w in ws if rank[w] in prefix}
-        index += [{"template": k, "label": label, "rank": r, "j": j + 1, "ranks": ordered, "need": need} for j, r in enumerate(prefix)]
+        index += [{"template": k, "label": label, "rank": r, "j": j + 1, "ranks": ordered, "need": need, "asked": MARKS.get(label), "family": FAMILIES.get(label, str(k))} for j, r in enumerate(prefix)]
 
     # one pass over all texts; those without any word of a prefix or phrase are decided
     hit = F.arrays_overlap("words", _strings(sorted(rare)))
@@ -120,20 +129,31 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tup
 
     ranks = F.from_json(F.lit(json.dumps(rank)), "map<string,int>")
     block = F.explode(F.array_union(F.split("t", "\n"), F.split("t", r"\n[ \t\r]*\n"))).alias("block")
-    tokens = F.array_intersect(_words(F.col("block")), _strings(vocabulary))
-    blocks = marked.filter("t IS NOT NULL").select("row", block).select("row", F.array_sort(F.transform(tokens, lambda w: ranks[w])).alias("held")).filter(F.size("held") > 0).distinct()
-    probes = blocks.select("row", "held", F.posexplode("held").alias("i", "rank"))
-    wanted = "array<struct<template:int,label:string,rank:int,j:int,ranks:array<int>,need:int>>"
+    starts = F.sequence(F.lit(0), F.greatest(F.size("ws") - SPAN // 2 - 1, F.lit(0)), F.lit(SPAN // 2))
+    spans = marked.filter("t IS NOT NULL").select("row", block).select("row", _words(F.col("block")).alias("ws")).select("row", F.explode(F.transform(starts, lambda i: F.slice("ws", i + 1, SPAN))).alias("ws"))
+    tokens = F.array_intersect("ws", _strings(vocabulary))
+    phrase = F.concat(F.lit(" "), F.array_join("ws", " "), F.lit(" "))
+    held_marks = F.array_compact(F.array(*[F.when(F.contains(phrase, F.lit(f" {m} ")), F.lit(m)) for m in sorted({m for ms in MARKS.values() for m in ms})]))
+    blocks = spans.select("row", F.array_sort(F.transform(tokens, lambda w: ranks[w])).alias("held"), held_marks.alias("marks")).filter(F.size("held") > 0).distinct()
+    probes = blocks.select("row", "held", "marks", F.posexplode("held").alias("i", "rank"))
+    wanted = "array<struct<template:int,label:string,rank:int,j:int,ranks:array<int>,need:int,asked:array<string>,family:string>>"
     prefixes = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(index)), wanted)).alias("p")).select("p.*")
     pairs = (
         probes.join(F.broadcast(prefixes), "rank")  # a row for each prefix word of the templates given
         .filter(F.size("held") >= F.col("need"))
         .filter(F.least(F.size("held") - F.col("i"), F.size("ranks") - F.col("j") + 1) >= F.col("need"))
-        .select("row", "label", "held", "ranks", "need")
+        .filter(F.col("asked").isNull() | F.arrays_overlap("asked", "marks"))
+        .select("row", "label", "family", "asked", "held", "marks", "ranks", "need")
         .distinct()
+        .withColumn("shared", F.size(F.array_intersect("held", "ranks")))
+        .filter("shared >= need")
     )
-    shared = F.size(F.array_intersect("held", "ranks"))
-    matched = pairs.filter(shared >= F.col("need")).groupBy("row").agg(F.collect_set("label").alias("found"), F.max(shared / F.size("ranks")).alias("share"))
+    share = F.max(F.col("shared") / F.size("ranks")).alias("share")
+    strength = F.max(F.col("shared") + F.col("asked").isNotNull().cast("int")).alias("strength")
+    of_label = pairs.groupBy("row", "held", "marks", "family", "label").agg(strength, share)
+    nearest = of_label.groupBy("row", "held", "marks", "family").agg(F.max("strength").alias("most"), F.collect_list(F.struct("label", "strength", "share")).alias("each"))  # at most one for each label
+    best = nearest.select("row", F.explode(F.filter("each", lambda e: e["strength"] == F.col("most"))).alias("e"))
+    matched = best.groupBy("row").agg(F.collect_set("e.label").alias("found"), F.max("e.share").alias("share"))
     none = F.array().cast("array<string>")
     return based.join(matched, "row", "left").select(
         "doc_id",

@@ -42,17 +42,21 @@ def _license_sql() -> str:
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     phrases = ", ".join(f"({p.split(' ')!r}, {label!r})" for p, label in license.PHRASES.items())
     sets = [(label, license.template_words(text)) for label, text in license.TEMPLATES]
-    templates = ", ".join(f"({label!r}, {ws!r}, {license.needed(len(ws))})" for label, ws in sets)
+    templates = ", ".join(f"({label!r}, {license.FAMILIES.get(label, str(k))!r}, {ws!r}, {license.needed(len(ws))}, {license.MARKS.get(label, [''])!r})" for k, (label, ws) in enumerate(sets))
+    half = license.SPAN // 2
     return rf"""
     WITH d AS (SELECT doc_id, {lower} AS t, regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
     ph(p, label) AS (VALUES {phrases}),
-    tp(label, p, need) AS (VALUES {templates}),
+    tp(label, family, p, need, asked) AS (VALUES {templates}),
     u AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d WHERE len(list_intersect(w, ['license', 'cc'])) > 0),
     b AS (SELECT doc_id, label, i FROM u JOIN ph ON list_slice(w, i + 1, i + len(p)) = p),
     bs AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base FROM b GROUP BY doc_id),
     bl AS (SELECT doc_id, regexp_extract_all(x, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM
            (SELECT doc_id, unnest(list_concat(string_split(t, chr(10)), regexp_split_to_array(t, '\n[ \t\r]*\n'))) AS x FROM d)),
-    m AS (SELECT doc_id, label, len(list_intersect(p, w)) AS shared, len(p) AS size FROM bl, tp WHERE len(list_intersect(p, w)) >= need),
+    sp AS (SELECT row_number() OVER () AS span, doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS joined FROM (
+           SELECT doc_id, list_slice(w, i + 1, i + {license.SPAN}) AS w FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - {half}, 1), {half})) AS i FROM bl))),
+    m AS (SELECT span, doc_id, family, label, len(list_intersect(p, w)) AS shared, len(p) AS size FROM sp, tp WHERE len(list_intersect(p, w)) >= need
+          AND (asked = [''] OR len(list_filter(asked, lambda x: contains(joined, ' ' || x || ' '))) > 0) QUALIFY rank() OVER (PARTITION BY span, family ORDER BY shared + (asked <> [''])::INTEGER DESC) = 1),
     ms AS (SELECT doc_id, list(DISTINCT label) AS found, max(shared / size) AS share FROM m GROUP BY doc_id)
     SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
            coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(found, [])))), ','), '') AS labels,
