@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +52,7 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
     """Smaller Arrow batches, so that a worker's memory does not follow the length of its documents."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -60,6 +61,8 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") ->
 
 def release() -> None:
     """Give freed memory back to the system. Workers serve one stage after the other, and what their allocators keep adds up."""
+    for rolling in Rolling.made:
+        rolling.forget()
     pa.default_memory_pool().release_unused()
     if _TRIM is not None:
         _TRIM(0)
@@ -116,15 +119,22 @@ _MASK = (1 << 64) - 1
 class Rolling:
     """Polynomial hashes modulo 2**64, computed for all spans at once from running sums."""
 
+    made: weakref.WeakSet = weakref.WeakSet()
+
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
         self.byte = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.base = int(rng.integers(1 << 40, 1 << 62)) * 8 + 5
+        self.forget()
+        Rolling.made.add(self)
+
+    def forget(self) -> None:
+        """Drop the tables of powers, which grow with the longest slice and are quickly made again."""
         self.up = self.down = np.ones(1, np.uint64)
 
     def powers(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
+            n = max(n, 5 * len(self.up) // 4)
             with np.errstate(over="ignore"):
                 for name, root in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
                     steps = np.full(n, root & _MASK, np.uint64)

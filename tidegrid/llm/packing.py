@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm import pieces
-from tidegrid.llm.common import bounded_batches, materialise, slices, text_bytes
+from tidegrid.llm.common import bounded_batches, materialise, release, slices, text_bytes
 
 CAPACITY = 2048
 END = 0
@@ -124,6 +124,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, added_tok
                 [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array([s // capacity for s in start], pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        words.clear()  # the worker serves other stages next
+        release()
 
     return docs.mapInArrow(cut, schema)
 
