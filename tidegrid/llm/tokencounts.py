@@ -28,7 +28,7 @@ from tidegrid.llm.common import bounded_batches, slices, text_bytes
 
 KEYS = ["source", "lang", "tokenizer"]
 MAX_CACHED = 1_000_000
-BUCKETS = 64
+BUCKETS = 16
 COMMITS = "batch long, seq long, attempt string, base boolean"
 
 
