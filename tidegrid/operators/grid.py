@@ -60,7 +60,8 @@ def resample(df: DataFrame, keys, seconds: int, method: str = "mean", ts: str =
     """
     bins = binned(df, keys, seconds, method, ts, value, out)
     span = bins.groupBy(*keys).agg(F.min("grid_ts").alias("__a"), F.max("grid_ts").alias("__z"))
-    full = spine(span, keys, "__a", "__z", seconds).join(bins, [*keys, "grid_ts"], "left")
+    # a join by merging: the size of the file says little about the number of bins, so the optimizer would broadcast them
+    full = spine(span, keys, "__a", "__z", seconds).join(bins.hint("merge"), [*keys, "grid_ts"], "left")
     return full.fillna(empty_sum, [out]) if method == "sum" and empty_sum is not None else full
 
 

@@ -97,13 +97,16 @@ def collapse_unchanged(log: DataFrame, keys=("experiment", "source"), value: str
 
 
 def changed_since_previous(log: DataFrame, keys=("experiment", "source"), value: str = "value") -> DataFrame:
-    """Issuances that differ from the one directly before them."""
+    """Issuances that differ from the one directly before them.
+
+    All sides grow with the log, whatever the size of the file it is derived from, so they are merged and never broadcast.
+    """
     keys = list(keys)
     runs = log.select(*keys, "issued_at").distinct()
     chain = previous(runs, keys, ["issued_at"], "__prev", F.col("issued_at"))
-    d = log.join(chain, [*keys, "issued_at"])
+    d = log.join(chain.hint("merge"), [*keys, "issued_at"])
     before = log.select(*keys, F.col("issued_at").alias("__prev"), "target_dt", F.col(value).alias("__pv"))
-    j = d.join(before, [*keys, "__prev", "target_dt"], "left")
+    j = d.join(before.hint("merge"), [*keys, "__prev", "target_dt"], "left")
     moved = F.abs(F.col(value) - F.col("__pv")) > F.greatest(F.lit(UNCHANGED_ABS), UNCHANGED_REL * F.abs(F.col(value)))
     return j.groupBy(*keys, "issued_at").agg(
         (F.coalesce(F.bool_or(moved), F.lit(False)) | (F.count("__pv") == 0)).alias("changed")
