@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
-from tidegrid.operators import sets
+from tidegrid.operators import horizon, sets
 
 
 def _plan(df) -> list[str]:
@@ -19,3 +20,32 @@ def test_issuances_are_merged_not_broadcast(spark):
     d = sets.changed_since_previous(log)
     assert not [x for x in _plan(d) if "BroadcastHashJoin" in x and ("issued_at" in x or "__prev" in x)]
     assert d.filter("changed").count() == 40
+
+
+def _points(spark, origins=90):
+    d = spark.range(origins).select(
+        F.explode(F.array(F.lit("x"), F.lit("y"))).alias("series_id"), F.timestamp_seconds(F.col("id") * 43200).cast("timestamp_ntz").alias("origin"))
+    d = d.withColumn("model", F.explode(F.array(F.lit("a"), F.lit("b")))).withColumn("lead", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(4).cast("long"))))
+    d = d.withColumn("target_dt", F.timestamp_seconds(F.unix_seconds(F.col("origin").cast("timestamp")) + F.col("lead") * 21600).cast("timestamp_ntz"))
+    noise = F.pmod(F.xxhash64("series_id", "origin", "model", "lead"), F.lit(1000)) / 7.0
+    d = d.withColumn("point", 100 + noise).withColumn("actual", F.when(F.col("lead") + F.day("origin") % 9 != 2, 120 + F.pmod(F.xxhash64("target_dt"), F.lit(97))))
+    return d.withColumn("usable", F.col("actual").isNotNull())
+
+
+def test_horizon_points_are_dealt_once(spark):
+    """One pass over whole series; no join with quantiles, whose arrays would be shuffled and stored."""
+    d = horizon.by_lead(horizon.scorable(horizon.residual_quantiles(_points(spark), ["series_id"], 4, 21600), ["series_id"]), ["series_id"], 2)
+    plan = "\n".join(_plan(d))
+    assert plan.count("FlatMapGroupsInArrow") == 1 and "Join" not in plan
+    assert d.count() == 8
+
+
+@pytest.mark.parametrize("condition", ["lead", "slot", "level"])
+def test_long_series_get_the_same_quantiles(spark, condition):
+    def rows(limit):
+        d = horizon.residual_quantiles(_points(spark), ["series_id"], 4, 21600, condition, 2, series_rows=limit)
+        return {(r.series_id, r.model, r.origin, r.lead): (r.complete, r.q and [round(x, 6) for x in r.q]) for r in d.collect()}
+
+    small, large = rows(1 << 16), rows(0)
+    assert small == large
+    assert any(q for _, q in small.values()) and any(c for c, _ in small.values()) and not all(c for c, _ in small.values())

@@ -5,20 +5,26 @@ name the series, ``lead`` counts cells from 1. Quantiles of all earlier errors
 come from ``prefixes``, whose cost grows with the number of errors and origins;
 only errors grouped by the size of the forecast still meet each origin one by one
 (``splits.thin_origins`` bounds those).
+
+The points are stored once and dealt once: a task gets whole series, many at a
+time, and gives every row its quantiles. Series of more than ``SERIES_ROWS``
+points are spread over tasks instead and met by joins.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegrid.functions.metrics import QUANTILE_LEVELS, crps
 from tidegrid.functions.timecols import epoch, to_local
-from tidegrid.operators.prefixes import prefix_quantiles
+from tidegrid.operators.prefixes import TASK_ROWS, _ranks, at_moments, codes, lists, prefix_quantiles
 from tidegrid.operators.quantiles import exact_quantiles
 from tidegrid.operators.ranking import _array_quantile, _resampled
-from tidegrid.session import cut_lineage
+from tidegrid.session import stored
 
 # Fixed values.
 LEVEL_BINS = 8
@@ -26,42 +32,120 @@ MIN_RESIDUALS = 30
 MIN_EVALUATION_DAYS = 14
 TOTAL_TOLERANCE = 1.25
 GUARDRAIL = "baseline_mean"
+SERIES_ROWS = 1 << 16
 
 
 def attach_actuals(points: DataFrame, actuals: DataFrame, keys, y: str = "y", ts: str = "grid_ts") -> DataFrame:
     a = actuals.select(*keys, F.col(ts).alias("target_dt"), F.col(y).alias("actual"))
-    d = points.join(a, [*keys, "target_dt"], "left")
+    d = points.join(a.hint("merge"), [*keys, "target_dt"], "left")
     return d.withColumn("usable", F.col("actual").isNotNull() & F.col("point").isNotNull())
 
 
 def residual_quantiles(points: DataFrame, keys, horizon: int, seconds: int, condition: str = "lead", lead_bucket: int = 1,
-                       nonnegative: bool = False, tz: str = "UTC") -> DataFrame:
-    """Adds the 19 quantiles ``q`` of every cell from the model's own earlier errors.
+                       nonnegative: bool = False, tz: str = "UTC", series_rows: int = SERIES_ROWS) -> DataFrame:
+    """Adds the 19 quantiles ``q`` of every cell from the model's own earlier errors, and ``complete``: whether every model of the series
+    has a measured cell with quantiles there.
 
     Only origins whose whole horizon was measured before count. Errors are
     grouped by lead bucket, by 3-hour block and weekend (``slot``), or by the
     size of the forecast (``level``); fewer than 30 borrow the pooled ones, and
     with fewer than 30 in all there are none.
     """
-    g = [*keys, "model"]
+    keys = list(keys)
     reach = horizon * seconds
-    # Errors with no origin far enough back contribute nothing; the frame ends one horizon before the origin.
-    d = cut_lineage(points.withColumn("__t", epoch("origin")).withColumn("__e", F.when(F.col("usable"), F.col("actual") - F.col("point"))))
     if condition == "level":
-        return _level_quantiles(d, g, reach, nonnegative)
-    if condition == "lead":
+        key = F.lit(0)
+    elif condition == "lead":
         key = F.expr(f"(lead - 1) div {max(1, lead_bucket)}")
     elif condition == "slot":
         t = to_local("target_dt", tz)
         key = F.floor(F.hour(t) / 3) + 100 * (F.weekday(t) >= 5).cast("long")
     else:
         raise ValueError(f"unknown condition {condition!r}")
-    d = d.withColumn("__key", key.cast("long"))
-    own = _past_quantiles(d, [*g, "__key"], reach, "__no", "__qo")
-    pooled = _past_quantiles(d, g, reach, "__np", "__qp")
-    d = d.join(own, [*g, "__key", "__t"], "left").join(pooled, [*g, "__t"], "left")
-    q = F.when(F.col("__np") >= MIN_RESIDUALS, F.when(F.col("__no") >= MIN_RESIDUALS, F.col("__qo")).otherwise(F.col("__qp")))
-    return _finish(d.withColumn("__off", q), nonnegative)
+    points = stored(points)
+    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).withColumn("large", F.col("rows") > series_rows)
+    total, large = sizes.agg(F.sum("rows"), F.max("large")).first()
+    # Errors with no origin far enough back contribute nothing; the frame ends one horizon before the origin.
+    d = points.withColumn("__t", epoch("origin")).withColumn("__e", F.when(F.col("usable"), F.col("actual") - F.col("point"))).withColumn("__key", key.cast("long"))
+    small = d if not large else d.join(sizes.filter("NOT large").select(*keys), keys, "left_semi")
+    tasks = max(1, -(-(total or 0) // TASK_ROWS), int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = small.withColumn("__task", F.pmod(F.xxhash64(*keys), F.lit(tasks)))
+    schema = out.drop("__task").withColumn("__off", F.lit(None).cast("array<double>")).withColumn("complete", F.lit(None).cast("boolean")).schema
+    out = out.groupBy("__task").applyInArrow(lambda t: _evaluate(t.drop_columns("__task"), keys, reach, condition), schema)
+    if large:
+        hot = stored(d.join(sizes.filter("large").select(*keys), keys, "left_semi"))
+        out = out.unionByName(_evaluate_large(hot, keys, reach, condition).select(*out.columns))
+    return _finish(out, nonnegative)
+
+
+def _evaluate(rows: pa.Table, keys: list[str], reach: int, condition: str) -> pa.Table:
+    """Whole series: adds ``__off``, the quantiles of the earlier errors, and ``complete``, whether every model of the series has a measured
+    cell with quantiles there."""
+    frame = rows.select([*keys, "model", "__t"]).to_pandas()
+    named = frame.notna().all(axis=1).to_numpy()
+    t = frame["__t"].fillna(0).to_numpy(np.int64)
+    e = np.where(named, rows.column("__e").to_pandas().to_numpy(np.float64, na_value=np.nan), np.nan)
+    levels = np.array(QUANTILE_LEVELS)
+    group = codes(rows, [*keys, "model"])
+    _, of, n, q = at_moments(group, t, e, reach, levels)
+    n, q = n[of], q[of]
+    if condition == "level":
+        own, own_q = _by_size(group, t, rows.column("point").to_pandas().to_numpy(np.float64, na_value=np.nan), e, n, reach, levels)
+    else:
+        _, of, own, own_q = at_moments(codes(rows, [*keys, "model", "__key"]), t, e, reach, levels)
+        own, own_q = np.where(rows.column("__key").is_valid().to_numpy(), own[of], 0), own_q[of]
+    some = named & (n >= MIN_RESIDUALS)
+    off = np.where((own >= MIN_RESIDUALS)[:, None], own_q, q)
+    ready = some & ~np.isnan(e)
+    frame["s"], frame["m"] = codes(rows, keys), group
+    frame["cell"] = codes(rows, [*keys, "origin", "lead"])
+    models = frame.groupby("s")["m"].nunique()
+    there = frame[ready].groupby("cell")["m"].nunique()
+    complete = ready & (there.reindex(frame["cell"]).to_numpy() == models.reindex(frame["s"]).to_numpy())
+    return rows.append_column("__off", lists(off, some)).append_column("complete", pa.array(complete))
+
+
+def _by_size(group: np.ndarray, t: np.ndarray, point: np.ndarray, e: np.ndarray, n: np.ndarray, reach: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row: number and quantiles of the earlier errors of forecasts of its size; the bin edges move with every origin."""
+    marks = np.array([k / LEVEL_BINS for k in range(1, LEVEL_BINS)])
+    moment, of, _, edges = at_moments(group, t, np.where(np.isnan(e), np.nan, point), reach, marks)
+    own, own_q = np.zeros(len(t), np.int64), np.full((len(t), len(levels)), np.nan)
+    by_error = np.lexsort((e, group))
+    by_error = by_error[~np.isnan(e[by_error])]
+    first = np.searchsorted(group[by_error], np.arange(group.max(initial=-1) + 2))
+    rows = np.argsort(of, kind="stable")
+    start = np.searchsorted(of[rows], np.arange(len(moment) + 1))
+    for k in np.flatnonzero(n[moment] >= MIN_RESIDUALS):
+        g, cuts, mine = group[moment[k]], np.unique(edges[k]), rows[start[k]:start[k + 1]]
+        past = by_error[first[g]:first[g + 1]]
+        past = past[t[past] <= t[moment[k]] - reach]
+        size = np.searchsorted(cuts, point[past], "right")
+        order = np.argsort(size, kind="stable")
+        values, counts = e[past[order]], np.bincount(size, minlength=len(cuts) + 1)
+        begin = np.cumsum(counts) - counts
+        low, share = _ranks(np.maximum(counts, 1), levels)
+        top = np.maximum(counts - 1, 0)[:, None]
+        a, b = (values[np.minimum(begin[:, None] + np.minimum(x, top), len(values) - 1)] for x in (low, low + 1))
+        bin_of = np.searchsorted(cuts, point[mine], "right")
+        own[mine], own_q[mine] = counts[bin_of], (a + (b - a) * share)[bin_of]
+    return own, own_q
+
+
+def _evaluate_large(d: DataFrame, keys: list[str], reach: int, condition: str) -> DataFrame:
+    """The same for series too long for a task, by joins."""
+    g = [*keys, "model"]
+    if condition == "level":
+        d = _level_quantiles(d, g, reach)
+    else:
+        own = _past_quantiles(d, [*g, "__key"], reach, "__no", "__qo")
+        pooled = _past_quantiles(d, g, reach, "__np", "__qp")
+        d = d.join(own, [*g, "__key", "__t"], "left").join(pooled, [*g, "__t"], "left")
+        q = F.when(F.col("__np") >= MIN_RESIDUALS, F.when(F.col("__no") >= MIN_RESIDUALS, F.col("__qo")).otherwise(F.col("__qp")))
+        d = d.withColumn("__off", q)
+    models = d.select(*keys, "model").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("__m"))
+    ready = F.col("usable") & F.col("__off").isNotNull()
+    there = F.size(F.collect_set(F.when(ready, F.col("model"))).over(W.partitionBy(*keys, "origin", "lead")))
+    return d.withColumn("__there", there).join(models, keys, "left").withColumn("complete", F.coalesce(ready & (F.col("__there") == F.col("__m")), F.lit(False)))
 
 
 def _past_quantiles(d: DataFrame, by, reach: int, n: str, q: str) -> DataFrame:
@@ -79,7 +163,7 @@ def _bin(edges: Column, v: Column) -> Column:
     return F.size(F.filter(edges, lambda e: e <= v))
 
 
-def _level_quantiles(d: DataFrame, g, reach: int, nonnegative: bool) -> DataFrame:
+def _level_quantiles(d: DataFrame, g, reach: int) -> DataFrame:
     """Past errors grouped by forecast size; the bin edges move with every origin."""
     levels = ", ".join(f"{q}D" for q in QUANTILE_LEVELS)
     known = F.when(F.col("__e").isNotNull(), F.col("point"))
@@ -94,7 +178,7 @@ def _level_quantiles(d: DataFrame, g, reach: int, nonnegative: bool) -> DataFram
     own = hit.groupBy(*g, "__t", "__b").agg(F.expr(f"percentile(__e0, array({levels}))").alias("__qo"), F.count(F.lit(1)).alias("__no"))
     d = d.join(own, [*g, "__t", "__b"], "left")
     q = F.when(F.col("__np") >= MIN_RESIDUALS, F.when(F.col("__no") >= MIN_RESIDUALS, F.col("__qo")).otherwise(F.col("__qp")))
-    return _finish(d.withColumn("__off", q), nonnegative)
+    return d.withColumn("__off", q)
 
 
 def level_offsets(pairs: DataFrame, new: DataFrame, keys, probs: dict[str, float], bins: int = LEVEL_BINS,
@@ -117,19 +201,18 @@ def level_offsets(pairs: DataFrame, new: DataFrame, keys, probs: dict[str, float
     return d.select(*new.columns, *[c.alias(n) for n, c in pick.items()])
 
 
-def scorable(points: DataFrame, keys) -> DataFrame:
-    """Cells that are measured and for which every model of the series has quantiles."""
-    models = points.select(*keys, "model").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("__m"))
-    ready = points.filter(F.col("usable") & F.col("q").isNotNull())
-    full = ready.groupBy(*keys, "origin", "lead").agg(F.count_distinct("model").alias("__n")).join(models, list(keys)).filter("__n = __m")
-    return ready.join(full.select(*keys, "origin", "lead"), [*keys, "origin", "lead"], "left_semi").withColumn(
-        "crps", crps(F.col("actual"), F.col("q")))
+def scorable(points: DataFrame, keys, lo: int = 1, hi: int = 17) -> DataFrame:
+    """Cells that are measured and for which every model of the series has quantiles, with their CRPS and the ``band`` of two of the levels.
+
+    A filter row by row; what follows needs ``q`` no more, and storing it would take most of the space."""
+    band = F.struct(F.element_at("q", lo + 1).alias("lo"), F.element_at("q", hi + 1).alias("hi"))
+    return points.filter("complete").withColumn("crps", crps(F.col("actual"), F.col("q"))).withColumn("band", band).drop("complete")
 
 
-def scores(cells: DataFrame, keys, lo: int = 1, hi: int = 17) -> DataFrame:
+def scores(cells: DataFrame, keys) -> DataFrame:
     """One row per model: errors, CRPS, coverage and width of the band, bias and amplitude."""
     e = F.col("point") - F.col("actual")
-    a, b = F.element_at("q", lo + 1), F.element_at("q", hi + 1)
+    a, b = F.col("band.lo"), F.col("band.hi")
     return cells.groupBy(*keys, "model").agg(
         F.count_distinct("origin").alias("n_origins"), F.count(F.lit(1)).alias("n_points"), F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"), F.avg("crps").alias("crps"),
@@ -154,9 +237,9 @@ def period_totals(cells: DataFrame, points: DataFrame, keys, tz: str = "UTC") ->
     t = to_local("target_dt", tz)
     first = points.groupBy(*keys, "model", "origin").agg(F.min("target_dt").alias("__first"), F.max("target_dt").alias("__last"))
     first = first.withColumns({"__day": F.to_date(to_local("__first", tz)), "__end": F.to_date(to_local("__last", tz))}).filter("__end > __day")
-    need = points.join(first, [*keys, "model", "origin"]).filter(F.to_date(t) == F.col("__day")).groupBy(*keys, "model", "origin").agg(
+    need = points.join(first.hint("merge"), [*keys, "model", "origin"]).filter(F.to_date(t) == F.col("__day")).groupBy(*keys, "model", "origin").agg(
         F.count(F.lit(1)).alias("__need"), F.max("__first").alias("__first"), F.max("__day").alias("__day"))
-    got = cells.join(need, [*keys, "model", "origin"]).filter(F.to_date(t) == F.col("__day")).groupBy(*keys, "model", "origin", "__need", "__first").agg(
+    got = cells.join(need.hint("merge"), [*keys, "model", "origin"]).filter(F.to_date(t) == F.col("__day")).groupBy(*keys, "model", "origin", "__need", "__first").agg(
         F.count(F.lit(1)).alias("__n"), (F.sum("point") - F.sum("actual")).alias("__e")).filter("__n = __need")
     f = to_local("__first", tz)
     hour = F.hour(f) + F.minute(f) / 60.0

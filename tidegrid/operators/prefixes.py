@@ -83,14 +83,13 @@ def _ranks(n: np.ndarray, probs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low.astype(np.int64), spot - low
 
 
-def _solve(rows: pa.Table, by: list[str], reach: int, probs: np.ndarray) -> pa.Table:
-    """Groups that are here as a whole: number and quantiles at every moment."""
-    table = rows.select(by).to_pandas()
-    group = table.groupby(by, sort=False, dropna=False).ngroup().to_numpy()
-    at, value = rows.column("at").to_numpy(), rows.column("value").to_numpy().astype(np.float64)
+def at_moments(group: np.ndarray, at: np.ndarray, value: np.ndarray, reach: int, probs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Groups that are here as a whole: a row of each of their moments, the moment of each row, numbers and quantiles (NaN where there are none)."""
     real = ~np.isnan(value)
     groups = _Groups(group[real], at[real], value[real])
-    moment = pd.DataFrame({"g": group, "at": at}).drop_duplicates().index.to_numpy()
+    spots = pd.DataFrame({"g": group, "at": at})
+    moment = spots.drop_duplicates().index.to_numpy()
+    of = spots.groupby(["g", "at"], sort=False).ngroup().to_numpy()
     g = group[moment]
     begin, end = groups.seen(g, at[moment] - reach)
     n = end - begin
@@ -99,11 +98,27 @@ def _solve(rows: pa.Table, by: list[str], reach: int, probs: np.ndarray) -> pa.T
     flat = [np.repeat(x[some], len(probs)) for x in (g, begin, end)]
     a = groups.kth(*flat, low.reshape(-1))
     b = groups.kth(*flat, np.minimum(low + 1, n[some, None] - 1).reshape(-1))
-    q = a + (b - a) * share.reshape(-1)
-    ends = np.concatenate([[0], np.cumsum(np.where(n > 0, len(probs), 0))]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(n == 0, False)), pa.array(q))
+    q = np.full((len(moment), len(probs)), np.nan)
+    q[some] = (a + (b - a) * share.reshape(-1)).reshape(-1, len(probs))
+    return moment, of, n, q
+
+
+def codes(rows: pa.Table, by: list[str]) -> np.ndarray:
+    return rows.select(by).to_pandas().groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+
+
+def lists(q: np.ndarray, some: np.ndarray) -> pa.ListArray:
+    """The rows of ``q`` as lists, null where ``some`` is false."""
+    ends = np.concatenate([[0], np.cumsum(np.where(some, q.shape[1], 0))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~some, False)), pa.array(q[some].reshape(-1)))
+
+
+def _solve(rows: pa.Table, by: list[str], reach: int, probs: np.ndarray) -> pa.Table:
+    """Groups that are here as a whole: number and quantiles at every moment."""
+    at, value = rows.column("at").to_numpy(), rows.column("value").to_numpy().astype(np.float64)
+    moment, _, n, q = at_moments(codes(rows, by), at, value, reach, probs)
     taken = rows.select([*by, "at"]).take(pa.array(moment))
-    return taken.append_column("n", pa.array(n, pa.int64())).append_column("q", lists)
+    return taken.append_column("n", pa.array(n, pa.int64())).append_column("q", lists(q, n > 0))
 
 
 def _pick(table: pd.DataFrame, by: list[str], reach: int) -> pd.DataFrame:

@@ -12,7 +12,7 @@ from tidegrid.operators import splits as cv
 from tidegrid.operators.scan import drop_halo, halo_window, with_halo
 from tidegrid.plans import inputs as i
 from tidegrid.plans.registry import cte, query
-from tidegrid.session import cut_lineage
+from tidegrid.session import cut_lineage, stored
 
 K = ["series_id"]
 MODELS = ["seasonal_naive", "previous", "mean", "zero", "profile"]
@@ -317,11 +317,15 @@ cte("hz_cells", f"""SELECT c.*, 2 * list_sum(list_transform(generate_series(1, 1
 ON f.series_id = c.series_id AND f.origin = c.origin AND f.lead = c.lead""", "hz_q")
 
 
-def hz_points(spark, sf):
+def hz_forecasts(spark, sf):
     log = i.forecast_log(spark, sf).select(F.col("experiment").alias("series_id"), F.col("model_name").alias("model"), F.col("issued_at").alias("origin"), (F.col("lead_minutes") / 360).cast("long").alias("lead"), "target_dt", F.col("predicted").alias("point"))
     mean = i.load6(spark, sf).groupBy(*K).agg(F.avg("y").alias("point"))
     base = log.filter("model = 'last_value'").drop("point", "model").join(mean, K).withColumn("model", F.lit("baseline_mean"))
-    return hz.attach_actuals(log.unionByName(base), i.load6(spark, sf), K)
+    return log.unionByName(base)
+
+
+def hz_points(spark, sf):
+    return hz.attach_actuals(hz_forecasts(spark, sf), i.load6(spark, sf), K)
 
 
 def hz_quantiles(spark, sf, condition="lead"):
@@ -329,7 +333,7 @@ def hz_quantiles(spark, sf, condition="lead"):
 
 
 def hz_cells(spark, sf):
-    return hz.scorable(cut_lineage(hz_quantiles(spark, sf)), K)
+    return hz.scorable(hz_quantiles(spark, sf), K)
 
 
 @query("HZ1_evaluate_origins", "SELECT series_id, model, origin, lead, point, actual, round(crps, 4) AS crps FROM hz_cells", "hz_cells")
@@ -391,15 +395,13 @@ LEFT JOIN (SELECT series_id, sqrt(sum(rmse * rmse * n) / sum(n)) AS total FROM h
 
 
 def _eligible(spark, sf):
-    p = cut_lineage(hz_quantiles(spark, sf))
-    cells = hz.scorable(p, K)
-    return hz.eligibility(hz.scores(cells, K), hz.period_totals(cells, p, K), K)
+    cells = stored(hz_cells(spark, sf).drop("q"))
+    return hz.eligibility(hz.scores(cells, K), hz.period_totals(cells, hz_forecasts(spark, sf), K), K)
 
 
 @query("MT16_period_total_rmse", "SELECT series_id, model, issue_hour, n, round(rmse, 4) AS rmse, round(bias, 4) AS bias FROM hz_totals", "hz_totals")
 def _(spark, sf):
-    p = cut_lineage(hz_quantiles(spark, sf))
-    return rnd(hz.period_totals(hz.scorable(p, K), p, K), rmse=4, bias=4)
+    return rnd(hz.period_totals(hz_cells(spark, sf), hz_forecasts(spark, sf), K), rmse=4, bias=4)
 
 
 CAND = ["seasonal_naive", "last_value"]
