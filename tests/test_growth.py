@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tidegrid.operators import align, horizon, sets
+from tidegrid.operators import align, features, horizon, sets
 
 
 def _plan(df) -> list[str]:
@@ -55,3 +55,9 @@ def test_reach_counts_observations_at_equal_times(frame):
     obs = frame([("a", 0, 1.0)] * 9 + [("a", 60 * 24, 2.0)])
     # eight gaps of 0 and one of a day: the 90th percentile lies a fifth of the way between the two largest
     assert [round(r.reach) for r in align.asof_reach(obs, ["series_id"], 3600).collect()] == [34560]
+
+
+def test_a_fold_does_not_fill_its_head_from_later_values(frame):
+    d = frame([("a", 0, None), ("a", 360, 5.0), ("a", 720, None), ("a", 1080, 9.0)], ts="grid_ts", value="y")
+    rows = features.fold_rebuild(d, ["series_id"], 360, windows=[3], n_lags=2).orderBy("grid_ts").collect()
+    assert [r.y_lag_1 for r in rows] == [None, None, 5.0, 5.0]
