@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.operators import align, features, horizon, sets
+from tidegrid.streaming import jobs as st
 
 
 def _plan(df) -> list[str]:
@@ -61,3 +62,12 @@ def test_a_fold_does_not_fill_its_head_from_later_values(frame):
     d = frame([("a", 0, None), ("a", 360, 5.0), ("a", 720, None), ("a", 1080, 9.0)], ts="grid_ts", value="y")
     rows = features.fold_rebuild(d, ["series_id"], 360, windows=[3], n_lags=2).orderBy("grid_ts").collect()
     assert [r.y_lag_1 for r in rows] == [None, None, 5.0, 5.0]
+
+
+def test_counter_readings_of_one_time_are_all_scored(spark):
+    src, out = st.new_folder(spark, "equal"), st.new_folder(spark, "out")
+    for rows in ([(10, 100.0), (20, 107.0), (20, 104.0)], [(20, 109.0), (30, 110.0)]):
+        d = spark.createDataFrame(rows, "m long, value double").select(F.lit("a").alias("series_id"), F.timestamp_micros(F.col("m") * 60_000_000).alias("ts"), "value")
+        d.coalesce(1).write.mode("append").parquet(src)
+        st.run_available(st.decode_counter(st.read_files(spark, src, d.schema), 30, 50.0), out)
+    assert [r["use"] for r in st.result(spark, out).orderBy("ts", "value").collect()] == [0.0, 4.0, 3.0, 2.0, 1.0]

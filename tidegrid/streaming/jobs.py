@@ -104,11 +104,11 @@ def sliding(stream: DataFrame, keys, width: str, step: str, ts: str = "ts", dela
 
 def _decode(key, batches: Iterator[pd.DataFrame], state: GroupState, interval_minutes: int, cap: float, reset_daily: bool):
     prev, high, seen = state.get if state.exists else (None, None, None)
-    rows = pd.concat(list(batches)).sort_values("ts")
+    rows = pd.concat(list(batches)).sort_values(["ts", "value"])
     out = []
     for ts, v in zip(rows["ts"], rows["value"]):
         at = ts.value // 1000
-        if seen is not None and at <= seen:
+        if seen is not None and at < seen:
             out.append((*key, ts, v, None))  # older than what has been scored already: kept, without a use of its own
             continue
         use = 0.0
@@ -131,7 +131,7 @@ def _decode(key, batches: Iterator[pd.DataFrame], state: GroupState, interval_mi
 
 def decode_counter(stream: DataFrame, interval_minutes: int, cap: float, reset_daily: bool = False) -> DataFrame:
     """Use per reading above the running high, with a fixed cap; state is three numbers per series. A reading that comes after a
-    later one has been scored gets a null use."""
+    later one has been scored gets a null use; readings of one time are scored in the order of their values."""
     def fn(key, batches, state):
         return _decode(key, batches, state, interval_minutes, cap, reset_daily)
 
