@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tidegrid.operators import align, features, horizon, sets
+from tidegrid.operators import align, features, horizon, sets, transform
 from tidegrid.streaming import jobs as st
 
 
@@ -71,3 +71,9 @@ def test_counter_readings_of_one_time_are_all_scored(spark):
         d.coalesce(1).write.mode("append").parquet(src)
         st.run_available(st.decode_counter(st.read_files(spark, src, d.schema), 30, 50.0), out)
     assert [r["use"] for r in st.result(spark, out).orderBy("ts", "value").collect()] == [0.0, 4.0, 3.0, 2.0, 1.0]
+
+
+def test_a_constant_series_has_no_autocorrelation(frame):
+    d = frame([("a", 360 * k, 5.0) for k in range(12)] + [("b", 360 * k, float(k % 4)) for k in range(12)], ts="grid_ts", value="y")
+    got = {r.series_id: r.daily_autocorr for r in transform.daily_autocorr(d, ["series_id"], 21600).collect()}
+    assert got["a"] is None and got["b"] > 0.8

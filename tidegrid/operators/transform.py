@@ -153,13 +153,13 @@ def daily_autocorr(df: DataFrame, keys, seconds: int, value: str = "y", ts: str
     a, b = F.when(pair, F.col("__resid")), F.when(pair, F.col("__before"))
     s = d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.stddev_samp(value).alias("sy"), F.stddev_samp("__resid").alias("sr"),
-        F.count(a).alias("np"), F.stddev_samp(a).alias("sa"), F.stddev_samp(b).alias("sb"), F.corr(a, b).alias("r"),
+        F.count(a).alias("np"), F.stddev_samp(a).alias("sa"), F.stddev_samp(b).alias("sb"), F.covar_samp(a, b).alias("c"),
     )
     r = (
         F.when((F.col("n") <= 2 * lag) | F.col("sy").isNull() | (F.col("sy") <= 0), None)
         .when(F.coalesce("sr", F.lit(0.0)) < 1e-6 * F.col("sy"), F.lit(0.0))
         .when((F.col("np") < 2) | (F.col("sa") < 1e-12) | (F.col("sb") < 1e-12), None)
-        .otherwise(F.col("r"))
+        .otherwise(F.try_divide("c", F.col("sa") * F.col("sb")))  # F.corr raises an error as soon as one series is constant
     )
     return s.select(*keys, r.alias("daily_autocorr"))
 
