@@ -5,7 +5,10 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tidegrid.operators import align, features, horizon, sets, transform
+from conftest import SMALL
+
+import __spark_entry__ as entry
+from tidegrid.operators import align, features, grid, horizon, sets, transform
 from tidegrid.streaming import jobs as st
 
 
@@ -77,3 +80,30 @@ def test_a_constant_series_has_no_autocorrelation(frame):
     d = frame([("a", 360 * k, 5.0) for k in range(12)] + [("b", 360 * k, float(k % 4)) for k in range(12)], ts="grid_ts", value="y")
     got = {r.series_id: r.daily_autocorr for r in transform.daily_autocorr(d, ["series_id"], 21600).collect()}
     assert got["a"] is None and got["b"] > 0.8
+
+
+def test_a_met_row_is_a_joined_row(spark):
+    """Duplicates multiply and nulls match nothing, as in a join."""
+    left = spark.createDataFrame([("a", 1, 10.0), ("a", 1, 11.0), ("a", 2, 12.0), (None, 1, 13.0), ("b", None, 14.0)], "k string, t long, v double")
+    right = spark.createDataFrame([("a", 1, 1.0), ("a", 1, None), ("c", 2, 3.0), (None, 1, 4.0), ("b", None, 5.0)], "k string, t long, w double")
+    for how in ("inner", "left"):
+        got, want = align.meet(left, right, ["k", "t"], how), left.join(right, ["k", "t"], how).select("k", "t", "v", "w")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_grid_dealt_by_series_is_the_same_grid(frame):
+    d = frame([("a", 0, 1.0), ("a", 10, 2.0), ("a", 60 * 24 * 80, 3.0), ("b", 360, None), ("b", 720, 4.0)])
+    for empty in (0.0, None):
+        plain, dealt = (grid.resample(d, ["series_id"], 21600, "sum", empty_sum=empty, tasks=n) for n in (None, 3))
+        assert sorted(map(str, plain.collect())) == sorted(map(str, dealt.collect())) and plain.columns == dealt.columns
+
+
+def _shuffles_of_forecasts(df) -> list[str]:
+    return [x for x in _plan(df) if "Exchange hashpartitioning" in x and ("target_dt" in x or "ENSURE_REQUIREMENTS" in x and "grid_ts" in x)]
+
+
+@pytest.mark.parametrize("name", ["HZ2_residual_quantiles", "HZ3_by_lead", "AG6_daily_cum_accuracy", "AG9_signed_residuals", "AG10_coverage_by"])
+def test_forecasts_meet_actuals_where_they_are(spark, name):
+    """The bins are dealt by series; the many forecasts made from them are neither shuffled nor met by broadcasts."""
+    d = entry.queries()[name](spark, SMALL)
+    assert not _shuffles_of_forecasts(d) and not [x for x in _plan(d) if "BroadcastHashJoin" in x and "target_dt" in x]

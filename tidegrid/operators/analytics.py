@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegrid.functions.timecols import epoch, lead_bucket, local_day, to_local
-from tidegrid.operators.align import forecast_actual, keep_winners, max_bins, seed_left_join, winner_cohort
+from tidegrid.operators.align import forecast_actual, keep_winners, max_bins, meet, seed_left_join, winner_cohort
 from tidegrid.operators.quantiles import exact_quantiles
 from tidegrid.operators.scan import Scan, previous, running
 
@@ -89,7 +89,7 @@ def cumulative_forecasts(log: DataFrame, totals: DataFrame, seconds: int, scale:
     w = W.partitionBy(*E, *COHORT, "issued_at", "target_day").orderBy("target_dt").rowsBetween(W.unboundedPreceding, 0)
     d = d.withColumn("predicted_cum", F.col("seed") + F.sum("predicted").over(w) * scale)
     t = totals.filter(F.col("day_total").isNotNull()).select(*E, F.col("grid_ts").alias("target_dt"), F.col("day_total").alias("actual_cum"))
-    return d.filter(F.col("predicted_cum").isNotNull()).join(t, [*E, "target_dt"])
+    return meet(d.filter(F.col("predicted_cum").isNotNull()), t, [*E, "target_dt"])
 
 
 def daily_cum_accuracy(cum: DataFrame, width: int) -> DataFrame:

@@ -53,18 +53,37 @@ def binned(df: DataFrame, keys, seconds: int, method: str = "mean", ts: str = "t
 
 
 def resample(df: DataFrame, keys, seconds: int, method: str = "mean", ts: str = "ts", value: str = "value",
-             out: str = "y", empty_sum: float | None = 0.0) -> DataFrame:
+             out: str = "y", empty_sum: float | None = 0.0, tasks: int | None = None) -> DataFrame:
     """Complete grid from the first to the last bin; an empty bin is ``empty_sum`` for ``sum``, else null.
 
-    The bounds come from the bins, so the readings are passed over once.
+    The bounds come from the bins, so the readings are passed over once. With
+    ``tasks`` the bins are dealt to that many tasks by series before the grid is
+    spread, and what is derived from it and joined by series needs no further
+    shuffle; for many series, as a task gets whole ones.
     """
     bins = binned(df, keys, seconds, method, ts, value, out)
+    if tasks:
+        full = _spread(bins.repartition(tasks, *keys), list(keys), seconds, out)
+        return full.fillna(empty_sum, [out]) if method == "sum" and empty_sum is not None else full
     span = bins.groupBy(*keys).agg(F.min("grid_ts").alias("__a"), F.max("grid_ts").alias("__z"))
     # a join by merging: the size of the file says little about the number of bins, so the optimizer would broadcast them
     full = spine(span, keys, "__a", "__z", seconds).join(bins.hint("merge"), [*keys, "grid_ts"], "left")
     return full.fillna(empty_sum, [out]) if method == "sum" and empty_sum is not None else full
 
 
+def _spread(bins: DataFrame, keys, seconds: int, out: str) -> DataFrame:
+    """Every occupied bin and the empty ones up to the next, in two steps as in ``spine``; no join."""
+    step = F.lit(int(seconds)).cast("long")
+    width = max(STRETCH, int(seconds))
+    width -= width % int(seconds)
+    w = W.partitionBy(*keys).orderBy("grid_ts")
+    d = bins.select(*keys, out, epoch("grid_ts").alias("__t"), F.coalesce(epoch(F.lead("grid_ts").over(w)) - step, epoch("grid_ts")).alias("__hi"))
+    d = d.withColumn("__s", F.explode(F.sequence(F.col("__t"), F.col("__hi"), F.lit(width).cast("long"))))
+    last = F.least(F.col("__hi"), F.col("__s") + width - step)
+    d = d.withColumn("__g", F.explode(F.sequence(F.col("__s"), last, step)))
+    return d.select(*keys, from_epoch("__g").alias("grid_ts"), F.when(F.col("__g") == F.col("__t"), F.col(out)).alias(out))
+
+
 def fill_hold(df: DataFrame, keys, value: str = "y", ts: str = "grid_ts", out: str | None = None) -> DataFrame:
     """Carry forward, then back-fill the head."""
     scans = [

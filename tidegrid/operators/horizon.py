@@ -6,9 +6,9 @@ come from ``prefixes``, whose cost grows with the number of errors and origins;
 only errors grouped by the size of the forecast still meet each origin one by one
 (``splits.thin_origins`` bounds those).
 
-The points are stored once and dealt once: a task gets whole series, many at a
-time, and gives every row its quantiles. Series of more than ``SERIES_ROWS``
-points are spread over tasks instead and met by joins.
+Nothing is stored: a task gets whole series and gives every row its quantiles.
+Points that come dealt by series are not shuffled. Series of more than
+``SERIES_ROWS`` points are spread over tasks instead and met by joins.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.metrics import QUANTILE_LEVELS, crps
 from tidegrid.functions.timecols import epoch, to_local
-from tidegrid.operators.prefixes import TASK_ROWS, _ranks, at_moments, codes, lists, prefix_quantiles
+from tidegrid.operators.align import meet
+from tidegrid.operators.prefixes import _ranks, at_moments, codes, lists, pair, prefix_quantiles
 from tidegrid.operators.quantiles import exact_quantiles
 from tidegrid.operators.ranking import _array_quantile, _resampled
 from tidegrid.session import stored
@@ -37,7 +38,7 @@ SERIES_ROWS = 1 << 16
 
 def attach_actuals(points: DataFrame, actuals: DataFrame, keys, y: str = "y", ts: str = "grid_ts") -> DataFrame:
     a = actuals.select(*keys, F.col(ts).alias("target_dt"), F.col(y).alias("actual"))
-    d = points.join(a.hint("merge"), [*keys, "target_dt"], "left")
+    d = meet(points, a, [*keys, "target_dt"], "left")
     return d.withColumn("usable", F.col("actual").isNotNull() & F.col("point").isNotNull())
 
 
@@ -62,16 +63,13 @@ def residual_quantiles(points: DataFrame, keys, horizon: int, seconds: int, cond
         key = F.floor(F.hour(t) / 3) + 100 * (F.weekday(t) >= 5).cast("long")
     else:
         raise ValueError(f"unknown condition {condition!r}")
-    points = stored(points)
     sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).withColumn("large", F.col("rows") > series_rows)
-    total, large = sizes.agg(F.sum("rows"), F.max("large")).first()
+    large = sizes.agg(F.max("large")).first()[0]
     # Errors with no origin far enough back contribute nothing; the frame ends one horizon before the origin.
     d = points.withColumn("__t", epoch("origin")).withColumn("__e", F.when(F.col("usable"), F.col("actual") - F.col("point"))).withColumn("__key", key.cast("long"))
     small = d if not large else d.join(sizes.filter("NOT large").select(*keys), keys, "left_semi")
-    tasks = max(1, -(-(total or 0) // TASK_ROWS), int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    out = small.withColumn("__task", F.pmod(F.xxhash64(*keys), F.lit(tasks)))
-    schema = out.drop("__task").withColumn("__off", F.lit(None).cast("array<double>")).withColumn("complete", F.lit(None).cast("boolean")).schema
-    out = out.groupBy("__task").applyInArrow(lambda t: _evaluate(t.drop_columns("__task"), keys, reach, condition), schema)
+    schema = small.withColumn("__off", F.lit(None).cast("array<double>")).withColumn("complete", F.lit(None).cast("boolean")).schema
+    out = small.groupBy(*keys).applyInArrow(lambda t: _evaluate(t, keys, reach, condition), schema)
     if large:
         hot = stored(d.join(sizes.filter("large").select(*keys), keys, "left_semi"))
         out = out.unionByName(_evaluate_large(hot, keys, reach, condition).select(*out.columns))
@@ -81,9 +79,10 @@ def residual_quantiles(points: DataFrame, keys, horizon: int, seconds: int, cond
 def _evaluate(rows: pa.Table, keys: list[str], reach: int, condition: str) -> pa.Table:
     """Whole series: adds ``__off``, the quantiles of the earlier errors, and ``complete``, whether every model of the series has a measured
     cell with quantiles there."""
-    frame = rows.select([*keys, "model", "__t"]).to_pandas()
-    named = frame.notna().all(axis=1).to_numpy()
-    t = frame["__t"].fillna(0).to_numpy(np.int64)
+    named = np.ones(rows.num_rows, bool)
+    for name in [*keys, "model", "__t"]:
+        named &= rows.column(name).is_valid().to_numpy()
+    t = rows.column("__t").fill_null(0).to_numpy().astype(np.int64)
     e = np.where(named, rows.column("__e").to_pandas().to_numpy(np.float64, na_value=np.nan), np.nan)
     levels = np.array(QUANTILE_LEVELS)
     group = codes(rows, [*keys, "model"])
@@ -97,14 +96,18 @@ def _evaluate(rows: pa.Table, keys: list[str], reach: int, condition: str) -> pa
     some = named & (n >= MIN_RESIDUALS)
     off = np.where((own >= MIN_RESIDUALS)[:, None], own_q, q)
     ready = some & ~np.isnan(e)
-    frame["s"], frame["m"] = codes(rows, keys), group
-    frame["cell"] = codes(rows, [*keys, "origin", "lead"])
-    models = frame.groupby("s")["m"].nunique()
-    there = frame[ready].groupby("cell")["m"].nunique()
-    complete = ready & (there.reindex(frame["cell"]).to_numpy() == models.reindex(frame["s"]).to_numpy())
+    whole, cell = codes(rows, keys), codes(rows, [*keys, "origin", "lead"])
+    there = _each(cell, group, ready)
+    complete = ready & (there[cell] == _each(whole, group, np.ones(len(group), bool))[whole])
     return rows.append_column("__off", lists(off, some)).append_column("complete", pa.array(complete))
 
 
+def _each(place: np.ndarray, model: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """How many different models each place has among the rows taken."""
+    _, first = np.unique(pair(place[taken], model[taken]), return_index=True)
+    return np.bincount(place[taken][first], minlength=int(place.max(initial=-1)) + 1)
+
+
 def _by_size(group: np.ndarray, t: np.ndarray, point: np.ndarray, e: np.ndarray, n: np.ndarray, reach: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per row: number and quantiles of the earlier errors of forecasts of its size; the bin edges move with every origin."""
     marks = np.array([k / LEVEL_BINS for k in range(1, LEVEL_BINS)])

@@ -87,9 +87,7 @@ def at_moments(group: np.ndarray, at: np.ndarray, value: np.ndarray, reach: int,
     """Groups that are here as a whole: a row of each of their moments, the moment of each row, numbers and quantiles (NaN where there are none)."""
     real = ~np.isnan(value)
     groups = _Groups(group[real], at[real], value[real])
-    spots = pd.DataFrame({"g": group, "at": at})
-    moment = spots.drop_duplicates().index.to_numpy()
-    of = spots.groupby(["g", "at"], sort=False).ngroup().to_numpy()
+    _, moment, of = np.unique(pair(group, np.unique(at, return_inverse=True)[1]), return_index=True, return_inverse=True)
     g = group[moment]
     begin, end = groups.seen(g, at[moment] - reach)
     n = end - begin
@@ -103,8 +101,18 @@ def at_moments(group: np.ndarray, at: np.ndarray, value: np.ndarray, reach: int,
     return moment, of, n, q
 
 
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One number for each pair of two."""
+    return a * (int(b.max(initial=0)) + 1) + b
+
+
 def codes(rows: pa.Table, by: list[str]) -> np.ndarray:
-    return rows.select(by).to_pandas().groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+    """A number from 0 for each combination of values, nulls included."""
+    out = np.zeros(rows.num_rows, np.int64)
+    for name in by:
+        index = rows.column(name).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        out = np.unique(pair(out, index), return_inverse=True)[1]
+    return out
 
 
 def lists(q: np.ndarray, some: np.ndarray) -> pa.ListArray:

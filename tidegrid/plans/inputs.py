@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegrid.functions.timecols import epoch, from_epoch, shift, time_bin
+from tidegrid.functions.timecols import epoch, from_epoch, shift
 from tidegrid.operators.grid import resample
 from tidegrid.operators.scan import Scan, running
 from tidegrid.plans.registry import cte
 from tidegrid.session import table
 
 HOUR, SIX, DAY = 3600, 21600, 86400
+TASK_EVENTS = 25_000
 
 
 def obs_type(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,14 +61,20 @@ def half_hourly(spark: SparkSession, sf: str) -> DataFrame:
     return resample(obs_type(spark, sf), ["series_id"], 1800, "mean")
 
 
+def _fleet_tasks(spark: SparkSession, sf: str) -> int:
+    """Tasks that the fleet's users are dealt to: a few hundred users each, as every cell becomes sixteen forecasts and more."""
+    rows = table(spark, sf, "events").count()
+    return max(-(-rows // TASK_EVENTS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def load6(spark: SparkSession, sf: str) -> DataFrame:
     """Fleet load: cents per user and six hours, 0 where a user did nothing."""
-    return resample(obs_fleet(spark, sf), ["series_id"], SIX, "sum")
+    return resample(obs_fleet(spark, sf), ["series_id"], SIX, "sum", tasks=_fleet_tasks(spark, sf))
 
 
 def sparse6(spark: SparkSession, sf: str) -> DataFrame:
     """The same grid with unmeasured cells instead of zeros."""
-    return resample(obs_fleet(spark, sf), ["series_id"], SIX, "sum", empty_sum=None)
+    return resample(obs_fleet(spark, sf), ["series_id"], SIX, "sum", empty_sum=None, tasks=_fleet_tasks(spark, sf))
 
 
 def counter_daily(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,8 +108,10 @@ cte("counter_life",
 STEP = "INTERVAL '6 hours'"
 
 
-def _span(spark: SparkSession, sf: str) -> DataFrame:
-    return obs_fleet(spark, sf).groupBy("series_id").agg(time_bin(F.min("ts"), SIX).alias("lo"), time_bin(F.max("ts"), SIX).alias("hi"))
+def _spanned(load: DataFrame) -> DataFrame:
+    """Adds the first and the last cell of each series, before forecasts multiply the rows."""
+    w = W.partitionBy("series_id")
+    return load.withColumns({"lo": F.min("grid_ts").over(w), "hi": F.max("grid_ts").over(w)})
 
 
 def forecast_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -117,11 +126,11 @@ def forecast_log(spark: SparkSession, sf: str) -> DataFrame:
     naive = F.transform(leads, lambda k: F.struct(
         F.lit("seasonal_naive").alias("m"), k.alias("k"), (t + 2 * DAY - k * SIX).alias("i"), (t + 2 * DAY).alias("t")))
     last = F.transform(leads, lambda k: F.struct(F.lit("last_value").alias("m"), k.alias("k"), (t + SIX).alias("i"), (t + SIX + k * SIX).alias("t")))
-    d = load6(spark, sf).select("series_id", "y", F.explode(F.concat(naive, last)).alias("f"))
+    d = _spanned(load6(spark, sf)).select("series_id", "y", "lo", "hi", F.explode(F.concat(naive, last)).alias("f"))
     d = d.filter(F.pmod(F.col("f.i"), F.lit(43200)) == 0).select(
-        "series_id", F.col("f.m").alias("model_name"), F.col("y").alias("predicted"), from_epoch("f.i").alias("issued_at"),
+        "series_id", "lo", "hi", F.col("f.m").alias("model_name"), F.col("y").alias("predicted"), from_epoch("f.i").alias("issued_at"),
         from_epoch("f.t").alias("target_dt"), (F.col("f.k") * 360).cast("long").alias("lead_minutes"))
-    d = d.join(_span(spark, sf), "series_id").filter((F.col("issued_at") >= F.col("lo")) & (F.col("issued_at") <= F.col("hi")))
+    d = d.filter((F.col("issued_at") >= F.col("lo")) & (F.col("issued_at") <= F.col("hi")))
     old = F.col("issued_at") < F.lit("2024-01-16").cast("timestamp_ntz")
     version = F.when(F.col("model_name") == "seasonal_naive", F.when(old, "v1").otherwise("v2")).when(
         F.col("series_id").cast("long") % 5 != 0, "v1")
@@ -155,12 +164,11 @@ cte("actuals", "SELECT series_id AS experiment, grid_ts, y AS value FROM load6",
 
 def external_log(spark: SparkSession, sf: str) -> DataFrame:
     """Third-party forecasts: the load of 72 hours before, ``ext_b`` in another unit."""
-    load = load6(spark, sf)
-    d = load.select(
-        "series_id", "y", shift("grid_ts", 3 * DAY).alias("target_dt"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("k")
+    d = _spanned(load6(spark, sf)).select(
+        "series_id", "y", "hi", shift("grid_ts", 3 * DAY).alias("target_dt"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("k")
     ).withColumn("source", F.explode(F.array(F.lit("ext_a"), F.lit("ext_b"))))
     d = d.withColumn("issued_at", from_epoch(epoch("target_dt") - F.col("k") * SIX)).filter((F.hour("issued_at") % 12) == 0)
-    return d.join(_span(spark, sf).drop("lo"), "series_id").filter(F.col("issued_at") <= F.col("hi")).select(
+    return d.filter(F.col("issued_at") <= F.col("hi")).select(
         F.col("series_id").alias("experiment"), "source", "issued_at", "target_dt",
         (F.col("k") * 360).cast("long").alias("lead_minutes"),
         F.when(F.col("source") == "ext_b", F.col("y") * 1000).otherwise(F.col("y")).alias("value"),

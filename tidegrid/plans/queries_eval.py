@@ -319,9 +319,11 @@ ON f.series_id = c.series_id AND f.origin = c.origin AND f.lead = c.lead""", "hz
 
 def hz_forecasts(spark, sf):
     log = i.forecast_log(spark, sf).select(F.col("experiment").alias("series_id"), F.col("model_name").alias("model"), F.col("issued_at").alias("origin"), (F.col("lead_minutes") / 360).cast("long").alias("lead"), "target_dt", F.col("predicted").alias("point"))
-    mean = i.load6(spark, sf).groupBy(*K).agg(F.avg("y").alias("point"))
-    base = log.filter("model = 'last_value'").drop("point", "model").join(mean, K).withColumn("model", F.lit("baseline_mean"))
-    return log.unionByName(base)
+    mean = i.load6(spark, sf).groupBy(*K).agg(F.avg("y").alias("__mean"))
+    own = F.struct("model", "point")
+    both = F.array(own, F.struct(F.lit("baseline_mean").alias("model"), F.col("__mean").alias("point")))
+    d = log.join(mean.hint("merge"), K).withColumn("__x", F.explode(F.when(F.col("model") == "last_value", both).otherwise(F.array(own))))
+    return d.withColumns({"model": F.col("__x.model"), "point": F.col("__x.point")}).drop("__x", "__mean")
 
 
 def hz_points(spark, sf):
