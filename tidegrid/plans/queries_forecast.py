@@ -138,7 +138,9 @@ def _(spark, sf):
 def _(spark, sf):
     d = i.load6(spark, sf)
     w = cut_lineage(wf.sliding_windows(d, K, i.SIX, ["y"], 8, 8))
-    return rnd(fc.direct_forecast(fc.direct_linear(w, 8), wf.inference_window(d, K, i.SIX, ["y"], 8), K, i.SIX), pred=3)
+    # one short window a series, read once for each lead
+    last = cut_lineage(wf.inference_window(d, K, i.SIX, ["y"], 8))
+    return rnd(fc.direct_forecast(fc.direct_linear(w, 8), last, K, i.SIX), pred=3)
 
 
 cte("smooth", """SELECT series_id, sum(CASE WHEN age = top THEN pow(CAST(0.7 AS DOUBLE), age) ELSE CAST(0.3 AS DOUBLE) * pow(CAST(0.7 AS DOUBLE), age) END * y) AS l, regr_slope(y, top - age) AS b
