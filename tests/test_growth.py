@@ -113,3 +113,19 @@ def test_horizons_are_filled_where_they_are(spark):
     """A horizon is short, so its cells need no summaries by stretch, nor the shuffles that carry them over."""
     plan = _plan(entry.queries()["JN6_interp_align_future"](spark, SMALL))
     assert not [x for x in plan if "Join" in x or "Exchange hashpartitioning(experiment" in x and "ENSURE_REQUIREMENTS" in x]
+
+
+def test_unchanged_issuances_of_long_and_short_keys(spark):
+    """Rows walked in a task and rows linked over tasks keep the same issuances; nothing of a key is stored or shuffled again."""
+    value = F.when(F.col("id") % 11 == 3, None).when(F.col("id") % 13 == 5, float("nan")).when(F.col("id") % 17 == 2, float("inf")).otherwise(100 + F.floor(F.col("id") / 4) * 0.3)
+    log = spark.range(60).select(
+        F.explode(F.array(F.lit("x"), F.lit("y"), F.lit(None))).alias("experiment"), F.lit("a").alias("source"),
+        F.timestamp_seconds(F.col("id") * 3600).cast("timestamp_ntz").alias("issued_at"), "id", value.alias("value"))
+    log = log.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(3)))).select(
+        "experiment", "source", "issued_at", F.timestamp_seconds(F.floor(F.col("id") / 20 + F.col("k")) * 86400).cast("timestamp_ntz").alias("target_dt"),
+        F.when(F.col("experiment") == "y", F.col("value") + F.col("k") * (F.col("id") % 7)).otherwise(F.col("value")).alias("value"))
+    log = log.withColumn("target_dt", F.when(F.pmod(F.xxhash64("issued_at", "target_dt"), F.lit(9)) > 0, F.col("target_dt")))
+    short, long = (sorted(map(str, sets.collapse_unchanged(log, series_rows=n).collect())) for n in (1 << 16, 0))
+    assert short == long and 6 < len(short) < log.count()
+    dealt = log.repartition(4, "experiment")
+    assert sum("Exchange hashpartitioning" in x for x in _plan(sets.collapse_unchanged(dealt))) == 1

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.operators.scan import Scan, previous, running
-from tidegrid.session import cut_lineage
+from tidegrid.session import cut_lineage, stored
 
 # How far a value may move and still count as unchanged.
 UNCHANGED_ABS = 1e-4
 UNCHANGED_REL = 0.005
+# Keys of more rows are spread over tasks.
+SERIES_ROWS = 1 << 16
 
 
 def union_dedup(frames: list[DataFrame], keys, value: str = "value", keep: str = "last") -> DataFrame:
@@ -71,16 +76,57 @@ def _next_moved(points: DataFrame, runs: DataFrame, keys) -> DataFrame:
             return found
 
 
-def collapse_unchanged(log: DataFrame, keys=("experiment", "source"), value: str = "value") -> DataFrame:
+def collapse_unchanged(log: DataFrame, keys=("experiment", "source"), value: str = "value", series_rows: int = SERIES_ROWS) -> DataFrame:
     """Drop issuances that repeat the last kept one on their common targets.
 
+    A task walks along the issuances of whole keys, and nothing is stored; a log that comes dealt by some of the keys is not
+    shuffled. Keys of more than ``series_rows`` rows are spread over tasks instead. Values are compared to four decimals, null
+    values not at all; rows without a key or time of issue are dropped.
+    """
+    keys = list(keys)
+    log = log.dropna(subset=[*keys, "issued_at"])
+    sizes = log.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).withColumn("large", F.col("rows") > series_rows)
+    large = sizes.agg(F.max("large")).first()[0]
+    small = log if not large else log.join(sizes.filter("NOT large").select(*keys), keys, "left_semi")
+    out = small.withColumn("__v", F.round(value, 4).cast("double")).groupBy(*keys).applyInArrow(_walk, log.schema)
+    if large:
+        hot = stored(log.join(sizes.filter("large").select(*keys), keys, "left_semi"))
+        out = out.unionByName(_collapse_long(hot, keys, value))
+    return out
+
+
+def _walk(rows: pa.Table) -> pa.Table:
+    """The rows of the kept issuances of one key."""
+    issue, target = (np.asarray(pc.rank(rows.column(c), "ascending", tiebreaker="dense")).astype(np.int64) - 1 for c in ("issued_at", "target_dt"))
+    some = pc.and_(rows.column("__v").is_valid(), rows.column("target_dt").is_valid()).to_numpy()
+    i, t, v = issue[some], target[some], rows.column("__v").fill_null(0.0).to_numpy()[some]
+    order = np.lexsort((t, i))
+    i, t, v = i[order], t[order], v[order]
+    first = np.flatnonzero(np.append(True, (np.diff(i) != 0) | (np.diff(t) != 0))[: len(i)])
+    i, t, v = i[first], t[first], np.maximum.reduceat(v, first) if len(first) else v
+    n = int(issue.max(initial=-1)) + 1
+    at = np.searchsorted(i, np.arange(n + 1))
+    # NaN counts as the largest number, as in a comparison of columns
+    limit = np.maximum(UNCHANGED_ABS, UNCHANGED_REL * np.abs(v))
+    value, of, last, kept = np.zeros(int(target.max(initial=-1)) + 1), np.full(int(target.max(initial=-1)) + 1, -1), -1, np.zeros(n, bool)
+    with np.errstate(invalid="ignore"):
+        for k in range(n):
+            own = slice(at[k], at[k + 1])
+            shared = of[t[own]] == last if last >= 0 else np.zeros(at[k + 1] - at[k], bool)
+            move, most = np.abs(v[own] - value[t[own]])[shared], limit[own][shared]
+            if not shared.any() or ((move > most) | (np.isnan(move) & ~np.isnan(most))).any():
+                value[t[own]], of[t[own]], last, kept[k] = v[own], k, k, True
+    return rows.drop_columns(["__v"]).filter(pa.array(kept[issue]))
+
+
+def _collapse_long(log: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The same for keys too long for a task.
+
     The kept ones are the chain from a key's first issuance along the links to
     the next that moved. Links are followed by doubling: what is known to be kept
     jumps by 1, 2, 4, ... links at once, so a chain of any length takes a
-    logarithm of rounds, and a long history is not one task. Values are compared
-    to four decimals, null values not at all.
+    logarithm of rounds.
     """
-    keys = list(keys)
     runs = cut_lineage(running(log.select(*keys, "issued_at").distinct(), keys, ["issued_at"], [Scan("i", "count", F.lit(1))]))
     points = cut_lineage(
         log.filter(F.col(value).isNotNull()).join(runs, [*keys, "issued_at"]).groupBy(*keys, "i", "target_dt").agg(F.max(F.round(value, 4)).alias("v"))
