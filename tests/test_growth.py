@@ -129,3 +129,19 @@ def test_unchanged_issuances_of_long_and_short_keys(spark):
     assert short == long and 6 < len(short) < log.count()
     dealt = log.repartition(4, "experiment")
     assert sum("Exchange hashpartitioning" in x for x in _plan(sets.collapse_unchanged(dealt))) == 1
+
+
+def test_suppressed_series_share_a_state(spark):
+    """Many series to a call and a state, and a state that outlives a delivery."""
+    d = spark.range(30).select(
+        F.concat(F.lit("e"), F.col("id") % 5).alias("experiment"), F.lit("s").alias("source"), F.timestamp_seconds(F.col("id") * 3600).alias("issued_at"),
+        F.array(F.lit(1).cast("long")).alias("targets"), F.array(100 + 0.4 * F.floor(F.col("id") / 5)).alias("vals"))
+    got = []
+    for shares in (1, 7):
+        src, out = st.new_folder(spark, "shares"), st.new_folder(spark, "out")
+        for a in (0, 10, 20):
+            d.filter(f"vals[0] >= {100 + 0.4 * a / 5 - 0.1} AND vals[0] < {100 + 0.4 * (a + 10) / 5 - 0.1}").coalesce(1).write.mode("append").parquet(src)
+            st.run_available(st.suppress_unchanged(st.read_files(spark, src, d.schema), shares), out)
+        got.append(sorted(map(str, st.result(spark, out).collect())))
+    # 100.0, then the first that is over 0.5 % away: 100.8, 101.6
+    assert got[0] == got[1] and len(got[0]) == 15

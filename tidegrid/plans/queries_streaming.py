@@ -12,7 +12,7 @@ from tidegrid.functions.timecols import epoch, time_bin
 from tidegrid.plans import inputs as i
 from tidegrid.plans import queries_sources  # noqa: F401  (its SQL checks a stream as well)
 from tidegrid.plans.registry import CHECKS, query
-from tidegrid.session import cut_lineage, table
+from tidegrid.session import stored, table
 from tidegrid.streaming import jobs as st
 
 K = ["series_id"]
@@ -37,7 +37,7 @@ def _done(spark, stream, name, mode="append"):
 def _in_turns(spark, rows, turn, turns, job, foreach=None):
     """Deliver the rows turn by turn; the job stops after each delivery and goes on from its stored state with the next."""
     src, out = st.new_folder(spark, "turns"), st.new_folder(spark, "out")
-    rows = cut_lineage(rows.withColumn("__turn", turn))
+    rows = stored(rows.withColumn("__turn", turn))
     for k in range(turns):
         rows.filter(F.col("__turn") == k).drop("__turn").write.mode("append").parquet(src)
         st.run_available(job(st.read_files(spark, src, rows.drop("__turn").schema)), out, foreach=foreach and foreach(out))

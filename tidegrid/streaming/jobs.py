@@ -21,6 +21,10 @@ from tidegrid.operators.sets import _moved
 from tidegrid.session import shared_dir
 
 
+# States that suppressed series are dealt to.
+SHARES = 512
+
+
 def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
@@ -140,24 +144,36 @@ def decode_counter(stream: DataFrame, interval_minutes: int, cap: float, reset_d
         GroupStateTimeout.NoTimeout)
 
 
-def _suppress(key, batches: Iterator[pd.DataFrame], state: GroupState):
-    kept = dict(zip(*state.get)) if state.exists else None
+def _suppress(batches: Iterator[pd.DataFrame], state: GroupState):
+    kept = {}
+    if state.exists:
+        *names, many, targets, vals = state.get
+        z = 0
+        for *name, n in zip(*names, many):
+            a, z = z, z + n
+            kept[tuple(name)] = dict(zip(targets[a:z], vals[a:z]))
     rows = pd.concat(list(batches)).sort_values("issued_at")
     out = []
-    for issued, ts, vs in zip(rows["issued_at"], rows["targets"], rows["vals"]):
-        new = dict(zip((int(t) for t in ts), (float(v) for v in vs)))
-        if kept is None or _moved(new, kept):
-            kept = new
-            out.append((*key, issued))
-    if kept is not None:
-        state.update((list(kept.keys()), list(kept.values())))
+    for *name, issued, ts, vs in zip(*(rows[c] for c in ("experiment", "source", "issued_at", "targets", "vals"))):
+        new, last = dict(zip(ts.tolist(), vs.tolist())), kept.get(tuple(name))
+        if last is None or _moved(new, last):
+            kept[tuple(name)] = new
+            out.append((*name, issued))
+    if kept:
+        state.update((*map(list, zip(*kept)), [len(k) for k in kept.values()], [t for k in kept.values() for t in k], [v for k in kept.values() for v in k.values()]))
     yield pd.DataFrame(out, columns=["experiment", "source", "issued_at"])
 
 
-def suppress_unchanged(stream: DataFrame) -> DataFrame:
-    """Issuances (experiment, source, issued_at, targets, vals) that differ from the last kept one."""
-    return stream.groupBy("experiment", "source").applyInPandasWithState(
-        _suppress, "experiment string, source string, issued_at timestamp", "targets array<long>, vals array<double>", "append",
+def suppress_unchanged(stream: DataFrame, shares: int = SHARES) -> DataFrame:
+    """Issuances (experiment, source, issued_at, targets, vals) that differ from the last kept one.
+
+    Series are dealt by hash to ``shares`` states, as a call for each series costs more than its rows; a state holds the last
+    kept issuance of every series of its share. A running stream has to keep its number of shares.
+    """
+    shared = stream.withColumn("share", F.pmod(F.xxhash64("experiment", "source"), F.lit(shares)))
+    return shared.groupBy("share").applyInPandasWithState(
+        lambda key, batches, state: _suppress(batches, state), "experiment string, source string, issued_at timestamp",
+        "experiments array<string>, sources array<string>, many array<int>, targets array<long>, vals array<double>", "append",
         GroupStateTimeout.NoTimeout)
 
 
