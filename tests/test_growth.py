@@ -9,6 +9,7 @@ from conftest import SMALL
 
 import __spark_entry__ as entry
 from tidegrid.operators import align, features, grid, horizon, sets, transform
+from tidegrid.plans import inputs
 from tidegrid.streaming import jobs as st
 
 
@@ -145,3 +146,12 @@ def test_suppressed_series_share_a_state(spark):
         got.append(sorted(map(str, st.result(spark, out).collect())))
     # 100.0, then the first that is over 0.5 % away: 100.8, 101.6
     assert got[0] == got[1] and len(got[0]) == 15
+
+
+def test_online_scores_come_by_stretches_of_time(spark, monkeypatch):
+    """The whole log at once would be the state of the join."""
+    runs, run = [], st.run_available
+    monkeypatch.setattr(st, "run_available", lambda *a, **k: (runs.append(a[1]), run(*a, **k)))
+    got = entry.queries()["ST7_online_accuracy"](spark, SMALL).agg(F.sum("n")).first()[0]
+    rows = align.forecast_actual(inputs.forecast_log(spark, SMALL), inputs.actuals(spark, SMALL)).count()
+    assert got == rows > 0 and len(runs) > 4 and len(set(runs)) == 1

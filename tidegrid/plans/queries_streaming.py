@@ -103,13 +103,26 @@ def _(spark, sf):
 
 @query("ST7_online_accuracy", "SELECT experiment, model_name, lead_minutes // 720 * 720 AS lead_bucket, sum(abs(predicted - actual)) AS abs_sum, sum((predicted - actual) ** 2) AS sq_sum, sum(predicted - actual) AS signed_sum, count(*) AS n FROM scored GROUP BY 1, 2, 3", "scored")
 def _(spark, sf):
+    # Stretches of time come one after the other and the watermark clears each, so the state is a few of them, not the whole log.
+    # The forecasts of one target wait for its actual as one row.
     src_f, src_a, out = (st.new_folder(spark, n) for n in ("log", "actuals", "sums"))
-    log = i.forecast_log(spark, sf).select("experiment", "model_name", F.col("target_dt").cast("timestamp").alias("target_dt"), "lead_minutes", "predicted")
-    log.repartitionByRange(4, "target_dt").write.parquet(src_f)
-    i.actuals(spark, sf).withColumn("grid_ts", F.col("grid_ts").cast("timestamp")).repartitionByRange(4, "grid_ts").write.parquet(src_a)
-    f = st.read_files(spark, src_f, spark.read.parquet(src_f).schema)
-    a = st.read_files(spark, src_a, spark.read.parquet(src_a).schema)
-    st.run_available(st.join_actuals(f, a), out, foreach=st.accumulate_sums(out, 720))
+    a = i.actuals(spark, sf).withColumn("grid_ts", F.col("grid_ts").cast("timestamp"))
+    first, last = a.agg(F.min(epoch("grid_ts")), F.max(epoch("grid_ts"))).first()
+    log = i.forecast_log(spark, sf).groupBy("experiment", F.col("target_dt").cast("timestamp").alias("target_dt")).agg(
+        F.collect_list(F.struct("model_name", "lead_minutes", "predicted")).alias("forecasts"))
+    turns = max(1, min(8, ((last or 0) - (first or 0)) // i.DAY))
+
+    def turn(ts):
+        width = ((last or 0) - (first or 0)) // turns + 1
+        return F.greatest(F.lit(0), F.least(F.lit(turns - 1), F.floor((epoch(ts) - (first or 0)) / width)))
+
+    sides = [(src_f, stored(log.withColumn("__turn", turn("target_dt")))), (src_a, stored(a.withColumn("__turn", turn("grid_ts"))))]
+    for k in range(turns):
+        for src, rows in sides:
+            rows.filter(F.col("__turn") == k).drop("__turn").write.mode("append").parquet(src)
+        f, m = (st.read_files(spark, src, rows.drop("__turn").schema) for src, rows in sides)
+        scored = st.join_actuals(f, m).withColumn("f", F.explode("forecasts")).select("experiment", "f.*", "actual")
+        st.run_available(scored, out, foreach=st.accumulate_sums(out, 720))
     return st.summed(spark, out)
 
 
