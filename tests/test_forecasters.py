@@ -132,3 +132,13 @@ def test_draws_repeat():
     space = {"a": range(5), "b": ["u", "v"]}
     assert fc.draw_params(space, 8, 1) == fc.draw_params(space, 8, 1) != fc.draw_params(space, 8, 2)
     assert all(d["a"] in range(5) and d["b"] in "uv" for d in fc.draw_params(space, 8))
+
+
+def test_a_fit_reads_its_own_fold(spark):
+    d = spark.range(60).select(
+        F.lit("s").alias("series_id"), (F.col("id") % 3).alias("fold"), F.when(F.col("id") % 4 == 0, "test").otherwise("train").alias("role"),
+        (F.col("id") % 5).cast("double").alias("x"), (F.col("id") % 5 * 2.0).alias("label"))
+    e = fc.fold_errors(d, K, ["x"], {"linear": lambda: fc.regressor("linear")})
+    plan = e._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(") == 3  # the test rows of three folds
+    assert e.count() == 15 and e.filter(F.abs(F.col("pred") - F.col("label")) > 1e-6).count() == 0

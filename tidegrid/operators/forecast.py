@@ -12,6 +12,7 @@ import os
 import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pandas as pd
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -329,44 +330,56 @@ def parameter_search(folded: DataFrame, candidates: list[dict], kind: str = "for
     return folded.sparkSession.createDataFrame(rows, "candidate LONG, params STRING, mae DOUBLE, n_folds LONG, position LONG")
 
 
-def fold_errors(folded: DataFrame, keys, columns: list[str], models: dict[str, Callable]) -> DataFrame:
+def _fold_files(folded: DataFrame) -> tuple[list, DataFrame]:
+    """The folds, and their rows stored by fold and role, so that a fit reads its own rows only, in about as many tasks as there are cores."""
+    path = os.path.join(shared_dir(folded.sparkSession), f"folds-{uuid.uuid4().hex}")
+    rows = folded.drop("features")
+    rows.write.partitionBy("fold", "role").parquet(path)
+    rows = folded.sparkSession.read.schema(rows.schema).parquet(path)
+    return sorted(r[0] for r in rows.select("fold").distinct().collect()), rows  # one small number per fold
+
+
+def _errors(rows: DataFrame, folds: list, keys, arms: dict[str, list[str]], models: dict[str, Callable], threads: int) -> DataFrame:
+    """(keys, fold, model, label, pred, arm) of all test rows; the fits of arms, folds and models run side by side."""
+    def fitted(job):
+        arm, fold, name = job
+        part = VectorAssembler(inputCols=arms[arm], outputCol="features").transform(rows.filter(F.col("fold") == fold))
+        model = models[name]().fit(part.filter("role = 'train'").select("features", "label"))
+        scored = model.transform(part.filter("role = 'test'"))
+        return scored.select(*keys, "fold", F.lit(name).alias("model"), "label", F.col("prediction").alias("pred"), F.lit(arm).alias("arm"))
+
+    with ThreadPoolExecutor(threads) as pool:
+        return reduce(DataFrame.unionByName, pool.map(fitted, [(arm, fold, name) for arm in arms for fold in folds for name in models]))
+
+
+def fold_errors(folded: DataFrame, keys, columns: list[str], models: dict[str, Callable], threads: int = 4) -> DataFrame:
     """(keys, fold, model, label, pred) of all test rows of (keys, fold, role, label, columns): every model is fitted anew on each
     fold's training rows, pooled over the fleet. ``models`` gives a fresh estimator over ``features`` and ``label`` for each name."""
-    folds = sorted(r[0] for r in folded.select("fold").distinct().collect())  # one small number per fold
-    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(folded.drop("features"))
-    out = None
-    for fold in folds:
-        part = rows.filter(F.col("fold") == fold)
-        for name, fresh in models.items():
-            fitted = fresh().fit(part.filter("role = 'train'"))
-            one = fitted.transform(part.filter("role = 'test'")).select(*keys, "fold", F.lit(name).alias("model"), "label", F.col("prediction").alias("pred"))
-            out = one if out is None else out.unionByName(one)
-    return out
+    folds, rows = _fold_files(folded)
+    return _errors(rows, folds, keys, {"": columns}, models, threads).drop("arm")
 
 
 def benchmark(folded: DataFrame, keys, columns: list[str], models: dict[str, Callable]) -> DataFrame:
     """(keys, model, mae, rmse, n_folds, position): errors averaged over the folds a series is tested in, best model first."""
     keys = list(keys)
     e = F.col("pred") - F.col("label")
-    by_fold = fold_errors(cut_lineage(folded), keys, columns, models).groupBy(*keys, "fold", "model").agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
+    by_fold = fold_errors(folded, keys, columns, models).groupBy(*keys, "fold", "model").agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
     mean = by_fold.groupBy(*keys, "model").agg(F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"), F.count("*").alias("n_folds"))
     return mean.withColumn("position", F.row_number().over(W.partitionBy(*keys).orderBy(F.round("mae", 6), "model")).cast("long"))
 
 
-def ablation_errors(folded: DataFrame, keys, base: list[str], covariates: list[str], models: dict[str, Callable], crosses: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+def ablation_errors(folded: DataFrame, keys, base: list[str], covariates: list[str], models: dict[str, Callable], crosses: dict[str, tuple[str, str]] | None = None,
+                    threads: int = 4) -> DataFrame:
     """Error of every (keys, model, arm), each arm fitted anew on every fold with its own columns only.
 
     Arms are ``all``, ``none`` and ``without_<covariate>``. A cross (name to the
     two covariates it multiplies) is there only while both of them are.
     """
     keys, crosses = list(keys), crosses or {}
-    folded = cut_lineage(folded.withColumns({name: F.col(a) * F.col(b) for name, (a, b) in crosses.items()}) if crosses else folded)
+    folds, rows = _fold_files(folded.withColumns({name: F.col(a) * F.col(b) for name, (a, b) in crosses.items()}) if crosses else folded)
     arms = {"all": covariates, "none": [], **{f"without_{c}": [x for x in covariates if x != c] for c in covariates}}
-    out = None
-    for arm, own in arms.items():
-        columns = [*base, *own, *[name for name, pair in crosses.items() if set(pair) <= set(own)]]
-        one = fold_errors(folded, keys, columns, models).withColumn("arm", F.lit(arm))
-        out = one if out is None else out.unionByName(one)
+    columns = {arm: [*base, *own, *[name for name, pair in crosses.items() if set(pair) <= set(own)]] for arm, own in arms.items()}
+    out = _errors(rows, folds, keys, columns, models, threads)
     return out.groupBy(*keys, "model", "arm").agg(F.avg(F.abs(F.col("pred") - F.col("label"))).alias("mae"), F.count("*").alias("n"))
 
 
