@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import SMALL
 
 import __spark_entry__ as entry
-from tidegrid.operators import align, features, grid, horizon, sets, transform
+from tidegrid.operators import align, features, grid, horizon, ranking, sets, transform
 from tidegrid.plans import inputs
 from tidegrid.streaming import jobs as st
 
@@ -155,3 +155,18 @@ def test_online_scores_come_by_stretches_of_time(spark, monkeypatch):
     got = entry.queries()["ST7_online_accuracy"](spark, SMALL).agg(F.sum("n")).first()[0]
     rows = align.forecast_actual(inputs.forecast_log(spark, SMALL), inputs.actuals(spark, SMALL)).count()
     assert got == rows > 0 and len(runs) > 4 and len(set(runs)) == 1
+
+
+def test_pairs_of_errors_are_made_in_the_task(spark):
+    """Short and long series, also with nulls, get the same test; no pair of errors is shuffled."""
+    d = spark.range(90).select(
+        F.explode(F.array(F.lit("x"), F.lit("y"), F.lit(None))).alias("series_id"), F.timestamp_seconds(F.col("id") * 3600).cast("timestamp_ntz").alias("grid_ts"), "id")
+    d = d.withColumn("model", F.explode(F.array(*map(F.lit, "abc")))).withColumn("err", F.when(F.col("id") % 13 != 4, F.sin(F.col("id") + F.length("series_id")) + F.ascii("model") % 5))
+    d = d.filter("NOT (model = 'c' AND id % 3 = 1)")
+    one, other = (sorted((r.series_id, r.model_a, r.model_b, r.n, round(r.dm, 6), round(r.p_value, 6)) for r in ranking.dm_all_pairs(d, ["series_id"], "grid_ts", series_rows=n).collect()) for n in (1 << 16, 0))
+    assert one == other and len(one) == 6
+    pairs = ranking._pairs(d.dropna(subset=["series_id"]), ["series_id", "grid_ts"], "err").withColumnsRenamed({"va": "ea", "vb": "eb"})
+    single = ranking.diebold_mariano(pairs, ["series_id", "model_a", "model_b"], "grid_ts")
+    assert sorted((r.series_id, r.model_a, r.model_b, r.n, round(r.dm, 6), round(r.p_value, 6)) for r in single.collect()) == one
+    plan = "\n".join(_plan(ranking.dm_all_pairs(d, ["series_id"], "grid_ts")))
+    assert plan.count("FlatMapGroupsInArrow") == 1 and "Join" not in plan

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tidegrid.functions.metrics import HIGHER_IS_BETTER, two_sided_p
 from tidegrid.operators.scan import Scan, running
+from tidegrid.session import stored
 
 # Fixed values.
 UNSTABLE_RATIO = 10.0
 UNSTABLE_CV = 1.0
+# Groups of more rows are spread over tasks.
+SERIES_ROWS = 1 << 16
 
 
 def fold_summary(long: DataFrame, keys) -> DataFrame:
@@ -132,15 +141,63 @@ def pairwise_fold_test(long: DataFrame, keys, metric: str) -> DataFrame:
     return s.withColumns({"statistic": z, "p_value": p}).drop("__sd")
 
 
-def diebold_mariano(pairs: DataFrame, keys, ts: str, reference_p: bool = False) -> DataFrame:
+def diebold_mariano(pairs: DataFrame, keys, ts: str, reference_p: bool = False, series_rows: int = SERIES_ROWS) -> DataFrame:
     """Test of equal squared error from (keys, ts, ea, eb).
 
     Newey-West variance with bandwidth ceil(4 (n/100)^(2/9)), the plain
     variance where that is not positive. The p-value is two-sided;
-    ``reference_p`` halves it.
+    ``reference_p`` halves it. A task counts whole groups; those of more than
+    ``series_rows`` rows are spread over tasks.
     """
     keys = list(keys)
-    d = pairs.withColumn("__d", F.col("ea") * F.col("ea") - F.col("eb") * F.col("eb"))
+    d = pairs.dropna(subset=keys).select(*keys, ts, (F.col("ea") * F.col("ea") - F.col("eb") * F.col("eb")).cast("double").alias("__d"))
+
+    def one(rows: pa.Table) -> pa.Table:
+        order = np.argsort(_places(rows, ts), kind="stable")
+        some, value = rows.column("__d").is_valid().to_numpy()[order], rows.column("__d").fill_null(0.0).to_numpy()[order]
+        n = [len(order)] if len(order) > 1 else []
+        return rows.select(keys).slice(0, len(n)).append_column("n", pa.array(n, pa.int64())).append_column("dm", pa.array([_statistic(value, some) for _ in n], pa.float64()))
+
+    small, large = _by_size(d, keys, series_rows)
+    out = small.groupBy(*keys).applyInArrow(one, StructType([*[d.schema[k] for k in keys], *_TESTED]))
+    return _with_p(out if large is None else out.unionByName(_test_long(large, keys, ts)), reference_p)
+
+
+_TESTED = [StructField("n", LongType()), StructField("dm", DoubleType())]
+
+
+def _by_size(d: DataFrame, keys: list[str], series_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the keys that fit a task; and those of the others, stored."""
+    sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).withColumn("large", F.col("rows") > series_rows)
+    if not sizes.agg(F.max("large")).first()[0]:
+        return d, None
+    return (d.join(sizes.filter("NOT large").select(*keys), keys, "left_semi"), stored(d.join(sizes.filter("large").select(*keys), keys, "left_semi")))
+
+
+def _places(rows: pa.Table, name: str) -> np.ndarray:
+    return np.asarray(pc.rank(rows.column(name), "ascending", null_placement="at_start", tiebreaker="dense")).astype(np.int64) - 1
+
+
+def _statistic(d: np.ndarray, some: np.ndarray) -> float:
+    """From two or more differences in order of time; those not in ``some`` are null and add nothing to a sum."""
+    n, known = len(d), int(some.sum())
+    if not known:
+        return 0.0
+    mean = float(np.where(some, d, 0.0).sum()) / known
+    x = np.where(some, d - mean, 0.0)
+    h = max(1, min(math.ceil(4.0 * (n / 100.0) ** (2.0 / 9.0)), n - 1))
+    plain = float((x * x).sum()) / known
+    var = plain + sum(2.0 * (1.0 - k / (h + 1.0)) * float((x[k:] * x[:-k]).sum()) / (n - k) for k in range(1, h + 1))
+    var = plain if var <= 0 else var
+    return 0.0 if var <= 0 else mean / math.sqrt(var / n)
+
+
+def _with_p(tested: DataFrame, reference_p: bool) -> DataFrame:
+    return tested.withColumn("p_value", two_sided_p(F.col("dm")) * (0.5 if reference_p else 1.0))
+
+
+def _test_long(d: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """The same for groups too long for a task, by joins: (keys, n, dm)."""
     d = running(d.select(*keys, ts, "__d"), keys, [ts], [Scan("__rn", "count", F.lit(1))])
     s = d.groupBy(*keys).agg(F.avg("__d").alias("__mean"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
     h = F.greatest(F.lit(1), F.least(F.ceil(4.0 * F.pow(F.col("n") / 100.0, F.lit(2.0 / 9.0))), F.col("n") - 1)).cast("int")
@@ -155,14 +212,46 @@ def diebold_mariano(pairs: DataFrame, keys, ts: str, reference_p: bool = False)
     var = F.col("__g0") + F.coalesce("__gs", F.lit(0.0))
     var = F.when(var > 0, var).otherwise(F.col("__g0"))
     stat = F.when(var > 0, F.col("__mean") / F.sqrt(var / F.col("n"))).otherwise(F.lit(0.0))
-    p = two_sided_p(stat) * (0.5 if reference_p else 1.0)
-    return out.select(*keys, "n", stat.alias("dm"), p.alias("p_value"))
+    return out.select(*keys, "n", stat.alias("dm"))
+
 
+def dm_all_pairs(errors: DataFrame, keys, ts: str, reference_p: bool = False, series_rows: int = SERIES_ROWS) -> DataFrame:
+    """``diebold_mariano`` for each pair of models in (keys, model, ts, err).
 
-def dm_all_pairs(errors: DataFrame, keys, ts: str, reference_p: bool = False) -> DataFrame:
-    """``diebold_mariano`` for each pair of models in (keys, model, ts, err)."""
-    p = _pairs(errors, [*keys, ts], "err").withColumnsRenamed({"va": "ea", "vb": "eb"})
-    return diebold_mariano(p, [*keys, "model_a", "model_b"], ts, reference_p)
+    A task gets whole series and makes their pairs, which are not shuffled; only series of more than ``series_rows`` errors are
+    paired by joins.
+    """
+    keys = list(keys)
+    e = errors.dropna(subset=[*keys, "model", ts]).select(*keys, "model", ts, F.col("err").cast("double").alias("err"))
+
+    def every(rows: pa.Table) -> pa.Table:
+        at, model = _places(rows, ts), _places(rows, "model")
+        some, err = rows.column("err").is_valid().to_numpy(), rows.column("err").fill_null(0.0).to_numpy()
+        order = np.lexsort((at, model))
+        own = np.split(order, np.flatnonzero(np.diff(model[order])) + 1)
+        found = []
+        for k, a in enumerate(own):
+            for b in own[k + 1:]:
+                # as a join: every row of one time meets all of the other model
+                low, many = np.searchsorted(at[b], at[a]), np.searchsorted(at[b], at[a], "right") - np.searchsorted(at[b], at[a])
+                n = int(many.sum())
+                if n > 1:
+                    x, y = np.repeat(a, many), b[np.arange(n) - np.repeat(np.cumsum(many) - many - low, many)]
+                    found.append((a[0], b[0], n, _statistic(err[x] * err[x] - err[y] * err[y], some[x] & some[y])))
+        first, second, n, dm = ([f[c] for f in found] for c in range(4))
+        out = rows.select(keys).take(pa.array(first, pa.int64()))
+        for name, column in (("model_a", rows.column("model").take(pa.array(first, pa.int64()))), ("model_b", rows.column("model").take(pa.array(second, pa.int64())))):
+            out = out.append_column(name, column)
+        return out.append_column("n", pa.array(n, pa.int64())).append_column("dm", pa.array(dm, pa.float64()))
+
+    small, large = _by_size(e, keys, series_rows)
+    kind = e.schema["model"].dataType
+    schema = StructType([*[e.schema[k] for k in keys], StructField("model_a", kind), StructField("model_b", kind), *_TESTED])
+    out = _with_p(small.groupBy(*keys).applyInArrow(every, schema), reference_p)
+    if large is None:
+        return out
+    p = _pairs(large, [*keys, ts], "err").withColumnsRenamed({"va": "ea", "vb": "eb"})
+    return out.unionByName(diebold_mariano(p, [*keys, "model_a", "model_b"], ts, reference_p, series_rows))
 
 
 def confidence_set(errors: DataFrame, keys, ts: str, alpha: float = 0.1, reference_p: bool = False) -> DataFrame:

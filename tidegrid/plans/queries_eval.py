@@ -264,7 +264,7 @@ def _errs(spark, sf):
 
 @query("BM8_diebold_mariano", f"SELECT series_id, model_a, model_b, n, round(dm, 4) AS dm, round({_p('dm')}, 4) AS p_value FROM dm", "dm")
 def _(spark, sf):
-    return rnd(bm.dm_all_pairs(cut_lineage(_errs(spark, sf)), K, "grid_ts"), dm=4, p_value=4)
+    return rnd(bm.dm_all_pairs(stored(_errs(spark, sf)), K, "grid_ts"), dm=4, p_value=4)
 
 
 cte("mse", "SELECT series_id, model, avg(err * err) AS mse FROM errs GROUP BY 1, 2", "errs")
@@ -274,7 +274,7 @@ dm_ctes("mcs", "SELECT e.series_id, e.model, e.grid_ts AS ts, l.err * l.err - e.
 
 @query("BM9_model_confidence_set", f"SELECT m.series_id, m.model, round(mse, 2) AS mse, m.model = best OR coalesce({_p('dm')} > 0.1 / 4, true) AS in_set FROM mse m JOIN best_mse b ON b.series_id = m.series_id LEFT JOIN mcs x ON x.series_id = m.series_id AND x.model = m.model", "mse best_mse mcs")
 def _(spark, sf):
-    return rnd(bm.confidence_set(cut_lineage(_errs(spark, sf)), K, "grid_ts"), mse=2)
+    return rnd(bm.confidence_set(stored(_errs(spark, sf)), K, "grid_ts"), mse=2)
 
 
 dm_ctes("pdm", "SELECT a.series_id, a.model AS model_a, b.model AS model_b, a.fold AS ts, abs(a.value) - abs(b.value) AS d FROM long_metrics a JOIN long_metrics b ON a.series_id = b.series_id AND a.fold = b.fold AND a.metric = 'mae' AND b.metric = 'mae' AND a.model < b.model", "long_metrics", "series_id, model_a, model_b")
