@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conftest import SMALL
 
 import __spark_entry__ as entry
+from tidegrid.functions.pandas_metrics import metric_by, pandas_metric
 from tidegrid.operators import align, features, grid, horizon, ranking, sets, transform
 from tidegrid.plans import inputs
 from tidegrid.streaming import jobs as st
@@ -170,3 +171,13 @@ def test_pairs_of_errors_are_made_in_the_task(spark):
     assert sorted((r.series_id, r.model_a, r.model_b, r.n, round(r.dm, 6), round(r.p_value, 6)) for r in single.collect()) == one
     plan = "\n".join(_plan(ranking.dm_all_pairs(d, ["series_id"], "grid_ts")))
     assert plan.count("FlatMapGroupsInArrow") == 1 and "Join" not in plan
+
+
+def test_small_groups_of_a_metric_are_handed_over_together(spark):
+    d = spark.range(300).select(
+        F.when(F.col("id") % 7 > 0, F.col("id") % 4).cast("string").alias("series_id"), (F.col("id") % 5).alias("fold"),
+        F.when(F.col("id") % 11 != 3, F.col("id") * 1.5).alias("y"), F.when(F.col("id") % 5 != 2, F.col("id") * 1.0).alias("pred"))
+    fn = lambda y, p: (y - p).abs().mean()
+    got, want = metric_by(d, ["series_id", "fold"], fn, ["series_id"]), d.groupBy("series_id", "fold").agg(pandas_metric(fn)("y", "pred").alias("metric"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert not [x for x in _plan(got) if "Exchange hashpartitioning" in x and "fold" in x.split("ENSURE")[0].split("hashpartitioning")[1]]

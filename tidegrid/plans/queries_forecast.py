@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegrid.functions import generators
-from tidegrid.functions.pandas_metrics import pandas_metric
+from tidegrid.functions.pandas_metrics import metric_by
 from tidegrid.functions.timecols import epoch, from_epoch, shift, time_bin
 from tidegrid.operators import analytics as ag
 from tidegrid.operators import features as wf
@@ -268,9 +268,8 @@ def _(spark, sf):
 
 @query("UD1_pandas_metric", "SELECT series_id, model, fold, round(avg(abs(y - pred)), 4) AS mae FROM preds WHERE pred IS NOT NULL GROUP BY 1, 2, 3", "preds")
 def _(spark, sf):
-    mean_abs = pandas_metric(lambda y, p: (y - p).abs().mean())
     d = predictions(spark, sf).filter("pred is not null")
-    return rnd(d.groupBy(*K, "model", "fold").agg(mean_abs("y", "pred").alias("mae")), mae=4)
+    return rnd(metric_by(d, [*K, "model", "fold"], lambda y, p: (y - p).abs().mean(), K, out="mae"), mae=4)
 
 
 @query("UD2_pandas_forecaster", "SELECT series_id, max(grid_ts) + INTERVAL '6 hours' AS target_dt, CAST(1 AS BIGINT) AS lead, arg_max(y, grid_ts) AS pred FROM load6 GROUP BY 1", "load6")
