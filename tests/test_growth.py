@@ -181,3 +181,19 @@ def test_small_groups_of_a_metric_are_handed_over_together(spark):
     got, want = metric_by(d, ["series_id", "fold"], fn, ["series_id"]), d.groupBy("series_id", "fold").agg(pandas_metric(fn)("y", "pred").alias("metric"))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert not [x for x in _plan(got) if "Exchange hashpartitioning" in x and "fold" in x.split("ENSURE")[0].split("hashpartitioning")[1]]
+
+
+def test_resamples_of_many_series_share_their_draws(spark):
+    """The numbers of the draws made row by row in SQL, one pass over the ranks, nothing met twice."""
+    ranks = spark.range(900).select(
+        (F.col("id") % 60).cast("string").alias("series_id"), F.concat(F.lit("m"), F.col("id") % 3).alias("model"), F.floor(F.col("id") / 180).alias("fold"),
+        F.when(F.col("id") != 7, F.pmod(F.xxhash64("id"), F.lit(29)) / 7).alias("fold_rank")).filter("id % 60 > 9 OR fold < id % 4")
+    got = ranking.rank_bootstrap(ranks, ["series_id"], 200)
+    v = F.transform(F.sort_array(F.collect_list(F.struct("fold", "fold_rank"))), lambda e: e["fold_rank"])
+    plain = ranks.groupBy("series_id", "model").agg(v.alias("v")).withColumn("n", F.size("v")).filter("n >= 2")
+    mean = lambda xs, n: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / n
+    plain = plain.withColumn("m", F.sort_array(ranking._resampled(F.col("v"), F.col("n"), 200, 42, mean)))
+    plain = plain.select("series_id", "model", ranking._array_quantile(F.col("m"), 0.025).alias("rank_lo"), ranking._array_quantile(F.col("m"), 0.975).alias("rank_hi"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect())) and got.count() > 50
+    ranked = ranking.composite_rank(ranks, ["series_id"], ["m0", "m1", "m2"]).join(got, ["series_id", "model"], "left")
+    assert "\n".join(_plan(ranking.tie_flags(ranked, ["series_id"]))).count("MapInArrow") == 1

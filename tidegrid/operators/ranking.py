@@ -21,6 +21,8 @@ UNSTABLE_RATIO = 10.0
 UNSTABLE_CV = 1.0
 # Groups of more rows are spread over tasks.
 SERIES_ROWS = 1 << 16
+# Rows whose resamples are held at once.
+DRAWN_ROWS = 1 << 10
 
 
 def fold_summary(long: DataFrame, keys) -> DataFrame:
@@ -94,18 +96,55 @@ def _array_quantile(sorted_array: Column, p: float) -> Column:
 
 def rank_bootstrap(ranks: DataFrame, keys, iters: int = 1000, seed: int = 42) -> DataFrame:
     """95 % interval of the mean rank from resampled folds; all models share the draws."""
-    cell = F.struct("fold", F.col("fold_rank").alias("r"))
-    d = ranks.groupBy(*keys, "model").agg(F.sort_array(F.collect_list(cell)).alias("__c"))
-    d = d.withColumn("__v", F.transform("__c", lambda e: e["r"])).withColumn("__n", F.size("__v")).filter("__n >= 2")
-    mean = lambda xs, n: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / n
-    d = d.withColumn("__m", F.sort_array(_resampled(F.col("__v"), F.col("__n"), iters, seed, mean)))
-    return d.select(*keys, "model", _array_quantile(F.col("__m"), 0.025).alias("rank_lo"), _array_quantile(F.col("__m"), 0.975).alias("rank_hi"))
+    own = [*keys, "model"]
+    cell = F.struct("fold", F.col("fold_rank").cast("double").alias("r"))
+    d = ranks.groupBy(*own).agg(F.sort_array(F.collect_list(cell)).alias("__c"))
+    d = d.select(*own, F.transform("__c", lambda e: e["r"]).alias("__v")).filter(F.size("__v") >= 2)
+    ends = [StructField("rank_lo", DoubleType()), StructField("rank_hi", DoubleType())]
+    return d.mapInArrow(lambda batches: (_rank_intervals(b, iters, seed) for b in batches), StructType([*d.drop("__v").schema.fields, *ends]))
+
+
+def _hashed(value: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` of 32-bit whole numbers, going on from ``seed``."""
+    p1, p2, p3, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    h = (seed + p5 + np.uint64(4)) ^ (value.astype(np.uint64) & np.uint64(0xFFFFFFFF)) * p1
+    h = (h << np.uint64(23) | h >> np.uint64(41)) * p2 + p3
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return h ^ h >> np.uint64(32)
+
+
+def _rank_intervals(rows: pa.RecordBatch, iters: int, seed: int) -> pa.RecordBatch:
+    """The draws of ``_resampled``, made once for all rows with the same number of folds; means are summed in its order."""
+    vectors = rows.column(rows.num_columns - 1)
+    lengths, start, flat = pc.list_value_length(vectors).to_numpy(), vectors.offsets.to_numpy(), vectors.values
+    known, flat = flat.is_valid().to_numpy(zero_copy_only=False), flat.fill_null(0.0).to_numpy()
+    out, valid = np.zeros((2, rows.num_rows)), np.ones((2, rows.num_rows), bool)
+    draw = _hashed(np.arange(1, iters + 1), _hashed(np.array([seed]), np.array([42], np.uint64)))
+    for n in np.unique(lengths):
+        every = np.flatnonzero(lengths == n)
+        for mine in np.split(every, range(DRAWN_ROWS, len(every), DRAWN_ROWS)):
+            total, whole = np.zeros((len(mine), iters)), np.ones((len(mine), iters), bool)
+            for k in range(1, n + 1):
+                at = start[mine][:, None] + np.mod(_hashed(np.array([k]), draw).astype(np.int64), np.int64(n))[None, :]
+                total += flat[at]
+                whole &= known[at]
+            means = np.sort(np.where(whole, total / n, -np.inf), axis=1)
+            for end, p in enumerate((0.025, 0.975)):
+                spot = (iters - 1) * p
+                low = math.floor(spot)
+                a, b = means[:, low], means[:, math.ceil(spot)]
+                out[end, mine] = a + (b - a) * (spot - low)
+                # null means come first
+                valid[end, mine] = (~whole).sum(axis=1) <= low
+    ends = [pa.array(x, mask=~v) for x, v in zip(out, valid)]
+    return pa.RecordBatch.from_arrays([*rows.columns[:-1], *ends], names=[*rows.schema.names[:-1], "rank_lo", "rank_hi"])
 
 
 def tie_flags(ranked: DataFrame, keys) -> DataFrame:
     """``tied`` where a model's interval overlaps the leader's."""
-    lead = ranked.filter("final_rank = 1").select(*keys, F.col("rank_lo").alias("__lo"), F.col("rank_hi").alias("__hi"))
-    d = ranked.join(lead, list(keys), "left")
+    leader = W.partitionBy(*keys)
+    d = ranked.withColumns({f"__{end}": F.max(F.when(F.col("final_rank") == 1, F.col(f"rank_{end}"))).over(leader) for end in ("lo", "hi")})
     over = (F.col("rank_lo") <= F.col("__hi")) & (F.col("rank_hi") >= F.col("__lo"))
     return d.withColumn("tied", F.coalesce(over, F.lit(False))).withColumn(
         "label", F.concat(F.when(F.col("tied") & (F.col("final_rank") > 1), "T").otherwise(""), F.col("final_rank").cast("string"))
