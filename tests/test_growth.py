@@ -197,3 +197,9 @@ def test_resamples_of_many_series_share_their_draws(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect())) and got.count() > 50
     ranked = ranking.composite_rank(ranks, ["series_id"], ["m0", "m1", "m2"]).join(got, ["series_id", "model"], "left")
     assert "\n".join(_plan(ranking.tie_flags(ranked, ["series_id"]))).count("MapInArrow") == 1
+
+
+def test_trajectories_are_read_where_they_are_made(spark):
+    """A table function that keeps nothing between rows needs no shuffle of the payloads, nor a call for each of them."""
+    plan = _plan(entry.queries()["UD3_trajectory_cells"](spark, SMALL))
+    assert [x for x in plan if "ArrowEvalPythonUDTF" in x] and not [x for x in plan if "Exchange hashpartitioning(key" in x]

@@ -5,7 +5,7 @@ stream and nothing is kept between rows, so memory does not follow a partition.
 ``grid.spine`` and ``records.trajectory_points`` do the same work natively.
 
     SELECT * FROM grid_cells(TABLE(SELECT key, lo, hi, seconds FROM spans) PARTITION BY (key, lo))
-    SELECT * FROM trajectory_cells(TABLE(SELECT key, text FROM payloads) PARTITION BY key)
+    SELECT * FROM trajectory_cells(TABLE(SELECT key, text FROM payloads))
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ import json
 import math
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf, udtf
 
 from tidegrid.sources.records import TIME_KEYS, VALUE_KEYS
 
@@ -49,26 +50,35 @@ def _moment(v):
     return at if at.tzinfo is None else at.replace(tzinfo=None) - at.utcoffset()
 
 
-@udtf(returnType="key string, ts timestamp_ntz, value double, pos int")
-class TrajectoryCells:
-    """Rows (key, text) to the readable points of a JSON map or list; unreadable text gives no rows."""
+def _points(text) -> list[tuple]:
+    try:
+        found = json.loads(text)
+    except (TypeError, ValueError):
+        return []
+    if isinstance(found, dict):
+        return list(found.items())
+    if isinstance(found, list) and found and isinstance(found[0], dict):
+        when, what = (next((k for k in names if k in found[0]), None) for names in (TIME_KEYS, VALUE_KEYS))
+        return [(e.get(when), e.get(what)) for e in found if isinstance(e, dict)]
+    return []
 
-    def eval(self, row):
-        try:
-            found = json.loads(row["text"])
-        except (TypeError, ValueError):
-            return
-        if isinstance(found, dict):
-            points = list(found.items())
-        elif isinstance(found, list) and found and isinstance(found[0], dict):
-            when, what = (next((k for k in names if k in found[0]), None) for names in (TIME_KEYS, VALUE_KEYS))
-            points = [(e.get(when), e.get(what)) for e in found if isinstance(e, dict)]
-        else:
-            return
-        for pos, (t, v) in enumerate(points):
-            at, value = _moment(t), _number(v)
-            if at is not None and value is not None:
-                yield row["key"], at, value, pos
+
+@arrow_udtf(returnType="key string, ts timestamp_ntz, value double, pos int")
+class TrajectoryCells:
+    """Rows (key, text) to the readable points of a JSON map or list; unreadable text gives no rows. Rows come and go in batches."""
+
+    def eval(self, rows: pa.RecordBatch):
+        of, ts, values, places = [], [], [], []
+        for n, text in enumerate(rows.column("text").to_pylist()):
+            for pos, (t, v) in enumerate(_points(text)):
+                at, value = _moment(t), _number(v)
+                if at is not None and value is not None:
+                    of.append(n)
+                    ts.append(at)
+                    values.append(value)
+                    places.append(pos)
+        key = rows.column("key").take(pa.array(of, pa.int32()))
+        yield pa.table({"key": key, "ts": pa.array(ts, pa.timestamp("us")), "value": pa.array(values, pa.float64()), "pos": pa.array(places, pa.int32())})
 
 
 def register(spark: SparkSession) -> None:

@@ -316,6 +316,6 @@ def _(spark, sf):
     generators.register(spark)
     own = ["experiment", "model_name", "issued_at"]
     t = trajectories(spark, sf).select(F.to_json(F.struct(*own)).alias("key"), F.col("attr").alias("text"))
-    d = spark.sql("SELECT key, ts, value FROM trajectory_cells(TABLE(SELECT * FROM {t}) PARTITION BY key)", t=t)
+    d = spark.sql("SELECT key, ts, value FROM trajectory_cells(TABLE(SELECT * FROM {t}))", t=t)
     k = F.from_json("key", "experiment string, model_name string, issued_at timestamp_ntz")
     return d.select(*[k[c].alias(c) for c in own], "ts", "value")
