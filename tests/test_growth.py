@@ -203,3 +203,10 @@ def test_trajectories_are_read_where_they_are_made(spark):
     """A table function that keeps nothing between rows needs no shuffle of the payloads, nor a call for each of them."""
     plan = _plan(entry.queries()["UD3_trajectory_cells"](spark, SMALL))
     assert [x for x in plan if "ArrowEvalPythonUDTF" in x] and not [x for x in plan if "Exchange hashpartitioning(key" in x]
+
+
+@pytest.mark.parametrize("name", ["AG18_head_to_head", "AG22_leadcurve_sums"])
+def test_external_forecasts_meet_where_they_are(spark, name):
+    """Own and external forecasts and actuals lie together; on larger tables a join would shuffle all of them."""
+    plan = _plan(entry.queries()[name](spark, SMALL))
+    assert not [x for x in plan if "Join" in x and ("grid_ts" in x or "target_dt" in x)]

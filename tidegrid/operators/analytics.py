@@ -271,7 +271,7 @@ def head_to_head(app: DataFrame, ext: DataFrame, actuals: DataFrame) -> DataFram
     a = actuals.filter(F.col("value").isNotNull()).select(*E, "grid_ts", F.col("value").alias("actual"))
     p = latest_per_bin(app, "predicted").select(*E, "grid_ts", "predicted")
     x = latest_per_bin(ext, "value", ["source"]).select(*E, "source", "grid_ts", "value")
-    j = x.join(p, [*E, "grid_ts"]).join(a, [*E, "grid_ts"])
+    j = meet(meet(x, p, [*E, "grid_ts"]), a, [*E, "grid_ts"])
     ea, ex = F.col("predicted") - F.col("actual"), F.col("value") - F.col("actual")
     d = j.groupBy(*E, "source").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(ea)).alias("app_mae"), F.sqrt(F.avg(ea * ea)).alias("app_rmse"), F.avg(ea).alias("app_bias"),
@@ -294,7 +294,7 @@ def head_to_head(app: DataFrame, ext: DataFrame, actuals: DataFrame) -> DataFram
 def standalone_metrics(ext: DataFrame, actuals: DataFrame) -> DataFrame:
     """Each source on its own overlap with the actuals."""
     a = actuals.filter(F.col("value").isNotNull()).select(*E, "grid_ts", F.col("value").alias("actual"))
-    j = latest_per_bin(ext, "value", ["source"]).join(a, [*E, "grid_ts"])
+    j = meet(latest_per_bin(ext, "value", ["source"]), a, [*E, "grid_ts"])
     d = j.groupBy(*E, "source").agg(*_errors("value"), F.count_distinct(F.to_date("grid_ts")).alias("days_logged"))
     return d.withColumn("warming", F.col("days_logged") < WARMUP_DAYS)
 
@@ -304,7 +304,7 @@ def daily_total_error(app: DataFrame, ext: DataFrame, actuals: DataFrame) -> Dat
     a = actuals.filter(F.col("value").isNotNull()).select(*E, "grid_ts", F.col("value").alias("actual"))
     p = latest_per_bin(app, "predicted").select(*E, "grid_ts", "predicted")
     x = latest_per_bin(ext, "value", ["source"]).select(*E, "source", "grid_ts", "value")
-    days = x.join(p, [*E, "grid_ts"]).join(a, [*E, "grid_ts"]).groupBy(*E, "source", F.to_date("grid_ts").alias("day")).agg(
+    days = meet(meet(x, p, [*E, "grid_ts"]), a, [*E, "grid_ts"]).groupBy(*E, "source", F.to_date("grid_ts").alias("day")).agg(
         (F.sum("predicted") - F.sum("actual")).alias("da"), (F.sum("value") - F.sum("actual")).alias("dx")
     )
     return days.groupBy(*E, "source").agg(
@@ -321,7 +321,7 @@ def lead_sums(log: DataFrame, actuals: DataFrame, width: int, value: str = "valu
         step = F.col("__v") - F.lag("__v").over(w)
         d = d.withColumn("__v", F.when(step >= 0, step))
     a = actuals.filter(F.col("value").isNotNull()).select(*E, F.col("grid_ts").alias("target_dt"), F.col("value").alias("actual"))
-    d = d.filter(F.col("__v").isNotNull()).join(a, [*E, "target_dt"]).withColumn("lead_bucket", lead_bucket("lead_minutes", width))
+    d = meet(d.filter(F.col("__v").isNotNull()), a, [*E, "target_dt"]).withColumn("lead_bucket", lead_bucket("lead_minutes", width))
     e = F.col("__v") - F.col("actual")
     return d.groupBy(*E, *by, "lead_bucket").agg(
         F.sum(F.abs(e)).alias("abs_sum"), F.sum(e * e).alias("sq_sum"), F.sum(e).alias("signed_sum"), F.count(F.lit(1)).alias("n")
