@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conftest import SMALL
 
 import __spark_entry__ as entry
+from tidegrid.functions import metrics
 from tidegrid.functions.pandas_metrics import metric_by, pandas_metric
 from tidegrid.operators import align, features, grid, horizon, ranking, sets, transform
 from tidegrid.plans import inputs
@@ -210,3 +211,25 @@ def test_external_forecasts_meet_where_they_are(spark, name):
     """Own and external forecasts and actuals lie together; on larger tables a join would shuffle all of them."""
     plan = _plan(entry.queries()[name](spark, SMALL))
     assert not [x for x in plan if "Join" in x and ("grid_ts" in x or "target_dt" in x)]
+
+
+def test_rounding_in_binary_is_rounding(spark):
+    """Half ways, neighbours of half ways, large and odd values."""
+    rows = [k / 16000 for k in range(40000)] + [0.0005, 1.0005, 2.3455, 1e9 + 0.0005, 8e11 + 0.0625, 4.5e15, 1e300, 2.5e-324, float("nan"), float("inf"), None]
+    d = spark.createDataFrame([(x,) for r in rows for x in ([r] if r is None else [r, -r])], "v double")
+    assert d.filter(~metrics.rounded(F.col("v"), 3).eqNullSafe(F.round("v", 3))).count() == 0
+
+
+def test_crps_of_odd_rows(spark):
+    levels = metrics.QUANTILE_LEVELS
+    rows = [(2.0, [0.3 * k for k in range(19)]), (float("nan"), [1.0] * 19), (1.0, [1.0] * 18 + [None]), (1.0, [1.0] * 18), (None, [1.0] * 19), (1.0, None)]
+    got = [r.c for r in spark.createDataFrame(rows, "y double, q array<double>").select(metrics.crps(F.col("y"), F.col("q")).alias("c")).collect()]
+    assert abs(got[0] - 2 * sum(max(p * (2 - v), (p - 1) * (2 - v)) for p, v in zip(levels, rows[0][1])) / 19) < 1e-12
+    assert got[1] != got[1] and got[2:] == [None] * 4
+
+
+@pytest.mark.parametrize("name", ["HZ2_level_quantiles", "HZ3_by_lead"])
+def test_rows_of_horizons_are_compiled(spark, name):
+    """Nothing is done to each of the many points by lambdas, which are interpreted; sizes are counted before actuals are met."""
+    d = entry.queries()[name](spark, SMALL)
+    assert not [x for x in _plan(d) if "lambdafunction" in x]

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidegrid.operators.prefixes import WaveletMatrix, prefix_quantiles
+from tidegrid.operators import prefixes
+from tidegrid.operators.prefixes import WaveletMatrix, at_moments, prefix_quantiles
 
 PROBS = [0.0, 0.05, 0.5, 0.77, 1.0]
 
@@ -44,3 +45,16 @@ def test_prefix_quantiles(spark, cell_rows, cells):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "key string, at long, value double").withColumn("more", F.lit(1))
     assert prefix_quantiles(df, ["key"], "at", "value", 0, PROBS).count() == 0
+
+
+@pytest.mark.parametrize("marks", [1 << 21, 500])
+def test_short_groups_mark_what_they_have_seen(monkeypatch, marks):
+    """The same numbers as from the wavelet matrix, also when the marks do not fit at once."""
+    rng = np.random.default_rng(5)
+    group, at = rng.integers(0, 7, 900), rng.integers(0, 60, 900)
+    value = np.where((rng.random(900) < 0.1) | (group == 3), np.nan, rng.normal(size=900).round(1))
+    monkeypatch.setattr(prefixes, "MARKS", marks)
+    short = at_moments(group, at, value, 5, np.array(PROBS))
+    monkeypatch.setattr(prefixes, "SHORT_ROWS", 0)
+    for a, b in zip(short, at_moments(group, at, value, 5, np.array(PROBS))):
+        assert np.array_equal(a, b, equal_nan=True)

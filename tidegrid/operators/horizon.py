@@ -3,8 +3,8 @@
 Points are (keys, model, origin, lead, target_dt, point, actual, usable); keys
 name the series, ``lead`` counts cells from 1. Quantiles of all earlier errors
 come from ``prefixes``, whose cost grows with the number of errors and origins;
-only errors grouped by the size of the forecast still meet each origin one by one
-(``splits.thin_origins`` bounds those).
+only errors grouped by the size of the forecast still meet each origin one by one,
+some origins at a time (``splits.thin_origins`` bounds those).
 
 Nothing is stored: a task gets whole series and gives every row its quantiles.
 Points that come dealt by series are not shuffled. Series of more than
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidegrid.functions.metrics import QUANTILE_LEVELS, crps
 from tidegrid.functions.timecols import epoch, to_local
 from tidegrid.operators.align import meet
-from tidegrid.operators.prefixes import _ranks, at_moments, codes, lists, pair, prefix_quantiles
+from tidegrid.operators.prefixes import at_moments, between, codes, lists, pair, prefix_quantiles, seen
 from tidegrid.operators.quantiles import exact_quantiles
 from tidegrid.operators.ranking import _array_quantile, _resampled
 from tidegrid.session import stored
@@ -43,14 +43,15 @@ def attach_actuals(points: DataFrame, actuals: DataFrame, keys, y: str = "y", ts
 
 
 def residual_quantiles(points: DataFrame, keys, horizon: int, seconds: int, condition: str = "lead", lead_bucket: int = 1,
-                       nonnegative: bool = False, tz: str = "UTC", series_rows: int = SERIES_ROWS) -> DataFrame:
+                       nonnegative: bool = False, tz: str = "UTC", series_rows: int = SERIES_ROWS, sized: DataFrame | None = None) -> DataFrame:
     """Adds the 19 quantiles ``q`` of every cell from the model's own earlier errors, and ``complete``: whether every model of the series
     has a measured cell with quantiles there.
 
     Only origins whose whole horizon was measured before count. Errors are
     grouped by lead bucket, by 3-hour block and weekend (``slot``), or by the
     size of the forecast (``level``); fewer than 30 borrow the pooled ones, and
-    with fewer than 30 in all there are none.
+    with fewer than 30 in all there are none. ``sized`` may have the same series in rows that cost less to count, such as
+    the points before they met their actuals.
     """
     keys = list(keys)
     reach = horizon * seconds
@@ -63,43 +64,47 @@ def residual_quantiles(points: DataFrame, keys, horizon: int, seconds: int, cond
         key = F.floor(F.hour(t) / 3) + 100 * (F.weekday(t) >= 5).cast("long")
     else:
         raise ValueError(f"unknown condition {condition!r}")
-    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).withColumn("large", F.col("rows") > series_rows)
+    sizes = (points if sized is None else sized).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).withColumn("large", F.col("rows") > series_rows)
     large = sizes.agg(F.max("large")).first()[0]
-    # Errors with no origin far enough back contribute nothing; the frame ends one horizon before the origin.
-    d = points.withColumn("__t", epoch("origin")).withColumn("__e", F.when(F.col("usable"), F.col("actual") - F.col("point"))).withColumn("__key", key.cast("long"))
-    small = d if not large else d.join(sizes.filter("NOT large").select(*keys), keys, "left_semi")
-    schema = small.withColumn("__off", F.lit(None).cast("array<double>")).withColumn("complete", F.lit(None).cast("boolean")).schema
-    out = small.groupBy(*keys).applyInArrow(lambda t: _evaluate(t, keys, reach, condition), schema)
+    d = points.withColumn("__key", key.cast("long"))
+    small = d if not large else d.join(sizes.filter("large").select(*keys), keys, "left_anti")
+    schema = points.withColumns({"complete": F.lit(None).cast("boolean"), "q": F.lit(None).cast("array<double>")}).schema
+    out = small.withColumn("__t", epoch("origin")).groupBy(*keys).applyInArrow(lambda t: _evaluate(t, keys, reach, condition, nonnegative), schema)
     if large:
-        hot = stored(d.join(sizes.filter("large").select(*keys), keys, "left_semi"))
-        out = out.unionByName(_evaluate_large(hot, keys, reach, condition).select(*out.columns))
-    return _finish(out, nonnegative)
+        hot = d.withColumn("__t", epoch("origin")).withColumn("__e", F.when(F.col("usable"), F.col("actual") - F.col("point")))
+        hot = stored(hot.join(sizes.filter("large").select(*keys), keys, "left_semi"))
+        out = out.unionByName(_finish(_evaluate_large(hot, keys, reach, condition), nonnegative).select(*out.columns))
+    return out
 
 
-def _evaluate(rows: pa.Table, keys: list[str], reach: int, condition: str) -> pa.Table:
-    """Whole series: adds ``__off``, the quantiles of the earlier errors, and ``complete``, whether every model of the series has a measured
-    cell with quantiles there."""
-    named = np.ones(rows.num_rows, bool)
-    for name in [*keys, "model", "__t"]:
-        named &= rows.column(name).is_valid().to_numpy()
+def _evaluate(rows: pa.Table, keys: list[str], reach: int, condition: str, nonnegative: bool) -> pa.Table:
+    """A whole series: adds ``q``, the forecast with the quantiles of the earlier errors, and ``complete``, whether every model of the series
+    has a measured cell with quantiles there."""
+    def numbers(name):
+        return rows.column(name).cast(pa.float64()).to_numpy()
+
+    named = np.logical_and.reduce([rows.column(name).is_valid().to_numpy() for name in [*keys, "model", "__t"]])
     t = rows.column("__t").fill_null(0).to_numpy().astype(np.int64)
-    e = np.where(named, rows.column("__e").to_pandas().to_numpy(np.float64, na_value=np.nan), np.nan)
+    point = numbers("point")
+    e = np.where(named & rows.column("usable").fill_null(False).to_numpy(), numbers("actual") - point, np.nan)
     levels = np.array(QUANTILE_LEVELS)
-    group = codes(rows, [*keys, "model"])
+    group = codes(rows, ["model"])
     _, of, n, q = at_moments(group, t, e, reach, levels)
     n, q = n[of], q[of]
     if condition == "level":
-        own, own_q = _by_size(group, t, rows.column("point").to_pandas().to_numpy(np.float64, na_value=np.nan), e, n, reach, levels)
+        own, own_q = _by_size(group, t, point, e, n, reach, levels)
     else:
-        _, of, own, own_q = at_moments(codes(rows, [*keys, "model", "__key"]), t, e, reach, levels)
+        _, of, own, own_q = at_moments(pair(group, codes(rows, ["__key"])), t, e, reach, levels)
         own, own_q = np.where(rows.column("__key").is_valid().to_numpy(), own[of], 0), own_q[of]
     some = named & (n >= MIN_RESIDUALS)
-    off = np.where((own >= MIN_RESIDUALS)[:, None], own_q, q)
+    q = point[:, None] + np.where((own >= MIN_RESIDUALS)[:, None], own_q, q)
     ready = some & ~np.isnan(e)
-    whole, cell = codes(rows, keys), codes(rows, [*keys, "origin", "lead"])
-    there = _each(cell, group, ready)
-    complete = ready & (there[cell] == _each(whole, group, np.ones(len(group), bool))[whole])
-    return rows.append_column("__off", lists(off, some)).append_column("complete", pa.array(complete))
+    cell = codes(rows, ["origin", "lead"])
+    complete = ready & (_each(cell, group, ready)[cell] == group.max(initial=-1) + 1)
+    known = np.repeat(rows.column("point").is_valid().to_numpy()[some], len(levels))
+    if nonnegative:  # of a missing forecast the greater is 0
+        q, known = np.where((q < 0) | rows.column("point").is_null().to_numpy()[:, None], 0.0, q), None
+    return rows.drop_columns(["__key", "__t"]).append_column("complete", pa.array(complete)).append_column("q", lists(q, some, known))
 
 
 def _each(place: np.ndarray, model: np.ndarray, taken: np.ndarray) -> np.ndarray:
@@ -111,26 +116,29 @@ def _each(place: np.ndarray, model: np.ndarray, taken: np.ndarray) -> np.ndarray
 def _by_size(group: np.ndarray, t: np.ndarray, point: np.ndarray, e: np.ndarray, n: np.ndarray, reach: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per row: number and quantiles of the earlier errors of forecasts of its size; the bin edges move with every origin."""
     marks = np.array([k / LEVEL_BINS for k in range(1, LEVEL_BINS)])
-    moment, of, _, edges = at_moments(group, t, np.where(np.isnan(e), np.nan, point), reach, marks)
+    real = ~np.isnan(e)
+    moment, of, _, edges = at_moments(group, t, np.where(real, point, np.nan), reach, marks)
+    known, size = e[real], point[real]
+    # a moment's rows that have enough errors ask for one bin each
+    mine = (point[:, None] >= edges[of]).sum(axis=1)
+    asks = np.flatnonzero(n >= MIN_RESIDUALS)
+    place = of[asks] * LEVEL_BINS + mine[asks]
     own, own_q = np.zeros(len(t), np.int64), np.full((len(t), len(levels)), np.nan)
-    by_error = np.lexsort((e, group))
-    by_error = by_error[~np.isnan(e[by_error])]
-    first = np.searchsorted(group[by_error], np.arange(group.max(initial=-1) + 2))
-    rows = np.argsort(of, kind="stable")
-    start = np.searchsorted(of[rows], np.arange(len(moment) + 1))
-    for k in np.flatnonzero(n[moment] >= MIN_RESIDUALS):
-        g, cuts, mine = group[moment[k]], np.unique(edges[k]), rows[start[k]:start[k + 1]]
-        past = by_error[first[g]:first[g + 1]]
-        past = past[t[past] <= t[moment[k]] - reach]
-        size = np.searchsorted(cuts, point[past], "right")
-        order = np.argsort(size, kind="stable")
-        values, counts = e[past[order]], np.bincount(size, minlength=len(cuts) + 1)
-        begin = np.cumsum(counts) - counts
-        low, share = _ranks(np.maximum(counts, 1), levels)
-        top = np.maximum(counts - 1, 0)[:, None]
-        a, b = (values[np.minimum(begin[:, None] + np.minimum(x, top), len(values) - 1)] for x in (low, low + 1))
-        bin_of = np.searchsorted(cuts, point[mine], "right")
-        own[mine], own_q[mine] = counts[bin_of], (a + (b - a) * share)[bin_of]
+    for some, counts, taken in seen(group[real], t[real], known, group[moment], t[moment] - reach):
+        here = asks[(place >= some.start * LEVEL_BINS) & (place < some.stop * LEVEL_BINS)]
+        if not len(here):
+            continue
+        bins, sizes = np.zeros(len(taken), np.uint8), size[taken]
+        for edge in edges[some].T:
+            bins += sizes >= np.repeat(edge, counts)
+        # short numbers are ordered by counting
+        first = np.arange(0, (some.stop - some.start) * LEVEL_BINS, LEVEL_BINS)
+        code = np.repeat(first.astype(np.uint16 if first[-1] < (1 << 16) - LEVEL_BINS else np.int64), counts) + bins
+        many = np.bincount(code, minlength=len(first) * LEVEL_BINS)
+        order = np.argsort(code, kind="stable")
+        bin_of, back = np.unique((of[here] - some.start) * LEVEL_BINS + mine[here], return_inverse=True)
+        begin = np.cumsum(many) - many
+        own[here], own_q[here] = many[bin_of][back], between(known[taken[order]], begin[bin_of], many[bin_of], levels)[back]
     return own, own_q
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegrid.functions import metrics as mt
+from tidegrid.functions.metrics import rounded
 from tidegrid.operators import analytics as ag
 from tidegrid.operators import horizon as hz
 from tidegrid.operators import ranking as bm
@@ -320,10 +321,8 @@ ON f.series_id = c.series_id AND f.origin = c.origin AND f.lead = c.lead""", "hz
 def hz_forecasts(spark, sf):
     log = i.forecast_log(spark, sf).select(F.col("experiment").alias("series_id"), F.col("model_name").alias("model"), F.col("issued_at").alias("origin"), (F.col("lead_minutes") / 360).cast("long").alias("lead"), "target_dt", F.col("predicted").alias("point"))
     mean = i.load6(spark, sf).groupBy(*K).agg(F.avg("y").alias("__mean"))
-    own = F.struct("model", "point")
-    both = F.array(own, F.struct(F.lit("baseline_mean").alias("model"), F.col("__mean").alias("point")))
-    d = log.join(mean.hint("merge"), K).withColumn("__x", F.explode(F.when(F.col("model") == "last_value", both).otherwise(F.array(own))))
-    return d.withColumns({"model": F.col("__x.model"), "point": F.col("__x.point")}).drop("__x", "__mean")
+    d = log.join(mean.hint("merge"), K).withColumn("__x", F.explode(F.array(F.lit(False), F.lit(True)))).filter("NOT __x OR model = 'last_value'")
+    return d.withColumns({"model": F.when(F.col("__x"), "baseline_mean").otherwise(F.col("model")), "point": F.when(F.col("__x"), F.col("__mean")).otherwise(F.col("point"))}).drop("__x", "__mean")
 
 
 def hz_points(spark, sf):
@@ -331,7 +330,7 @@ def hz_points(spark, sf):
 
 
 def hz_quantiles(spark, sf, condition="lead"):
-    return hz.residual_quantiles(hz_points(spark, sf), K, H, i.SIX, condition, 2, nonnegative=True)
+    return hz.residual_quantiles(hz_points(spark, sf), K, H, i.SIX, condition, 2, nonnegative=True, sized=hz_forecasts(spark, sf))
 
 
 def hz_cells(spark, sf):
@@ -354,7 +353,7 @@ ALL_LEVELS = "SELECT series_id, model, origin, lead, " + ", ".join(f"round(q[{n}
 
 
 def _all_levels(d):
-    return d.select(*K, "model", "origin", "lead", *[F.round(F.element_at("q", n), 3).alias(f"q{5 * n:02d}") for n in range(1, 20)])
+    return d.select(*K, "model", "origin", "lead", *[rounded(F.get("q", F.lit(n - 1)), 3).alias(f"q{5 * n:02d}") for n in range(1, 20)])
 
 
 @query("HZ2_residual_quantiles", ALL_LEVELS + "hz_q", "hz_q")
