@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import zoneinfo
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,3 +236,26 @@ def test_rows_of_horizons_are_compiled(spark, name):
     """Nothing is done to each of the many points by lambdas, which are interpreted; sizes are counted before actuals are met."""
     d = entry.queries()[name](spark, SMALL)
     assert not [x for x in _plan(d) if "lambdafunction" in x]
+
+
+@pytest.mark.parametrize("tz", ["UTC", "America/New_York"])
+def test_totals_of_first_days(spark, tz):
+    """Forecasts and cells meet in one aggregation; origins whose first day is not whole, or that have no second day, are left out."""
+    zone = zoneinfo.ZoneInfo(tz)
+    points = _points(spark, 20).filter("NOT (series_id = 'y' AND lead > 1 AND day(origin) = 3)")
+    points = points.unionByName(points.withColumns({"series_id": F.lit(None).cast("string")}).limit(9)).localCheckpoint()
+    cells = points.filter("usable AND series_id IS NOT NULL").localCheckpoint()
+    got = horizon.period_totals(cells, points, ["series_id"], tz)
+    assert not [x for x in _plan(got) if "Join" in x]
+    origins, want = {}, {}
+    day = lambda t: t.replace(tzinfo=datetime.UTC).astimezone(zone).date()
+    for r in points.collect():
+        origins.setdefault((r.series_id, r.model, r.origin), []).append(r.target_dt)
+    for (series, model, origin), targets in origins.items():
+        first = min(targets)
+        mine = [r for r in cells.filter((F.col("series_id") == series) & (F.col("model") == model) & (F.col("origin") == origin)).collect() if day(r.target_dt) == day(first)] if series else []
+        if mine and day(max(targets)) > day(first) and len(mine) == sum(day(t) == day(first) for t in targets):
+            hour = first.replace(tzinfo=datetime.UTC).astimezone(zone).hour
+            want.setdefault((series, model, float(hour)), []).append(sum(r.point - r.actual for r in mine))
+    assert want and {(r.series_id, r.model, r.issue_hour): (r.n, round(r.bias, 6), round(r.rmse, 6)) for r in got.collect()} == {
+        k: (len(v), round(sum(v) / len(v), 6), round((sum(x * x for x in v) / len(v)) ** 0.5, 6)) for k, v in want.items()}

@@ -55,10 +55,11 @@ def residual_quantiles(points: DataFrame, keys, horizon: int, seconds: int, cond
     """
     keys = list(keys)
     reach = horizon * seconds
+    bucket = max(1, lead_bucket)
     if condition == "level":
         key = F.lit(0)
     elif condition == "lead":
-        key = F.expr(f"(lead - 1) div {max(1, lead_bucket)}")
+        key = F.expr(f"(lead - 1) div {bucket}")
     elif condition == "slot":
         t = to_local("target_dt", tz)
         key = F.floor(F.hour(t) / 3) + 100 * (F.weekday(t) >= 5).cast("long")
@@ -66,25 +67,26 @@ def residual_quantiles(points: DataFrame, keys, horizon: int, seconds: int, cond
         raise ValueError(f"unknown condition {condition!r}")
     sizes = (points if sized is None else sized).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).withColumn("large", F.col("rows") > series_rows)
     large = sizes.agg(F.max("large")).first()[0]
-    d = points.withColumn("__key", key.cast("long"))
-    small = d if not large else d.join(sizes.filter("large").select(*keys), keys, "left_anti")
+    # each column costs a task time for every row that is handed over
+    small = points.withColumn("__key", key.cast("long")) if condition == "slot" else points
+    small = small if not large else small.join(sizes.filter("large").select(*keys), keys, "left_anti")
     schema = points.withColumns({"complete": F.lit(None).cast("boolean"), "q": F.lit(None).cast("array<double>")}).schema
-    out = small.withColumn("__t", epoch("origin")).groupBy(*keys).applyInArrow(lambda t: _evaluate(t, keys, reach, condition, nonnegative), schema)
+    out = small.groupBy(*keys).applyInArrow(lambda t: _evaluate(t, keys, reach, condition, bucket, nonnegative), schema)
     if large:
-        hot = d.withColumn("__t", epoch("origin")).withColumn("__e", F.when(F.col("usable"), F.col("actual") - F.col("point")))
+        hot = points.withColumn("__key", key.cast("long")).withColumn("__t", epoch("origin")).withColumn("__e", F.when(F.col("usable"), F.col("actual") - F.col("point")))
         hot = stored(hot.join(sizes.filter("large").select(*keys), keys, "left_semi"))
         out = out.unionByName(_finish(_evaluate_large(hot, keys, reach, condition), nonnegative).select(*out.columns))
     return out
 
 
-def _evaluate(rows: pa.Table, keys: list[str], reach: int, condition: str, nonnegative: bool) -> pa.Table:
+def _evaluate(rows: pa.Table, keys: list[str], reach: int, condition: str, bucket: int, nonnegative: bool) -> pa.Table:
     """A whole series: adds ``q``, the forecast with the quantiles of the earlier errors, and ``complete``, whether every model of the series
     has a measured cell with quantiles there."""
     def numbers(name):
         return rows.column(name).cast(pa.float64()).to_numpy()
 
-    named = np.logical_and.reduce([rows.column(name).is_valid().to_numpy() for name in [*keys, "model", "__t"]])
-    t = rows.column("__t").fill_null(0).to_numpy().astype(np.int64)
+    named = np.logical_and.reduce([rows.column(name).is_valid().to_numpy() for name in [*keys, "model", "origin"]])
+    t = rows.column("origin").cast(pa.int64()).fill_null(0).to_numpy() // 1_000_000
     point = numbers("point")
     e = np.where(named & rows.column("usable").fill_null(False).to_numpy(), numbers("actual") - point, np.nan)
     levels = np.array(QUANTILE_LEVELS)
@@ -94,8 +96,12 @@ def _evaluate(rows: pa.Table, keys: list[str], reach: int, condition: str, nonne
     if condition == "level":
         own, own_q = _by_size(group, t, point, e, n, reach, levels)
     else:
-        _, of, own, own_q = at_moments(pair(group, codes(rows, ["__key"])), t, e, reach, levels)
-        own, own_q = np.where(rows.column("__key").is_valid().to_numpy(), own[of], 0), own_q[of]
+        lead = rows.column("lead" if condition == "lead" else "__key")
+        key = lead.cast(pa.int64()).fill_null(0).to_numpy()
+        if condition == "lead":
+            key = np.abs(key - 1) // bucket * np.sign(key - 1)
+        _, of, own, own_q = at_moments(pair(group, np.unique(np.where(lead.is_valid().to_numpy(), key, key.min(initial=0) - 1), return_inverse=True)[1]), t, e, reach, levels)
+        own, own_q = np.where(lead.is_valid().to_numpy(), own[of], 0), own_q[of]
     some = named & (n >= MIN_RESIDUALS)
     q = point[:, None] + np.where((own >= MIN_RESIDUALS)[:, None], own_q, q)
     ready = some & ~np.isnan(e)
@@ -104,7 +110,7 @@ def _evaluate(rows: pa.Table, keys: list[str], reach: int, condition: str, nonne
     known = np.repeat(rows.column("point").is_valid().to_numpy()[some], len(levels))
     if nonnegative:  # of a missing forecast the greater is 0
         q, known = np.where((q < 0) | rows.column("point").is_null().to_numpy()[:, None], 0.0, q), None
-    return rows.drop_columns(["__key", "__t"]).append_column("complete", pa.array(complete)).append_column("q", lists(q, some, known))
+    return rows.drop_columns(["__key"] if condition == "slot" else []).append_column("complete", pa.array(complete)).append_column("q", lists(q, some, known))
 
 
 def _each(place: np.ndarray, model: np.ndarray, taken: np.ndarray) -> np.ndarray:
@@ -245,14 +251,21 @@ def period_totals(cells: DataFrame, points: DataFrame, keys, tz: str = "UTC") ->
 
     Only origins whose day ends inside the horizon with every cell scorable.
     """
-    t = to_local("target_dt", tz)
-    first = points.groupBy(*keys, "model", "origin").agg(F.min("target_dt").alias("__first"), F.max("target_dt").alias("__last"))
-    first = first.withColumns({"__day": F.to_date(to_local("__first", tz)), "__end": F.to_date(to_local("__last", tz))}).filter("__end > __day")
-    need = points.join(first.hint("merge"), [*keys, "model", "origin"]).filter(F.to_date(t) == F.col("__day")).groupBy(*keys, "model", "origin").agg(
-        F.count(F.lit(1)).alias("__need"), F.max("__first").alias("__first"), F.max("__day").alias("__day"))
-    got = cells.join(need.hint("merge"), [*keys, "model", "origin"]).filter(F.to_date(t) == F.col("__day")).groupBy(*keys, "model", "origin", "__need", "__first").agg(
-        F.count(F.lit(1)).alias("__n"), (F.sum("point") - F.sum("actual")).alias("__e")).filter("__n = __need")
-    f = to_local("__first", tz)
+    def local(ts):
+        # casts to an instant and back cost more than the sums
+        return F.col(ts) if tz == "UTC" else to_local(ts, tz)
+
+    by, day = [*keys, "model", "origin"], F.to_date(local("target_dt")).alias("__day")
+    days = points.groupBy(*by, day).agg(F.min("target_dt").alias("__first"), F.max("target_dt").alias("__last"), F.count(F.lit(1)).alias("__need"))
+    first = [F.min_by(c, "__first").alias(c) for c in ("__day", "__need")]
+    need = days.groupBy(*by).agg(*first, F.min("__first").alias("__first"), F.max("__last").alias("__last")).dropna(subset=by)
+    need = need.filter(F.to_date(local("__last")) > F.col("__day")).drop("__last")
+    # first days and cells meet in one aggregation: cells are summed up where they are, and a row or two of each origin are shuffled
+    got = cells.select(*by, day, "point", "actual", F.lit(1).alias("__one"))
+    got = need.unionByName(got, allowMissingColumns=True).groupBy(*by, "__day").agg(
+        F.max("__need").alias("__need"), F.max("__first").alias("__first"), F.count("__one").alias("__n"), (F.sum("point") - F.sum("actual")).alias("__e"))
+    got = got.filter("__n = __need")
+    f = local("__first")
     hour = F.hour(f) + F.minute(f) / 60.0
     return got.groupBy(*keys, "model", hour.alias("issue_hour")).agg(
         F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("rmse"), F.avg("__e").alias("bias"))
