@@ -259,3 +259,20 @@ def test_totals_of_first_days(spark, tz):
             want.setdefault((series, model, float(hour)), []).append(sum(r.point - r.actual for r in mine))
     assert want and {(r.series_id, r.model, r.issue_hour): (r.n, round(r.bias, 6), round(r.rmse, 6)) for r in got.collect()} == {
         k: (len(v), round(sum(v) / len(v), 6), round((sum(x * x for x in v) / len(v)) ** 0.5, 6)) for k, v in want.items()}
+
+
+def test_scores_and_totals_are_made_once(spark):
+    """The guardrail's limit comes from the rows that are there; a join would make all scores and totals again for it."""
+    points = _points(spark, 60).withColumn("model", F.when(F.col("model") == "a", horizon.GUARDRAIL).otherwise(F.col("model")))
+    cells = points.filter("usable").withColumns({"crps": F.abs(F.col("point") - F.col("actual")), "band": F.struct(F.col("point").alias("lo"), (F.col("point") + 9).alias("hi"))}).localCheckpoint()
+    totals = horizon.period_totals(cells, points, ["series_id"])
+    got = horizon.eligibility(horizon.scores(cells, ["series_id"]), totals, ["series_id"])
+    assert sum("Join" in x for x in _plan(got)) == 1
+    rmse = {(r.series_id, r.model): r.period_total_rmse for r in horizon.period_total_rmse(totals, ["series_id"]).collect()}
+    rows = got.collect()
+    assert len(rows) == len(rmse) == 4
+    for r in rows:
+        limit = horizon.TOTAL_TOLERANCE * rmse[r.series_id, horizon.GUARDRAIL]
+        assert abs(r.limit - limit) < 1e-9 and r.eligible == (rmse[r.series_id, r.model] <= limit)
+    alone = horizon.eligibility(horizon.scores(cells.filter("model = 'b'"), ["series_id"]), totals, ["series_id"]).collect()
+    assert [(r.limit, r.eligible) for r in alone] == [(None, True)] * 2

@@ -13,6 +13,8 @@ Points that come dealt by series are not shuffled. Series of more than
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -284,8 +286,9 @@ def evidence(cells: DataFrame, keys, horizon: int, seconds: int) -> DataFrame:
 def eligibility(score: DataFrame, totals: DataFrame, keys, guardrail: str = GUARDRAIL) -> DataFrame:
     """Scores with ``period_total_rmse``, its ``limit`` and ``eligible``."""
     d = score.join(period_total_rmse(totals, keys), [*keys, "model"], "left")
-    ref = d.filter(F.col("model") == guardrail).select(*keys, (TOTAL_TOLERANCE * F.col("period_total_rmse")).alias("limit"))
-    d = d.join(ref, list(keys), "left")
+    # a window, as a join would make all scores and totals once more for the guardrail
+    ref = F.max(F.when(F.col("model") == guardrail, TOTAL_TOLERANCE * F.col("period_total_rmse"))).over(W.partitionBy(*keys))
+    d = d.withColumn("limit", F.when(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]), ref))
     return d.withColumn("eligible", F.coalesce(F.col("period_total_rmse") <= F.col("limit"), F.lit(True)))
 
 
