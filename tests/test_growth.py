@@ -276,3 +276,24 @@ def test_scores_and_totals_are_made_once(spark):
         assert abs(r.limit - limit) < 1e-9 and r.eligible == (rmse[r.series_id, r.model] <= limit)
     alone = horizon.eligibility(horizon.scores(cells.filter("model = 'b'"), ["series_id"]), totals, ["series_id"]).collect()
     assert [(r.limit, r.eligible) for r in alone] == [(None, True)] * 2
+
+
+@pytest.mark.parametrize("missing", [0, 1])
+def test_resampled_days_share_their_draws(spark, missing):
+    """The numbers of the draws made row by row in SQL; nothing is resampled by lambdas."""
+    losses = spark.range(2600).select(
+        (F.col("id") % 40).cast("string").alias("series_id"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("model"),
+        F.timestamp_seconds(F.floor(F.col("id") / 40) * 43200).cast("timestamp_ntz").alias("origin")).filter("series_id > 9 OR origin < timestamp_ntz'1970-01-05'")
+    value = F.pmod(F.xxhash64("series_id", "origin", "model"), F.lit(1009)) / 7.0
+    # of two of the series a whole day is missing, or single losses
+    losses = losses.withColumn("crps", F.when(F.lit(missing == 0) | (F.col("series_id") > 1) | (F.day("origin") != 2) | (F.col("series_id") == 1) & (F.hour("origin") == 0), value)).localCheckpoint()
+    got = horizon.paired_difference(losses, ["series_id"], "a", "b", n_boot=300)
+    assert not [x for x in _plan(got) if "aggregate(" in x]
+    d = losses.filter("model = 'a'").withColumnRenamed("crps", "a").join(losses.filter("model = 'b'").withColumnRenamed("crps", "b"), ["series_id", "origin"]).withColumn("d", F.col("a") - F.col("b"))
+    days = d.groupBy("series_id", F.to_date("origin").alias("day")).agg(F.sum("d").alias("s"), F.count("d").cast("double").alias("c"))
+    g = days.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("day", "s", "c"))).alias("x"), (F.sum("s") / F.sum("c")).alias("mean")).withColumn("n_days", F.size("x"))
+    total = lambda xs, n: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x["s"]) / F.aggregate(xs, F.lit(0.0), lambda a, x: a + x["c"])
+    g = g.withColumn("m", F.sort_array(ranking._resampled(F.col("x"), F.col("n_days"), 300, 0, total)))
+    want = g.select("series_id", "mean", ranking._array_quantile(F.col("m"), 0.025).alias("lo"), ranking._array_quantile(F.col("m"), 0.975).alias("hi"), "n_days")
+    assert sorted(map(str, got.drop("verdict").collect())) == sorted(map(str, want.collect())) and got.count() == 40
+    assert (got.filter("lo IS NULL").count() > 0) == (missing > 0)

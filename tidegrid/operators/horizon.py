@@ -26,7 +26,7 @@ from tidegrid.functions.timecols import epoch, to_local
 from tidegrid.operators.align import meet
 from tidegrid.operators.prefixes import at_moments, between, codes, lists, pair, prefix_quantiles, seen
 from tidegrid.operators.quantiles import exact_quantiles
-from tidegrid.operators.ranking import _array_quantile, _resampled
+from tidegrid.operators.ranking import ratio_intervals
 from tidegrid.session import stored
 
 # Fixed values.
@@ -329,9 +329,6 @@ def paired_difference(losses: DataFrame, keys, candidate: str, incumbent: str, m
     d = side(candidate, "a").join(side(incumbent, "b"), [*keys, "origin"]).withColumn("__d", F.col("a") - F.col("b"))
     days = d.groupBy(*keys, F.to_date("origin").alias("day")).agg(F.sum("__d").alias("s"), F.count("__d").cast("double").alias("c"))
     g = days.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("day", "s", "c"))).alias("__x"), (F.sum("s") / F.sum("c")).alias("mean"))
-    g = g.withColumn("n_days", F.size("__x")).filter("n_days >= 2")
-    total = lambda xs, n: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x["s"]) / F.aggregate(xs, F.lit(0.0), lambda a, x: a + x["c"])
-    g = g.withColumn("__m", F.sort_array(_resampled(F.col("__x"), F.col("n_days"), n_boot, seed, total)))
-    g = g.withColumns({"lo": _array_quantile(F.col("__m"), 0.025), "hi": _array_quantile(F.col("__m"), 0.975)})
+    g = ratio_intervals(g.withColumn("n_days", F.size("__x")).filter("n_days >= 2"), "__x", n_boot, seed)
     verdict = F.when(F.col("hi") < 0, "better").when(F.col("lo") > 0, "worse").otherwise("indistinguishable")
     return g.select(*keys, "mean", "lo", "hi", "n_days", verdict.alias("verdict"))

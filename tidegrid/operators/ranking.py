@@ -114,29 +114,79 @@ def _hashed(value: np.ndarray, seed: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
+def _drawn(iters: int, seed: int) -> np.ndarray:
+    """The state of each resample, from which ``_picked`` goes on."""
+    return _hashed(np.arange(1, iters + 1), _hashed(np.array([seed]), np.array([42], np.uint64)))
+
+
+def _picked(draw: np.ndarray, k: int, n: int) -> np.ndarray:
+    """The ``k``-th of the ``n`` places that each resample picks, from 0."""
+    return np.mod(_hashed(np.array([k]), draw).astype(np.int64), np.int64(n))
+
+
+def _ends(means: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the 95 % interval of each row of means, and which are not null; null means, which are not ``whole``, come first."""
+    means, missing, iters = np.where(whole, means, -np.inf), (~whole).sum(axis=1), means.shape[1]
+    spots = [(iters - 1) * p for p in (0.025, 0.975)]
+    means = np.partition(means, sorted({f(s) for s in spots for f in (math.floor, math.ceil)}), axis=1)
+    out = []
+    for spot in spots:
+        low = math.floor(spot)
+        a, b = means[:, low], means[:, math.ceil(spot)]
+        with np.errstate(invalid="ignore"):  # of null means
+            out.append(a + (b - a) * (spot - low))
+    return np.array(out), np.array([missing <= math.floor(spot) for spot in spots])
+
+
+def ratio_intervals(sums: DataFrame, cells: str, iters: int, seed: int) -> DataFrame:
+    """Adds ``lo`` and ``hi``, the 95 % interval of the ratio of two totals, from resamples of ``cells``: an array of (..., s, c).
+
+    Draws and sums are those of ``_resampled``, made once for all rows with as many cells."""
+    d = sums.select(*[c for c in sums.columns if c != cells], F.transform(cells, lambda x: x["s"]).alias("__s"), F.transform(cells, lambda x: x["c"]).alias("__c"))
+    ends = [StructField("lo", DoubleType()), StructField("hi", DoubleType())]
+    return d.mapInArrow(lambda batches: (_ratio_intervals(b, iters, seed) for b in batches), StructType([*d.drop("__s", "__c").schema.fields, *ends]))
+
+
+def _ratio_intervals(rows: pa.RecordBatch, iters: int, seed: int) -> pa.RecordBatch:
+    s, c = rows.columns[-2:]
+    lengths = pc.list_value_length(s).to_numpy()
+    starts = [x.offsets.to_numpy() for x in (s, c)]
+    known = s.values.is_valid().to_numpy(zero_copy_only=False)
+    s, c = (x.values.fill_null(0.0).to_numpy() for x in (s, c))
+    out, valid = np.zeros((2, rows.num_rows)), np.ones((2, rows.num_rows), bool)
+    draw = _drawn(iters, seed)
+    for n in np.unique(lengths):
+        every = np.flatnonzero(lengths == n)
+        picks = [_picked(draw, k, n) for k in range(1, n + 1)]
+        for mine in np.split(every, range(DRAWN_ROWS // 8, len(every), DRAWN_ROWS // 8)):
+            # places by rows, so that a pick reads the cells of all rows at once
+            own = [np.ascontiguousarray(x[at[mine][:, None] + np.arange(n)].T) for x, at in ((s, starts[0]), (c, starts[1]), (known, starts[0]))]
+            total, count, whole = np.zeros((iters, len(mine))), np.zeros((iters, len(mine))), np.ones((iters, len(mine)), bool)
+            for at in picks:
+                total += own[0][at]
+                count += own[1][at]
+                whole &= own[2][at]
+            out[:, mine], valid[:, mine] = _ends(np.divide(total, count, out=np.zeros_like(total), where=whole).T, whole.T)
+    ends = [pa.array(x, mask=~v) for x, v in zip(out, valid)]
+    return pa.RecordBatch.from_arrays([*rows.columns[:-2], *ends], names=[*rows.schema.names[:-2], "lo", "hi"])
+
+
 def _rank_intervals(rows: pa.RecordBatch, iters: int, seed: int) -> pa.RecordBatch:
     """The draws of ``_resampled``, made once for all rows with the same number of folds; means are summed in its order."""
     vectors = rows.column(rows.num_columns - 1)
     lengths, start, flat = pc.list_value_length(vectors).to_numpy(), vectors.offsets.to_numpy(), vectors.values
     known, flat = flat.is_valid().to_numpy(zero_copy_only=False), flat.fill_null(0.0).to_numpy()
     out, valid = np.zeros((2, rows.num_rows)), np.ones((2, rows.num_rows), bool)
-    draw = _hashed(np.arange(1, iters + 1), _hashed(np.array([seed]), np.array([42], np.uint64)))
+    draw = _drawn(iters, seed)
     for n in np.unique(lengths):
         every = np.flatnonzero(lengths == n)
         for mine in np.split(every, range(DRAWN_ROWS, len(every), DRAWN_ROWS)):
             total, whole = np.zeros((len(mine), iters)), np.ones((len(mine), iters), bool)
             for k in range(1, n + 1):
-                at = start[mine][:, None] + np.mod(_hashed(np.array([k]), draw).astype(np.int64), np.int64(n))[None, :]
+                at = start[mine][:, None] + _picked(draw, k, n)[None, :]
                 total += flat[at]
                 whole &= known[at]
-            means = np.sort(np.where(whole, total / n, -np.inf), axis=1)
-            for end, p in enumerate((0.025, 0.975)):
-                spot = (iters - 1) * p
-                low = math.floor(spot)
-                a, b = means[:, low], means[:, math.ceil(spot)]
-                out[end, mine] = a + (b - a) * (spot - low)
-                # null means come first
-                valid[end, mine] = (~whole).sum(axis=1) <= low
+            out[:, mine], valid[:, mine] = _ends(total / n, whole)
     ends = [pa.array(x, mask=~v) for x, v in zip(out, valid)]
     return pa.RecordBatch.from_arrays([*rows.columns[:-1], *ends], names=[*rows.schema.names[:-1], "rank_lo", "rank_hi"])
 

@@ -415,7 +415,7 @@ def _(spark, sf):
 
 @query("HZ6_paired_difference")
 def _(spark, sf):
-    d = hz.paired_difference(cut_lineage(hz.origin_losses(hz_cells(spark, sf), K)), K, "last_value", "seasonal_naive")
+    d = hz.paired_difference(stored(hz.origin_losses(hz_cells(spark, sf), K)), K, "last_value", "seasonal_naive")
     return rnd(d, mean=4, lo=4, hi=4)
 
 
