@@ -101,11 +101,11 @@ def amplitude_ratio(y="y", p="pred") -> Column:
 def rounded(v: Column, places: int) -> Column:
     """``round`` of a double, decided in binary where that is safe; only values close to a half way are written out as decimals.
 
-    Short, as compiled code of over 8000 bytes a row is never compiled further."""
+    Short, as a method of over 8000 bytes for a row stays interpreted; so a small negative value may become -0.0, which equals 0."""
     s = v * F.lit(10.0 ** places)
     whole = F.rint(s)
     safe = (F.abs(s - whole) < 0.499) & (F.abs(whole) < 1e12)
-    return F.when(safe, (whole + 0.0) / F.lit(10.0 ** places)).otherwise(F.round(v, places))
+    return F.when(safe, whole / F.lit(10.0 ** places)).otherwise(F.round(v, places))
 
 
 def crps(y: Column, quantiles: Column) -> Column:
